@@ -26,6 +26,9 @@ LOF_LRD_EPS = 1e-10
 HEAD_TEMPERATURE = 10.0
 MC_PASSES = 15
 MC_DROP_RATE = 0.35
+HASH_PRIME = 2147483647
+HASH_A, HASH_B, HASH_C = 48271, 69621, 40692
+HASH_A2, HASH_C2 = 1583458089, 12345
 
 
 class Detector:
@@ -456,7 +459,7 @@ class MCDropout(MSP):
             d = x.shape[1]
             for r in range(passes):
                 u = _uniform_hash(ids, r, d)
-                mask = (u >= rate) / (1.0 - rate)
+                mask = (u >= rate) * (1.0 / (1.0 - rate))
                 acc += head.probs(x * mask)
             p = acc / passes
             return pd.DataFrame({"id": ids, "score": p[:, ood_idx] if keep_ood else p.max(axis=1)})
@@ -465,17 +468,14 @@ class MCDropout(MSP):
 
 
 def _uniform_hash(ids: np.ndarray, r: int, d: int) -> np.ndarray:
-    """Deterministic uniforms in [0, 1) per (id, pass, dim) (splitmix64)."""
-    x = (ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-         + np.uint64(r) * np.uint64(0xBF58476D1CE4E5B9)
-         + np.arange(d, dtype=np.uint64)[None, :] * np.uint64(0x94D049BB133111EB))
-    with np.errstate(over="ignore"):
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    """Deterministic uniforms in [0, 1) per (id, pass, dim): two rounds of a
+    multiplicative hash modulo the prime 2^31 - 1 (exact in 64-bit integers,
+    so SQL engines reproduce it)."""
+    p = HASH_PRIME
+    h0 = np.mod(ids.astype(np.int64), p)
+    h1 = np.mod(h0[:, None] * HASH_A + r * HASH_B + np.arange(d, dtype=np.int64)[None, :] * HASH_C, p)
+    h2 = np.mod(h1 * HASH_A2 + HASH_C2, p)
+    return h2.astype(np.float64) / float(p)
 
 
 def logits_msp_score(df: DataFrame, head: CentroidHead, temperature: float = 1.0) -> DataFrame:
