@@ -45,6 +45,21 @@ def descending_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str],
     return out.drop("_pid", *[f"_o_{c}" for c in value_cols])
 
 
+def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
+                      n_parts: int | None = None) -> DataFrame:
+    """1-based row number in ``order`` over the whole frame, computed with range
+    partitioning + per-partition offsets instead of a single-partition window."""
+    spark = df.sparkSession
+    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id())
+    totals = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = Window.partitionBy("_pid").orderBy(*order)
+    out = ranged.join(F.broadcast(offsets), "_pid")  # one row per partition
+    return out.withColumn(name, F.row_number().over(local) + F.col("_off")).drop("_pid", "_off")
+
+
 def roc_points(scored: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
     """One row per distinct score (descending): ``pos``/``neg`` in the tie group
     and cumulative ``tp``/``fp`` including the group (sklearn ROC points)."""

@@ -333,3 +333,69 @@ def weighted_report(spark, sf_dir):
     q = sp.val.unionByName(sp.test).filter(F.col("intent") != FX.OOD_LABEL)
     pred = head.predict(q).join(q.select("id", "intent"), "id")
     return B.round_cols(M.weighted_report(pred))
+
+
+# --------------------------------------------------------------------- text
+from ..functions import text as TXT  # noqa: E402
+from ..operators import text as TO  # noqa: E402
+
+
+def _utt(spark, sf_dir, ood_in_train=False):
+    return FX.utterance_splits(spark, sf_dir, ood_in_train)
+
+
+@register("text_clean", O.with_(O.UTT, O.rake_sql()) + """
+SELECT id, CASE WHEN len(toks) > 0 THEN array_to_string(toks, ' ') || ' ' ELSE '' END AS cleaned FROM rt2""")
+def text_clean(spark, sf_dir):
+    u = FX.utterance_table(spark, sf_dir)
+    return u.select("id", TXT.rake_text(TXT.rake_tokens(F.col("text"))).alias("cleaned"))
+
+
+@register("rake_keywords", O.with_(O.UTT, O.rake_sql()) + """
+SELECT phrase, CAST(n_words AS INTEGER) AS n_words FROM kw""")
+def rake_keywords(spark, sf_dir):
+    return TO.rake_keywords(_utt(spark, sf_dir).train)
+
+
+@register("bench_rake", O.with_(O.UTT, O.rake_sql(), O.RAKE_PRED) + O.label_metrics_sql("rpred"))
+def bench_rake(spark, sf_dir):
+    sp = _utt(spark, sf_dir)
+    kw = TO.rake_keywords(sp.train)
+    pred = TO.rake_predict(sp.test, kw)
+    return B.round_cols(B.benchmark_labels(pred, sp.test))
+
+
+@register("vocab_build", O.with_(O.UTT, O.TOK) + """
+SELECT word, idx, cnt FROM vocab""")
+def vocab_build(spark, sf_dir):
+    sp = _utt(spark, sf_dir)
+    return TO.vocab_build(sp.train, TXT.default_tokenizer(F.col("text")))
+
+
+@register("vocab_encode", O.with_(O.UTT, O.TOK, O.ENC) + """
+SELECT id, pos, token_id FROM enc WHERE split = 'test'""")
+def vocab_encode(spark, sf_dir):
+    sp = _utt(spark, sf_dir)
+    vocab = TO.vocab_build(sp.train, TXT.default_tokenizer(F.col("text")))
+    return TO.vocab_encode(sp.test, vocab, TXT.default_tokenizer(F.col("text")))
+
+
+@register("bag_of_words", O.with_(O.UTT, O.BOW) + """
+, tv AS (SELECT DISTINCT token FROM bw WHERE split = 'train' AND intent <> 'oos')
+SELECT id, token, count(*) AS cnt FROM bw WHERE split = 'test' AND token IN (SELECT token FROM tv) GROUP BY id, token""")
+def bag_of_words(spark, sf_dir):
+    sp = _utt(spark, sf_dir)
+    vocab = TO.bag_of_words(sp.train).select(F.col("token").alias("word")).distinct()
+    return TO.bag_of_words(sp.test, vocab)
+
+
+@register("tf_idf", O.with_(O.UTT, O.BOW) + """
+, ntr AS (SELECT count(*) AS n FROM ut WHERE split = 'train' AND intent <> 'oos'),
+dfs AS (SELECT token, count(DISTINCT id) AS df FROM bw WHERE split = 'train' AND intent <> 'oos' GROUP BY token),
+idf AS (SELECT token, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM dfs, ntr),
+tf AS (SELECT id, token, count(*) AS cnt FROM bw WHERE split = 'test' GROUP BY id, token),
+w AS (SELECT tf.id, tf.token, tf.cnt * idf.idf AS w FROM tf JOIN idf ON tf.token = idf.token)
+SELECT id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""")
+def tf_idf(spark, sf_dir):
+    sp = _utt(spark, sf_dir)
+    return B.round_cols(TO.tfidf_transform(sp.test, TO.tfidf_fit(sp.train)))

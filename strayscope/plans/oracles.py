@@ -198,3 +198,59 @@ SELECT round(CASE WHEN 2.0 * tp + fn + fp > 0 THEN 2.0 * tp / (2.0 * tp + fn + f
        round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0
          THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0.0 END, 6) AS mcc
 FROM lc"""
+
+
+# ------------------------------------------------------------------ text
+UTT = r"""
+u0 AS (SELECT doc_id, lang, UNNEST(regexp_split_to_array(text, '[.\n]+')) AS raw,
+              UNNEST(generate_series(0, len(regexp_split_to_array(text, '[.\n]+')) - 1)) AS pos FROM documents),
+ut AS (SELECT doc_id * 1000000 + pos AS id, trim(raw) AS text,
+              CASE WHEN lang = 'es' THEN 'oos' ELSE lang END AS intent,
+              CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'val' ELSE 'test' END AS split
+       FROM u0 WHERE length(trim(raw)) > 0)"""
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def rake_sql() -> str:
+    from ..functions.text import KEYWORD_STOPWORDS, RAKE_STOPWORDS
+    return rf"""
+rt AS (SELECT id, intent, split, regexp_extract_all(
+         regexp_replace(regexp_replace(lower(CASE WHEN regexp_matches(text, '\S*https?:\/\/.*[\r\n]*') THEN '' ELSE text END),
+                        '\S*[a-zA-Z0-9+_.-]+@[a-zA-Z0-9.-]+\S*', '', 'g'), '\p{{Nd}}', '', 'g'),
+         '[\p{{L}}\p{{N}}_]+') AS toks0 FROM ut),
+rt2 AS (SELECT id, intent, split, CAST(intent = 'oos' AS INTEGER) AS y,
+               CASE WHEN len(toks0) > 40 THEN []::VARCHAR[] ELSE toks0 END AS toks FROM rt),
+ph AS (SELECT DISTINCT trim(p) AS phrase FROM (
+         SELECT UNNEST(string_split(array_to_string(list_transform(toks, lambda w:
+                  CASE WHEN list_contains({_sql_list(RAKE_STOPWORDS)}, w) THEN chr(1) ELSE w END), ' '), chr(1))) AS p
+         FROM rt2 WHERE split = 'train' AND intent <> 'oos') WHERE length(trim(p)) > 0),
+phn AS (SELECT phrase, len(string_split(phrase, ' ')) AS n_words FROM ph),
+mw AS (SELECT DISTINCT UNNEST(string_split(phrase, ' ')) AS w FROM phn WHERE n_words > 1),
+kw0 AS (SELECT phrase, n_words FROM phn WHERE n_words > 1
+        UNION ALL SELECT phrase, n_words FROM phn WHERE n_words = 1 AND phrase IN (SELECT w FROM mw)),
+kw AS (SELECT phrase, n_words FROM kw0 WHERE NOT list_contains({_sql_list(KEYWORD_STOPWORDS)}, phrase))"""
+
+
+RAKE_PRED = """
+tt AS (SELECT id, y, toks FROM rt2 WHERE split = 'test'),
+grams AS (SELECT tt.id, array_to_string(tt.toks[s:s + L.n - 1], ' ') AS g
+          FROM tt, (SELECT DISTINCT n_words AS n FROM kw) L, range(1, 41) r(s) WHERE s + L.n - 1 <= len(tt.toks)),
+hits AS (SELECT DISTINCT id FROM grams WHERE g IN (SELECT phrase FROM kw)),
+rpred AS (SELECT tt.id, tt.y, tt.id NOT IN (SELECT id FROM hits) AS is_ood_pred FROM tt)"""
+
+TOK = r"""
+tk AS (SELECT id, intent, split, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS toks FROM ut),
+trt AS (SELECT * FROM tk WHERE split = 'train' AND intent <> 'oos'),
+vc AS (SELECT w AS word, count(*) AS cnt FROM (SELECT UNNEST(toks) AS w FROM trt) GROUP BY w),
+vocab AS (SELECT word, CAST(row_number() OVER (ORDER BY cnt DESC, word) + 4 AS INTEGER) AS idx, cnt FROM vc)"""
+
+ENC = """
+enc AS (SELECT tk.id, tk.split, tk.intent, CAST(p.pos - 1 AS INTEGER) AS pos, coalesce(vocab.idx, 3) AS token_id
+        FROM (SELECT id, split, intent, UNNEST(toks) AS w, UNNEST(generate_series(1, len(toks))) AS pos FROM tk) p
+        JOIN tk ON tk.id = p.id LEFT JOIN vocab ON vocab.word = p.w)"""
+
+BOW = r"""
+bw AS (SELECT id, split, intent, UNNEST(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM ut)"""
