@@ -42,13 +42,18 @@ def rake_keywords(train: DataFrame, text_col: str = "text", stopwords=T.RAKE_STO
     return kept.filter(~F.col("phrase").isin(*keyword_stopwords))
 
 
+def _gram_at(tokens: Column, n: int):
+    # one-argument lambda: transform() passes (element, index) to two-argument ones
+    return lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")
+
+
 def token_ngrams(tokens: Column, lengths: list[int]) -> Column:
     """All contiguous token n-grams (joined by spaces) for n in ``lengths``."""
     parts = []
     for n in lengths:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(
             F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+        parts.append(F.transform(starts, _gram_at(tokens, n)))
     return F.flatten(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 

@@ -399,3 +399,155 @@ SELECT id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weigh
 def tf_idf(spark, sf_dir):
     sp = _utt(spark, sf_dir)
     return B.round_cols(TO.tfidf_transform(sp.test, TO.tfidf_fit(sp.train)))
+
+
+# --------------------------------------------------------------------- prep
+from ..operators import prep as P  # noqa: E402
+
+VEC_ALL = """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN label IN (8, 9) THEN 'oos' ELSE CAST(label AS VARCHAR) END AS intent,
+         CASE WHEN vec_id % 5 < 3 THEN 'train' WHEN vec_id % 5 = 3 THEN 'val' ELSE 'test' END AS split
+  FROM embeddings),
+tr AS (SELECT id, intent FROM e WHERE split = 'train' AND intent <> 'oos')"""
+
+MD5U = "(('0x' || substr(md5(concat_ws('/', {parts})), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE)"
+
+
+def _folds_sql(k: int = 5) -> str:
+    def upto(m, i):
+        return f"(CASE WHEN {m} >= {i} THEN floor(({m} - {i}) / {k}) + 1 ELSE 0 END)"
+    allocs = [f"({upto('s + n - 1', i)} - {upto('s - 1', i)})" for i in range(k)]
+    cums = [" + ".join(allocs[: i + 1]) for i in range(k)]
+    fold = " + ".join(f"(CASE WHEN {c} <= r THEN 1 ELSE 0 END)" for c in cums)
+    return VEC_ALL + f""",
+c AS (SELECT intent, count(*) AS n, min(id) AS first_id FROM e GROUP BY intent),
+co AS (SELECT intent, n, coalesce(sum(n) OVER (ORDER BY first_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c),
+r AS (SELECT e.id, co.n, co.s, row_number() OVER (PARTITION BY e.intent ORDER BY e.id) - 1 AS r FROM e JOIN co USING (intent))
+SELECT id, CAST({fold} AS INTEGER) AS fold FROM r"""
+
+
+@register("stratified_folds", _folds_sql())
+def stratified_folds(spark, sf_dir):
+    return P.stratified_folds(FX.vector_table(spark, sf_dir))
+
+
+@register("class_weights", VEC_ALL + """,
+c AS (SELECT intent, count(*) AS n FROM tr GROUP BY intent),
+t AS (SELECT sum(n) AS total, count(*) AS k FROM c)
+SELECT intent, n, round(total::DOUBLE / (k * n), 6) AS w_balanced,
+       round(greatest(ln((0.35 * total)::DOUBLE / n), 0.65), 6) AS w_log FROM c, t""")
+def class_weights(spark, sf_dir):
+    return B.round_cols(P.class_weights(FX.vector_splits(spark, sf_dir).train))
+
+
+def _powerset_sql(ratio: float) -> str:
+    return f"""
+WITH c AS (SELECT CAST(label AS VARCHAR) AS cls, count(*) AS n FROM embeddings GROUP BY 1),
+co AS (SELECT cls, n, row_number() OVER (ORDER BY cls) - 1 AS b FROM c),
+tot AS (SELECT sum(n) AS total, count(*) AS k FROM c),
+masks AS (SELECT UNNEST(range(0, (SELECT 1 << k FROM tot))) AS mask),
+m AS (SELECT masks.mask, co.cls, co.n, (masks.mask >> co.b) & 1 AS bit FROM masks, co),
+g AS (SELECT mask, sum(n * bit) AS n_rows,
+             coalesce(string_agg(cls, ',' ORDER BY cls) FILTER (WHERE bit = 1), '') AS classes,
+             coalesce(string_agg(cls, ',' ORDER BY cls) FILTER (WHERE bit = 0), '') AS complement FROM m GROUP BY mask)
+SELECT CAST(mask AS BIGINT) AS mask, CAST(n_rows AS BIGINT) AS n_rows, classes, complement FROM g, tot
+WHERE n_rows >= (1.0::DOUBLE - 0.15::DOUBLE) * {ratio}::DOUBLE * total::DOUBLE
+  AND n_rows <= (1.0::DOUBLE + 0.15::DOUBLE) * {ratio}::DOUBLE * total::DOUBLE"""
+
+
+def _powerset_query(ratio: float) -> Query:
+    def q(spark, sf_dir):
+        e = FX.read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("intent"))
+        return P.open_set_splits(e, ratio)
+    return q
+
+
+register("open_set_splits_25", _powerset_sql(0.25))(_powerset_query(0.25))
+register("open_set_splits_75", _powerset_sql(0.75))(_powerset_query(0.75))
+
+
+@register("label_index", VEC_ALL + """,
+ci AS (SELECT intent, CAST(row_number() OVER (ORDER BY intent) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT intent FROM tr))
+SELECT e.id, coalesce(ci.idx, -1) AS label_idx FROM e LEFT JOIN ci USING (intent) WHERE e.split <> 'train'""")
+def label_index(spark, sf_dir):
+    sp = FX.vector_splits(spark, sf_dir)
+    return P.label_index(sp.val.unionByName(sp.test), sp.train)
+
+
+@register("feasible_val_filter", VEC_ALL + """
+SELECT id, intent FROM e WHERE split = 'val' AND intent IN (SELECT intent FROM tr)""")
+def feasible_val_filter(spark, sf_dir):
+    sp = FX.vector_splits(spark, sf_dir)
+    return P.feasible_filter(sp.val, sp.train).select("id", "intent")
+
+
+@register("mark_in_domain", """
+SELECT vec_id AS id, CASE WHEN CAST(label AS VARCHAR) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 0 ELSE 1 END AS is_ood
+FROM embeddings""")
+def mark_in_domain(spark, sf_dir):
+    e = FX.read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"),
+                                                          F.col("label").cast("string").alias("intent"))
+    return P.mark_in_domain(e, [str(i) for i in range(8)]).select("id", "is_ood")
+
+
+@register("class_counts", VEC_ALL + """
+SELECT split, intent, count(*) AS n FROM e GROUP BY split, intent""")
+def class_counts(spark, sf_dir):
+    return P.class_counts(FX.vector_table(spark, sf_dir), by=("split",))
+
+
+@register("dataset_sizes", O.with_(O.UTT) + """
+SELECT split, count(*) FILTER (WHERE intent = 'oos') AS n_ood, count(*) FILTER (WHERE intent <> 'oos') AS n_indomain
+FROM ut GROUP BY split""")
+def dataset_sizes(spark, sf_dir):
+    u = FX.utterance_table(spark, sf_dir)
+    return u.groupBy("split").agg(F.count_if(F.col("intent") == FX.OOD_LABEL).alias("n_ood"),
+                                  F.count_if(F.col("intent") != FX.OOD_LABEL).alias("n_indomain"))
+
+
+@register("duplicate_singletons", O.with_(O.UTT) + r""",
+fw AS (SELECT id, regexp_extract(lower(text), '[\p{L}\p{N}_]+') AS intent FROM ut),
+s AS (SELECT intent FROM fw GROUP BY intent HAVING count(*) = 1)
+SELECT id, intent FROM fw UNION ALL SELECT id, intent FROM fw WHERE intent IN (SELECT intent FROM s)""")
+def duplicate_singletons(spark, sf_dir):
+    u = FX.utterance_table(spark, sf_dir)
+    fw = u.select("id", F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}_]+", 0).alias("intent"))
+    return P.duplicate_singletons(fw)
+
+
+@register("sample_pairs", VEC_ALL + f""",
+c AS (SELECT intent, count(*) AS n FROM tr GROUP BY intent),
+co AS (SELECT intent, n, coalesce(sum(n) OVER (ORDER BY intent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c),
+tot AS (SELECT sum(n) AS total FROM c),
+rk AS (SELECT tr.id, co.n, co.s, row_number() OVER (ORDER BY tr.intent, tr.id) - 1 AS g FROM tr JOIN co USING (intent)),
+w AS (SELECT id, s + floor({MD5U.format(parts="0, id, 'pos'")} * n) AS pos_g,
+             floor({MD5U.format(parts="0, id, 'neg'")} * (total - n)) AS j, n, s, total FROM rk, tot),
+w2 AS (SELECT id, pos_g, CASE WHEN total - n > 0 THEN CASE WHEN j >= s THEN j + n ELSE j END END AS neg_g FROM w)
+SELECT w2.id, rk.id AS partner_id, 1.0 AS target FROM w2 JOIN rk ON rk.g = w2.pos_g
+UNION ALL
+SELECT w2.id, rk.id AS partner_id, 0.0 AS target FROM w2 JOIN rk ON rk.g = w2.neg_g""")
+def sample_pairs(spark, sf_dir):
+    return P.sample_pairs(FX.vector_splits(spark, sf_dir).train)
+
+
+@register("weighted_sample", VEC_ALL + f""",
+c AS (SELECT intent, count(*) AS n FROM tr GROUP BY intent),
+co AS (SELECT intent, n, row_number() OVER (ORDER BY intent) - 1 AS cls_order,
+              coalesce(sum(n) OVER (ORDER BY intent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c),
+tot AS (SELECT sum(n) AS total, count(*) AS k FROM c),
+rk AS (SELECT tr.id, row_number() OVER (ORDER BY tr.intent, tr.id) - 1 AS g FROM tr),
+d AS (SELECT r.draw, floor({MD5U.format(parts="0, r.draw, 'class'")} * tot.k) AS cls_order,
+             {MD5U.format(parts="0, r.draw, 'row'")} AS u FROM tot, range(0, (SELECT CAST(total AS BIGINT) FROM tot)) r(draw)),
+d2 AS (SELECT d.draw, co.s + floor(d.u * co.n) AS g FROM d JOIN co ON co.cls_order = d.cls_order)
+SELECT d2.draw, rk.id FROM d2 JOIN rk ON rk.g = d2.g""")
+def weighted_sample(spark, sf_dir):
+    return P.weighted_sample(FX.vector_splits(spark, sf_dir).train)
+
+
+@register("cross_corpus", """
+WITH x AS (SELECT doc_id AS id, lang AS intent, 'documents' AS corpus FROM documents
+           UNION ALL SELECT item_id, 'oos', 'benchmark' FROM benchmark)
+SELECT corpus, intent, count(*) AS n FROM x GROUP BY corpus, intent""")
+def cross_corpus(spark, sf_dir):
+    return FX.cross_corpus_table(spark, sf_dir).groupBy("corpus", "intent").agg(F.count(F.lit(1)).alias("n"))
