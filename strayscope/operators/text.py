@@ -17,6 +17,7 @@ from ..functions import text as T
 BROADCAST_ROWS = 2_000_000
 SPECIALS = ("[PAD]", "[BOS]", "[EOS]", "[UNK]", "[SEP]")
 PAD_ID, BOS_ID, EOS_ID, UNK_ID, SEP_ID = 0, 1, 2, 3, 4
+SCORE_DIGITS = 9
 
 
 def join_dimension(left: DataFrame, dim: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -170,7 +171,7 @@ def _bigrams(encoded: DataFrame) -> DataFrame:
     last = body.groupBy("id").agg(F.max("pos").alias("pos"))
     eos = last.select("id", (F.col("pos") + 1).alias("pos"), F.lit(EOS_ID).alias("token_id"))
     seq = body.unionByName(eos)
-    return seq.select("id", F.coalesce(F.lag("token_id").over(w), F.lit(BOS_ID)).alias("prev"),
+    return seq.select("id", "pos", F.coalesce(F.lag("token_id").over(w), F.lit(BOS_ID)).alias("prev"),
                       F.col("token_id").alias("tok"))
 
 
@@ -185,17 +186,23 @@ def ngram_lm(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 def lm_logprob(bi: DataFrame, pair: DataFrame, ctx: DataFrame, vocab_size: int, k: float) -> DataFrame:
     j = bi.join(pair, ["prev", "tok"], "left").join(ctx, "prev", "left")
     lp = F.log((F.coalesce("c_pair", F.lit(0)) + F.lit(k)) / (F.coalesce("c_ctx", F.lit(0)) + F.lit(k * vocab_size)))
-    return j.select("id", "prev", "tok", lp.alias("lp"))
+    return j.select("id", "pos", "prev", "tok", lp.alias("lp"))
 
 
 def likelihood_ratio_scores(train_enc: DataFrame, eval_enc: DataFrame, vocab_size: int,
                             noise_vocab: DataFrame, p_noise: float = 0.1, k: float = 1.0) -> DataFrame:
     """(id, score) with score = -sum_tokens [log p_LM - log p_background],
     add-k bigram LMs; the background LM is trained on noised training text.
-    High score = out-of-domain."""
+    High score = out-of-domain.  Per-token differences are summed in token
+    order and the score is quantised to ``SCORE_DIGITS`` decimals, so
+    utterances with the same tokens tie exactly whatever the float
+    summation order of the engine."""
     pair, ctx = ngram_lm(train_enc)
     bpair, bctx = ngram_lm(add_noise(train_enc, noise_vocab, p_noise))
     bi = _bigrams(eval_enc)
-    a = lm_logprob(bi, pair, ctx, vocab_size, k).groupBy("id").agg(F.sum("lp").alias("lp_in"))
-    b = lm_logprob(bi, bpair, bctx, vocab_size, k).groupBy("id").agg(F.sum("lp").alias("lp_bg"))
-    return a.join(b, "id").select("id", (-(F.col("lp_in") - F.col("lp_bg"))).alias("score"))
+    a = lm_logprob(bi, pair, ctx, vocab_size, k).select("id", "pos", F.col("lp").alias("lp_in"))
+    b = lm_logprob(bi, bpair, bctx, vocab_size, k).select("id", "pos", F.col("lp").alias("lp_bg"))
+    d = a.join(b, ["id", "pos"]).select("id", "pos", (F.col("lp_in") - F.col("lp_bg")).alias("d"))
+    per = d.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("_t"))  # one utterance
+    total = F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + t["d"])
+    return per.select("id", F.round(-total, SCORE_DIGITS).alias("score"))

@@ -551,3 +551,52 @@ WITH x AS (SELECT doc_id AS id, lang AS intent, 'documents' AS corpus FROM docum
 SELECT corpus, intent, count(*) AS n FROM x GROUP BY corpus, intent""")
 def cross_corpus(spark, sf_dir):
     return FX.cross_corpus_table(spark, sf_dir).groupBy("corpus", "intent").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------- likelihood ratio
+LR_P_NOISE = 0.1
+
+
+@register("bench_likelihood_ratio", O.with_(O.UTT, O.TOK, O.ENC, f"""
+nv AS (SELECT count(*) AS nw FROM vocab),
+tren AS (SELECT id, pos, token_id FROM enc WHERE split = 'train' AND intent <> 'oos'),
+teen AS (SELECT id, pos, token_id FROM enc WHERE split = 'test'),
+noisy AS (SELECT id, pos, CASE WHEN token_id >= 5 AND {MD5U.format(parts="0, id, pos, 'noise'")} < {LR_P_NOISE}
+            THEN CAST(floor({MD5U.format(parts="0, id, pos, 'word'")} * nw) + 5 AS INTEGER) ELSE token_id END AS token_id
+          FROM tren, nv),
+bi_tr AS (SELECT id, pos, coalesce(lag(token_id) OVER (PARTITION BY id ORDER BY pos), 1) AS prev, token_id AS tok
+          FROM (SELECT id, pos, token_id FROM tren UNION ALL SELECT id, max(pos) + 1, 2 FROM tren GROUP BY id)),
+bi_bg AS (SELECT id, pos, coalesce(lag(token_id) OVER (PARTITION BY id ORDER BY pos), 1) AS prev, token_id AS tok
+          FROM (SELECT id, pos, token_id FROM noisy UNION ALL SELECT id, max(pos) + 1, 2 FROM noisy GROUP BY id)),
+bi_te AS (SELECT id, pos, coalesce(lag(token_id) OVER (PARTITION BY id ORDER BY pos), 1) AS prev, token_id AS tok
+          FROM (SELECT id, pos, token_id FROM teen UNION ALL SELECT id, max(pos) + 1, 2 FROM teen GROUP BY id)),
+p_tr AS (SELECT prev, tok, count(*) AS c FROM bi_tr GROUP BY prev, tok),
+c_tr AS (SELECT prev, count(*) AS c FROM bi_tr GROUP BY prev),
+p_bg AS (SELECT prev, tok, count(*) AS c FROM bi_bg GROUP BY prev, tok),
+c_bg AS (SELECT prev, count(*) AS c FROM bi_bg GROUP BY prev),
+V AS (SELECT (nw + 5)::DOUBLE AS v FROM nv),
+lp AS (SELECT b.id, b.pos,
+         ln((coalesce(p1.c, 0) + 1.0::DOUBLE) / (coalesce(c1.c, 0) + V.v)) AS lp_in,
+         ln((coalesce(p2.c, 0) + 1.0::DOUBLE) / (coalesce(c2.c, 0) + V.v)) AS lp_bg
+       FROM bi_te b CROSS JOIN V
+       LEFT JOIN p_tr p1 ON p1.prev = b.prev AND p1.tok = b.tok LEFT JOIN c_tr c1 ON c1.prev = b.prev
+       LEFT JOIN p_bg p2 ON p2.prev = b.prev AND p2.tok = b.tok LEFT JOIN c_bg c2 ON c2.prev = b.prev),
+sc AS (SELECT lp.id, round(-list_reduce(list(lp_in - lp_bg ORDER BY pos), lambda a, b: a + b), 9) AS score
+       FROM lp GROUP BY lp.id),
+ts AS (SELECT sc.score, CAST(ut.intent = 'oos' AS INTEGER) AS y FROM sc JOIN ut ON sc.id = ut.id)""",
+                                              O.roc_sql()) + """,
+f95 AS (SELECT fp / N AS v FROM cum, tot WHERE tp / P >= 0.95 ORDER BY s DESC LIMIT 1),
+f90 AS (SELECT fp / N AS v FROM cum, tot WHERE tp / P >= 0.9 ORDER BY s DESC LIMIT 1)
+SELECT round(f95.v, 6) AS fpr95, round(f90.v, 6) AS fpr90, round(rk.aupr, 6) AS aupr, round(rk.auroc, 6) AS auroc
+FROM f95, f90, rk""")
+def bench_likelihood_ratio(spark, sf_dir):
+    sp = _utt(spark, sf_dir)
+    tok = TXT.default_tokenizer(F.col("text"))
+    vocab = TO.vocab_build(sp.train, tok).checkpoint()
+    n_words = vocab.count()
+    tr = TO.vocab_encode(sp.train, vocab, tok)
+    te = TO.vocab_encode(sp.test, vocab, tok)
+    scores = TO.likelihood_ratio_scores(tr, te, n_words + 5, vocab, LR_P_NOISE)
+    scored = B.with_labels(scores, sp.test).checkpoint()
+    m = M.ranking_metrics(scored, interpolate=False)
+    return B.round_cols(m.select(F.col("fpr_95").alias("fpr95"), F.col("fpr_90").alias("fpr90"), "aupr", "auroc"))
