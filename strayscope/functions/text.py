@@ -41,12 +41,14 @@ _SEP = "\u0001"
 
 
 def strip_url_text(c: Column) -> Column:
-    """Whole text becomes '' when it contains a URL."""
-    return F.when(c.rlike(URL_PATTERN), F.lit("")).otherwise(c)
+    """Whole text becomes '' when it contains a URL (cheap substring test
+    first: the pattern can only match where '://' occurs)."""
+    return F.when((F.instr(c, "://") > 0) & c.rlike(URL_PATTERN), F.lit("")).otherwise(c)
 
 
 def strip_email(c: Column) -> Column:
-    return F.regexp_replace(c, EMAIL_PATTERN, "")
+    """Remove e-mail-like runs (only texts containing '@' pay for the regex)."""
+    return F.when(F.instr(c, "@") > 0, F.regexp_replace(c, EMAIL_PATTERN, "")).otherwise(c)
 
 
 def strip_digits(c: Column) -> Column:

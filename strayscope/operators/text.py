@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-BROADCAST_ROWS = 2_000_000
 SPECIALS = ("[PAD]", "[BOS]", "[EOS]", "[UNK]", "[SEP]")
 PAD_ID, BOS_ID, EOS_ID, UNK_ID, SEP_ID = 0, 1, 2, 3, 4
 SCORE_DIGITS = 9
 
 
-def join_dimension(left: DataFrame, dim: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a dimension table, broadcasting it only when its row count is below ``max_rows``."""
-    n = dim.count()
-    return left.join(F.broadcast(dim) if n <= max_rows else dim, on, how)
+def join_dimension(left: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a dimension table (vocabulary, keywords, class table).
+
+    No static broadcast hint: the session disables estimate-based broadcasts
+    and lets AQE turn the join into a broadcast only after the dimension side
+    has been materialised and measured under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; larger dimensions stay
+    shuffle joins with AQE skew splitting."""
+    return left.join(dim, on, how)
 
 
 # ------------------------------------------------------------------ RAKE

@@ -243,3 +243,29 @@ def adb_radius(points: DataFrame, centroid_long: DataFrame, label: str = "intent
     radius = F.when(F.col("n_ood") == 0, F.lit(cap)).otherwise(
         F.least(F.lit(cap), F.floor(r_star / F.lit(step)) * F.lit(step)))
     return tot.select(F.col("cls").alias(label), radius.alias("radius"))
+
+
+def nearest_centroid(df: DataFrame, centroid_long: DataFrame, label: str = "intent") -> DataFrame:
+    """Nearest class centroid under Euclidean, cosine (1 - cos) and angular
+    (acos(cos)/pi) distance; ties -> lexically first class.  The centroid
+    matrix is classes x d (size-checked) and applied per Arrow batch."""
+    keys, cmat = collect_matrix(centroid_long, label)
+    keys = np.array(keys, dtype=object)
+    cn = np.sqrt(np.einsum("ij,ij->i", cmat, cmat))
+
+    def fn(ids, x, _):
+        d_e = np.sqrt(((x[:, None, :] - cmat[None, :, :]) ** 2).sum(-1))
+        xn = np.sqrt(np.einsum("ij,ij->i", x, x))
+        den = xn[:, None] * cn[None, :]
+        cos = np.divide(x @ cmat.T, den, out=np.zeros_like(den), where=den > 0)
+        d_c = 1.0 - cos
+        d_a = np.arccos(np.clip(cos, -1.0, 1.0)) / np.pi
+        out = {"id": ids}
+        for nm, d in (("euclidean", d_e), ("cosine", d_c), ("angular", d_a)):
+            b = np.argmin(d, axis=1)
+            out[f"pred_{nm}"] = keys[b]
+            out[f"d_{nm}"] = d[np.arange(len(b)), b]
+        return pd.DataFrame(out)
+
+    return score_rows(df, fn, "id long, pred_euclidean string, d_euclidean double, pred_cosine string, "
+                              "d_cosine double, pred_angular string, d_angular double")

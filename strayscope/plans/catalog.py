@@ -202,19 +202,8 @@ SELECT e1.id, pred_euclidean, round(de, 6) AS d_euclidean, pred_cosine, round(dc
        pred_angular, round(da, 6) AS d_angular
 FROM e1 JOIN c1 ON e1.id = c1.id JOIN a1 ON e1.id = a1.id"""))
 def nearest_centroid(spark, sf_dir):
-    from ..functions.vectors import angular, cosine, euclidean
     sp = FX.vector_splits(spark, sf_dir)
-    cent = V.long_to_vectors(V.class_centroids(sp.train), "intent").select(F.col("intent").alias("cls"), F.col("v").alias("c"))
-    q = sp.val.unionByName(sp.test)
-    # centroids: one row per class (checked small) -> broadcast equi-join on a constant key
-    j = q.select("id", "v", F.lit(0).alias("_k")).join(F.broadcast(cent.withColumn("_k", F.lit(0))), "_k")
-    d = j.select("id", "cls", euclidean("v", "c").alias("de"), (1.0 - cosine("v", "c")).alias("dc"),
-                 angular("v", "c").alias("da"))
-    out = d.groupBy("id").agg(F.min(F.struct("de", "cls")).alias("e"), F.min(F.struct("dc", "cls")).alias("c"),
-                              F.min(F.struct("da", "cls")).alias("a"))
-    return B.round_cols(out.select("id", F.col("e.cls").alias("pred_euclidean"), F.col("e.de").alias("d_euclidean"),
-                                   F.col("c.cls").alias("pred_cosine"), F.col("c.dc").alias("d_cosine"),
-                                   F.col("a.cls").alias("pred_angular"), F.col("a.da").alias("d_angular")))
+    return B.round_cols(V.nearest_centroid(sp.val.unionByName(sp.test), V.class_centroids(sp.train)))
 
 
 # ------------------------------------------------------------ metric queries

@@ -26,10 +26,21 @@ def get_spark(master: str | None = None, app: str = "strayscope",
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    configure_session(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def configure_session(spark: SparkSession) -> None:
+    """Runtime SQL settings the plans rely on: AQE with skew-join splitting,
+    and broadcast joins decided only from measured (not estimated) sizes."""
+    for k, v in (("spark.sql.adaptive.enabled", "true"),
+                 ("spark.sql.adaptive.skewJoin.enabled", "true"),
+                 ("spark.sql.autoBroadcastJoinThreshold", "-1"),
+                 ("spark.sql.adaptive.autoBroadcastJoinThreshold", str(64 << 20))):
+        spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
     unset (local tests) create a private scratch folder."""
