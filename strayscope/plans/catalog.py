@@ -589,3 +589,5 @@ def bench_likelihood_ratio(spark, sf_dir):
     scored = B.with_labels(scores, sp.test).checkpoint()
     m = M.ranking_metrics(scored, interpolate=False)
     return B.round_cols(m.select(F.col("fpr_95").alias("fpr95"), F.col("fpr_90").alias("fpr90"), "aupr", "auroc"))
+
+ORACLES["bench_mc_dropout"] = O.with_(O.VEC, O.HEAD, O.MC_DROPOUT_SC, O.bench_sql(True))

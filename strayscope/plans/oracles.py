@@ -254,3 +254,18 @@ enc AS (SELECT tk.id, tk.split, tk.intent, CAST(p.pos - 1 AS INTEGER) AS pos, co
 
 BOW = r"""
 bw AS (SELECT id, split, intent, UNNEST(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM ut)"""
+
+
+MC_DROPOUT_SC = """
+mcm AS (SELECT q.id, q.split, q.y, r.r, list_transform(q.v, lambda x, i:
+          CASE WHEN (((((q.id % 2147483647) * 48271 + r.r * 69621 + (i - 1) * 40692) % 2147483647) * 1583458089 + 12345)
+                     % 2147483647)::DOUBLE / 2147483647::DOUBLE >= 0.35::DOUBLE
+               THEN x * (1.0::DOUBLE / (1.0::DOUBLE - 0.35::DOUBLE)) ELSE 0.0::DOUBLE END) AS v
+        FROM q, range(15) r(r)),
+mz AS (SELECT mcm.id, mcm.split, mcm.y, mcm.r, cent.cls,
+              10.0 * list_inner_product(mcm.v, cent.c) / sqrt(list_sum(list_transform(mcm.v, lambda t: t * t))) AS z
+       FROM mcm, cent),
+mp AS (SELECT id, split, y, r, cls, exp(z - max(z) OVER (PARTITION BY id, r)) AS ez FROM mz),
+mp2 AS (SELECT id, split, y, r, cls, ez / sum(ez) OVER (PARTITION BY id, r) AS p FROM mp),
+sc AS (SELECT id, split, y, max(mp3) AS score FROM
+       (SELECT id, split, y, cls, avg(p) AS mp3 FROM mp2 GROUP BY id, split, y, cls) GROUP BY id, split, y)"""

@@ -13,7 +13,8 @@ def get_spark(master: str | None = None, app: str = "strayscope",
     """Session with AQE on and the UI off; on a cluster ``master`` stays None."""
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = builder.master(master)
+        # local mode: the driver JVM is the only executor, give it the heap
+        builder = builder.master(master).config("spark.driver.memory", os.environ.get("STRAYSCOPE_DRIVER_MEMORY", "16g"))
     builder = (builder
                .config("spark.ui.enabled", "false")
                .config("spark.sql.adaptive.enabled", "true")
@@ -37,7 +38,7 @@ def configure_session(spark: SparkSession) -> None:
     for k, v in (("spark.sql.adaptive.enabled", "true"),
                  ("spark.sql.adaptive.skewJoin.enabled", "true"),
                  ("spark.sql.autoBroadcastJoinThreshold", "-1"),
-                 ("spark.sql.adaptive.autoBroadcastJoinThreshold", str(64 << 20))):
+                 ("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 << 20))):
         spark.conf.set(k, v)
 
 
