@@ -64,10 +64,16 @@ def token_ngrams(tokens: Column, lengths: list[int]) -> Column:
 
 def keyword_hits(df: DataFrame, keywords: DataFrame, text_col: str = "text") -> DataFrame:
     """ids of utterances whose cleaned token sequence contains a keyword
-    (whole-token, contiguous match)."""
-    lengths = sorted(r[0] for r in keywords.select("n_words").distinct().collect())  # <= 40 values
+    (whole-token, contiguous match).
+
+    Candidates are anchored on keyword first words: a token only spawns the
+    n-grams of the lengths that keywords starting with it actually have
+    (at most 40 per token), so stop words and unknown words spawn nothing."""
+    firsts = keywords.select(F.split("phrase", " ")[0].alias("tok"), "n_words").distinct()
     toks = df.select("id", T.rake_tokens(F.col(text_col)).alias("toks"))
-    grams = toks.select("id", F.explode(token_ngrams(F.col("toks"), lengths)).alias("phrase"))
+    pos = toks.select("id", "toks", F.posexplode("toks").alias("pos", "tok"))
+    cand = join_dimension(pos, firsts, "tok").filter(F.col("pos") + F.col("n_words") <= F.size("toks"))
+    grams = cand.select("id", F.array_join(F.slice("toks", F.col("pos") + 1, F.col("n_words")), " ").alias("phrase"))
     return join_dimension(grams, keywords.select("phrase"), "phrase", "left_semi").select("id").distinct()
 
 
