@@ -130,8 +130,12 @@ def ood_metrics(scored: DataFrame, score: str = "score", label: str = "y") -> Da
 
 
 def _one_row_zip(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Side-by-side columns of two one-row frames (equi-join on a constant key)."""
-    return a.withColumn("_k", F.lit(0)).join(b.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    """Side-by-side columns of two one-row frames without a join: union with
+    null padding, then a null-ignoring aggregate (two rows)."""
+    ca, cb = a.columns, b.columns
+    fa = a.select(*ca, *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in cb])
+    fb = b.select(*[F.lit(None).cast(a.schema[c].dataType).alias(c) for c in ca], *cb)
+    return fa.unionByName(fb).agg(*[F.max(c).alias(c) for c in ca + cb])
 
 
 # ---------------------------------------------------------------- confusion based
