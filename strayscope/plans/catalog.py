@@ -591,3 +591,14 @@ def bench_likelihood_ratio(spark, sf_dir):
     return B.round_cols(m.select(F.col("fpr_95").alias("fpr95"), F.col("fpr_90").alias("fpr90"), "aupr", "auroc"))
 
 ORACLES["bench_mc_dropout"] = O.with_(O.VEC, O.HEAD, O.MC_DROPOUT_SC, O.bench_sql(True))
+
+
+@register("bench_binary_msp", O.with_(O.VEC.replace(
+    "tr AS (SELECT id, v, intent FROM e WHERE split = 'train' AND intent <> 'oos')",
+    "tr AS (SELECT id, v, CASE WHEN intent = 'oos' THEN 'true' ELSE 'false' END AS intent FROM e WHERE split = 'train')"),
+    O.HEAD, """
+sc AS (SELECT id, split, y, max(p) FILTER (WHERE cls = 'true') AS score FROM probs GROUP BY id, split, y)""",
+    O.bench_sql(False)))
+def bench_binary_msp(spark, sf_dir):
+    splits = FX.vector_splits(spark, sf_dir, ood_in_train=True)
+    return B.round_cols(B.benchmark(D.BinaryMSP(), splits))
