@@ -602,3 +602,18 @@ sc AS (SELECT id, split, y, max(p) FILTER (WHERE cls = 'true') AS score FROM pro
 def bench_binary_msp(spark, sf_dir):
     splits = FX.vector_splits(spark, sf_dir, ood_in_train=True)
     return B.round_cols(B.benchmark(D.BinaryMSP(), splits))
+
+
+@register("cv_centroid_head")
+def cv_centroid_head(spark, sf_dir, n_splits: int = 5):
+    """Stratified k-fold CV of the centroid head: accuracy, macro F1 and
+    multi-class MCC per fold, then mean and population std over folds."""
+    tr = FX.vector_splits(spark, sf_dir).train
+    folds = P.stratified_folds(tr, n_splits).join(tr, "id").checkpoint()
+    per_fold = None
+    for f in range(n_splits):  # one small fit per fold (n_splits jobs)
+        fit, ev = folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f)
+        pred = D.CentroidHead().fit(fit).predict(ev).join(ev.select("id", "intent"), "id")
+        m = M._one_row_zip(M.classification_metrics(pred), M.multiclass_mcc(pred)).withColumn("fold", F.lit(f))
+        per_fold = m if per_fold is None else per_fold.unionByName(m)
+    return B.round_cols(M.cv_mean_std(per_fold, ["accuracy", "f1_macro", "mcc"]))
