@@ -40,15 +40,21 @@ KEYWORD_STOPWORDS = ("want", "my", "send", "much", "please", "plz", "need", "kno
 _SEP = "\u0001"
 
 
+def let(expr: Column, body) -> Column:
+    """Evaluate ``expr`` once and bind it in ``body`` (a one-argument lambda):
+    keeps an expensive regex chain from being re-evaluated for every reference."""
+    return F.element_at(F.transform(F.array(expr), body), 1)
+
+
 def strip_url_text(c: Column) -> Column:
     """Whole text becomes '' when it contains a URL (cheap substring test
     first: the pattern can only match where '://' occurs)."""
-    return F.when((F.instr(c, "://") > 0) & c.rlike(URL_PATTERN), F.lit("")).otherwise(c)
+    return let(c, lambda x: F.when((F.instr(x, "://") > 0) & x.rlike(URL_PATTERN), F.lit("")).otherwise(x))
 
 
 def strip_email(c: Column) -> Column:
     """Remove e-mail-like runs (only texts containing '@' pay for the regex)."""
-    return F.when(F.instr(c, "@") > 0, F.regexp_replace(c, EMAIL_PATTERN, "")).otherwise(c)
+    return let(c, lambda x: F.when(F.instr(x, "@") > 0, F.regexp_replace(x, EMAIL_PATTERN, "")).otherwise(x))
 
 
 def strip_digits(c: Column) -> Column:
@@ -70,9 +76,8 @@ def rake_tokens(text: Column, max_tokens: int = MAX_UTTERANCE_TOKENS,
     """Cleaning chain of the keyword detector: URL text dropped, lower case,
     e-mails and digits removed, word tokens, utterances above ``max_tokens``
     tokens emptied.  (Lemmatisation is an optional map column ``lemma``.)"""
-    t = strip_digits(strip_email(F.lower(strip_url_text(text))))
-    toks = word_tokens(t)
-    toks = F.when(F.size(toks) > max_tokens, F.array().cast("array<string>")).otherwise(toks)
+    t = strip_digits(strip_email(let(text, lambda x: F.lower(strip_url_text(x)))))
+    toks = let(word_tokens(t), lambda w: F.when(F.size(w) > max_tokens, F.array().cast("array<string>")).otherwise(w))
     if lemma is not None:
         toks = F.transform(toks, lambda w: F.coalesce(F.element_at(lemma, w), w))
     return toks
@@ -81,7 +86,7 @@ def rake_tokens(text: Column, max_tokens: int = MAX_UTTERANCE_TOKENS,
 def rake_text(tokens: Column) -> Column:
     """Processed utterance string: tokens joined by single spaces plus a trailing
     space (empty string when there are no tokens)."""
-    return F.when(F.size(tokens) > 0, F.concat(F.array_join(tokens, " "), F.lit(" "))).otherwise(F.lit(""))
+    return let(tokens, lambda t: F.when(F.size(t) > 0, F.concat(F.array_join(t, " "), F.lit(" "))).otherwise(F.lit("")))
 
 
 def rake_phrases(tokens: Column, stopwords=RAKE_STOPWORDS) -> Column:

@@ -77,6 +77,25 @@ def keyword_hits(df: DataFrame, keywords: DataFrame, text_col: str = "text") ->
     return join_dimension(grams, keywords.select("phrase"), "phrase", "left_semi").select("id").distinct()
 
 
+class RakeDetector:
+    """Keyword detector: ``fit`` extracts and materialises the keyword table
+    (checkpointed fitted state); ``predict`` flags rows containing no keyword."""
+
+    name = "rake"
+
+    def __init__(self, ood_label: str = "oos", text_col: str = "text"):
+        self.ood_label, self.text_col = ood_label, text_col
+
+    def fit(self, train: DataFrame) -> "RakeDetector":
+        if train.filter(F.col("intent") == self.ood_label).limit(1).count() > 0:
+            raise ValueError(f"found {self.ood_label!r} in training data; rake needs in-domain rows only")
+        self.keywords = rake_keywords(train, self.text_col).checkpoint()
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return rake_predict(df, self.keywords, self.text_col)
+
+
 def rake_predict(df: DataFrame, keywords: DataFrame, text_col: str = "text") -> DataFrame:
     """(id, is_ood_pred): out-of-domain iff no keyword occurs."""
     hits = keyword_hits(df, keywords, text_col).withColumn("hit", F.lit(True))

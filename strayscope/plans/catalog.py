@@ -349,8 +349,7 @@ def rake_keywords(spark, sf_dir):
 @register("bench_rake", O.with_(O.UTT, O.rake_sql(), O.RAKE_PRED) + O.label_metrics_sql("rpred"))
 def bench_rake(spark, sf_dir):
     sp = _utt(spark, sf_dir)
-    kw = TO.rake_keywords(sp.train)
-    pred = TO.rake_predict(sp.test, kw)
+    pred = TO.RakeDetector().fit(sp.train).predict(sp.test)
     return B.round_cols(B.benchmark_labels(pred, sp.test))
 
 

@@ -31,6 +31,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a text-heavy scan at least ``defaultParallelism`` tasks.
+
+    Only when the scan has fewer partitions than cores (a small table, or one
+    large row group that a single task would read): a round-robin
+    repartition of the raw rows.  Large scans already have many partitions
+    and are returned untouched, so no shuffle is added at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def split_of(id_col: Column) -> Column:
     """3/1/1 train/val/test assignment on the row id (every row lands in one split)."""
     m = F.pmod(id_col, F.lit(5))
@@ -64,7 +75,7 @@ def utterance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Key is (doc_id, pos); ``id`` = doc_id * 1_000_000 + pos is a convenience
     single-column key (documents hold far fewer than 10^6 utterances)."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     u = (d.select("doc_id", "lang", F.posexplode(F.split("text", UTTERANCE_SPLIT)).alias("pos", "raw"))
          .select("doc_id", "pos", F.trim("raw").alias("text"), F.col("lang").alias("intent"))
          .filter(F.length("text") > 0))
