@@ -343,13 +343,23 @@ class CentroidHead:
 
 class TrustScore(Detector):
     """d(closest class other than the predicted one) / (d(predicted) + 1e-12);
-    a class's distance is to its 2nd nearest training row (1st if it has one row)."""
+    a class's distance is to its 2nd nearest training row (1st if it has one row).
+    ``filtering`` = none | density | uncertainty prunes the training rows
+    (alpha = percentile cut) before the per-class distances."""
     name = "trust_score"
     outdomain_is_lower = True
 
+    def __init__(self, ood_label: str = OOD_LABEL, filtering: str = "none", alpha: float = 0.0):
+        super().__init__(ood_label)
+        self.filtering, self.alpha = filtering, alpha
+
     def _fit(self, train):
         super()._fit(train)
         self.head = CentroidHead().fit(self.train)
+        if self.filtering != "none":
+            from . import trust
+            flt = {"density": trust.density_filter, "uncertainty": trust.uncertainty_filter}[self.filtering]
+            self.train = flt(self.train, self.alpha).checkpoint()
 
     def score(self, df):
         nn = pair_scan(df, self.train, NearestOp(2, "l2", by_class=True), label_col="intent")

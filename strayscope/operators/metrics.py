@@ -315,3 +315,35 @@ def cv_mean_std(per_fold: DataFrame, metric_cols: list[str]) -> DataFrame:
     for c in metric_cols:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
     return per_fold.agg(*aggs)
+
+
+def exact_percentile(df: DataFrame, value: str, p: float, group: str | None = None) -> DataFrame:
+    """Exact percentile with linear interpolation (v[lo] + (v[hi] - v[lo]) * t,
+    h = p * (n - 1)) per group, without collecting a group into one task:
+    ranks come from range partitioning, then only the two order statistics
+    around h are kept per group."""
+    g = [F.col(group)] if group else []
+    grp = [group] if group else []
+    counts = df.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
+    if group:
+        w = Window.orderBy(group)  # one row per group
+        counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                                        F.lit(0)))
+        j = df.join(counts, group)
+    else:
+        j = _one_row_broadcast(df, counts.withColumn("_start", F.lit(0)))
+    ranked = global_row_number(j, g + [F.col(value).asc()], "_rn").withColumn("_r", F.col("_rn") - 1 - F.col("_start"))
+    h = F.lit(p) * (F.col("_n") - 1)
+    lo, hi = F.floor(h), F.ceil(h)
+    picked = ranked.filter((F.col("_r") == lo) | (F.col("_r") == hi))
+    agg = picked.groupBy(*grp).agg(F.min(F.when(F.col("_r") == lo, F.col(value))).alias("_a"),
+                                   F.max(F.when(F.col("_r") == hi, F.col(value))).alias("_b"),
+                                   F.first(h - lo).alias("_t"))
+    return agg.select(*grp, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")).alias("pct"))
+
+
+def _one_row_broadcast(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame to every row (values collected:
+    a single row of scalars)."""
+    r = one.first()
+    return df.select("*", *[F.lit(r[c]).alias(c) for c in one.columns])

@@ -139,8 +139,11 @@ class NearestOp(PairOp):
     """
 
     def __init__(self, k: int = 1, metric: str = "l2", by_class: bool = False,
-                 exclude_self: bool = False):
+                 exclude_self: bool = False, same_label: bool = False):
         self.k, self.metric, self.by_class, self.exclude_self = k, metric, by_class, exclude_self
+        self.same_label = same_label
+        if same_label:
+            self.query_extra = ("qlabel",)
         cls = "cls string, " if by_class else ""
         self.schema = f"qid long, {cls}rank int, ref_id long, ref_label string, value double"
 
@@ -187,8 +190,11 @@ class NearestOp(PairOp):
         if self.exclude_self:
             key = key.copy()
             key[qids[:, None] == refs.ids[None, :]] = np.inf
-        frames = []
         labels = refs.labels if refs.labels is not None else np.full(len(refs.ids), None, dtype=object)
+        if self.same_label:
+            key = key.copy()
+            key[extra["qlabel"].astype(object)[:, None] != labels[None, :]] = np.inf
+        frames = []
         groups = [(None, np.arange(len(refs.ids)))]
         if self.by_class:
             uniq = pd.unique(labels)

@@ -616,3 +616,36 @@ def cv_centroid_head(spark, sf_dir, n_splits: int = 5):
         m = M._one_row_zip(M.classification_metrics(pred), M.multiclass_mcc(pred)).withColumn("fold", F.lit(f))
         per_fold = m if per_fold is None else per_fold.unionByName(m)
     return B.round_cols(M.cv_mean_std(per_fold, ["accuracy", "f1_macro", "mcc"]))
+
+
+# ------------------------------------------------------------ trust filters
+from ..operators import trust as TR  # noqa: E402
+
+TRUST_ALPHA = 0.1
+
+
+@register("trust_density_filter", O.with_(O.VEC, f"""
+pr AS (SELECT a.id, a.intent, list_distance(a.v, b.v) AS d FROM tr a JOIN tr b ON a.intent = b.intent),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS r, count(*) OVER (PARTITION BY id) AS n FROM pr),
+rad AS (SELECT id, intent, d AS radius FROM rk WHERE r = least(10, n)),
+o AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY radius) - 1 AS r0,
+             count(*) OVER (PARTITION BY intent) AS n FROM rad),
+hh AS (SELECT intent, {1 - TRUST_ALPHA} * (max(n) - 1) AS h FROM o GROUP BY intent),
+ep AS (SELECT o.intent, min(radius) FILTER (WHERE r0 = floor(h)) AS a, max(radius) FILTER (WHERE r0 = ceil(h)) AS b,
+              max(h - floor(h)) AS t FROM o JOIN hh ON o.intent = hh.intent GROUP BY o.intent)""") + """
+SELECT rad.id FROM rad JOIN ep ON rad.intent = ep.intent WHERE rad.radius <= ep.a + (ep.b - ep.a) * ep.t""")
+def trust_density_filter(spark, sf_dir):
+    return TR.density_filter(FX.vector_splits(spark, sf_dir).train, TRUST_ALPHA).select("id")
+
+
+@register("trust_uncertainty_filter", O.with_(O.VEC, f"""
+pr AS (SELECT a.id, a.intent AS own, b.intent, b.id AS rid, list_distance(a.v, b.v) AS d FROM tr a, tr b),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, rid) AS r FROM pr) WHERE r <= 10),
+sh AS (SELECT id, count(*) FILTER (WHERE intent = own) / count(*) AS share FROM rk GROUP BY id),
+o AS (SELECT *, row_number() OVER (ORDER BY share) - 1 AS r0, count(*) OVER () AS n FROM sh),
+hh AS (SELECT {TRUST_ALPHA} * (max(n) - 1) AS h FROM o),
+ep AS (SELECT min(share) FILTER (WHERE r0 = floor(h)) AS a, max(share) FILTER (WHERE r0 = ceil(h)) AS b,
+              max(h - floor(h)) AS t FROM o, hh)""") + """
+SELECT sh.id FROM sh, ep WHERE sh.share >= ep.a + (ep.b - ep.a) * ep.t""")
+def trust_uncertainty_filter(spark, sf_dir):
+    return TR.uncertainty_filter(FX.vector_splits(spark, sf_dir).train, TRUST_ALPHA).select("id")
