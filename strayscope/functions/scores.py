@@ -24,8 +24,8 @@ def get_score(name: str, **kwargs):
 
 def _register_builtins() -> None:
     from ..operators import detectors as D
-    register_score("max")(lambda temperature=1.0: ("logits_msp", temperature))
-    register_score("entropy")(lambda temperature=1.0: ("logits_entropy", temperature))
+    register_score("max")(D.LogitsMSPScore)
+    register_score("entropy")(D.LogitsEntropyScore)
     register_score("mahalanobis")(D.ClassMahalanobis)
     register_score("euclidean")(D.ClassEuclidean)
     register_score("mahalanobis-pca")(D.ClassMahalanobisPCA)

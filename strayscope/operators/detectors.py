@@ -488,6 +488,74 @@ def _uniform_hash(ids: np.ndarray, r: int, d: int) -> np.ndarray:
     return h2.astype(np.float64) / float(p)
 
 
+class GaussianNB:
+    """Gaussian naive Bayes head: per-class means and population variances
+    (+ var_smoothing x the largest per-feature variance of all rows), class
+    priors from counts; lexically ordered classes, first class on ties."""
+
+    def __init__(self, var_smoothing: float = 1e-9, label: str = "intent"):
+        self.var_smoothing, self.label = var_smoothing, label
+
+    def fit(self, train: DataFrame) -> "GaussianNB":
+        long = train.select(F.col(self.label).alias("cls"), F.posexplode("v").alias("pos", "x"))
+        stats = long.groupBy("cls", "pos").agg(F.avg("x").alias("m"), F.var_pop("x").alias("s2"))
+        keys, self.theta = V.collect_matrix(stats.select(F.col("cls").alias(self.label), "pos", F.col("m").alias("value")),
+                                            self.label)
+        _, var = V.collect_matrix(stats.select(F.col("cls").alias(self.label), "pos", F.col("s2").alias("value")),
+                                  self.label)
+        gvar = long.groupBy("pos").agg(F.var_pop("x").alias("g")).agg(F.max("g")).first()[0]
+        self.var = var + self.var_smoothing * float(gvar)
+        counts = {r[self.label]: r["n"] for r in train.groupBy(self.label).agg(F.count(F.lit(1)).alias("n")).collect()}
+        n = sum(counts.values())
+        self.keys = keys
+        self.log_prior = np.log(np.array([counts[k] / n for k in keys]))
+        return self
+
+    def joint_log_likelihood(self, x: np.ndarray) -> np.ndarray:
+        const = -0.5 * np.log(2.0 * np.pi * self.var).sum(axis=1)
+        quad = (((x[:, None, :] - self.theta[None, :, :]) ** 2) / self.var[None, :, :]).sum(-1)
+        return self.log_prior[None, :] + const[None, :] - 0.5 * quad
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """(id, pred, prob) with prob the posterior of the predicted class."""
+        keys = np.array(self.keys, dtype=object)
+        me = self
+
+        def fn(ids, x, _):
+            jll = me.joint_log_likelihood(x)
+            b = np.argmax(jll, axis=1)
+            z = jll - jll.max(axis=1, keepdims=True)
+            p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+            return pd.DataFrame({"id": ids, "pred": keys[b], "prob": p[np.arange(len(b)), b]})
+
+        return V.score_rows(df, fn, "id long, pred string, prob double")
+
+
+class LogitsMSPScore(_HeadDetector):
+    """1 - max softmax(logits / T) of the head (registered as 'max')."""
+    name = "msp_score"
+
+    def __init__(self, ood_label: str = OOD_LABEL, temperature: float = 1.0):
+        super().__init__(ood_label)
+        self.score_temperature = temperature
+
+    def _from_probs(self, p, head, x):
+        z = head.logits(x) / self.score_temperature
+        z = z - z.max(axis=1, keepdims=True)
+        return 1.0 - (np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)).max(axis=1)
+
+
+class LogitsEntropyScore(LogitsMSPScore):
+    """Exact categorical entropy of softmax(logits / T) (registered as 'entropy')."""
+    name = "entropy_score"
+
+    def _from_probs(self, p, head, x):
+        z = head.logits(x) / self.score_temperature
+        z = z - z.max(axis=1, keepdims=True)
+        logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return -(np.exp(logp) * logp).sum(axis=1)
+
+
 def logits_msp_score(df: DataFrame, head: CentroidHead, temperature: float = 1.0) -> DataFrame:
     """1 - max softmax(logits / T)."""
     def fn(ids, x, _):

@@ -649,3 +649,22 @@ ep AS (SELECT min(share) FILTER (WHERE r0 = floor(h)) AS a, max(share) FILTER (W
 SELECT sh.id FROM sh, ep WHERE sh.share >= ep.a + (ep.b - ep.a) * ep.t""")
 def trust_uncertainty_filter(spark, sf_dir):
     return TR.uncertainty_filter(FX.vector_splits(spark, sf_dir).train, TRUST_ALPHA).select("id")
+
+
+@register("gaussian_nb_predict", O.with_(O.VEC, """
+lg AS (SELECT intent, UNNEST(v) AS x, UNNEST(generate_series(1, len(v))) AS pos FROM tr),
+st AS (SELECT intent AS cls, pos, avg(x) AS m, var_pop(x) AS s2 FROM lg GROUP BY intent, pos),
+eps AS (SELECT 1e-9 * max(g) AS e FROM (SELECT pos, var_pop(x) AS g FROM lg GROUP BY pos)),
+pri AS (SELECT intent AS cls, ln(count(*) / (SELECT count(*) FROM tr)) AS lp FROM tr GROUP BY intent),
+ql AS (SELECT id, UNNEST(v) AS x, UNNEST(generate_series(1, len(v))) AS pos FROM q),
+jll AS (SELECT ql.id, st.cls,
+               sum(-0.5 * ln(2 * pi() * (st.s2 + eps.e)) - 0.5 * (ql.x - st.m) * (ql.x - st.m) / (st.s2 + eps.e)) AS j
+        FROM ql JOIN st ON ql.pos = st.pos CROSS JOIN eps GROUP BY ql.id, st.cls),
+jp AS (SELECT jll.id, jll.cls, jll.j + pri.lp AS j FROM jll JOIN pri ON jll.cls = pri.cls),
+pe AS (SELECT id, cls, j, exp(j - max(j) OVER (PARTITION BY id)) AS ez FROM jp),
+pp AS (SELECT id, cls, ez / sum(ez) OVER (PARTITION BY id) AS p,
+              row_number() OVER (PARTITION BY id ORDER BY j DESC, cls) AS rn FROM pe)""") + """
+SELECT id, cls AS pred, round(p, 6) AS prob FROM pp WHERE rn = 1""")
+def gaussian_nb_predict(spark, sf_dir):
+    sp = FX.vector_splits(spark, sf_dir)
+    return B.round_cols(D.GaussianNB().fit(sp.train).predict(sp.val.unionByName(sp.test)))
