@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.fixtures import OOD_LABEL
 from . import vectors as V
+from ..functions.vectors import l2_normalize as l2_normalize_col
 from .pairs import AdjustedEntropyOp, NearestOp, QuadraticMinOp, SoftmaxStatsOp, pair_scan
 
 # fixed values: detector constants
@@ -477,6 +478,78 @@ class MCDropout(MSP):
         return V.score_rows(df, fn, "id long, score double")
 
 
+def hash_uniform_col(id_col, r_col, j: int = 0):
+    """Column version of :func:`_uniform_hash` (same integers, JVM-side)."""
+    p = F.lit(HASH_PRIME)
+    h0 = F.pmod(id_col.cast("long"), p)
+    h1 = F.pmod(h0 * HASH_A + r_col.cast("long") * HASH_B + F.lit(j * HASH_C), p)
+    h2 = F.pmod(h1 * HASH_A2 + F.lit(HASH_C2), p)
+    return h2.cast("double") / F.lit(float(HASH_PRIME))
+
+
+def poisson1_cdf(kmax: int = 10) -> list[float]:
+    import math
+    out, acc = [], 0.0
+    for k in range(kmax):
+        acc += math.exp(-1.0) / math.factorial(k)
+        out.append(acc)
+    return out
+
+
+class BootstrapHead(_HeadDetector):
+    """Bayesian-model-averaging stand-in for a variational network: 15
+    Poisson(1)-bootstrap replicates of the centroid head (replicate weights
+    from a deterministic hash of (row, replicate)), probabilities averaged,
+    then MSP (or the OOD class's probability when trained with it)."""
+    name = "bnn_bootstrap"
+
+    def __init__(self, ood_label: str = OOD_LABEL, temperature: float = HEAD_TEMPERATURE,
+                 replicates: int = MC_PASSES, ood_in_train: bool = False):
+        super().__init__(ood_label, temperature)
+        self.replicates, self.ood_in_train = replicates, ood_in_train
+        self.outdomain_is_lower = not ood_in_train
+
+    def _fit(self, train):
+        Detector._fit(self, train)
+        cdf = poisson1_cdf()
+        rep = self.train.select("id", "intent", l2_normalize_col("v").alias("u"),
+                                F.explode(F.sequence(F.lit(0), F.lit(self.replicates - 1))).alias("r"))
+        u = hash_uniform_col(F.col("id"), F.col("r"))
+        w = sum(F.when(u >= F.lit(c), 1).otherwise(0) for c in cdf)
+        rep = rep.withColumn("w", w).filter(F.col("w") > 0)
+        long = rep.select("r", "intent", "w", F.posexplode("u").alias("pos", "x"))
+        sums = long.groupBy("r", "intent", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
+        nrm = sums.groupBy("r", "intent").agg(F.sqrt(F.greatest(F.sum(F.col("m") * F.col("m")), F.lit(1e-12))).alias("nr"))
+        cent = sums.join(nrm, ["r", "intent"]).select(F.concat_ws("#", F.col("r").cast("string"), "intent").alias("k"),
+                                                      "pos", (F.col("m") / F.col("nr")).alias("value"))
+        keys, mat = V.collect_matrix(cent, "k")
+        classes = sorted({k.split("#", 1)[1] for k in keys})
+        d = mat.shape[1]
+        self.cents = np.zeros((self.replicates, len(classes), d))
+        for k, row in zip(keys, mat):
+            r, c = k.split("#", 1)
+            self.cents[int(r), classes.index(c)] = row
+        self.head = CentroidHead(self.temperature)
+        self.head.keys, self.head.cmat = classes, self.cents[0]
+
+    def score(self, df):
+        cents, tau, keys = self.cents, self.temperature, self.head.keys
+        ood_idx = keys.index(self.ood_label) if self.ood_in_train else None
+
+        def fn(ids, x, _):
+            nrm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            xn = np.divide(x, nrm[:, None], out=np.zeros_like(x), where=nrm[:, None] > 0)
+            acc = np.zeros((len(ids), len(keys)))
+            for r in range(cents.shape[0]):
+                z = tau * (xn @ cents[r].T)
+                z = z - z.max(axis=1, keepdims=True)
+                acc += np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+            p = acc / cents.shape[0]
+            return pd.DataFrame({"id": ids, "score": p[:, ood_idx] if ood_idx is not None else p.max(axis=1)})
+
+        return V.score_rows(df, fn, "id long, score double")
+
+
 def _uniform_hash(ids: np.ndarray, r: int, d: int) -> np.ndarray:
     """Deterministic uniforms in [0, 1) per (id, pass, dim): two rounds of a
     multiplicative hash modulo the prime 2^31 - 1 (exact in 64-bit integers,
@@ -616,6 +689,7 @@ REGISTRY = {
     "binary_msp": BinaryMSP, "doc": DOC, "mc_dropout": MCDropout, "class_euclidean": ClassEuclidean,
     "class_maha": ClassMahalanobis, "class_maha_pca": ClassMahalanobisPCA,
     "marginal_maha": MarginalMahalanobis, "marginal_maha_pca": MarginalMahalanobisPCA,
+    "bnn_bootstrap": BootstrapHead,
 }
 
 

@@ -668,3 +668,5 @@ SELECT id, cls AS pred, round(p, 6) AS prob FROM pp WHERE rn = 1""")
 def gaussian_nb_predict(spark, sf_dir):
     sp = FX.vector_splits(spark, sf_dir)
     return B.round_cols(D.GaussianNB().fit(sp.train).predict(sp.val.unionByName(sp.test)))
+
+register("bench_bnn_bootstrap", O.with_(O.VEC, O.BNN_BOOT_SC, O.bench_sql(True)))(_bench("bnn_bootstrap"))

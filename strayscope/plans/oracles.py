@@ -269,3 +269,18 @@ mp AS (SELECT id, split, y, r, cls, exp(z - max(z) OVER (PARTITION BY id, r)) AS
 mp2 AS (SELECT id, split, y, r, cls, ez / sum(ez) OVER (PARTITION BY id, r) AS p FROM mp),
 sc AS (SELECT id, split, y, max(mp3) AS score FROM
        (SELECT id, split, y, cls, avg(p) AS mp3 FROM mp2 GROUP BY id, split, y, cls) GROUP BY id, split, y)"""
+
+
+BNN_BOOT_SC = """
+bu AS (SELECT tr.id, tr.intent, r.r, list_transform(tr.v, lambda x: x / sqrt(greatest(list_sum(list_transform(tr.v, lambda y: y * y)), 1e-12))) AS u0,
+              (((((tr.id % 2147483647) * 48271 + r.r * 69621) % 2147483647) * 1583458089 + 12345) % 2147483647)::DOUBLE / 2147483647::DOUBLE AS u
+       FROM tr, range(15) r(r)),
+bw AS (SELECT id, intent, r, u0, (CASE WHEN u >= 0.36787944117144233::DOUBLE THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.7357588823428847::DOUBLE THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.9196986029286058::DOUBLE THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.9810118431238463::DOUBLE THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.9963401531726563::DOUBLE THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.9994058151824183::DOUBLE THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.999916758850712::DOUBLE THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.9999897508033253::DOUBLE THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.999998874797402::DOUBLE THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.9999998885745216::DOUBLE THEN 1 ELSE 0 END) AS w FROM bu),
+bl AS (SELECT r, intent, w, UNNEST(u0) AS x, UNNEST(generate_series(1, len(u0))) AS pos FROM bw WHERE w > 0),
+bs AS (SELECT r, intent, pos, sum(w * x) / sum(w) AS m FROM bl GROUP BY r, intent, pos),
+bn AS (SELECT r, intent, pos, m / sqrt(greatest(sum(m * m) OVER (PARTITION BY r, intent), 1e-12)) AS c FROM bs),
+bc AS (SELECT r, intent AS cls, list(c ORDER BY pos) AS c FROM bn GROUP BY r, intent),
+bz AS (SELECT q.id, q.split, q.y, bc.r, bc.cls, 10.0 * list_inner_product(q.v, bc.c) / sqrt(list_sum(list_transform(q.v, lambda t: t * t))) AS z FROM q, bc),
+be AS (SELECT id, split, y, r, cls, exp(z - max(z) OVER (PARTITION BY id, r)) AS ez FROM bz),
+bp AS (SELECT id, split, y, r, cls, ez / sum(ez) OVER (PARTITION BY id, r) AS p FROM be),
+sc AS (SELECT id, split, y, max(mp) AS score FROM (SELECT id, split, y, cls, avg(p) AS mp FROM bp GROUP BY id, split, y, cls) GROUP BY id, split, y)"""
