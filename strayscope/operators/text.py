@@ -235,3 +235,59 @@ def likelihood_ratio_scores(train_enc: DataFrame, eval_enc: DataFrame, vocab_siz
     per = d.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("_t"))  # one utterance
     total = F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + t["d"])
     return per.select("id", F.round(-total, SCORE_DIGITS).alias("score"))
+
+
+# ------------------------------------------------------------ word vectors / pooling
+WORD_VECTOR_SIGMA = 0.3836
+
+
+def _md5_open_uniform(*parts: Column) -> Column:
+    """Uniform in (0, 1) from md5 (never 0, so log is finite)."""
+    h = F.md5(F.concat_ws("/", *[p.cast("string") for p in parts]))
+    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long").cast("double") + 0.5) / F.lit(4294967296.0)
+
+
+def word_vector_table(vocab: DataFrame, vectors: DataFrame | None = None, dim: int = 16,
+                      sigma: float = WORD_VECTOR_SIGMA, seed: int = 0) -> DataFrame:
+    """(idx, vec) for the special tokens and every vocabulary word: the given
+    pre-trained vector when the word has one (``vectors``: word, vec), else a
+    deterministic N(0, sigma^2) draw per component (Box-Muller on md5 of
+    (seed, word, component)); the padding id 0 maps to zeros."""
+    spark = vocab.sparkSession
+    specials = spark.createDataFrame([(w, i) for i, w in enumerate(SPECIALS) if i != PAD_ID], "word string, idx int")
+    words = vocab.select("word", "idx").unionByName(specials)
+    if vectors is not None:
+        words = join_dimension(words, vectors.select("word", F.col("vec").alias("given")), "word", "left")
+    else:
+        words = words.withColumn("given", F.lit(None).cast("array<double>"))
+
+    def comp(j):
+        u1 = _md5_open_uniform(F.lit(seed), F.col("word"), j, F.lit("a"))
+        u2 = _md5_open_uniform(F.lit(seed), F.col("word"), j, F.lit("b"))
+        return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * 3.141592653589793) * u2) * F.lit(sigma)
+
+    rnd = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), comp)
+    pad = spark.createDataFrame([(PAD_ID, [0.0] * dim)], "idx int, vec array<double>")
+    return words.select("idx", F.coalesce("given", rnd).alias("vec")).unionByName(pad)
+
+
+def mean_pool(encoded: DataFrame, word_vectors: DataFrame) -> DataFrame:
+    """(id, v): masked mean of the token vectors of each sentence (padding
+    excluded; sentences without tokens get no row)."""
+    j = join_dimension(encoded.filter(F.col("token_id") != PAD_ID), word_vectors.withColumnRenamed("idx", "token_id"),
+                       "token_id")
+    per = j.groupBy("id").agg(F.collect_list("vec").alias("vs"))  # one sentence's tokens
+    dim = F.size(F.element_at("vs", 1))
+    zero = F.transform(F.sequence(F.lit(1), dim), lambda _: F.lit(0.0))
+    total = F.aggregate("vs", zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    return per.select("id", F.transform(total, lambda x: x / F.size("vs")).alias("v"))
+
+
+def text_embeddings(df: DataFrame, train: DataFrame, dim: int = 16, seed: int = 0,
+                    vectors: DataFrame | None = None) -> DataFrame:
+    """Bag-of-word-vectors encoder: vocabulary from ``train``, vectors from
+    ``vectors`` or the deterministic random fill, masked mean pooling."""
+    tok = T.default_tokenizer(F.col("text"))
+    vocab = vocab_build(train, tok).checkpoint()
+    wv = word_vector_table(vocab, vectors, dim, seed=seed).checkpoint()
+    return mean_pool(vocab_encode(df, vocab, tok), wv)

@@ -670,3 +670,28 @@ def gaussian_nb_predict(spark, sf_dir):
     return B.round_cols(D.GaussianNB().fit(sp.train).predict(sp.val.unionByName(sp.test)))
 
 register("bench_bnn_bootstrap", O.with_(O.VEC, O.BNN_BOOT_SC, O.bench_sql(True)))(_bench("bnn_bootstrap"))
+
+
+def conversation_vectors(spark, sf_dir, dim: int = 16) -> FX.Splits:
+    """conversations -> bag-of-word-vectors embeddings (vocabulary from the
+    training split, deterministic random word vectors) -> vector splits."""
+    c = FX.short_text_table(spark, sf_dir)
+    train_rows = c.filter((F.col("split") == "train") & (F.col("intent") != FX.OOD_LABEL))
+    emb = TO.text_embeddings(c, train_rows, dim)
+    e = c.join(emb, "id").select("id", "v", "intent", "split").checkpoint()  # encoded once, reused by every split
+    return FX._three(e, False)
+
+
+@register("text_embeddings", O.with_(O.CONV_EMB) + """
+SELECT id, CAST(j - 1 AS INTEGER) AS pos, round(v[j], 6) AS value FROM e, range(1, 17) r(j)""")
+def text_embeddings_q(spark, sf_dir):
+    c = FX.short_text_table(spark, sf_dir)
+    train_rows = c.filter((F.col("split") == "train") & (F.col("intent") != FX.OOD_LABEL))
+    emb = TO.text_embeddings(c, train_rows, 16)
+    return B.round_cols(emb.select("id", F.posexplode("v").alias("pos", "value"))
+                        .select("id", F.col("pos").cast("int").alias("pos"), "value"))
+
+
+@register("bench_knn_conversations", O.with_(O.CONV_EMB, O.KNN_SC, O.bench_sql(False)))
+def bench_knn_conversations(spark, sf_dir):
+    return B.round_cols(B.benchmark(D.KNN(), conversation_vectors(spark, sf_dir)))

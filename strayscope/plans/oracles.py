@@ -284,3 +284,26 @@ bz AS (SELECT q.id, q.split, q.y, bc.r, bc.cls, 10.0 * list_inner_product(q.v, b
 be AS (SELECT id, split, y, r, cls, exp(z - max(z) OVER (PARTITION BY id, r)) AS ez FROM bz),
 bp AS (SELECT id, split, y, r, cls, ez / sum(ez) OVER (PARTITION BY id, r) AS p FROM be),
 sc AS (SELECT id, split, y, max(mp) AS score FROM (SELECT id, split, y, cls, avg(p) AS mp FROM bp GROUP BY id, split, y, cls) GROUP BY id, split, y)"""
+
+
+CONV_EMB = r"""
+ct AS (SELECT conv_id * 1000 + turn AS id, text, CASE WHEN role = 'system' THEN 'oos' ELSE role END AS intent,
+              CASE WHEN conv_id % 5 < 3 THEN 'train' WHEN conv_id % 5 = 3 THEN 'val' ELSE 'test' END AS split
+       FROM conversations),
+tk AS (SELECT id, intent, split, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS toks FROM ct),
+trt AS (SELECT * FROM tk WHERE split = 'train' AND intent <> 'oos'),
+vc AS (SELECT w AS word, count(*) AS cnt FROM (SELECT UNNEST(toks) AS w FROM trt) GROUP BY w),
+vocab AS (SELECT word, CAST(row_number() OVER (ORDER BY cnt DESC, word) + 4 AS INTEGER) AS idx FROM vc
+          UNION ALL SELECT '[BOS]', 1 UNION ALL SELECT '[EOS]', 2 UNION ALL SELECT '[UNK]', 3 UNION ALL SELECT '[SEP]', 4),
+wv AS (SELECT idx, list_transform(range(0, 16), lambda j:
+          sqrt(-2.0 * ln(((('0x' || substr(md5(concat_ws('/', 0, word, j, 'a')), 1, 8))::BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE))
+          * cos(2.0 * 3.141592653589793 * ((('0x' || substr(md5(concat_ws('/', 0, word, j, 'b')), 1, 8))::BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE)
+          * 0.3836) AS vec FROM vocab),
+enc AS (SELECT p.id, coalesce(vocab.idx, 3) AS token_id
+        FROM (SELECT id, UNNEST(toks) AS w FROM tk) p LEFT JOIN vocab ON vocab.word = p.w),
+pl AS (SELECT enc.id, wv.vec FROM enc JOIN wv ON wv.idx = enc.token_id),
+pe AS (SELECT id, UNNEST(vec) AS x, UNNEST(generate_series(1, 16)) AS j FROM pl),
+emb AS (SELECT id, list(m ORDER BY j) AS v FROM (SELECT id, j, avg(x) AS m FROM pe GROUP BY id, j) GROUP BY id),
+e AS (SELECT ct.id, emb.v, ct.intent, ct.split FROM ct JOIN emb ON ct.id = emb.id),
+tr AS (SELECT id, v, intent FROM e WHERE split = 'train' AND intent <> 'oos'),
+q AS (SELECT id, v, intent, split, CAST(intent = 'oos' AS INTEGER) AS y FROM e WHERE split <> 'train')"""
