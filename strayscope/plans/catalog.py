@@ -695,3 +695,9 @@ def text_embeddings_q(spark, sf_dir):
 @register("bench_knn_conversations", O.with_(O.CONV_EMB, O.KNN_SC, O.bench_sql(False)))
 def bench_knn_conversations(spark, sf_dir):
     return B.round_cols(B.benchmark(D.KNN(), conversation_vectors(spark, sf_dir)))
+
+
+@register("sweep_vector_grid")
+def sweep_vector_grid(spark, sf_dir):
+    from .sweep import run_sweep
+    return run_sweep(spark, sf_dir)
