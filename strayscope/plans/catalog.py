@@ -701,3 +701,18 @@ def bench_knn_conversations(spark, sf_dir):
 def sweep_vector_grid(spark, sf_dir):
     from .sweep import run_sweep
     return run_sweep(spark, sf_dir)
+
+
+@register("bench_rake_enhanced")
+def bench_rake_enhanced(spark, sf_dir):
+    sp = _utt(spark, sf_dir)
+    kw = TO.rake_keywords_enhanced(sp.train).checkpoint()
+    pred = TO.rake_predict(sp.test, kw)
+    return B.round_cols(B.benchmark_labels(pred, sp.test))
+
+
+@register("similar_terms")
+def similar_terms_q(spark, sf_dir):
+    sp = _utt(spark, sf_dir)
+    wv = TO.train_word_vectors(sp.train).checkpoint()
+    return TO.similar_terms(TO.rake_keywords(sp.train).select("phrase"), wv)
