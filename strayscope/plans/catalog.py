@@ -716,3 +716,23 @@ def similar_terms_q(spark, sf_dir):
     sp = _utt(spark, sf_dir)
     wv = TO.train_word_vectors(sp.train).checkpoint()
     return TO.similar_terms(TO.rake_keywords(sp.train).select("phrase"), wv)
+
+
+# ------------------------------------------------------------ Spark ML heads
+from ..operators import heads as H  # noqa: E402
+
+
+def _ml_bench(kind: str) -> Query:
+    def q(spark, sf_dir):
+        return B.round_cols(B.benchmark(H.MLHeadMSP(kind=kind), FX.vector_splits(spark, sf_dir)))
+    return q
+
+
+for _kind in ("logreg", "random_forest", "linear_svc"):
+    register(f"bench_ml_{_kind}_msp")(_ml_bench(_kind))
+
+
+@register("hpo_logreg_cv")
+def hpo_logreg_cv(spark, sf_dir):
+    _, scores = H.random_search_cv(FX.vector_splits(spark, sf_dir).train)
+    return spark.createDataFrame(scores, "reg_param double, mean_mcc double")  # one row per trial
