@@ -128,7 +128,7 @@ def random_search_cv(train: DataFrame, n_trials: int = 6, folds: int = 5, seed:
     pipe = Pipeline(stages=[StringIndexer(inputCol="intent", outputCol="label", stringOrderType="alphabetAsc"), lr])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=MCCEvaluator(), numFolds=folds,
                         foldCol="fold", seed=seed, parallelism=parallelism)
-    data = with_features(train).join(stratified_folds(train, folds), "id")
+    data = with_features(train).join(stratified_folds(train, folds), "id").checkpoint()  # reused by every fit
     model = cv.fit(data)
     return model, [(pm[lr.regParam], float(m)) for pm, m in zip(grid, model.avgMetrics)]
 

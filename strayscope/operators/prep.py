@@ -92,7 +92,8 @@ def open_set_splits(df: DataFrame, ratio: float, label: str = "intent",
     count of a mask is a sum of per-class counts selected by its bits, so the
     2^C candidates are a ``range`` with one arithmetic column - no join.
     Returns (mask, n_rows, classes, complement) with comma-joined class lists."""
-    counts = sorted((r[label], int(r["n"])) for r in class_counts(df, label).collect())  # one row per class
+    # at most MAX_POWERSET_CLASSES + 1 class rows ever reach the driver
+    counts = sorted((r[label], int(r["n"])) for r in class_counts(df, label).limit(MAX_POWERSET_CLASSES + 1).collect())
     C = len(counts)
     if C > MAX_POWERSET_CLASSES:
         raise ValueError(f"{C} classes: the power set is limited to {MAX_POWERSET_CLASSES} classes")
