@@ -228,7 +228,7 @@ def likelihood_ratio_scores(train_enc: DataFrame, eval_enc: DataFrame, vocab_siz
     summation order of the engine."""
     pair, ctx = ngram_lm(train_enc)
     bpair, bctx = ngram_lm(add_noise(train_enc, noise_vocab, p_noise))
-    bi = _bigrams(eval_enc)
+    bi = _bigrams(eval_enc).cache()  # probed by both language models
     a = lm_logprob(bi, pair, ctx, vocab_size, k).select("id", "pos", F.col("lp").alias("lp_in"))
     b = lm_logprob(bi, bpair, bctx, vocab_size, k).select("id", "pos", F.col("lp").alias("lp_bg"))
     d = a.join(b, ["id", "pos"]).select("id", "pos", (F.col("lp_in") - F.col("lp_bg")).alias("d"))

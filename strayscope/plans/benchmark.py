@@ -13,8 +13,9 @@ from ..sources.fixtures import OOD_LABEL, Splits
 
 
 def with_labels(scores: DataFrame, rows: DataFrame, ood_label: str = OOD_LABEL) -> DataFrame:
-    """Attach y = (intent == ood_label) to (id, score) by key."""
-    lab = rows.select("id", (F.col("intent") == F.lit(ood_label)).cast("int").alias("y"))
+    """Attach y = (intent == ood_label) (and ``split`` when present) to (id, score) by key."""
+    extra = ["split"] if "split" in rows.columns else []
+    lab = rows.select("id", (F.col("intent") == F.lit(ood_label)).cast("int").alias("y"), *extra)
     return scores.join(lab, "id")
 
 
@@ -25,9 +26,14 @@ def score_split(det: Detector, rows: DataFrame, ood_label: str = OOD_LABEL) -> D
 
 
 def benchmark(det: Detector, splits: Splits, ood_label: str = OOD_LABEL) -> DataFrame:
+    """Fit on train; validation and test rows are scored in one pass (one
+    broadcast of the fitted state, one checkpoint), then separated by split."""
     det.fit(splits.train)
-    val = score_split(det, splits.val, ood_label)
-    test = score_split(det, splits.test, ood_label)
+    both = splits.val.withColumn("_part", F.lit("val")).unionByName(splits.test.withColumn("_part", F.lit("test")))
+    lab = both.select("id", (F.col("intent") == F.lit(ood_label)).cast("int").alias("y"), "_part")
+    scored = det.score(both).join(lab, "id").checkpoint()
+    val = scored.filter(F.col("_part") == "val")
+    test = scored.filter(F.col("_part") == "test")
     return M.benchmark_scores(test, val, det.outdomain_is_lower)
 
 

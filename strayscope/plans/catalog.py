@@ -582,8 +582,8 @@ def bench_likelihood_ratio(spark, sf_dir):
     tok = TXT.default_tokenizer(F.col("text"))
     vocab = TO.vocab_build(sp.train, tok).checkpoint()
     n_words = vocab.count()
-    tr = TO.vocab_encode(sp.train, vocab, tok)
-    te = TO.vocab_encode(sp.test, vocab, tok)
+    tr = TO.vocab_encode(sp.train, vocab, tok).checkpoint()  # feeds both language models
+    te = TO.vocab_encode(sp.test, vocab, tok).checkpoint()
     scores = TO.likelihood_ratio_scores(tr, te, n_words + 5, vocab, LR_P_NOISE)
     scored = B.with_labels(scores, sp.test).checkpoint()
     m = M.ranking_metrics(scored, interpolate=False)
