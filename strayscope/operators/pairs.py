@@ -60,6 +60,15 @@ class RefBlock:
                            None if self.labels is None else self.labels[s:e])
 
 
+_DTYPES = {"long": "int64", "int": "int32", "double": "float64", "string": "object", "boolean": "bool"}
+
+
+def empty_frame(schema: str) -> pd.DataFrame:
+    """A zero-row pandas frame whose dtypes match a DDL schema string."""
+    cols = [c.strip().split(" ", 1) for c in schema.split(",")]
+    return pd.DataFrame({n: pd.Series([], dtype=_DTYPES.get(t.strip(), "object")) for n, t in cols})
+
+
 def _stack(series: pd.Series, dim: int | None = None) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, dim or 0), dtype=np.float64)
@@ -98,8 +107,7 @@ class PairOp:
         return pd.concat(parts, ignore_index=True)
 
     def empty(self) -> pd.DataFrame:
-        cols = [c.strip().split(" ")[0] for c in self.schema.split(",")]
-        return pd.DataFrame({c: [] for c in cols})
+        return empty_frame(self.schema)
 
     # to be provided by subclasses
     def partial(self, qids, qmat, extra, refs: RefBlock) -> pd.DataFrame:

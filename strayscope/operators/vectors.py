@@ -175,22 +175,21 @@ def pca_basis(df: DataFrame, vec: str = "v", tol: float = 1e-10) -> tuple[np.nda
 def score_rows(df: DataFrame, fn, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``fn(ids, matrix, pdf) -> DataFrame`` per Arrow batch (vectorised numpy).
 
-    ``fn`` closes over small fitted state (size-checked by the caller)."""
+    ``fn`` closes over small fitted state (size-checked by the caller).  Rows
+    with a null vector produce no output row (same contract as the pair
+    engine: no vector, no score)."""
     cols = [F.col("id").cast("long").alias("id"), F.col("v")] + [F.col(c) for c in keep]
 
     def run(it):
         for pdf in it:
             ok = pdf["v"].notna().to_numpy()
-            ids = pdf["id"].to_numpy(dtype=np.int64)
-            if ok.any():
-                x = np.vstack([np.asarray(a, dtype=np.float64) for a in pdf["v"].values[ok]])
-                out = fn(ids[ok], x, pdf[ok].reset_index(drop=True))
-            else:
-                out = None
-            missing = pd.DataFrame({"id": ids[~ok]})
-            frames = [f for f in (out, missing) if f is not None and len(f)]
-            if frames:
-                yield pd.concat(frames, ignore_index=True)
+            if not ok.any():
+                continue
+            ids = pdf["id"].to_numpy(dtype=np.int64)[ok]
+            x = np.vstack([np.asarray(a, dtype=np.float64) for a in pdf["v"].values[ok]])
+            out = fn(ids, x, pdf[ok].reset_index(drop=True))
+            if out is not None and len(out):
+                yield out
 
     return df.select(*cols).mapInPandas(run, schema)
 

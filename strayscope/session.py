@@ -38,6 +38,7 @@ def configure_session(spark: SparkSession) -> None:
     for k, v in (("spark.sql.adaptive.enabled", "true"),
                  ("spark.sql.adaptive.skewJoin.enabled", "true"),
                  ("spark.sql.autoBroadcastJoinThreshold", "-1"),
+                 ("spark.sql.execution.arrow.pyspark.enabled", "true"),
                  ("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 << 20))):
         spark.conf.set(k, v)
 
