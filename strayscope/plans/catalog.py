@@ -512,9 +512,9 @@ rk AS (SELECT tr.id, co.n, co.s, row_number() OVER (ORDER BY tr.intent, tr.id) -
 w AS (SELECT id, s + floor({MD5U.format(parts="0, id, 'pos'")} * n) AS pos_g,
              floor({MD5U.format(parts="0, id, 'neg'")} * (total - n)) AS j, n, s, total FROM rk, tot),
 w2 AS (SELECT id, pos_g, CASE WHEN total - n > 0 THEN CASE WHEN j >= s THEN j + n ELSE j END END AS neg_g FROM w)
-SELECT w2.id, rk.id AS partner_id, 1.0 AS target FROM w2 JOIN rk ON rk.g = w2.pos_g
+SELECT w2.id, rk.id AS partner_id, 1.0::DOUBLE AS target FROM w2 JOIN rk ON rk.g = w2.pos_g
 UNION ALL
-SELECT w2.id, rk.id AS partner_id, 0.0 AS target FROM w2 JOIN rk ON rk.g = w2.neg_g""")
+SELECT w2.id, rk.id AS partner_id, 0.0::DOUBLE AS target FROM w2 JOIN rk ON rk.g = w2.neg_g""")
 def sample_pairs(spark, sf_dir):
     return P.sample_pairs(FX.vector_splits(spark, sf_dir).train)
 
