@@ -736,3 +736,35 @@ for _kind in ("logreg", "random_forest", "linear_svc"):
 def hpo_logreg_cv(spark, sf_dir):
     _, scores = H.random_search_cv(FX.vector_splits(spark, sf_dir).train)
     return spark.createDataFrame(scores, "reg_param double, mean_mcc double")  # one row per trial
+
+
+# ------------------------------------------------------------ format round trips
+from . import roundtrip as RT  # noqa: E402
+
+_RT_SQL = O.with_(O.UTT) + """
+SELECT split, intent, count(*) AS n FROM ut WHERE NOT (split = 'train' AND intent = 'oos') GROUP BY split, intent"""
+
+register("intent_tsv_roundtrip", _RT_SQL)(RT.intent_tsv_roundtrip)
+register("intent_csv_roundtrip", _RT_SQL)(RT.intent_csv_roundtrip)
+
+
+def _results_sql() -> str:
+    knn = O.with_(O.VEC, O.KNN_SC, O.bench_sql(False))
+    adb = O.with_(O.VEC, O.HEAD, O.ADB, """
+tst AS (SELECT y, pred = 'oos' AS is_ood_pred FROM apred WHERE split = 'test')""" + O.label_metrics_sql("tst"))
+    rake = O.with_(O.UTT, O.rake_sql(), O.RAKE_PRED) + O.label_metrics_sql("rpred")
+    null = "CAST(NULL AS DOUBLE)"
+    return f"""
+SELECT * FROM (
+SELECT 'embeddings' AS dataset, 'KNN' AS detector, 'precomputed' AS feature_extractor, 'False' AS use_best_ckpt,
+       'False' AS is_ood_label_in_train, 'oos' AS ood_label, CAST(NULL AS VARCHAR) AS adb_alpha,
+       CAST(NULL AS VARCHAR) AS adb_step_size, fpr_95, fpr_90, aupr, auroc, f1, mcc FROM ({knn})
+UNION ALL
+SELECT 'embeddings', 'ADB', 'precomputed', 'False', 'False', 'oos', '0.75', '0.01', {null}, {null}, {null}, {null}, f1, mcc
+FROM ({adb})
+UNION ALL
+SELECT 'documents', 'RAKE', 'None', 'False', 'False', 'oos', NULL, NULL, {null}, {null}, {null}, {null}, f1, mcc
+FROM ({rake}))"""
+
+
+register("results_roundtrip", _results_sql())(RT.results_roundtrip)

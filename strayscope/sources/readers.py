@@ -136,8 +136,10 @@ def read_results(spark: SparkSession, results_dir: str) -> DataFrame:
     '-best-ckpt' style suffixes are stripped from the extractor; fpr95/fpr90
     keys (when present) take precedence over fpr_95/fpr_90."""
     schema = T.StructType([T.StructField(m, T.DoubleType()) for m in RESULT_METRICS])
-    raw = spark.read.schema(schema).json(f"{results_dir}/*.json").withColumn("_f", F.col("_metadata.file_name"))
-    p = F.split(F.regexp_replace("_f", r"\.json$", ""), "_")
+    raw = spark.read.schema(schema).json(f"{results_dir}/*.json")
+    # a run is a file NAME.json, or a Spark-written folder NAME.json/part-*.json
+    raw = raw.withColumn("_f", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json(/part-[^/]*)?$", 1))
+    p = F.split("_f", "_")
     many = F.size(p) > 6
     out = raw.select(
         p[0].alias("dataset"), p[1].alias("detector"),
@@ -158,6 +160,19 @@ def write_run_results(df: DataFrame, out_dir: str) -> None:
     df.write.mode("overwrite").partitionBy("dataset", "detector").json(out_dir)
 
 
+def run_name(dataset: str, detector: str, extractor: str, best_ckpt: bool, ood_in_train: bool, ood_label: str,
+             adb: tuple[float, float] | None = None) -> str:
+    """dataset_detector_extractor_ckpt_oodtrain_label[_alpha_step] (underscores in
+    the extractor become dashes)."""
+    name = f"{dataset}_{detector}_{extractor.replace('_', '-')}_{best_ckpt}_{ood_in_train}_{ood_label}"
+    return name + (f"_{adb[0]}_{adb[1]}" if adb else "")
+
+
+def write_run_json(metrics_row: DataFrame, results_dir: str, name: str) -> None:
+    """One benchmark result (a one-row frame of metric columns) as NAME.json."""
+    metrics_row.coalesce(1).write.mode("overwrite").json(f"{results_dir}/{name}.json")
+
+
 def write_splits(df: DataFrame, out_dir: str) -> None:
     """Open-set split tables: (text, labels, is_ood) per ratio / version / split."""
     df.write.mode("overwrite").partitionBy("ratio", "version", "split").option("header", True).csv(out_dir)
