@@ -34,3 +34,16 @@ def score_stream(stream: DataFrame, detector: Detector, sink_dir: str, checkpoin
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def score_stream_rowwise(stream: DataFrame, detector: Detector, sink_dir: str, checkpoint_dir: str,
+                         available_now: bool = True) -> StreamingQuery:
+    """Row-wise scorers (Mahalanobis family, classifier-head detectors, naive
+    Bayes) only need each row plus fixed state: they run directly on the
+    stream as an Arrow ``mapInPandas`` stage and append (id, score) - no
+    micro-batch callback, no streaming state."""
+    scored = detector.score(stream)
+    w = scored.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint_dir) \
+        .outputMode("append")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

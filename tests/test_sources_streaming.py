@@ -83,3 +83,18 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 1 and set(df.columns) == {"fpr_95", "fpr_90", "aupr", "auroc", "f1", "mcc"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_streaming_rowwise_mahalanobis(spark, tmpdir_path):
+    from strayscope.streaming.scoring import score_stream_rowwise
+    src = os.path.join(tmpdir_path, "in")
+    FX.read_table(spark, SF001, "embeddings").repartition(3).write.parquet(src)
+    det = D.Mahalanobis().fit(FX.vector_splits(spark, SF001).train)
+    q = score_stream_rowwise(vector_stream(spark, src), det, os.path.join(tmpdir_path, "out"),
+                             os.path.join(tmpdir_path, "ckpt"))
+    q.awaitTermination(120)
+    out = spark.read.parquet(os.path.join(tmpdir_path, "out"))
+    batch = {r["id"]: r["score"] for r in det.score(FX.vector_table(spark, SF001)).collect()}
+    got = {r["id"]: r["score"] for r in out.collect()}
+    assert got.keys() == batch.keys()
+    assert all(abs(got[k] - batch[k]) < 1e-9 for k in got)
