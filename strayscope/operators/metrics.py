@@ -20,6 +20,16 @@ SWEEP_MARGIN = 0.1
 TUNE_BETAS = (0.5, 1.0, 1.5)
 
 
+def validate_ood_labels(scored: DataFrame, score: str = "score", label: str = "y") -> None:
+    """Raise unless labels are all 0/1 and the frame is non-empty (one aggregate pass)."""
+    r = scored.agg(F.count(F.lit(1)).alias("n"),
+                   F.count_if(~F.col(label).cast("int").isin(0, 1) | F.col(label).isNull()).alias("bad")).first()
+    if r["n"] == 0:
+        raise ValueError("empty input to a metric")
+    if r["bad"]:
+        raise ValueError(f"{r['bad']} labels are not 0 or 1")
+
+
 def _clean(scored: DataFrame, score: str, label: str) -> DataFrame:
     return (scored.select(F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y"))
             .filter(F.col("score").isNotNull() & ~F.isnan("score")))

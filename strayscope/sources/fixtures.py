@@ -90,7 +90,7 @@ def utterance_splits(spark: SparkSession, sf_dir: str, ood_in_train: bool = Fals
 
 def short_text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` -> (id, text, intent=role, split by conversation)."""
-    c = read_table(spark, sf_dir, "conversations")
+    c = spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text",
                     F.when(F.col("role") == SHORT_TEXT_OOD_ROLE, F.lit(OOD_LABEL)).otherwise(F.col("role")).alias("intent"),
                     split_of(F.col("conv_id")).alias("split"))

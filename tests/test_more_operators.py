@@ -92,3 +92,14 @@ def test_sweep_skips_inapplicable(spark):
     rows = run_sweep(spark, SF01, detectors=("knn", "binary_msp"), ood_options=(False, True)).collect()
     got = {(r["detector"], r["is_ood_label_in_train"]) for r in rows}
     assert got == {("knn", False), ("binary_msp", True)}
+
+
+def test_encoder_udf_and_label_validation(spark):
+    from strayscope.functions.encoders import hashing_encoder_column
+    df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "hello")], "id long, text string")
+    rows = {r["id"]: r["e"] for r in df.select("id", hashing_encoder_column(F.col("text"), 16).alias("e")).collect()}
+    assert len(rows[1]) == 16 and sum(abs(x) for x in rows[2]) == 0
+    assert abs(sum(x * x for x in rows[3]) - 1.0) < 1e-5
+    bad = spark.createDataFrame([(0.1, 2)], "score double, y int")
+    with pytest.raises(ValueError):
+        M.validate_ood_labels(bad)
