@@ -768,3 +768,35 @@ FROM ({rake}))"""
 
 
 register("results_roundtrip", _results_sql())(RT.results_roundtrip)
+
+
+# ------------------------------------------------------------ documents.source as the class column
+def _source_powerset_sql(ratio: float) -> str:
+    return f"""
+WITH c AS (SELECT source AS cls, count(*) AS n FROM documents GROUP BY source),
+co AS (SELECT cls, n, row_number() OVER (ORDER BY cls) - 1 AS b FROM c),
+tot AS (SELECT sum(n) AS total, count(*) AS k FROM c),
+masks AS (SELECT UNNEST(range(0, (SELECT 1 << k FROM tot))) AS mask),
+m AS (SELECT masks.mask, co.cls, co.n, (masks.mask >> co.b) & 1 AS bit FROM masks, co),
+g AS (SELECT mask, sum(n * bit) AS n_rows FROM m GROUP BY mask)
+SELECT CAST(count(*) AS BIGINT) AS n_subsets, CAST(min(mask) AS BIGINT) AS min_mask, CAST(max(mask) AS BIGINT) AS max_mask,
+       CAST(sum(n_rows) AS BIGINT) AS total_rows FROM g, tot
+WHERE n_rows >= (1.0::DOUBLE - 0.15::DOUBLE) * {ratio}::DOUBLE * total::DOUBLE
+  AND n_rows <= (1.0::DOUBLE + 0.15::DOUBLE) * {ratio}::DOUBLE * total::DOUBLE"""
+
+
+@register("open_set_splits_sources", _source_powerset_sql(0.25))
+def open_set_splits_sources(spark, sf_dir):
+    """All subsets of the 20 document sources within the 25 % +- 15 % band
+    (2^20 candidates), summarised: count, mask range and total rows."""
+    d = FX.read_table(spark, sf_dir, "documents").select(F.col("source").alias("intent"))
+    s = P.open_set_splits(d, 0.25)
+    return s.agg(F.count(F.lit(1)).alias("n_subsets"), F.min("mask").alias("min_mask"),
+                 F.max("mask").alias("max_mask"), F.sum("n_rows").cast("long").alias("total_rows"))
+
+
+@register("stratified_folds_sources", _folds_sql().replace(VEC_ALL, """
+WITH e AS (SELECT doc_id AS id, source AS intent FROM documents)"""))
+def stratified_folds_sources(spark, sf_dir):
+    d = FX.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("intent"))
+    return P.stratified_folds(d)
