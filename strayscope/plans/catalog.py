@@ -800,3 +800,40 @@ WITH e AS (SELECT doc_id AS id, source AS intent FROM documents)"""))
 def stratified_folds_sources(spark, sf_dir):
     d = FX.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("intent"))
     return P.stratified_folds(d)
+
+
+# ------------------------------------------------------------ short-text fixture (conversations)
+CONV_UT = """
+ut AS (SELECT conv_id * 1000 + turn AS id, text, CASE WHEN role = 'system' THEN 'oos' ELSE role END AS intent,
+              CASE WHEN conv_id % 5 < 3 THEN 'train' WHEN conv_id % 5 = 3 THEN 'val' ELSE 'test' END AS split
+       FROM conversations)"""
+
+
+def _conv_splits(spark, sf_dir):
+    return FX._three(FX.short_text_table(spark, sf_dir), False)
+
+
+@register("bench_rake_conversations", O.with_(CONV_UT, O.rake_sql(), O.RAKE_PRED) + O.label_metrics_sql("rpred"))
+def bench_rake_conversations(spark, sf_dir):
+    sp = _conv_splits(spark, sf_dir)
+    pred = TO.RakeDetector().fit(sp.train).predict(sp.test)
+    return B.round_cols(B.benchmark_labels(pred, sp.test))
+
+
+def _lr_bench(splits_fn) -> Query:
+    def q(spark, sf_dir):
+        sp = splits_fn(spark, sf_dir)
+        tok = TXT.default_tokenizer(F.col("text"))
+        vocab = TO.vocab_build(sp.train, tok).checkpoint()
+        n_words = vocab.count()
+        tr = TO.vocab_encode(sp.train, vocab, tok).checkpoint()
+        te = TO.vocab_encode(sp.test, vocab, tok).checkpoint()
+        scores = TO.likelihood_ratio_scores(tr, te, n_words + 5, vocab, LR_P_NOISE)
+        scored = B.with_labels(scores, sp.test).checkpoint()
+        m = M.ranking_metrics(scored, interpolate=False)
+        return B.round_cols(m.select(F.col("fpr_95").alias("fpr95"), F.col("fpr_90").alias("fpr90"), "aupr", "auroc"))
+    return q
+
+
+register("bench_likelihood_ratio_conversations",
+         ORACLES["bench_likelihood_ratio"].replace(O.UTT.strip("\n"), CONV_UT.strip("\n")))(_lr_bench(_conv_splits))
