@@ -837,3 +837,15 @@ def _lr_bench(splits_fn) -> Query:
 
 register("bench_likelihood_ratio_conversations",
          ORACLES["bench_likelihood_ratio"].replace(O.UTT.strip("\n"), CONV_UT.strip("\n")))(_lr_bench(_conv_splits))
+
+
+CROSS_UT = """
+ut AS (SELECT doc_id AS id, text, lang AS intent,
+              CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'val' ELSE 'test' END AS split FROM documents
+       UNION ALL
+       SELECT item_id + 1000000000 AS id, text, 'oos' AS intent, CASE WHEN item_id % 2 = 0 THEN 'val' ELSE 'test' END AS split
+       FROM benchmark)"""
+
+register("bench_likelihood_ratio_cross_corpus",
+         ORACLES["bench_likelihood_ratio"].replace(O.UTT.strip("\n"), CROSS_UT.strip("\n")))(
+    _lr_bench(FX.cross_corpus_splits))

@@ -103,3 +103,18 @@ def cross_corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit(OOD_LABEL).alias("intent"),
                                                      F.lit("benchmark").alias("corpus"))
     return d.unionByName(b)
+
+
+FOREIGN_ID_OFFSET = 1_000_000_000
+
+
+def cross_corpus_splits(spark: SparkSession, sf_dir: str) -> Splits:
+    """Foreign-corpus OOD: whole ``documents`` are in-domain (split by doc_id),
+    ``benchmark`` items are the OOD rows of validation (even item_id) and test
+    (odd item_id); they never appear in training."""
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = d.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("intent"), split_of(F.col("doc_id")).alias("split"))
+    b = read_table(spark, sf_dir, "benchmark")
+    foreign = b.select((F.col("item_id") + FOREIGN_ID_OFFSET).alias("id"), "text", F.lit(OOD_LABEL).alias("intent"),
+                       F.when(F.pmod("item_id", F.lit(2)) == 0, "val").otherwise("test").alias("split"))
+    return _three(docs.unionByName(foreign), False)
