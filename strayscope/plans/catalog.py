@@ -849,3 +849,13 @@ ut AS (SELECT doc_id AS id, text, lang AS intent,
 register("bench_likelihood_ratio_cross_corpus",
          ORACLES["bench_likelihood_ratio"].replace(O.UTT.strip("\n"), CROSS_UT.strip("\n")))(
     _lr_bench(FX.cross_corpus_splits))
+
+
+QUALITY_UT = """
+ut AS (SELECT d.doc_id AS id, d.text, CASE WHEN l.quality = 0 THEN 'oos' ELSE 'ok' END AS intent,
+              CASE WHEN d.doc_id % 5 < 3 THEN 'train' WHEN d.doc_id % 5 = 3 THEN 'val' ELSE 'test' END AS split
+       FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+register("bench_likelihood_ratio_quality",
+         ORACLES["bench_likelihood_ratio"].replace(O.UTT.strip("\n"), QUALITY_UT.strip("\n")))(
+    _lr_bench(FX.quality_splits))

@@ -118,3 +118,15 @@ def cross_corpus_splits(spark: SparkSession, sf_dir: str) -> Splits:
     foreign = b.select((F.col("item_id") + FOREIGN_ID_OFFSET).alias("id"), "text", F.lit(OOD_LABEL).alias("intent"),
                        F.when(F.pmod("item_id", F.lit(2)) == 0, "val").otherwise("test").alias("split"))
     return _three(docs.unionByName(foreign), False)
+
+
+def quality_splits(spark: SparkSession, sf_dir: str, label_col: str = "quality") -> Splits:
+    """Documents with a ``labels`` row; OOD = label value 0 (e.g. low quality).
+    Documents without a label row are left out (inner join on doc_id)."""
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", label_col)
+    j = d.join(lab, "doc_id")
+    rows = j.select(F.col("doc_id").alias("id"), "text",
+                    F.when(F.col(label_col) == 0, F.lit(OOD_LABEL)).otherwise(F.lit("ok")).alias("intent"),
+                    split_of(F.col("doc_id")).alias("split"))
+    return _three(rows, False)
