@@ -148,6 +148,36 @@ def vocab_decode(ids: Column, id_to_word: Column) -> Column:
     return F.array_join(F.transform(upto, lambda i: F.element_at(id_to_word, i)), " ")
 
 
+def special_tokens(spark) -> DataFrame:
+    return spark.createDataFrame([(i, w) for i, w in enumerate(SPECIALS)], "token_id int, word string")
+
+
+def decode_long(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Long-form sequences (id, pos, token_id) -> (id, text): words of the
+    positions before the first EOS, in position order, joined by spaces
+    (special ids decode to their names).  Per-sequence lists only."""
+    words = vocab.select(F.col("idx").alias("token_id"), "word").unionByName(special_tokens(encoded.sparkSession))
+    j = join_dimension(encoded, words, "token_id", "left")
+    eos = encoded.filter(F.col("token_id") == EOS_ID).groupBy("id").agg(F.min("pos").alias("_eos"))
+    j = j.join(eos, "id", "left").filter(F.col("_eos").isNull() | (F.col("pos") < F.col("_eos")))
+    per = j.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_w"))
+    return per.select("id", F.array_join(F.transform("_w", lambda x: x["word"]), " ").alias("text"))
+
+
+def with_boundaries(encoded: DataFrame, n_pad: int = 1) -> DataFrame:
+    """[BOS] + ids + [EOS] + PAD*n_pad in long form (positions -1 .. L + n_pad)."""
+    last = encoded.groupBy("id").agg(F.max("pos").alias("L"))
+    parts = [encoded.select("id", "pos", "token_id"),
+             last.select("id", F.lit(-1).alias("pos"), F.lit(BOS_ID).alias("token_id")),
+             last.select("id", (F.col("L") + 1).cast("int").alias("pos"), F.lit(EOS_ID).alias("token_id"))]
+    for k in range(n_pad):
+        parts.append(last.select("id", (F.col("L") + 2 + k).cast("int").alias("pos"), F.lit(PAD_ID).alias("token_id")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ------------------------------------------------------------ bag of words / tf-idf
 
 def bag_of_words(df: DataFrame, vocab_words: DataFrame | None = None, text_col: str = "text") -> DataFrame:

@@ -859,3 +859,29 @@ ut AS (SELECT d.doc_id AS id, d.text, CASE WHEN l.quality = 0 THEN 'oos' ELSE 'o
 register("bench_likelihood_ratio_quality",
          ORACLES["bench_likelihood_ratio"].replace(O.UTT.strip("\n"), QUALITY_UT.strip("\n")))(
     _lr_bench(FX.quality_splits))
+
+
+@register("vocab_decode", O.with_(O.UTT, O.TOK, O.ENC, """
+te AS (SELECT id, pos, token_id FROM enc WHERE split = 'test'),
+lst AS (SELECT id, max(pos) AS L FROM te GROUP BY id),
+seq AS (SELECT id, pos, token_id FROM te UNION ALL SELECT id, -1, 1 FROM lst
+        UNION ALL SELECT id, L + 1, 2 FROM lst UNION ALL SELECT id, L + 2, 0 FROM lst),
+words AS (SELECT idx AS token_id, word FROM vocab UNION ALL SELECT 0, '[PAD]' UNION ALL SELECT 1, '[BOS]'
+          UNION ALL SELECT 2, '[EOS]' UNION ALL SELECT 3, '[UNK]' UNION ALL SELECT 4, '[SEP]'),
+eo AS (SELECT id, min(pos) AS e FROM seq WHERE token_id = 2 GROUP BY id)""") + """
+SELECT seq.id, string_agg(words.word, ' ' ORDER BY seq.pos) AS text
+FROM seq JOIN words ON seq.token_id = words.token_id LEFT JOIN eo ON seq.id = eo.id
+WHERE eo.e IS NULL OR seq.pos < eo.e GROUP BY seq.id""")
+def vocab_decode(spark, sf_dir):
+    sp = _utt(spark, sf_dir)
+    tok = TXT.default_tokenizer(F.col("text"))
+    vocab = TO.vocab_build(sp.train, tok).checkpoint()
+    seq = TO.with_boundaries(TO.vocab_encode(sp.test, vocab, tok))
+    return TO.decode_long(seq, vocab)
+
+
+@register("pick_open_set_splits", "SELECT * FROM (" + _powerset_sql(0.25) + """)
+ORDER BY md5(concat_ws('/', 0, mask)), mask LIMIT 5""")
+def pick_open_set_splits(spark, sf_dir):
+    e = FX.read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("intent"))
+    return P.pick_splits(P.open_set_splits(e, 0.25), 5, seed=0)
