@@ -370,3 +370,59 @@ def rake_keywords_enhanced(train: DataFrame, text_col: str = "text", topn: int =
     sim = similar_terms(phrases, wv, topn).select(F.col("term").alias("phrase"))
     kw = phrases.unionByName(sim).distinct().filter(~F.col("phrase").isin(*keyword_stopwords))
     return kw.withColumn("n_words", F.size(F.split("phrase", " ")))
+
+
+# ------------------------------------------------------------ likelihood ratio, shuffle-light form
+_BOS_W, _EOS_W = "\u0002[BOS]", "\u0002[EOS]"
+
+
+def bigram_rows(df: DataFrame, tokens: Column, vocab: DataFrame) -> DataFrame:
+    """(id, pos, prev, tok) token-id bigrams of ``[BOS] + tokens + [EOS]``.
+
+    Built from each row's token array (``arrays_zip`` + ``posexplode``: no
+    shuffle, no window); word -> id lookups are two dimension joins (unknown
+    -> UNK).  pos = index of the predicted token (EOS at pos = len)."""
+    t = df.select("id", tokens.alias("toks")).filter(F.size("toks") > 0)
+    prevs = F.concat(F.array(F.lit(_BOS_W)), F.col("toks"))
+    nexts = F.concat(F.col("toks"), F.array(F.lit(_EOS_W)))
+    pairs = t.select("id", F.posexplode(F.arrays_zip(prevs.alias("a"), nexts.alias("b"))).alias("pos", "z")) \
+        .select("id", F.col("pos").cast("int").alias("pos"), F.col("z.a").alias("pw"), F.col("z.b").alias("tw"))
+    ids = vocab.select("word", "idx").unionByName(
+        vocab.sparkSession.createDataFrame([(_BOS_W, BOS_ID), (_EOS_W, EOS_ID)], "word string, idx int"))
+    j = join_dimension(pairs, ids.select(F.col("word").alias("pw"), F.col("idx").alias("prev")), "pw", "left")
+    j = join_dimension(j, ids.select(F.col("word").alias("tw"), F.col("idx").alias("tok")), "tw", "left")
+    return j.select("id", "pos", F.coalesce("prev", F.lit(UNK_ID)).alias("prev"), F.coalesce("tok", F.lit(UNK_ID)).alias("tok"))
+
+
+def _noised(token: Column, id_col: Column, pos: Column, n_words: int, p_noise: float, seed: int) -> Column:
+    u = md5_uniform(F.lit(seed), id_col, pos, F.lit("noise"))
+    pick = (F.floor(md5_uniform(F.lit(seed), id_col, pos, F.lit("word")) * n_words) + 5).cast("int")
+    return F.when((token >= 5) & (u < p_noise), pick).otherwise(token)
+
+
+def likelihood_ratio_from_bigrams(train_bi: DataFrame, eval_bi: DataFrame, vocab_size: int, n_words: int,
+                                  p_noise: float = 0.1, k: float = 1.0, seed: int = 0) -> DataFrame:
+    """Same scores as :func:`likelihood_ratio_scores` from bigram rows: the
+    background corpus noises each token at its own position (the previous
+    token of a bigram at pos - 1), so no re-sequencing is needed."""
+    bg = train_bi.select("id", "pos",
+                         _noised(F.col("prev"), F.col("id"), F.col("pos") - 1, n_words, p_noise, seed).alias("prev"),
+                         _noised(F.col("tok"), F.col("id"), F.col("pos"), n_words, p_noise, seed).alias("tok"))
+
+    def counts(bi):
+        return (bi.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair")),
+                bi.groupBy("prev").agg(F.count(F.lit(1)).alias("c_ctx")))
+
+    (p_in, c_in), (p_bg, c_bg) = counts(train_bi), counts(bg)
+    kv = F.lit(k * vocab_size)
+
+    def lp(pair, ctx, name):
+        return (F.log((F.coalesce(pair, F.lit(0)) + F.lit(k)) / (F.coalesce(ctx, F.lit(0)) + kv))).alias(name)
+
+    j = (eval_bi.join(p_in, ["prev", "tok"], "left").join(c_in, "prev", "left")
+         .select("id", "pos", "prev", "tok", lp(F.col("c_pair"), F.col("c_ctx"), "lp_in")))
+    j = (j.join(p_bg, ["prev", "tok"], "left").join(c_bg, "prev", "left")
+         .select("id", "pos", (F.col("lp_in") - lp(F.col("c_pair"), F.col("c_ctx"), "lp_bg")).alias("d")))
+    per = j.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("_t"))  # one utterance
+    total = F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + t["d"])
+    return per.select("id", F.round(-total, SCORE_DIGITS).alias("score"))

@@ -578,18 +578,7 @@ f90 AS (SELECT fp / N AS v FROM cum, tot WHERE tp / P >= 0.9 ORDER BY s DESC LIM
 SELECT round(f95.v, 6) AS fpr95, round(f90.v, 6) AS fpr90, round(rk.aupr, 6) AS aupr, round(rk.auroc, 6) AS auroc
 FROM f95, f90, rk""")
 def bench_likelihood_ratio(spark, sf_dir):
-    sp = _utt(spark, sf_dir)
-    tok = TXT.default_tokenizer(F.col("text"))
-    vocab = TO.vocab_build(sp.train, tok).checkpoint()
-    n_words = vocab.count()
-    tr = TO.vocab_encode(sp.train, vocab, tok).checkpoint()  # feeds both language models
-    te = TO.vocab_encode(sp.test, vocab, tok).checkpoint()
-    scores = TO.likelihood_ratio_scores(tr, te, n_words + 5, vocab, LR_P_NOISE)
-    scored = B.with_labels(scores, sp.test).checkpoint()
-    m = M.ranking_metrics(scored, interpolate=False)
-    return B.round_cols(m.select(F.col("fpr_95").alias("fpr95"), F.col("fpr_90").alias("fpr90"), "aupr", "auroc"))
-
-ORACLES["bench_mc_dropout"] = O.with_(O.VEC, O.HEAD, O.MC_DROPOUT_SC, O.bench_sql(True))
+    return _lr_bench(_utt)(spark, sf_dir)
 
 
 @register("bench_binary_msp", O.with_(O.VEC.replace(
@@ -826,9 +815,9 @@ def _lr_bench(splits_fn) -> Query:
         tok = TXT.default_tokenizer(F.col("text"))
         vocab = TO.vocab_build(sp.train, tok).checkpoint()
         n_words = vocab.count()
-        tr = TO.vocab_encode(sp.train, vocab, tok).checkpoint()
-        te = TO.vocab_encode(sp.test, vocab, tok).checkpoint()
-        scores = TO.likelihood_ratio_scores(tr, te, n_words + 5, vocab, LR_P_NOISE)
+        tr = TO.bigram_rows(sp.train, tok, vocab).checkpoint()  # feeds both language models
+        te = TO.bigram_rows(sp.test, tok, vocab)
+        scores = TO.likelihood_ratio_from_bigrams(tr, te, n_words + 5, n_words, LR_P_NOISE)
         scored = B.with_labels(scores, sp.test).checkpoint()
         m = M.ranking_metrics(scored, interpolate=False)
         return B.round_cols(m.select(F.col("fpr_95").alias("fpr95"), F.col("fpr_90").alias("fpr90"), "aupr", "auroc"))
