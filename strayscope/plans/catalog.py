@@ -874,3 +874,48 @@ ORDER BY md5(concat_ws('/', 0, mask)), mask LIMIT 5""")
 def pick_open_set_splits(spark, sf_dir):
     e = FX.read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("intent"))
     return P.pick_splits(P.open_set_splits(e, 0.25), 5, seed=0)
+
+
+def _cv_sql(k: int = 5) -> str:
+    def upto(m, i):
+        return f"(CASE WHEN {m} >= {i} THEN floor(({m} - {i}) / {k}) + 1 ELSE 0 END)"
+    allocs = [f"({upto('s + n - 1', i)} - {upto('s - 1', i)})" for i in range(k)]
+    cums = [" + ".join(allocs[: i + 1]) for i in range(k)]
+    fold = " + ".join(f"(CASE WHEN {c} <= r THEN 1 ELSE 0 END)" for c in cums)
+    return O.with_(O.VEC, f"""
+fc AS (SELECT intent, count(*) AS n, min(id) AS first_id FROM tr GROUP BY intent),
+fco AS (SELECT intent, n, coalesce(sum(n) OVER (ORDER BY first_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM fc),
+fr AS (SELECT tr.id, fco.n, fco.s, row_number() OVER (PARTITION BY tr.intent ORDER BY tr.id) - 1 AS r
+       FROM tr JOIN fco USING (intent)),
+folds AS (SELECT id, CAST({fold} AS INTEGER) AS fold FROM fr),
+rows_ AS (SELECT tr.id, tr.v, tr.intent, folds.fold,
+                 list_transform(tr.v, lambda x: x / sqrt(greatest(list_sum(list_transform(tr.v, lambda y: y * y)), 1e-12))) AS u
+          FROM tr JOIN folds USING (id)),
+fl AS (SELECT f.f, rows_.intent, UNNEST(rows_.u) AS x, UNNEST(generate_series(1, len(rows_.u))) AS pos
+       FROM range({k}) f(f), rows_ WHERE rows_.fold <> f.f),
+fa AS (SELECT f, intent, pos, avg(x) AS m FROM fl GROUP BY f, intent, pos),
+fn AS (SELECT f, intent, pos, m / sqrt(greatest(sum(m * m) OVER (PARTITION BY f, intent), 1e-12)) AS c FROM fa),
+fcent AS (SELECT f, intent AS cls, list(c ORDER BY pos) AS c FROM fn GROUP BY f, intent),
+fz AS (SELECT rows_.fold AS f, rows_.id, rows_.intent, fcent.cls,
+              list_inner_product(rows_.v, fcent.c) / sqrt(list_sum(list_transform(rows_.v, lambda y: y * y))) AS z
+       FROM rows_ JOIN fcent ON fcent.f = rows_.fold),
+fp AS (SELECT f, id, intent, cls AS pred FROM
+       (SELECT *, row_number() OVER (PARTITION BY id ORDER BY z DESC, cls) AS rn FROM fz) WHERE rn = 1),
+pc AS (SELECT f, intent AS t, pred AS q, count(*) AS c FROM fp GROUP BY ALL),
+lbl AS (SELECT f, t AS label FROM pc UNION SELECT f, q FROM pc),
+per AS (SELECT lbl.f, lbl.label,
+          CAST(coalesce((SELECT sum(c) FROM pc WHERE pc.f = lbl.f AND t = lbl.label AND q = lbl.label), 0) AS DOUBLE) AS tp,
+          CAST(coalesce((SELECT sum(c) FROM pc WHERE pc.f = lbl.f AND q = lbl.label), 0) AS DOUBLE) AS np,
+          CAST(coalesce((SELECT sum(c) FROM pc WHERE pc.f = lbl.f AND t = lbl.label), 0) AS DOUBLE) AS sup FROM lbl),
+pf AS (SELECT f, sum(tp) / sum(sup) AS accuracy,
+              avg(CASE WHEN np + sup > 0 THEN 2.0 * tp / (np + sup) ELSE 0.0 END) AS f1_macro,
+              sum(tp) AS cc, sum(sup) AS ss, sum(sup * np) AS tps, sum(np * np) AS pp, sum(sup * sup) AS tt FROM per GROUP BY f),
+pm AS (SELECT f, accuracy, f1_macro,
+              CASE WHEN (ss * ss - pp) * (ss * ss - tt) > 0 THEN (cc * ss - tps) / sqrt((ss * ss - pp) * (ss * ss - tt))
+                   ELSE 0.0 END AS mcc FROM pf)""") + """
+SELECT round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std,
+       round(avg(f1_macro), 6) AS f1_macro_mean, round(stddev_pop(f1_macro), 6) AS f1_macro_std,
+       round(avg(mcc), 6) AS mcc_mean, round(stddev_pop(mcc), 6) AS mcc_std FROM pm"""
+
+
+ORACLES["cv_centroid_head"] = _cv_sql()
