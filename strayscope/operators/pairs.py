@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_BYTES = 256 << 20
+DEFAULT_BROADCAST_BYTES = 128 << 20  # each Python worker holds one copy
 DEFAULT_BLOCK_BYTES = 128 << 20
 QUERY_CHUNK = 1024
 REF_CHUNK = 4096
