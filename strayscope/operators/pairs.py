@@ -327,8 +327,10 @@ class QuadraticMinOp(PairOp):
 
 
 def _prepare(df: DataFrame, extra: tuple[str, ...] = (), label_col: str | None = None) -> DataFrame:
-    cols = [F.col("id").cast("long").alias("id"), F.col("v")]
-    cols += [F.col(c) for c in extra]
+    # fresh aliases: query and reference frames often share lineage (splits of
+    # one table); without new attribute ids the cogroup drops the shared column
+    cols = [F.col("id").cast("long").alias("id"), F.col("v").alias("v")]
+    cols += [F.col(c).alias(c) for c in extra]
     if label_col:
         cols.append(F.col(label_col).cast("string").alias(label_col))
     return df.select(*cols)
@@ -361,12 +363,16 @@ def pair_scan(queries: DataFrame, refs: DataFrame, op: PairOp, *, label_col: str
     n_blocks = max(1, math.ceil(ref_bytes / block_bytes))
     n_q = q.count()
     q_blocks = max(spark.sparkContext.defaultParallelism, math.ceil(n_q * (dim * 8 + 64) / block_bytes))
-    qx = (q.withColumn("_qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)))
+    # both block keys are int on both sides (cogroup matches keys by value and type)
+    qx = (q.withColumn("_qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
           .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    rx = (r.withColumn("_rb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+    rx = (r.withColumn("_rb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
 
     def cell(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        # a cell whose query or reference side is empty arrives without columns
+        if len(qpdf) == 0 or len(rpdf) == 0 or "v" not in rpdf.columns or "v" not in qpdf.columns:
+            return op.empty()
         return op.run(qpdf, RefBlock.from_pandas(rpdf, label_col, op))
 
     partials = qx.groupBy("_qb", "_rb").cogroup(rx.groupBy("_qb", "_rb")).applyInPandas(cell, schema)

@@ -919,3 +919,14 @@ SELECT round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6)
 
 
 ORACLES["cv_centroid_head"] = _cv_sql()
+
+
+@register("knn_scores_blocked", ORACLES["knn_scores"])
+def knn_scores_blocked(spark, sf_dir):
+    """knn_scores through the large-training-side path: no broadcast, training
+    rows hashed into 64 KB blocks, (query block x training block) cogroup cells,
+    per-query partial minima merged by a groupBy."""
+    from ..operators.pairs import NearestOp, pair_scan
+    sp = FX.vector_splits(spark, sf_dir)
+    nn = pair_scan(sp.val.unionByName(sp.test), sp.train, NearestOp(1, "l2"), broadcast_bytes=0, block_bytes=64 << 10)
+    return B.round_cols(nn.select(F.col("qid").alias("id"), F.col("value").alias("score")))

@@ -60,3 +60,18 @@ def test_exclude_self(spark):
     _, r, _, _, rdf = _frames(spark)
     nn = pair_scan(rdf, rdf, NearestOp(1, "l2", exclude_self=True)).collect()
     assert all(x["ref_id"] != x["qid"] for x in nn)
+
+
+@pytest.mark.parametrize("name", ["knn", "cosine_nn", "cosine_entropy", "lof", "trust_score", "pca_euclidean"])
+def test_detectors_block_path_equals_broadcast(spark, name, monkeypatch):
+    """Splits of one table share lineage: the cogroup path must still see both sides."""
+    from strayscope.operators import detectors as D
+    from strayscope.operators import pairs as PR
+    from strayscope.sources import fixtures as FX
+    sp = FX.vector_splits(spark, "/root/testdata/sf0.001")
+    want = {r["id"]: r["score"] for r in D.get_detector(name).fit(sp.train).score(sp.test).collect()}
+    monkeypatch.setattr(PR, "DEFAULT_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(PR, "DEFAULT_BLOCK_BYTES", 32 << 10)
+    got = {r["id"]: r["score"] for r in D.get_detector(name).fit(sp.train).score(sp.test).collect()}
+    assert got.keys() == want.keys() and len(got) > 50
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
