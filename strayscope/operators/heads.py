@@ -19,7 +19,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .detectors import Detector, _HeadDetector  # noqa: F401
+from .detectors import Detector
 from .metrics import multiclass_mcc
 from .prep import class_weights
 

@@ -10,7 +10,6 @@ table) turns it into the within-class rank.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

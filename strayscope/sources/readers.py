@@ -16,7 +16,6 @@ from .fixtures import OOD_LABEL
 # fixed values: raw OOD markers of the source formats
 ROSTD_OOD = "outOfDomain"
 ROSTD_FILLER = "FILLER"
-SPLIT_KEYS = {"train": "train", "val": "val", "test": "test"}
 RESULT_METRICS = ("fpr_95", "fpr_90", "fpr95", "fpr90", "aupr", "auroc", "f1", "mcc")
 
 

@@ -98,3 +98,12 @@ def test_streaming_rowwise_mahalanobis(spark, tmpdir_path):
     got = {r["id"]: r["score"] for r in out.collect()}
     assert got.keys() == batch.keys()
     assert all(abs(got[k] - batch[k]) < 1e-9 for k in got)
+
+
+def test_every_query_has_an_oracle_except_the_rows_only_set():
+    import __spark_entry__ as E
+    rows_only = {"bench_class_maha", "bench_class_maha_pca", "bench_maha", "bench_marginal_maha",
+                 "bench_marginal_maha_pca", "bench_ml_linear_svc_msp", "bench_ml_logreg_msp",
+                 "bench_ml_random_forest_msp", "bench_rake_enhanced", "hpo_logreg_cv", "similar_terms",
+                 "sweep_vector_grid"}
+    assert set(E.queries()) - set(E.oracle_sql()) == rows_only
