@@ -932,3 +932,38 @@ def knn_scores_blocked(spark, sf_dir):
     return B.round_cols(nn.select(F.col("qid").alias("id"), F.col("value").alias("score")))
 
 ORACLES["bench_mc_dropout"] = O.with_(O.VEC, O.HEAD, O.MC_DROPOUT_SC, O.bench_sql(True))
+
+
+# ------------------------------------------------------------ metrics at table scale (lineitem)
+def _lineitem_scored(spark, sf_dir):
+    li = FX.read_table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("score"),
+                     (F.col("l_returnflag") == "R").cast("int").alias("y"))
+
+
+_LI = """
+ts AS (SELECT l_extendedprice * (1 - l_discount) AS score, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)"""
+
+
+@register("lineitem_ranking_metrics", O.with_(_LI, O.roc_sql()) + """,
+f95 AS (SELECT ((0.95 - (tp - pos) / P) * (fp / N) + (tp / P - 0.95) * ((fp - neg) / N)) / (tp / P - (tp - pos) / P) AS v
+        FROM cum, tot WHERE tp / P >= 0.95 ORDER BY s DESC LIMIT 1),
+f90 AS (SELECT ((0.9 - (tp - pos) / P) * (fp / N) + (tp / P - 0.9) * ((fp - neg) / N)) / (tp / P - (tp - pos) / P) AS v
+        FROM cum, tot WHERE tp / P >= 0.9 ORDER BY s DESC LIMIT 1)
+SELECT round(f95.v, 6) AS fpr_95, round(f90.v, 6) AS fpr_90, round(rk.aupr, 6) AS aupr, round(rk.auroc, 6) AS auroc
+FROM f95, f90, rk""")
+def lineitem_ranking_metrics(spark, sf_dir):
+    """ROC-based metrics over every lineitem row (~6M distinct scores at sf1):
+    range-partitioned prefix sums, no single-partition window."""
+    return B.round_cols(M.ranking_metrics(_lineitem_scored(spark, sf_dir)))
+
+
+@register("lineitem_threshold_curve", O.with_("""
+vs AS (SELECT l_extendedprice * (1 - l_discount) AS score, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)""",
+    "bnd AS" + O.bench_sql(False).split("bnd AS", 1)[1].split("\nbest AS")[0].rstrip(",")) + """
+SELECT CAST(cm.i AS INTEGER) AS i, round(cm.t, 6) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(mc.mcc, 6) AS mcc
+FROM cm JOIN mc ON cm.i = mc.i""")
+def lineitem_threshold_curve(spark, sf_dir):
+    c = M.threshold_curve(_lineitem_scored(spark, sf_dir), outdomain_is_lower=False)
+    return B.round_cols(c.select("i", "threshold", "tp", "fp", "fn", "tn", "mcc"))
