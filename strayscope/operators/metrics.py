@@ -218,11 +218,11 @@ def threshold_curve(val_scored: DataFrame, outdomain_is_lower: bool, score: str
     ts = linspace_thresholds(lo, hi, n)
     arr = F.array(*[F.lit(float(t)) for t in ts])
     if outdomain_is_lower:
-        # pred at i <=> score < t_i <=> i >= n - k, k = #{t_i > score}
-        k = F.aggregate(arr, F.lit(0), lambda acc, t: acc + F.when(F.col("score") < t, 1).otherwise(0))
+        # pred at i <=> score < t_i <=> i >= n - k, k = #{t_i > score} = n - #{t_i <= score}
+        k = F.lit(n) - _count_thresholds_below(F.col("score"), arr, lo, hi, n, strict=False)
     else:
         # pred at i <=> score > t_i <=> i < k, k = #{t_i < score}
-        k = F.aggregate(arr, F.lit(0), lambda acc, t: acc + F.when(F.col("score") > t, 1).otherwise(0))
+        k = _count_thresholds_below(F.col("score"), arr, lo, hi, n, strict=True)
     counts = s.groupBy(k.alias("k")).agg(F.sum("y").cast("long").alias("pos"),
                                          (F.count(F.lit(1)) - F.sum("y")).cast("long").alias("neg"))
     grid = spark.range(0, n + 1).select(F.col("id").cast("int").alias("k"))
@@ -247,6 +247,23 @@ def threshold_curve(val_scored: DataFrame, outdomain_is_lower: bool, score: str
         fbeta_col(tp, fp, fn, 1.5).alias("f15"), mcc_col(tp, fp, fn, tn).alias("mcc"))
 
 
+def _count_thresholds_below(s: Column, arr: Column, lo: float, hi: float, n: int, strict: bool) -> Column:
+    """#{i : t_i < s} (strict) or #{i : t_i <= s} for the increasing linear grid
+    ``arr``.  The grid index is estimated arithmetically, then the exact answer
+    is settled by comparing against the 5 thresholds around the estimate (the
+    estimate is off by at most one step), so each row costs a handful of
+    code-generated comparisons instead of n."""
+    step = (hi - lo) / (n - 1)
+    j0 = F.least(F.greatest(F.floor((s - F.lit(lo)) / F.lit(step)), F.lit(0)), F.lit(n - 1)).cast("int")
+    c = F.greatest(j0 - 2, F.lit(0))
+    terms = []
+    for o in range(5):
+        t = F.element_at(arr, c + o + 1)
+        below = (t < s) if strict else (t <= s)
+        terms.append(F.when((c + o <= n - 1) & below, 1).otherwise(0))
+    return c + sum(terms)
+
+
 def tune_threshold(val_scored: DataFrame, outdomain_is_lower: bool, score: str = "score", label: str = "y",
                    n: int = SWEEP_POINTS) -> float:
     """Threshold with the first (lowest index) maximal MCC."""

@@ -82,3 +82,19 @@ def test_mcc_f1_zero_division(spark):
     df = spark.createDataFrame([(True, False), (True, False)], "y boolean, pred boolean")
     r = M.label_metrics(df).first()
     assert r["f1"] == 0.0 and r["mcc"] == 0.0
+
+
+def test_threshold_curve_scores_exactly_on_grid(spark):
+    """Scores equal to grid thresholds exercise the strict / non-strict edges."""
+    base = np.array([0.0, 1.0])
+    ts = np.linspace(base.min() - 0.1, base.max() + 0.1, 100)
+    s = np.concatenate([base, ts[1:-1:7], ts[3:60:11] + 1e-12, ts[5:90:13] - 1e-12])
+    s = s[(s >= 0.0) & (s <= 1.0)]
+    y = (np.arange(len(s)) % 3 == 0).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "score double, y int")
+    for lower in (False, True):
+        curve = {r["i"]: r for r in M.threshold_curve(df, lower).collect()}
+        for i, t in enumerate(ts):
+            pred = s < t if lower else s > t
+            assert curve[i]["tp"] == int((pred & (y == 1)).sum())
+            assert curve[i]["fp"] == int((pred & (y == 0)).sum())
