@@ -18,7 +18,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_normalize
 
 MAX_STATE_BYTES = 512 << 20
 TREE_FAN_IN = 16
@@ -29,12 +28,39 @@ def _check_state(nbytes: int, what: str) -> None:
         raise ValueError(f"{what} needs {nbytes} bytes of broadcast state, above the {MAX_STATE_BYTES} limit")
 
 
+def _class_sum_partials(df: DataFrame, label: str | None, vec: str, normalize_rows: bool) -> DataFrame:
+    """Per input partition and class: component sums and row count, computed in
+    numpy (rows optionally L2-normalised with the 1e-12 epsilon).  Output is
+    long form (label, pos, s, n): partitions x classes x d rows, independent
+    of the row count - the map-side combine of a per-class mean."""
+    def part(it):
+        acc: dict = {}
+        for pdf in it:
+            pdf = pdf[pdf["v"].notna()]
+            if len(pdf) == 0:
+                continue
+            x = np.vstack([np.asarray(a, dtype=np.float64) for a in pdf["v"].values])
+            if normalize_rows:
+                x = x / np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x), 1e-12))[:, None]
+            labs = pdf["label"].to_numpy(dtype=object) if label else np.full(len(pdf), "", dtype=object)
+            for c in pd.unique(labs):
+                m = labs == c
+                s_, n_ = acc.get(c, (0.0, 0))
+                acc[c] = (s_ + x[m].sum(axis=0), n_ + int(m.sum()))
+        if acc:
+            rows = [(c, j, float(v), n) for c, (sv, n) in acc.items() for j, v in enumerate(sv)]
+            yield pd.DataFrame(rows, columns=["label", "pos", "s", "n"])
+
+    cols = [F.col(vec).alias("v")] + ([F.col(label).cast("string").alias("label")] if label else [])
+    return df.select(*cols).mapInPandas(part, "label string, pos int, s double, n long")
+
+
 def class_vector_means(df: DataFrame, label: str = "intent", vec: str = "v", normalize_rows: bool = False,
                        normalize_result: bool = False) -> DataFrame:
-    """Long form (label, pos, value) of per-class component means."""
-    src = df.select(F.col(label).alias("label"), (l2_normalize(vec) if normalize_rows else F.col(vec)).alias("v"))
-    long = src.select("label", F.posexplode("v").alias("pos", "x"))
-    means = long.groupBy("label", "pos").agg(F.avg("x").alias("value"))
+    """Long form (label, pos, value) of per-class component means (optionally of
+    L2-normalised rows, optionally re-normalised per class)."""
+    parts = _class_sum_partials(df, label, vec, normalize_rows)
+    means = parts.groupBy("label", "pos").agg((F.sum("s") / F.sum("n")).alias("value"))
     if normalize_result:
         norm = means.groupBy("label").agg(F.sqrt(F.greatest(F.sum(F.col("value") * F.col("value")),
                                                             F.lit(1e-12))).alias("nrm"))
@@ -48,8 +74,9 @@ def class_centroids(df: DataFrame, label: str = "intent", vec: str = "v") -> Dat
 
 
 def global_mean(df: DataFrame, vec: str = "v") -> DataFrame:
-    """Long form (pos, value) of the component means."""
-    return df.select(F.posexplode(vec).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("value"))
+    """Long form (pos, value) of the component means (per-partition numpy sums)."""
+    parts = _class_sum_partials(df, None, vec, False)
+    return parts.groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("value"))
 
 
 def long_to_vectors(long: DataFrame, key: str | None) -> DataFrame:

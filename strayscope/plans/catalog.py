@@ -151,7 +151,7 @@ SELECT CAST(label AS VARCHAR) AS intent, CAST(pos AS INTEGER) AS pos,
 def class_centroids(spark, sf_dir):
     e = FX.read_table(spark, sf_dir, "embeddings")
     df = e.select(F.col("label").cast("string").alias("intent"),
-                  F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+                  F.col("embedding").cast("array<double>").alias("v"))
     return B.round_cols(V.class_centroids(df))
 
 
@@ -162,7 +162,7 @@ SELECT CAST(label AS VARCHAR) AS intent, CAST(pos AS INTEGER) AS pos, round(avg(
 def class_means(spark, sf_dir):
     e = FX.read_table(spark, sf_dir, "embeddings")
     df = e.select(F.col("label").cast("string").alias("intent"),
-                  F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+                  F.col("embedding").cast("array<double>").alias("v"))
     return B.round_cols(V.class_vector_means(df))
 
 
@@ -172,7 +172,7 @@ l AS (SELECT vec_id, UNNEST(v) AS x, UNNEST(generate_series(0, len(v) - 1)) AS p
 SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(covar_samp(a.x, b.x), 6) AS cov
 FROM l a JOIN l b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos""")
 def covariance(spark, sf_dir):
-    e = FX.read_table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = FX.read_table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
     _, cov, _ = V.covariance(e, ddof=1)
     return B.round_cols(V.covariance_long(cov, spark))
 
@@ -185,7 +185,7 @@ SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(sum(a.r *
 FROM c a JOIN c b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos""")
 def covariance_pooled(spark, sf_dir):
     e = FX.read_table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("string").alias("intent"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+        F.col("label").cast("string").alias("intent"), F.col("embedding").cast("array<double>").alias("v"))
     keys, mat = V.collect_matrix(V.class_vector_means(e), "intent")
     cov, _ = V.pooled_class_covariance(e, dict(zip(keys, mat)), ddof=0)
     return B.round_cols(V.covariance_long(cov, spark))

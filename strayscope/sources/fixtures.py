@@ -60,7 +60,7 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("id"),
-        F.transform("embedding", lambda x: x.cast("double")).alias("v"),
+        F.col("embedding").cast("array<double>").alias("v"),
         F.when(F.col("label").isin(*VECTOR_OOD_CLASSES), F.lit(OOD_LABEL))
          .otherwise(F.col("label").cast("string")).alias("intent"),
         split_of(F.col("vec_id")).alias("split"))

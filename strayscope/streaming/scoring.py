@@ -20,7 +20,7 @@ def vector_stream(spark: SparkSession, source_dir: str) -> DataFrame:
     """Embedding rows arriving as parquet files -> (id, v, intent)."""
     schema = "vec_id long, embedding array<float>, label int"
     s = spark.readStream.schema(schema).parquet(source_dir)
-    return s.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"),
+    return s.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"),
                     F.col("label").cast("string").alias("intent"))
 
 
