@@ -511,14 +511,36 @@ class BootstrapHead(_HeadDetector):
 
     def _fit(self, train):
         Detector._fit(self, train)
-        cdf = poisson1_cdf()
-        rep = self.train.select("id", "intent", l2_normalize_col("v").alias("u"),
-                                F.explode(F.sequence(F.lit(0), F.lit(self.replicates - 1))).alias("r"))
-        u = hash_uniform_col(F.col("id"), F.col("r"))
-        w = sum(F.when(u >= F.lit(c), 1).otherwise(0) for c in cdf)
-        rep = rep.withColumn("w", w).filter(F.col("w") > 0)
-        long = rep.select("r", "intent", "w", F.posexplode("u").alias("pos", "x"))
-        sums = long.groupBy("r", "intent", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
+        cdf = np.array(poisson1_cdf())
+        reps = self.replicates
+
+        def part(it):
+            # per partition: for every (replicate, class) the weighted sum of the
+            # L2-normalised rows and the weight total (Poisson(1) weights from
+            # the (row id, replicate) hash) -> replicates x classes x d rows
+            acc: dict = {}
+            for pdf in it:
+                pdf = pdf[pdf["v"].notna()]
+                if len(pdf) == 0:
+                    continue
+                ids = pdf["id"].to_numpy(dtype=np.int64)
+                x = np.vstack([np.asarray(a, dtype=np.float64) for a in pdf["v"].values])
+                x = x / np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x), 1e-12))[:, None]
+                labs = pdf["intent"].to_numpy(dtype=object)
+                for r in range(reps):
+                    u = _uniform_hash(ids, r, 1)[:, 0]
+                    w = (u[:, None] >= cdf[None, :]).sum(axis=1).astype(np.float64)
+                    for c in pd.unique(labs):
+                        m = labs == c
+                        sw, tw = acc.get((r, c), (0.0, 0.0))
+                        acc[(r, c)] = (sw + (w[m, None] * x[m]).sum(axis=0), tw + w[m].sum())
+            if acc:
+                rows = [(r, c, j, float(v), float(tw)) for (r, c), (sw, tw) in acc.items() for j, v in enumerate(sw)]
+                yield pd.DataFrame(rows, columns=["r", "intent", "pos", "s", "w"])
+
+        parts = self.train.select(F.col("id").cast("long").alias("id"), "v", F.col("intent").cast("string")) \
+            .mapInPandas(part, "r int, intent string, pos int, s double, w double")
+        sums = parts.groupBy("r", "intent", "pos").agg((F.sum("s") / F.sum("w")).alias("m")).filter(F.col("m").isNotNull())
         nrm = sums.groupBy("r", "intent").agg(F.sqrt(F.greatest(F.sum(F.col("m") * F.col("m")), F.lit(1e-12))).alias("nr"))
         cent = sums.join(nrm, ["r", "intent"]).select(F.concat_ws("#", F.col("r").cast("string"), "intent").alias("k"),
                                                       "pos", (F.col("m") / F.col("nr")).alias("value"))
