@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..sources.fixtures import OOD_LABEL
 from . import vectors as V
-from ..functions.vectors import l2_normalize as l2_normalize_col
 from .pairs import AdjustedEntropyOp, NearestOp, QuadraticMinOp, SoftmaxStatsOp, pair_scan
 
 # fixed values: detector constants
