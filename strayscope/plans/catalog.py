@@ -812,13 +812,18 @@ def bench_rake_conversations(spark, sf_dir):
 def _lr_bench(splits_fn) -> Query:
     def q(spark, sf_dir):
         sp = splits_fn(spark, sf_dir)
-        tok = TXT.default_tokenizer(F.col("text"))
-        vocab = TO.vocab_build(sp.train, tok).checkpoint()
+        # tokenise the training and test rows once; vocabulary, both language
+        # models and the test bigrams all read this materialised table
+        both = (sp.train.unionByName(sp.test)
+                .select("id", "intent", "split", TXT.default_tokenizer(F.col("text")).alias("toks")).checkpoint())
+        train, test = both.filter(F.col("split") == "train"), both.filter(F.col("split") == "test")
+        toks = F.col("toks")
+        vocab = TO.vocab_build(train, toks).checkpoint()
         n_words = vocab.count()
-        tr = TO.bigram_rows(sp.train, tok, vocab).checkpoint()  # feeds both language models
-        te = TO.bigram_rows(sp.test, tok, vocab)
+        tr = TO.bigram_rows(train, toks, vocab).checkpoint()  # feeds both language models
+        te = TO.bigram_rows(test, toks, vocab)
         scores = TO.likelihood_ratio_from_bigrams(tr, te, n_words + 5, n_words, LR_P_NOISE)
-        scored = B.with_labels(scores, sp.test).checkpoint()
+        scored = B.with_labels(scores, test).checkpoint()
         m = M.ranking_metrics(scored, interpolate=False)
         return B.round_cols(m.select(F.col("fpr_95").alias("fpr95"), F.col("fpr_90").alias("fpr90"), "aupr", "auroc"))
     return q
