@@ -326,7 +326,7 @@ def text_embeddings(df: DataFrame, train: DataFrame, dim: int = 16, seed: int =
 # ------------------------------------------------------------ similar terms (enhanced keywords)
 
 def train_word_vectors(train: DataFrame, text_col: str = "text", dim: int = 100, window: int = 3,
-                       min_count: int = 1, epochs: int = 5, seed: int = 0) -> DataFrame:
+                       min_count: int = 1, epochs: int = 5, seed: int = 0, num_partitions: int = 1) -> DataFrame:
     """Word2Vec (skip-gram, Spark ML) over the cleaned training utterances:
     (word, vec array<double>).  Stand-in for the sub-word FastText model (no
     character n-grams: phrase vectors are means of word vectors)."""
@@ -334,7 +334,7 @@ def train_word_vectors(train: DataFrame, text_col: str = "text", dim: int = 100,
     from pyspark.ml.functions import vector_to_array
     toks = train.select(T.rake_tokens(F.col(text_col)).alias("toks")).filter(F.size("toks") > 0)
     model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
-                     inputCol="toks", outputCol="_w2v").fit(toks)
+                     numPartitions=num_partitions, inputCol="toks", outputCol="_w2v").fit(toks)
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
