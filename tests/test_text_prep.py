@@ -80,3 +80,22 @@ def test_vocab_ids_and_encode(spark):
     q = spark.createDataFrame([(9, "a zz b")], "id long, text string")
     enc = [r["token_id"] for r in TO.vocab_encode(q, TO.vocab_build(df, tok), tok).orderBy("pos").collect()]
     assert enc == [6, 3, 5]
+
+
+def test_decode_stops_at_first_eos(spark):
+    vocab = spark.createDataFrame([("hello", 5), ("world", 6)], "word string, idx int")
+    seq = spark.createDataFrame([(1, -1, 1), (1, 0, 5), (1, 1, 3), (1, 2, 2), (1, 3, 6), (2, 0, 6)],
+                                "id long, pos int, token_id int")
+    got = {r["id"]: r["text"] for r in TO.decode_long(seq, vocab).collect()}
+    assert got == {1: "[BOS] hello [UNK]", 2: "world"}
+    enc = spark.createDataFrame([(7, 0, 5), (7, 1, 6)], "id long, pos int, token_id int")
+    bounded = sorted((r["pos"], r["token_id"]) for r in TO.with_boundaries(enc, n_pad=2).collect())
+    assert bounded == [(-1, 1), (0, 5), (1, 6), (2, 2), (3, 0), (4, 0)]
+
+
+def test_tsv_roundtrip_counts(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["intent_tsv_roundtrip"](spark, "/root/testdata/sf0.001").collect()
+    u = FX.utterance_table(spark, "/root/testdata/sf0.001")
+    want = u.filter(~((F.col("split") == "train") & (F.col("intent") == FX.OOD_LABEL))).count()
+    assert sum(r["n"] for r in rows) == want
