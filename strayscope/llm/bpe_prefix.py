@@ -17,16 +17,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 # The published pre-split pattern of this byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 200_000
+CACHE = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -45,6 +47,7 @@ class PrefixBPE:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.letters = byte_letters()
+        self.ascii = {b: c for b, c in self.letters.items() if b < 128}
         back = {c: b for b, c in self.letters.items()}
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in vocab.items()}
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -64,9 +67,15 @@ class PrefixBPE:
             if len(s) == 1 or i in self.parts:
                 self.auto.add_word(s, (i, len(s)))
         self.auto.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, str, bytes]] = {}
+        self.size_of = {i: len(raw) for i, raw in self.bytes_of.items()}
+        self.shift = max(self.bytes_of).bit_length()
+        self.fits: dict[int, bool] = {}  # key: both ids in one number
+        self.young: dict[str, bytes] = {}  # ids of pieces and chunks
+        self.old: dict[str, bytes] = {}
+        self.names = [str(i) for i in range(max(self.bytes_of) + 1)]
+        self.sizes = np.array([self.size_of.get(i, 0) for i in range(len(self.names))], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8)
 
     def compatible(self, a: int, b: int) -> bool:
         """Do ``a`` and ``b`` stay apart when their joined bytes are encoded?
@@ -75,9 +84,6 @@ class PrefixBPE:
         rank to the rank of the merge that takes it.  Undo the merges from the
         last one: a border pair whose rank lies before the end of both lives
         would have been merged.  At equal ranks the leftmost pair goes first."""
-        known = self.fits.get((a, b))
-        if known is not None:
-            return known
         left, right = a, b
         left_ends = right_ends = len(self.rank) + 1
         while True:
@@ -93,37 +99,34 @@ class PrefixBPE:
                 left_ends, left = l_at, self.parts[left][1]
             else:
                 right_ends, right = r_at, self.parts[right][0]
-        if len(self.fits) >= 2 * CACHE:
+        if len(self.fits) >= 3 * CACHE:
             self.fits.clear()
-        self.fits[(a, b)] = ok
+        self.fits[a << self.shift | b] = ok
         return ok
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-split piece."""
-        known = self.pieces.get(piece)
-        if known is not None:
-            return known
-        spelled = "".join(map(self.letters.__getitem__, piece.encode()))
-        last = [None] * (len(spelled) + 1)  # the last token of each prefix
+        spelled = piece.translate(self.ascii) if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        last = [-1] * (len(spelled) + 1)  # the last token of each prefix
+        fits, shift = self.fits, self.shift
         for end, (token, size) in self.auto.iter(spelled):
-            at = end + 1
-            if last[at] is None:
-                before = at - size
-                if before == 0 or last[before] is not None and self.compatible(last[before], token):
-                    last[at] = token
+            end += 1
+            if last[end] < 0:
+                start = end - size
+                if start == 0:
+                    last[end] = token
+                elif (before := last[start]) >= 0:
+                    ok = fits.get(before << shift | token)
+                    if ok is None:
+                        ok = self.compatible(before, token)
+                    if ok:
+                        last[end] = token
         out, at = [], len(spelled)
         while at:
             out.append(last[at])
-            at -= len(self.bytes_of[last[at]])
-        ids = tuple(reversed(out))
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        if len(piece) <= 64:
-            self.pieces[piece] = ids
-        return ids
-
-    def encode_ordinary(self, text: str) -> list[int]:
-        return [i for piece in self.split.findall(text) for i in self.encode_piece(piece)]
+            at -= self.size_of[last[at]]
+        out.reverse()
+        return out
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Ordinary stretches and (True) special-token strings, in order."""
@@ -135,47 +138,63 @@ class PrefixBPE:
                 yield part, bool(k % 2)
 
     def encode(self, text: str) -> list[int]:
-        out = []
-        for part, special in self.segments(text):
-            out += [self.specials[part]] if special else self.encode_ordinary(part)
-        return out
+        return self.encode_array(text).tolist()
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-
-    def _chunk(self, chunk: str) -> tuple[int, str, bytes]:
-        ids = self.encode_ordinary(chunk)
-        entry = len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
-        if len(self.chunks) >= CACHE:
-            self.chunks.clear()
-        if len(chunk) <= 64:
-            self.chunks[chunk] = entry
-        return entry
+        return self.decode_array(np.asarray(ids, np.int64))
+
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        """Cache in two generations: when the young one is full, it replaces the old."""
+        if len(key) <= 48:
+            if len(self.young) >= CACHE:
+                self.old = dict(self.young)
+                self.young.clear()
+            self.young[key] = ids
+        return ids
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the comma-joined ids, SHA-256 of the decoded text).
+    def _piece(self, piece: str) -> bytes:
+        known = self.young.get(piece) or self.old.get(piece)
+        return known or self._keep(piece, array("I", self.encode_piece(piece)).tobytes())
 
-        No piece of the pattern has a space after anything but white space, so a
-        text may be cut before any single space: the chunks repeat and are kept."""
-        n, ids, decoded = 0, [], []
+    def _chunk(self, chunk: str) -> bytes:
+        known = self.old.get(chunk)
+        if known is not None:
+            return self._keep(chunk, known)
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return self._piece(chunk)
+        parts = self.split.findall(chunk)
+        return self._piece(chunk) if len(parts) == 1 else self._keep(chunk, b"".join(map(self._piece, parts)))
+
+    def encode_array(self, text: str) -> np.ndarray:
+        """Ids as an array.  No piece of the pattern has a space after anything but
+        white space, so a text may be cut before any single space: the chunks
+        repeat and are kept."""
+        out = []
         for part, special in self.segments(text):
             if special:
-                i = self.specials[part]
-                entries = [(1, str(i), self.bytes_of[i])]
+                out.append(array("I", [self.specials[part]]).tobytes())
             elif SPACED.search(part):
-                one = self.encode_ordinary(part)
-                entries = [(len(one), ",".join(map(str, one)), b"".join(map(self.bytes_of.__getitem__, one)))]
+                out += map(self._piece, self.split.findall(part))
             else:
                 head, *rest = part.split(" ")
-                get = self.chunks.get
-                entries = [get(c) or self._chunk(c) for c in ([head] if head else []) + [" " + w for w in rest]]
-            for size, joined, raw in entries:
-                n += size
-                ids.append(joined)
-                decoded.append(raw)
-        text_out = b"".join(decoded).decode("utf-8", "replace")
-        return (n, hashlib.sha256(",".join(ids).encode()).hexdigest(),
-                hashlib.sha256(text_out.encode("utf-8")).hexdigest())
+                get, miss = self.young.get, self._chunk
+                out += [get(c) or miss(c) for c in ([head] if head else []) + [" " + w for w in rest]]
+        return np.frombuffer(b"".join(out), np.uint32)
+
+    def decode_array(self, ids: np.ndarray) -> str:
+        """The text of an array of ids: their bytes laid end to end."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(self.places[ids] - (ends - sizes), sizes)
+        return self.flat[at].tobytes().decode("utf-8", "replace")
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """(number of ids, SHA-256 of the comma-joined ids, SHA-256 of the decoded text)."""
+        ids = self.encode_array(text)
+        joined = ",".join(map(self.names.__getitem__, ids.tolist()))
+        return (len(ids), hashlib.sha256(joined.encode()).hexdigest(),
+                hashlib.sha256(self.decode_array(ids).encode("utf-8")).hexdigest())
 
 
 SPACED = re.compile(r"\s ")
