@@ -8,10 +8,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strayscope.llm import bpe_prefix
+from strayscope.llm import bpe_prefix, mph_tokens, phrase_index, warc_zstd
 from strayscope.llm.common import prepare, table
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, WORD_BPE, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 2
 
 
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,58 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return warc_zstd.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+     f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS head FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id > head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > head THEN head END AS refers_to
+FROM f"""
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return mph_tokens.token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+win AS (SELECT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS p
+        FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS p
+        FROM d, sizes, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS r(i)),
+hit AS (SELECT doc_id, i, pos.n, item_id FROM pos JOIN win ON pos.p = win.p AND pos.n = win.n),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hit) h, unnest(range(i, i + n)) AS r(j) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
+    "op7_warc_zstd": op7_warc_zstd,
+    "op8_token_files": op8_token_files,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc_zstd": OP7_SQL,
+    "op10_decontamination": OP10_SQL,
+}
