@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strayscope.llm import bpe_prefix, mph_tokens, phrase_index, warc_zstd
+from strayscope.llm import bpe_prefix, mph_tokens, ngram_join, phrase_index, warc_zstd
 from strayscope.llm.common import prepare, table
 
 BYTE_BPE, WORD_BPE, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -74,3 +74,24 @@ ORACLES: dict[str, str] = {
     "op7_warc_zstd": OP7_SQL,
     "op10_decontamination": OP10_SQL,
 }
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM low, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.r)
+SELECT c.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.r) AS component_id
+FROM c LEFT JOIN n USING (doc_id) GROUP BY c.doc_id"""
+
+QUERIES["op1_ngram_jaccard_join"] = op1_ngram_jaccard_join
+ORACLES["op1_ngram_jaccard_join"] = OP1_SQL
