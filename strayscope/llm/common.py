@@ -122,17 +122,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, from one running sum over all bytes."""
+def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run ``codes[start:end]``, from one running sum over all codes."""
     if not len(starts):
         return np.zeros(0, U64)
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
+    up, down = _powers(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, U64)
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE_CODE[data] * up[:len(data)], out=total[1:])
+        np.cumsum(codes * up[:len(codes)], out=total[1:])
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span."""
+    return run_hashes(BYTE_CODE[data], starts, ends)
+
+
 @lru_cache(maxsize=32)
 def _weights(k: int) -> np.ndarray:
     return seeds(k, 2) | U64(1)

@@ -77,11 +77,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- linking
 
-def link(buckets: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(buckets: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame], sized: bool = True) -> DataFrame:
     """(id, component) of every record with a link.
 
-    ``buckets``: bucket long, id long, size int, distinct rows.  Sizes more than
-    ``similarity`` per cent apart can't be linked.  ``verify`` keeps the pairs
+    ``buckets``: bucket long, id long, size int, distinct rows.  If ``sized``, a pair
+    whose smaller size is under ``similarity`` per cent of the larger can't be linked.  ``verify`` keeps the pairs
     (a, b) that are links."""
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
     shared = written(buckets.join(shared, "bucket"), "buckets")
@@ -100,8 +100,8 @@ def link(buckets: DataFrame, similarity: int, verify: Callable[[DataFrame], Data
     mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
     known = written(known.join(mixed, "bucket"), "mixed")
     left, right = known, known.select("bucket", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("c").alias("c2"))
-    rest = (left.join(right, "bucket")
-            .filter(f"c < c2 AND 100 * least(size, size2) >= {similarity} * greatest(size, size2)")
+    near = f"100 * least(size, size2) >= {similarity} * greatest(size, size2)" if sized else "true"
+    rest = (left.join(right, "bucket").filter(f"c < c2 AND {near}")
             .select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti"))
     second = verify(written(rest, "pairs"))

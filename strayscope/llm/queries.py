@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strayscope.llm import bpe_prefix, mph_tokens, ngram_join, phrase_index, warc_zstd
+from strayscope.llm import bpe_prefix, fuzzy_lines, kd_search, mph_tokens, ngram_join, phrase_index, sentence_spans, warc_zstd
 from strayscope.llm.common import prepare, table
 
 BYTE_BPE, WORD_BPE, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -95,3 +96,33 @@ FROM c LEFT JOIN n USING (doc_id) GROUP BY c.doc_id"""
 
 QUERIES["op1_ngram_jaccard_join"] = op1_ngram_jaccard_join
 ORACLES["op1_ngram_jaccard_join"] = OP1_SQL
+
+
+def op2_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = sentence_spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", "n_removed", "source_ids", F.col("text").alias("clean_text"))
+
+
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return fuzzy_lines.line_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op2_kd_top_k": op2_kd_top_k, "op3_sentence_spans": op3_sentence_spans, "op5_fuzzy_lines": op5_fuzzy_lines}
+ORACLES["op2_kd_top_k"] = OP2_SQL
