@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayscope.llm.common import LOWER, U64, list_array, mix, row_of, runs, seeds, span_hashes, texts, window_hashes, written
+from strayscope.llm.common import LOWER, U64, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, texts, window_hashes, written
 from strayscope.llm.linking import bloom, link, maybe_in
 
 SHINGLE = 8
@@ -178,13 +178,14 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated lines cut from ``text`` (and the line break
     before each), and a column ``lines_removed``."""
-    drop = removed_lines(docs, key, text).withColumnsRenamed({"doc_id": "_key", "lines": "_lines"})
     rest = docs.drop("lines_removed")
-    marked = rest.join(drop, rest[key] == drop["_key"], "left").drop("_key")
-    keep = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("_lines", i))
-    return marked.select(*[F.when(F.col("_lines").isNull(), F.col(text)).otherwise(F.array_join(keep, "\n")).alias(c) if c == text
-                           else F.col(f"`{c}`") for c in rest.columns],
-                         F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("lines_removed"))
+    own, cut = fresh(rest, "_key"), fresh(rest, "_lines")
+    drop = removed_lines(docs, key, text).withColumnsRenamed({"doc_id": own, "lines": cut})
+    marked = rest.join(drop, quoted(key).cast("long") == F.col(own), "left")
+    keep = F.filter(F.split(quoted(text), "\n", -1), lambda _, i: ~F.array_contains(cut, i))
+    clean = F.when(F.col(cut).isNull(), quoted(text)).otherwise(F.array_join(keep, "\n"))
+    return marked.select(*[clean.alias(c) if c == text else quoted(c) for c in rest.columns],
+                         F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

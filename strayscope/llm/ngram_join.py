@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayscope.llm.common import LOWER, U64, list_array, mix, row_of, runs, seeds, span_hashes, texts, window_hashes, written
+from strayscope.llm.common import LOWER, U64, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, texts, window_hashes, written
 from strayscope.llm.linking import bloom, link, maybe_in
 
 WORDS = 5
@@ -204,6 +204,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 def keep_one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document (the smallest key) of each component."""
-    kept = jaccard_components(docs, key, text).filter("doc_id = component_id OR doc_id IS NULL")
-    heads = kept.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(heads, docs[key] == heads["_kept"], "left_semi").unionByName(docs.filter(docs[key].isNull()))
+    kept = jaccard_components(docs, key, text).filter("doc_id = component_id")
+    own = fresh(docs, "_kept")
+    heads = kept.select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(heads, quoted(key).cast("long") == F.col(own), "left_semi").unionByName(docs.filter(quoted(key).isNull()))

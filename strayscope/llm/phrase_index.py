@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayscope.llm.common import LOWER, list_array, row_of, runs, span_hashes, texts, written
+from strayscope.llm.common import LOWER, fresh, list_array, quoted, row_of, runs, span_hashes, texts, written
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
@@ -251,6 +251,7 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", max_share: float = 0.0, **options) -> DataFrame:
     """``docs`` without the rows whose key has more than ``max_share`` of its words hit."""
+    own = fresh(docs, "_bad")
     bad = (contamination(docs, items, key=key, **options).filter(F.col("n_hit") > max_share * F.col("n_words"))
-           .select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs[key] == bad["_bad"], "left_anti")
+           .select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(bad, quoted(key).cast("long") == F.col(own), "left_anti")

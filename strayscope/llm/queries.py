@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayscope.llm import bpe_prefix, fuzzy_lines, kd_search, mph_tokens, ngram_join, phrase_index, sentence_spans, warc_zstd
+from strayscope.llm import bpe_prefix, crf_language, fuzzy_lines, kd_search, markov_secrets, mph_tokens, ngram_join, phrase_index, sentence_spans, warc_zstd
 from strayscope.llm.common import prepare, table
 
 BYTE_BPE, WORD_BPE, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -104,10 +104,10 @@ def op2_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0
-             AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
@@ -126,3 +126,16 @@ def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op2_kd_top_k": op2_kd_top_k, "op3_sentence_spans": op3_sentence_spans, "op5_fuzzy_lines": op5_fuzzy_lines}
 ORACLES["op2_kd_top_k"] = OP2_SQL
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return markov_secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return crf_language.language_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op6_secret_scan": op6_secret_scan, "op9_language_id": op9_language_id}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strayscope.llm.common import U64, mix, row_of, run_hashes, runs, seeds, span_hashes, texts, written
+from strayscope.llm.common import U64, fresh, mix, quoted, row_of, run_hashes, runs, seeds, span_hashes, texts, written
 from strayscope.llm.linking import bloom, maybe_in
 
 SENTENCES = 3
@@ -107,11 +107,13 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """``docs`` with the covered sentences cut from ``text`` (each up to the start of
     the next), and columns n_sentences, n_removed, source_ids (documents that hold
     the first occurrences); columns of these names in ``docs`` are replaced."""
-    hits = (repeated_spans(docs, key, text).groupBy("doc_id")
-            .agg(F.collect_set(F.struct("first", "end")).alias("_spans"), F.array_sort(F.collect_set("source")).alias("source_ids"))
-            .withColumnRenamed("doc_id", "_key"))
     rest = docs.drop("n_sentences", "n_removed", "source_ids")
-    joined = rest.join(hits, rest[key].cast("long") == hits["_key"], "left").drop("_key")
+    own, cuts = fresh(rest, "_key"), fresh(rest, "_spans")
+    hits = (repeated_spans(docs, key, text).groupBy("doc_id")
+            .agg(F.collect_set(F.struct("first", "end")).alias(cuts), F.array_sort(F.collect_set("source")).alias("source_ids"))
+            .withColumnRenamed("doc_id", own))
+    joined = (rest.join(hits, quoted(key).cast("long") == F.col(own), "left")
+              .select(*map(quoted, rest.columns), quoted(cuts), "source_ids"))
     at, where = rest.columns.index(text), len(rest.columns)
 
     def run(batches):
