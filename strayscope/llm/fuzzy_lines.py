@@ -52,12 +52,28 @@ def line_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, last, row, (seen[starts] - seen[offs[row]])
 
 
-def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of the shingles at every position of the spans."""
+def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash) of the shingles at every position of the spans, and a second
+    hash of each span, the sum over its shingles."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
     counts = np.maximum(ends - starts - SHINGLE + 1, 1)
     owner = np.repeat(np.arange(len(starts)), counts)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
-    return owner, span_hashes(data, at, np.minimum(at + SHINGLE, np.repeat(ends, counts)))
+    at = np.arange(len(owner)) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+    padded = np.concatenate([data, np.zeros(SHINGLE, np.uint8)])
+    codes = np.empty(len(data), U64)  # the eight bytes from each position on
+    for k in range(SHINGLE):
+        part = padded[k:k + (len(padded) - k) // 8 * 8].view("<u8")
+        codes[k::SHINGLE] = part[:len(codes[k::SHINGLE])]
+    codes = codes[at]
+    short = ends - starts < SHINGLE
+    if short.any():  # the bytes behind a short line don't belong to it
+        first = (np.cumsum(counts) - counts)[short]
+        codes[first] &= (U64(1) << (U64(8) * (ends - starts)[short].astype(U64))) - U64(1)
+    hashed = mix(codes ^ SEEDS[4])
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(mix(hashed + (at - np.repeat(starts, counts)).astype(U64)), np.cumsum(counts) - counts)
+    return owner, hashed, sums
 
 
 def signatures(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -88,14 +104,12 @@ def bands(table: np.ndarray) -> np.ndarray:
 
 
 def scan(column: pa.Array):
-    """Slices (first row, bytes, starts, ends, row, line number, id, check) of lines."""
+    """Slices (first row, bytes, starts, ends, row, line number, id) of lines."""
     for first, _, raw, offs in texts(column):
         data = LOWER[raw]
         starts, ends, row, number = line_spans(data, offs)
         hashed = span_hashes(data, starts, ends)
-        # a second hash with another base: of the bytes' codes seen from the end
-        check = mix(span_hashes(data[::-1], len(data) - ends, len(data) - starts) ^ SEEDS[3])
-        yield first, data, starts, ends, row, number, hashed, check
+        yield first, data, starts, ends, row, number, hashed
 
 
 LINES = "doc_id long, line int, id long, check long, size int, bands array<long>"
@@ -106,37 +120,33 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, data, starts, ends, row, number, hashed, check in scan(batch.column(1)):
-                owner, marks = shingles(data, starts, ends)
+            for first, data, starts, ends, row, number, hashed in scan(batch.column(1)):
+                owner, marks, sums = shingles(data, starts, ends)
                 keys = bands(signatures(owner, marks, len(starts))) if len(starts) else np.zeros((0, BANDS), U64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(first + row)), pa.array(number.astype(np.int32)), pa.array(hashed.view(np.int64)),
-                     pa.array(check.view(np.int64)), pa.array(np.maximum(ends - starts - SHINGLE + 1, 1).astype(np.int32)),
+                     pa.array(sums.view(np.int64)), pa.array(np.maximum(ends - starts - SHINGLE + 1, 1).astype(np.int32)),
                      list_array(keys.ravel().view(np.int64), np.full(len(keys), BANDS), pa.int64())],
                     names=["doc_id", "line", "id", "check", "size", "bands"])
 
     return docs.mapInArrow(run, LINES)
 
 
-def similar(a: bytes, b: bytes) -> bool:
-    sets = []
-    for text in (a, b):
-        data = np.frombuffer(text, np.uint8)
-        sets.append(np.unique(shingles(data, np.array([0]), np.array([len(data)]))[1]))
-    both = len(np.intersect1d(*sets, assume_unique=True))
-    return 100 * both >= SIMILARITY * (len(sets[0]) + len(sets[1]) - both)
+def shingle_set(line: bytes) -> set:
+    return {line[k:k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def verifier(docs: DataFrame):
-    """Pairs of line ids -> those whose exact similarity is high enough."""
+    """Prepares, for the ids of lines that have a bucket in common with another, the
+    exact test of pairs of lines."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        bits = bloom(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    def prepared(ids: DataFrame):
+        bits = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
         def needed(batches):
             for batch in batches:
-                for _, data, starts, ends, _, _, hashed, _ in scan(batch.column(1)):
-                    keep = np.flatnonzero(maybe_in(bits, hashed.view(np.int64)))
+                for _, data, starts, ends, _, _, hashed in scan(batch.column(1)):
+                    keep = np.flatnonzero(maybe_in(bits.value, hashed.view(np.int64)))
                     _, one = np.unique(hashed[keep], return_index=True)
                     keep = keep[one]
                     yield pa.RecordBatch.from_arrays(
@@ -144,18 +154,28 @@ def verifier(docs: DataFrame):
                          pa.array([data[s:e].tobytes() for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)], pa.binary())],
                         names=["id", "line"])
 
-        some = written(docs.mapInArrow(needed, "id long, line binary").groupBy("id").agg(F.first("line").alias("line")), "candidate-lines")
-        joined = (pairs.join(some.withColumnsRenamed({"id": "a", "line": "line_a"}), "a")
-                  .join(some.withColumnsRenamed({"id": "b", "line": "line_b"}), "b").select("a", "b", "line_a", "line_b"))
+        some = written(docs.mapInArrow(needed, "id long, line binary").dropDuplicates(["id"]), "candidate-lines")
 
         def run(batches):
+            last, own = None, set()
             for batch in batches:
-                keep = [similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                keep = []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    if y != last:
+                        last, own = y, shingle_set(y)
+                    other = shingle_set(x)
+                    both = len(own & other) if 100 * min(len(own), len(other)) >= SIMILARITY * max(len(own), len(other)) else 0
+                    keep.append(100 * both >= SIMILARITY * (len(own) + len(other) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return joined.mapInArrow(run, "a long, b long")
+        def verify(pairs: DataFrame) -> DataFrame:
+            joined = (pairs.join(some.withColumnsRenamed({"id": "a", "line": "line_a"}), "a")
+                      .join(some.withColumnsRenamed({"id": "b", "line": "line_b"}), "b").select("a", "b", "line_a", "line_b"))
+            return joined.mapInArrow(run, "a long, b long")
+
+        return verify
 
-    return verify
+    return prepared
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,15 +183,17 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).filter("doc_id IS NOT NULL")
     lines = written(line_table(docs), "lines")
     # one row per distinct line: its first place; ids that two lines share drop out
-    distinct = (lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"),
-                                        F.min(F.struct("size", "bands")).alias("s")).filter("lo = hi"))
-    distinct = written(distinct.select("id", "first", "s.size", "s.bands"), "distinct-lines")
+    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(18,0)") + F.col("line")
+    distinct = (lines.select("id", "check", "size", place.cast("decimal(38,0)").alias("place"), *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)])
+                .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"),
+                                   *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]).filter("lo = hi"))
+    distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), "distinct-lines")
     buckets = distinct.select(F.explode("bands").alias("bucket"), "id", "size").distinct()
     found = link(buckets, SIMILARITY, verifier(docs), sized=False)  # sizes count repeated shingles
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = written(named.groupBy("component").agg(F.min("first").alias("head")), "line-heads")
     kept = named.join(heads, "component").select("id", "head")
-    drop = lines.select("doc_id", "line", "id").join(kept, "id").filter("struct(doc_id, line) <> head")
+    drop = lines.select("doc_id", "line", "id").join(kept, "id").filter(place.cast("decimal(38,0)") != F.col("head"))
     return drop.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 

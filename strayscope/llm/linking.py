@@ -77,14 +77,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- linking
 
-def link(buckets: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame], sized: bool = True) -> DataFrame:
+def link(buckets: DataFrame, similarity: int, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], sized: bool = True) -> DataFrame:
     """(id, component) of every record with a link.
 
     ``buckets``: bucket long, id long, size int, distinct rows.  If ``sized``, a pair
-    whose smaller size is under ``similarity`` per cent of the larger can't be linked.  ``verify`` keeps the pairs
-    (a, b) that are links."""
+    whose smaller size is under ``similarity`` per cent of the larger can't be linked.  ``prepare`` gets the ids
+    that have a bucket in common with another, and gives the function that keeps
+    the links of given pairs (a, b)."""
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
     shared = written(buckets.join(shared, "bucket"), "buckets")
+    verify = prepare(shared.select("id").distinct())
 
     # one pivot in each bucket and band of sizes
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / similarity))).cast("int").alias("band")

@@ -3,12 +3,19 @@ r"""Operator 1: n-gram Jaccard self-join with several global token orders.
 A document's set is that of its distinct runs of five words.  Two sets with a
 Jaccard similarity of at least 80 % share one of the first
 ``n - ceil(0.8 n) + 1`` tokens under *any* global order, so a candidate must
-share such a prefix token under each of several orders.  The orders put frequent
-tokens last (frequencies come from a fixed-size table of hashed counts over the
-whole corpus; any global order is a right one, so collisions only cost time) and
-differ in the pseudo-random order within a frequency class.  The first order
-makes the candidate buckets; the others filter the candidates before the exact
-comparison of the whole sets.
+share such a prefix token under each of several orders.  The orders put rare
+tokens first and differ in the pseudo-random order within a frequency class.
+The first order makes the candidate buckets; the others filter the candidates
+before the exact comparison of the whole sets.
+
+Frequencies are counted over the whole corpus: tokens are dealt by ranges of their
+hash as sorted, delta-coded blocks, and each range leaves one segment of three
+Bloom filters (tokens of at least 2, 16 and 256 documents).  The filters have a
+fixed size and no false negatives, so a token outside the first one is in one
+document alone: it comes first in every order and needs no bucket.  A document
+that has as many such tokens as its prefix is long can't have a partner; most
+documents, and near copies that differ too much, go no further.  False positives
+only cost time, since any global order is a right one.
 
 Exact copies (equal sets) are collapsed to their smallest doc_id first, by a
 pre-aggregated grouping on 128 bits of digest and the size.  Groups of near
@@ -35,7 +42,12 @@ from strayscope.llm.linking import bloom, link, maybe_in
 WORDS = 5
 SIMILARITY = 80
 ORDERS = 3
-TABLE_BITS = 20
+LEVELS = (2, 16, 256)
+FILTER_BYTES = 1 << 25
+#: text bytes for one range of token hashes, tokens sorted at once by a task
+RANGE_BYTES, BLOCK_TOKENS = 12 << 20, 1 << 21
+#: the bits of a token that are counted; the rest would only swell the shuffle
+KEPT_BITS = np.uint64((1 << 64) - (1 << 20))
 SEEDS = seeds(8, 3)
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -69,55 +81,111 @@ def prefix_length(n, similarity: int = SIMILARITY):
     return n - -(-similarity * n // 100) + 1
 
 
-def order_keys(tokens: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """Sort keys of the ``k``-th global order: frequency class, then a hash."""
-    level = np.log2(np.maximum(counts[tokens >> U64(64 - TABLE_BITS)], 1).astype(np.float64)).astype(U64)
-    return (level << U64(56)) | (mix(tokens ^ SEEDS[k]) >> U64(8))
+# ------------------------------------------------------ token frequencies
 
+class Frequencies:
+    """Frequency class (0 for a token of one document, 1, 2, 3) from Bloom filters
+    with one segment for each range of hashes."""
 
-def prefixes(rows: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """Which of the tokens (sorted by row) are in the prefix of their row."""
-    order = np.lexsort((order_keys(tokens, counts, k), rows))
-    rank = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = np.zeros(len(rows), bool)
-    out[order] = rank < prefix_length(np.repeat(sizes, sizes))
-    return out
+    def __init__(self, segments: np.ndarray, wide: int):
+        self.segments, self.wide = segments, wide  # filters x ranges x bytes
 
+    @staticmethod
+    def places(tokens: np.ndarray, ranges: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """Range of each token, and its bit numbers in a segment of ``wide`` bytes."""
+        home = ((tokens >> U64(32)) * U64(ranges)) >> U64(32)
+        bits = np.stack([mix(tokens ^ SEEDS[5 - k]) % U64(8 * wide) for k in range(3)])
+        return home.astype(np.int64), bits.astype(np.int64)
 
-def token_counts(docs: DataFrame) -> np.ndarray:
-    """Hashed counts of all tokens: 2**20 numbers, whatever the corpus."""
-    pieces = 64
+    def level(self, tokens: np.ndarray) -> np.ndarray:
+        home, bits = self.places(tokens, self.segments.shape[1], self.wide)
+        out, open_ = np.zeros(len(tokens), np.int64), np.arange(len(tokens))
+        for segment in self.segments:
+            hit = np.ones(len(open_), bool)
+            for b in bits:
+                hit &= (segment[home[open_], b[open_] >> 3] >> (b[open_] & 7).astype(np.uint8) & 1).astype(bool)
+            open_ = open_[hit]
+            out[open_] += 1
+        return out
 
-    def count(batches):
-        total = np.zeros(1 << TABLE_BITS, np.int64)
-        for batch in batches:
-            for _, _, _, tokens in token_sets(batch.column(0)):
-                total += np.bincount((tokens >> U64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
-        for k, part in enumerate(np.split(total, pieces)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.int32 if total.max(initial=0) < 1 << 31 else np.int64).tobytes()]),
-                                              pa.array([4 if total.max(initial=0) < 1 << 31 else 8], pa.int32())], names=["k", "counts", "width"])
 
-    def add(batches):
-        out: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = np.frombuffer(raw, f"<i{width}").astype(np.int64)
-                out[k] = out[k] + got if k in out else got
-        for k, v in out.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()]), pa.array([8], pa.int32())], names=["k", "counts", "width"])
+def pack(sorted_tokens: np.ndarray) -> bytes:
+    """Sorted tokens as byte planes of their differences (zero planes compress away)."""
+    return np.diff(sorted_tokens, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
 
-    schema = "k int, counts binary, width int"
-    sums = docs.mapInArrow(count, schema).repartition(pieces, "k").mapInArrow(add, schema).collect()  # 64 pieces of 128 kB
-    out = np.zeros((pieces, (1 << TABLE_BITS) // pieces), np.int64)
-    for r in sums:
-        out[r["k"]] = np.frombuffer(r["counts"], np.int64)
-    return out.ravel()
+def unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=U64)
 
 
-def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, d1, d2, prefix): set size, 128-bit digest, first-order prefix."""
+def token_frequencies(docs: DataFrame) -> Frequencies:
+    """The frequency filters of all tokens (fixed size: ``FILTER_BYTES`` each)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(64, -(-size // RANGE_BYTES))
+    wide = max(1, FILTER_BYTES // ranges)
+
+    def deal(batches):
+        def blocks(held):
+            tokens = np.sort(np.concatenate(held))
+            cuts = np.searchsorted(Frequencies.places(tokens, ranges, 1)[0], np.arange(ranges + 1))
+            used = np.flatnonzero(np.diff(cuts)).tolist()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array([pack(tokens[cuts[r]:cuts[r + 1]]) for r in used], pa.binary())], names=["range", "tokens"])
+
+        held, n = [], 0
+        for batch in batches:
+            for _, _, _, tokens in token_sets(batch.column(0)):
+                held.append(tokens & KEPT_BITS)
+                n += len(tokens)
+                if n >= BLOCK_TOKENS:
+                    yield blocks(held)
+                    held, n = [], 0
+        if n:
+            yield blocks(held)
+
+    def count(group: pa.Table) -> pa.Table:
+        tokens, counts = np.unique(np.concatenate([unpack(raw) for raw in group.column("tokens").to_pylist()]), return_counts=True)
+        rows = []
+        for least in LEVELS:
+            bits = np.zeros(8 * wide, bool)
+            bits[Frequencies.places(tokens[counts >= least], ranges, wide)[1].ravel()] = True
+            rows.append(np.packbits(bits, bitorder="little").tobytes())
+        return pa.table({"range": pa.array([group.column("range")[0].as_py()] * len(rows), pa.int32()),
+                         "level": pa.array(range(len(rows)), pa.int32()), "bits": pa.array(rows, pa.binary())})
+
+    dealt = docs.mapInArrow(deal, "range int, tokens binary")
+    found = dealt.groupBy("range").applyInArrow(count, "range int, level int, bits binary")
+    out = np.zeros((len(LEVELS), ranges, wide), np.uint8)
+    for r in found.toLocalIterator():  # FILTER_BYTES for each level in all
+        out[r["level"], r["range"]] = np.frombuffer(r["bits"], np.uint8)
+    return Frequencies(out, wide)
+
+
+def order_keys(tokens: np.ndarray, levels: np.ndarray, k: int) -> np.ndarray:
+    """Sort keys of the ``k``-th global order: frequency class, then a hash."""
+    return (levels.astype(U64) << U64(60)) | (mix(tokens ^ SEEDS[k]) >> U64(4))
+
+
+def prefixes(rows: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, k: int) -> np.ndarray:
+    """Which of the tokens (sorted by row) are in the prefix of their row and occur
+    in another document too."""
+    alone = np.bincount(rows[levels == 0], minlength=len(sizes))
+    left = prefix_length(sizes) - alone  # places that are left for shared tokens
+    some = np.flatnonzero((levels > 0) & (left > 0)[rows])
+    order = some[np.lexsort((order_keys(tokens[some], levels[some], k), rows[some]))]
+    shared = np.bincount(rows[some], minlength=len(sizes))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(shared) - shared, shared)
+    out = np.zeros(len(rows), bool)
+    out[order] = rank < left[rows[order]]
+    return out
+
+
+def signatures(docs: DataFrame, shared) -> DataFrame:
+    """(doc_id, n, d1, d2, prefix): set size, 128-bit digest, shared tokens of the
+    first-order prefix.  ``shared``: the broadcast frequencies."""
 
     def run(batches):
+        frequencies = shared.value
         for batch in batches:
             for first, n, rows, tokens in token_sets(batch.column(1)):
                 sizes = np.bincount(rows, minlength=n)
@@ -128,7 +196,7 @@ def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     with np.errstate(over="ignore"):
                         np.cumsum(mix(tokens ^ SEEDS[k]), out=total[1:])
                         digests.append((total[start + sizes] - total[start]).view(np.int64))
-                kept = prefixes(rows, tokens, sizes, counts, 0)
+                kept = prefixes(rows, tokens, sizes, frequencies.level(tokens & KEPT_BITS), 0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), pa.array(sizes, pa.int64()), *(pa.array(d) for d in digests),
                      list_array(tokens[kept].view(np.int64), np.bincount(rows[kept], minlength=n), pa.int64())],
@@ -137,63 +205,69 @@ def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
-def similar(a: np.ndarray, b: np.ndarray, counts: np.ndarray, similarity: int = SIMILARITY) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, levels: tuple[np.ndarray, np.ndarray]) -> bool:
     """Candidate test under the further orders, then the exact comparison."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < similarity * max(len(a), len(b)):
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
         return False
     for k in range(1, ORDERS):
-        heads = [x[np.argpartition(order_keys(x, counts, k), p - 1)[:p]] for x in (a, b) for p in (prefix_length(len(x), similarity),)]
+        heads = [x[prefixes(np.zeros(len(x), np.int64), x, np.array([len(x)]), level, k)] for x, level in zip((a, b), levels, strict=True)]
         if not len(np.intersect1d(*heads, assume_unique=True)):
             return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= similarity * (len(a) + len(b) - both)
+    return 100 * both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def verifier(docs: DataFrame, counts: np.ndarray):
-    """Pairs of doc_ids -> those that are links.  Only texts that a pair needs are
-    shuffled: a fixed-size filter drops most others at the scan."""
+def verifier(docs: DataFrame, shared):
+    """Prepares, for the doc_ids that have a bucket in common with another, the test
+    of pairs.  Only texts that a pair may need are shuffled: a fixed-size filter
+    drops most others at the scan."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        bits = bloom(ids)
+    def prepared(ids: DataFrame):
+        bits = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
         def needed(batches):
             for batch in batches:
-                keep = maybe_in(bits, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(keep))
+                yield batch.filter(pa.array(maybe_in(bits.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
         some = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(needed, "doc_id long, text string")
         some = written(some, "candidate-texts")
-        joined = (pairs.join(some.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-                  .join(some.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b"))
 
         def run(batches):
+            frequencies = shared.value
             for batch in batches:
-                sets = []
+                sets, levels = [], []
                 for column in (batch.column(2), batch.column(3)):
-                    own = []
+                    own, classes = [], []
                     for _, n, rows, tokens in token_sets(column):
-                        own += np.split(tokens, np.searchsorted(rows, np.arange(1, n)))
+                        cuts = np.searchsorted(rows, np.arange(1, n))
+                        own += np.split(tokens, cuts)
+                        classes += np.split(frequencies.level(tokens & KEPT_BITS), cuts)
                     sets.append(own)
-                keep = [similar(x, y, counts) for x, y in zip(*sets, strict=True)]
+                    levels.append(classes)
+                keep = [similar(x, y, both) for x, y, *both in zip(*sets, *levels, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return joined.mapInArrow(run, "a long, b long").distinct()
+        def verify(pairs: DataFrame) -> DataFrame:
+            joined = (pairs.join(some.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
+                      .join(some.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b"))
+            return joined.mapInArrow(run, "a long, b long").distinct()
+
+        return verify
 
-    return verify
+    return prepared
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
     docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    counts = token_counts(docs.select("text"))
-    signed = written(signatures(docs, counts), "signatures")
+    shared = docs.sparkSession.sparkContext.broadcast(token_frequencies(docs.select("text")))
+    signed = written(signatures(docs, shared), "signatures")
     named = signed.filter("doc_id IS NOT NULL AND n > 0")
     classes = named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     heads = classes.select(F.col("rep").alias("doc_id")).distinct()
-    buckets = (named.select("doc_id", "n", "prefix").join(heads, "doc_id", "left_semi")
-               .select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("size")))
-    found = link(buckets, SIMILARITY, verifier(docs, counts))
+    buckets = (named.select("doc_id", "n", "prefix").filter("size(prefix) > 0").join(heads, "doc_id", "left_semi")
+               .select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("size")).distinct())
+    found = link(buckets, SIMILARITY, verifier(docs, shared))
     # rows that repeat a doc_id with another text carry their links over to it
     classes = classes.join(found, classes["rep"] == found["id"], "left").select(
         "d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
