@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strayscope.session import ensure_checkpoint_dir
+
 # fixed values: evaluation conventions
 TPR_LEVELS = (0.95, 0.90)
 SWEEP_POINTS = 100
@@ -35,6 +37,14 @@ def _clean(scored: DataFrame, score: str, label: str) -> DataFrame:
             .filter(F.col("score").isNotNull() & ~F.isnan("score")))
 
 
+def materialised(ranged: DataFrame) -> DataFrame:
+    """Write the range-partitioned frame once (checkpoint in the shared folder):
+    the offsets and the rows must come from the same partitions, and two
+    evaluations of a range exchange may sample different bounds."""
+    ensure_checkpoint_dir(ranged.sparkSession)
+    return ranged.checkpoint()
+
+
 def descending_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str],
                            n_parts: int | None = None) -> DataFrame:
     """Running sums of ``value_cols`` in descending ``order_col`` order without a
@@ -43,7 +53,7 @@ def descending_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str],
     runs inside each partition only."""
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, F.col(order_col).desc()).withColumn("_pid", F.spark_partition_id())
+    ranged = materialised(df.repartitionByRange(n_parts, F.col(order_col).desc()).withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
@@ -61,7 +71,7 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
     partitioning + per-partition offsets instead of a single-partition window."""
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id())
+    ranged = materialised(df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

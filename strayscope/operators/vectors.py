@@ -11,7 +11,6 @@ the driver, where inverses and eigen-decompositions (d x d only) are done.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -146,10 +145,10 @@ def _tree_sum(partials: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.tolist()]})
 
-    parts = partials.rdd.getNumPartitions()
-    while parts > TREE_FAN_IN:
-        parts = math.ceil(parts / TREE_FAN_IN)
-        partials = partials.coalesce(parts).mapInPandas(add, "n long, s array<double>, g array<double>")
+    # shuffled levels, so that the scan keeps its own parallelism; each task streams its partials
+    for width in (TREE_FAN_IN * TREE_FAN_IN, TREE_FAN_IN):
+        partials = (partials.withColumn("_k", F.spark_partition_id() % width).repartition(width, "_k").drop("_k")
+                    .mapInPandas(add, "n long, s array<double>, g array<double>"))
     rows = partials.collect()  # at most TREE_FAN_IN rows of d*d doubles
     if not rows:
         raise ValueError("no vectors to aggregate")

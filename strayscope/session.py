@@ -39,6 +39,7 @@ def configure_session(spark: SparkSession) -> None:
                  ("spark.sql.adaptive.skewJoin.enabled", "true"),
                  ("spark.sql.autoBroadcastJoinThreshold", "-1"),
                  ("spark.sql.execution.arrow.pyspark.enabled", "true"),
+                 ("spark.sql.execution.arrow.maxRecordsPerBatch", "4096"),
                  ("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 << 20))):
         spark.conf.set(k, v)
 
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="strayscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
