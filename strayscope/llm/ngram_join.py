@@ -46,6 +46,8 @@ LEVELS = (2, 16, 256)
 FILTER_BYTES = 1 << 25
 #: text bytes for one range of token hashes, tokens sorted at once by a task
 RANGE_BYTES, BLOCK_TOKENS = 12 << 20, 1 << 21
+#: documents whose sets a task keeps while it compares pairs
+CACHED_DOCS = 2048
 #: the bits of a token that are counted; the rest would only swell the shuffle
 KEPT_BITS = np.uint64((1 << 64) - (1 << 20))
 SEEDS = seeds(8, 3)
@@ -181,8 +183,8 @@ def prefixes(rows: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, levels: np
 
 
 def signatures(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, n, d1, d2, prefix): set size, 128-bit digest, shared tokens of the
-    first-order prefix.  ``shared``: the broadcast frequencies."""
+    """(doc_id, n, core, d1, d2, prefix): set size and how many of its tokens other
+    documents have, 128-bit digest, such tokens of the first-order prefix.  ``shared``: the broadcast frequencies."""
 
     def run(batches):
         frequencies = shared.value
@@ -196,25 +198,34 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
                     with np.errstate(over="ignore"):
                         np.cumsum(mix(tokens ^ SEEDS[k]), out=total[1:])
                         digests.append((total[start + sizes] - total[start]).view(np.int64))
-                kept = prefixes(rows, tokens, sizes, frequencies.level(tokens & KEPT_BITS), 0)
+                levels = frequencies.level(tokens & KEPT_BITS)
+                kept = prefixes(rows, tokens, sizes, levels, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(sizes, pa.int64()), *(pa.array(d) for d in digests),
+                    [batch.column(0).slice(first, n), pa.array(sizes, pa.int64()), pa.array(np.bincount(rows[levels > 0], minlength=n), pa.int64()), *(pa.array(d) for d in digests),
                      list_array(tokens[kept].view(np.int64), np.bincount(rows[kept], minlength=n), pa.int64())],
-                    names=["doc_id", "n", "d1", "d2", "prefix"])
+                    names=["doc_id", "n", "core", "d1", "d2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, core long, d1 long, d2 long, prefix array<long>")
 
 
-def similar(a: np.ndarray, b: np.ndarray, levels: tuple[np.ndarray, np.ndarray]) -> bool:
+class Document:
+    """A document's set, and its shared prefix tokens under the further orders."""
+
+    def __init__(self, tokens: np.ndarray, levels: np.ndarray):
+        rows, size = np.zeros(len(tokens), np.int64), np.array([len(tokens)])
+        self.tokens = tokens
+        self.heads = [tokens[prefixes(rows, tokens, size, levels, k)] for k in range(1, ORDERS)]
+
+
+def similar(a: Document, b: Document) -> bool:
     """Candidate test under the further orders, then the exact comparison."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+    n, m = len(a.tokens), len(b.tokens)
+    if not n or not m or 100 * min(n, m) < SIMILARITY * max(n, m):
+        return False
+    if not all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a.heads, b.heads, strict=True)):
         return False
-    for k in range(1, ORDERS):
-        heads = [x[prefixes(np.zeros(len(x), np.int64), x, np.array([len(x)]), level, k)] for x, level in zip((a, b), levels, strict=True)]
-        if not len(np.intersect1d(*heads, assume_unique=True)):
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SIMILARITY * (len(a) + len(b) - both)
+    both = len(np.intersect1d(a.tokens, b.tokens, assume_unique=True))
+    return 100 * both >= SIMILARITY * (n + m - both)
 
 
 def verifier(docs: DataFrame, shared):
@@ -233,18 +244,19 @@ def verifier(docs: DataFrame, shared):
         some = written(some, "candidate-texts")
 
         def run(batches):
-            frequencies = shared.value
+            frequencies, cache = shared.value, {}
             for batch in batches:
-                sets, levels = [], []
-                for column in (batch.column(2), batch.column(3)):
-                    own, classes = [], []
-                    for _, n, rows, tokens in token_sets(column):
-                        cuts = np.searchsorted(rows, np.arange(1, n))
-                        own += np.split(tokens, cuts)
-                        classes += np.split(frequencies.level(tokens & KEPT_BITS), cuts)
-                    sets.append(own)
-                    levels.append(classes)
-                keep = [similar(x, y, both) for x, y, *both in zip(*sets, *levels, strict=True)]
+                columns = [batch.column(2).to_pylist(), batch.column(3).to_pylist()]
+                new = list({t for c in columns for t in c} - cache.keys())
+                if len(cache) + len(new) > CACHED_DOCS:
+                    cache, new = {}, list({t for c in columns for t in c})
+                done = 0
+                for _, n, rows, tokens in token_sets(pa.array(new, pa.large_string())):
+                    cuts = np.searchsorted(rows, np.arange(1, n))
+                    for own, level in zip(np.split(tokens, cuts), np.split(frequencies.level(tokens & KEPT_BITS), cuts), strict=True):
+                        cache[new[done]] = Document(own, level)
+                        done += 1
+                keep = [similar(cache[x], cache[y]) for x, y in zip(*columns, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -265,8 +277,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     named = signed.filter("doc_id IS NOT NULL AND n > 0")
     classes = named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     heads = classes.select(F.col("rep").alias("doc_id")).distinct()
-    buckets = (named.select("doc_id", "n", "prefix").filter("size(prefix) > 0").join(heads, "doc_id", "left_semi")
-               .select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("size")).distinct())
+    buckets = (named.select("doc_id", "n", "core", "prefix").filter("size(prefix) > 0").join(heads, "doc_id", "left_semi")
+               .select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("size"),
+                       F.col("core").cast("int").alias("core")).distinct())
     found = link(buckets, SIMILARITY, verifier(docs, shared))
     # rows that repeat a doc_id with another text carry their links over to it
     classes = classes.join(found, classes["rep"] == found["id"], "left").select(
