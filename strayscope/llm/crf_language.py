@@ -32,6 +32,7 @@ TRAIN_WORDS = 600
 MAX_LABELS = 200
 GRAM_BITS, AFFIX_BITS, LEXICON_MIN = 15, 14, 3
 SEQUENCE, BATCH, EPOCHS, RATE = 32, 64, 3, 0.3
+RESCALE = 4  # steps between two scalings to sum 1 (labels never all underflow in so few)
 SEEDS = seeds(8, 9)
 LETTER = np.zeros(256, bool)
 LETTER[0x61:0x7B] = LETTER[0x80:] = True
@@ -106,9 +107,9 @@ class Model:
         return (out + self.word[lexicon_places(self.lexicon, words.hashes)]).astype(np.float64)
 
 
-def forward_backward(scores: np.ndarray, sizes: np.ndarray, step: np.ndarray, start: np.ndarray):
-    """Label probabilities of each word, and expected transitions, for sequences
-    laid end to end; in groups of similar length, padded within a group."""
+def forward_backward(scores: np.ndarray, sizes: np.ndarray, step: np.ndarray, start: np.ndarray, expect: bool = False):
+    """Label probabilities of each word (and expected transitions, for training) of
+    sequences laid end to end; in groups of similar length, padded within a group."""
     n = scores.shape[1]
     out, moves = np.zeros_like(scores), np.zeros((n, n))
     ends = np.cumsum(sizes)
@@ -132,20 +133,23 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, step: np.ndarray, st
         ahead[0] = a / a.sum(axis=1, keepdims=True)
         for t in range(1, t_max):
             k = open_[t]
-            a = (ahead[t - 1, :k] @ change) * local[t, :k]
-            ahead[t, :k] = a / a.sum(axis=1, keepdims=True)
-        behind = np.ones((m, n))
+            a = np.multiply(ahead[t - 1, :k] @ change, local[t, :k], out=ahead[t, :k])
+            if t % RESCALE == 0:
+                a /= a.sum(axis=1, keepdims=True)
+        behind, joint = np.ones((m, n)), np.empty((t_max, m, n))
         for t in range(t_max - 1, -1, -1):
             k = open_[t]
-            p = ahead[t, :k] * behind[:k]
-            out[index[t, :k]] = p / p.sum(axis=1, keepdims=True)
+            np.multiply(ahead[t, :k], behind[:k], out=joint[t, :k])
             if t:
                 back = local[t, :k] * behind[:k]
-                pair = (ahead[t - 1, :k, :, None] * change) * back[:, None, :] if n <= 64 and moves is not None and m <= BATCH else None
-                if pair is not None:
+                if expect:
+                    pair = (ahead[t - 1, :k, :, None] * change) * back[:, None, :]
                     moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
                 back = back @ change.T
-                behind[:k] = back / back.sum(axis=1, keepdims=True)
+                behind[:k] = back / back.sum(axis=1, keepdims=True) if t % RESCALE == 0 else back
+        alive = np.arange(m)[None, :] < open_[:, None]
+        p = joint[alive]
+        out[index[alive]] = p / p.sum(axis=1, keepdims=True)
     return out, moves
 
 
@@ -196,7 +200,7 @@ def fit(samples: list[tuple[str, str]]) -> Model | None:
             scores = np.add.reduceat(model.gram[flat], np.cumsum(lengths) - lengths, axis=0) + model.word[place]
             for j in range(affix.shape[1]):
                 scores = scores + model.affix[affix[:, j]]
-            p, moves = forward_backward(scores.astype(np.float64), size, model.step, model.start)
+            p, moves = forward_backward(scores.astype(np.float64), size, model.step, model.start, expect=True)
             miss = -p
             miss[np.arange(len(y)), y] += 1
             grad = np.zeros_like(model.gram, np.float64)
