@@ -32,7 +32,9 @@ from strayscope.llm.common import mix, shared_path, written
 
 MAGIC = b"TOKENID1"
 KEYS_PER_INDEX = 1 << 16
-CACHE = 200_000
+CACHE = 400_000
+MARKS = ".,;:!?"
+CASED = "\u0130"  # below it, letters are composed and have one-letter lower cases
 GAMMA = 1.5
 LEVELS = 48
 U64 = np.uint64
@@ -62,11 +64,48 @@ class WordCache:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain lower-case letters: each is one pre-split piece, so
+        all can be one text, cut again where the number of the piece changes."""
+        coded = self.lib.encode(" ".join(words), add_special_tokens=False)
+        ids, piece = np.array(coded.ids, self.dtype), np.array(coded.word_ids)
+        cuts = np.flatnonzero(np.diff(piece)) + 1
+        if len(cuts) + 1 != len(words):
+            return self._ids(words)
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        edges = [0, *(cuts * width).tolist(), len(raw)]
+        return [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+
+    def _known(self, word: str) -> bytes | None:
+        got = self.young.get(word)
+        if got is None and (got := self.old.get(word)) is not None:
+            self.young[word] = got
+        return got
+
     def _learn(self, words: set[str]) -> None:
-        new = []
+        """Cache the ids of ``words``.  Case is dropped, and marks are pieces of their
+        own after letters: only plain words go to the library one by one."""
+        odd, plain, parts = [], set(), {}
         for w in words:
-            (self.young.__setitem__(w, self.old[w]) if w in self.old else new.append(w))
-        self.young.update(zip(new, self._ids(new), strict=True))
+            if self._known(w) is not None:
+                continue
+            core = w.rstrip(MARKS)
+            if core.isalpha() and max(core) < CASED:
+                tail, core = w[len(core):], core.lower()
+                parts[w] = core, tail
+                if self._known(core) is None:
+                    plain.add(core)
+                if tail and self._known(tail) is None:
+                    odd.append(tail)
+            else:
+                odd.append(w)
+        if plain:
+            plain_list = list(plain)
+            self.young.update(zip(plain_list, self._letters(plain_list), strict=True))
+        if odd:
+            self.young.update(zip(odd, self._ids(odd), strict=True))
+        for w, (core, tail) in parts.items():
+            self.young[w] = self.young[core] + (self.young[tail] if tail else b"")
 
     def encode(self, text: str) -> bytes:
         """Raw ids of ``text``."""
