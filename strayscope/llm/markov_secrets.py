@@ -38,6 +38,7 @@ MIN_RATIO = 10.0
 SAMPLE_STRINGS = 20_000
 SAMPLE_DOCS = 2_000
 ALPHABET = 68  # letters, digits and the signs of a key, for the smoothing
+BACKING = 8.0  # observations that the single-character frequencies count for
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -91,7 +92,7 @@ def labelled_strings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 def train(strings: DataFrame) -> list[float]:
     """Log-likelihood ratios of the character pairs: entry ``128 * before + after``
-    (ASCII codes; 0 stands before the first), with add-one smoothing."""
+    (ASCII codes; 0 stands before the first)."""
     chars = strings.select("random", F.transform(F.split("s", ""), F.ascii).alias("c")).filter("size(c) > 0")
     pairs = chars.select("random", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("c")).alias("a"), F.col("c").alias("b"))).alias("p"))
     counts = (pairs.filter("p.b IS NOT NULL AND p.a BETWEEN 0 AND 127 AND p.b BETWEEN 1 AND 127")
@@ -102,8 +103,13 @@ def train(strings: DataFrame) -> list[float]:
     if not all(any(map(any, t)) for t in table):
         return [0.0] * (128 * 128)
 
+    after = [[sum(row[b] for row in t) for b in range(128)] for t in table]
+    before = [[sum(row) for row in t] for t in table]
+
     def chance(kind: int, a: int, b: int) -> float:
-        return math.log((table[kind][a][b] + 1) / (sum(table[kind][a]) + ALPHABET))
+        """Pair frequencies, backed by those of the single characters."""
+        single = (after[kind][b] + 1) / (sum(after[kind]) + ALPHABET)
+        return math.log((table[kind][a][b] + BACKING * single) / (before[kind][a] + BACKING))
 
     return [round(chance(1, a, b) - chance(0, a, b), 3) for a in range(128) for b in range(128)]
 
