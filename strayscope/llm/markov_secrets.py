@@ -10,8 +10,8 @@ Everything is DataFrame functions: matches come from ``regexp_extract_all``, the
 places from the lengths of the pieces between them, a score from one fold over a
 token's characters.  Training data is bounded by documented parameters: the
 ``SAMPLE_STRINGS`` base matches of the smallest hash are the random strings, the
-identifiers of the ``SAMPLE_DOCS`` documents of the smallest hash are the ordinary
-ones.  The trained model is a table over pairs of ASCII characters.
+identifiers in the usual naming conventions of the ``SAMPLE_DOCS`` documents of the
+smallest hash are the ordinary ones.  The trained model is a table over pairs of ASCII characters.
 
 Defined results: null and empty texts have no spans; each row of a repeated or
 null doc_id is reported for itself; without labelled strings no span is added; an
@@ -34,6 +34,8 @@ KINDS = ["assign", "access", "hex", "markov"]
 
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z][A-Za-z0-9_-]{5,}"
+#: naming conventions that label an identifier as ordinary: camelCase, snake_case, CONSTANT
+CONVENTION = "^([A-Za-z]?[a-z]+([A-Z][a-z]+)*[0-9]{0,2}|[a-z]+([_-][a-z0-9]+)+|[A-Z]+([_-][A-Z0-9]+)*)$"
 MIN_RATIO = 10.0
 SAMPLE_STRINGS = 20_000
 SAMPLE_DOCS = 2_000
@@ -86,7 +88,8 @@ def labelled_strings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     chosen = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = (hashed.join(F.broadcast(chosen), "h").dropDuplicates(["h"])
-                .select(F.explode(F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0))).alias("s")))
+                .select(F.explode(F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0))).alias("s"))
+                .filter(F.col("s").rlike(CONVENTION)))
     return strings.select(F.lit(1).alias("random"), "s").unionByName(ordinary.select(F.lit(0).alias("random"), "s"))
 
 
