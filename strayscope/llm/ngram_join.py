@@ -43,7 +43,7 @@ WORDS = 5
 SIMILARITY = 80
 ORDERS = 3
 LEVELS = (2, 16, 256)
-FILTER_BYTES = 1 << 25
+FILTER_BYTES = (1 << 24, 1 << 22, 1 << 20)
 #: text bytes for one range of token hashes, tokens sorted at once by a task
 RANGE_BYTES, BLOCK_TOKENS = 12 << 20, 1 << 21
 #: documents whose sets a task keeps while it compares pairs
@@ -87,25 +87,27 @@ def prefix_length(n, similarity: int = SIMILARITY):
 
 class Frequencies:
     """Frequency class (0 for a token of one document, 1, 2, 3) from Bloom filters
-    with one segment for each range of hashes."""
+    with one segment for each range of hashes: ``filters[level][range]``."""
 
-    def __init__(self, segments: np.ndarray, wide: int):
-        self.segments, self.wide = segments, wide  # filters x ranges x bytes
+    def __init__(self, filters: list[np.ndarray]):
+        self.filters = filters
 
     @staticmethod
-    def places(tokens: np.ndarray, ranges: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
-        """Range of each token, and its bit numbers in a segment of ``wide`` bytes."""
-        home = ((tokens >> U64(32)) * U64(ranges)) >> U64(32)
-        bits = np.stack([mix(tokens ^ SEEDS[5 - k]) % U64(8 * wide) for k in range(3)])
-        return home.astype(np.int64), bits.astype(np.int64)
+    def home(tokens: np.ndarray, ranges: int) -> np.ndarray:
+        return (((tokens >> U64(32)) * U64(ranges)) >> U64(32)).astype(np.int64)
+
+    @staticmethod
+    def bits(tokens: np.ndarray, wide: int) -> np.ndarray:
+        """Three bit numbers of each token in a segment of ``wide`` bytes."""
+        return np.stack([mix(tokens ^ SEEDS[5 - k]) % U64(8 * wide) for k in range(3)]).astype(np.int64)
 
     def level(self, tokens: np.ndarray) -> np.ndarray:
-        home, bits = self.places(tokens, self.segments.shape[1], self.wide)
         out, open_ = np.zeros(len(tokens), np.int64), np.arange(len(tokens))
-        for segment in self.segments:
-            hit = np.ones(len(open_), bool)
-            for b in bits:
-                hit &= (segment[home[open_], b[open_] >> 3] >> (b[open_] & 7).astype(np.uint8) & 1).astype(bool)
+        for segments in self.filters:
+            ranges, wide = segments.shape
+            home, hit = self.home(tokens[open_], ranges), np.ones(len(open_), bool)
+            for b in self.bits(tokens[open_], wide):
+                hit &= (segments[home, b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
             open_ = open_[hit]
             out[open_] += 1
         return out
@@ -121,15 +123,15 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def token_frequencies(docs: DataFrame) -> Frequencies:
-    """The frequency filters of all tokens (fixed size: ``FILTER_BYTES`` each)."""
+    """The frequency filters of all tokens (``FILTER_BYTES``, whatever the corpus)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(64, -(-size // RANGE_BYTES))
-    wide = max(1, FILTER_BYTES // ranges)
+    wide = [max(1, b // ranges) for b in FILTER_BYTES]
 
     def deal(batches):
         def blocks(held):
             tokens = np.sort(np.concatenate(held))
-            cuts = np.searchsorted(Frequencies.places(tokens, ranges, 1)[0], np.arange(ranges + 1))
+            cuts = np.searchsorted(Frequencies.home(tokens, ranges), np.arange(ranges + 1))
             used = np.flatnonzero(np.diff(cuts)).tolist()
             return pa.RecordBatch.from_arrays(
                 [pa.array(used, pa.int32()), pa.array([pack(tokens[cuts[r]:cuts[r + 1]]) for r in used], pa.binary())], names=["range", "tokens"])
@@ -148,19 +150,19 @@ def token_frequencies(docs: DataFrame) -> Frequencies:
     def count(group: pa.Table) -> pa.Table:
         tokens, counts = np.unique(np.concatenate([unpack(raw) for raw in group.column("tokens").to_pylist()]), return_counts=True)
         rows = []
-        for least in LEVELS:
-            bits = np.zeros(8 * wide, bool)
-            bits[Frequencies.places(tokens[counts >= least], ranges, wide)[1].ravel()] = True
+        for least, size in zip(LEVELS, wide, strict=True):
+            bits = np.zeros(8 * size, bool)
+            bits[Frequencies.bits(tokens[counts >= least], size).ravel()] = True
             rows.append(np.packbits(bits, bitorder="little").tobytes())
         return pa.table({"range": pa.array([group.column("range")[0].as_py()] * len(rows), pa.int32()),
                          "level": pa.array(range(len(rows)), pa.int32()), "bits": pa.array(rows, pa.binary())})
 
     dealt = docs.mapInArrow(deal, "range int, tokens binary")
     found = dealt.groupBy("range").applyInArrow(count, "range int, level int, bits binary")
-    out = np.zeros((len(LEVELS), ranges, wide), np.uint8)
-    for r in found.toLocalIterator():  # FILTER_BYTES for each level in all
-        out[r["level"], r["range"]] = np.frombuffer(r["bits"], np.uint8)
-    return Frequencies(out, wide)
+    out = [np.zeros((ranges, w), np.uint8) for w in wide]
+    for r in found.collect():  # FILTER_BYTES in all
+        out[r["level"]][r["range"]] = np.frombuffer(r["bits"], np.uint8)
+    return Frequencies(out)
 
 
 def order_keys(tokens: np.ndarray, levels: np.ndarray, k: int) -> np.ndarray:
