@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from strayscope.llm.common import LOWER, U64, fresh, mix, quoted, row_of, runs, seeds, span_hashes, texts
 
-TRAIN_DOCS = 300
-TRAIN_WORDS = 600
+TRAIN_DOCS = 160
+TRAIN_WORDS = 320
 MAX_LABELS = 200
 GRAM_BITS, AFFIX_BITS, LEXICON_MIN = 15, 14, 3
 SEQUENCE, BATCH, EPOCHS, RATE = 32, 64, 3, 0.3
@@ -231,7 +231,7 @@ def training_sample(docs: DataFrame, key: str, text: str, lang: str) -> list[tup
     chosen = reduce(DataFrame.unionByName, [rows.filter(F.col("y") == y).select("y", "h").distinct().orderBy("h").limit(TRAIN_DOCS) for y in labels])
     texts_ = rows.join(F.broadcast(chosen), ["y", "h"]).dropDuplicates(["y", "h"])
     # the bounded share of each text that training can use
-    short = F.substring("t", 1, 16 * TRAIN_WORDS)
+    short = F.substring("t", 1, 8 * TRAIN_WORDS)
     return [(r["t"], r["y"]) for r in texts_.select("y", "h", short.alias("t")).orderBy("y", "h").collect()]
 
 
@@ -296,7 +296,7 @@ def language_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, text: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.35, text: str = "text") -> DataFrame:
     """``docs`` without those in no known language: ``und``, or a score below ``least``."""
     name, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     found = with_language(docs, model, text, name, score)
