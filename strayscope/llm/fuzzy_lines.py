@@ -188,7 +188,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"),
                                    *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]).filter("lo = hi"))
     distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), "distinct-lines")
-    buckets = distinct.select(F.explode("bands").alias("bucket"), "id", "size", F.col("size").alias("core")).distinct()
+    buckets = distinct.select(F.explode("bands").alias("bucket"), "id", "size", F.array("size").alias("parts")).distinct()
     found = link(buckets, SIMILARITY, verifier(docs), sized=False)  # sizes count repeated shingles
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = written(named.groupBy("component").agg(F.min("first").alias("head")), "line-heads")

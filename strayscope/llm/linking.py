@@ -80,10 +80,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def link(buckets: DataFrame, similarity: int, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], sized: bool = True) -> DataFrame:
     """(id, component) of every record with a link.
 
-    ``buckets``: bucket long, id long, size int, core int, distinct rows; ``core`` is
-    the part of a record's set that other records may have too.  If ``sized``, a pair
-    can't be linked when the smaller core is under ``similarity`` per cent of the union
-    that it leaves.  ``prepare`` gets the ids
+    ``buckets``: bucket long, id long, size int, parts array<int>, distinct rows;
+    ``parts`` counts a record's set by classes that hold each element alike, without
+    those no other record has.  If ``sized``, a pair can't be linked when the sum of the
+    smaller counts is under ``similarity`` per cent of the union that it leaves.  ``prepare`` gets the ids
     that have a bucket in common with another, and gives the function that keeps
     the links of given pairs (a, b)."""
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
@@ -100,12 +100,13 @@ def link(buckets: DataFrame, similarity: int, prepare: Callable[[DataFrame], Cal
     found = written(connected_components(first), "components")
 
     # what is left: pairs that share a bucket and lie in different components
-    known = shared.join(found, "id", "left").select("bucket", "id", "size", "core", F.coalesce("component", "id").alias("c"))
+    known = shared.join(found, "id", "left").select("bucket", "id", "size", "parts", F.coalesce("component", "id").alias("c"))
     mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
     known = written(known.join(mixed, "bucket"), "mixed")
     left, right = known, known.select("bucket", F.col("id").alias("id2"), F.col("size").alias("size2"),
-                                      F.col("core").alias("core2"), F.col("c").alias("c2"))
-    near = f"100 * least(core, core2) >= {similarity} * (size + size2 - least(core, core2))" if sized else "true"
+                                      F.col("parts").alias("parts2"), F.col("c").alias("c2"))
+    common = "aggregate(zip_with(parts, parts2, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+    near = f"100 * {common} >= {similarity} * (size + size2 - {common})" if sized else "true"
     rest = (left.join(right, "bucket").filter(f"c < c2 AND {near}")
             .select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti"))

@@ -185,8 +185,8 @@ def prefixes(rows: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, levels: np
 
 
 def signatures(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, n, core, d1, d2, prefix): set size and how many of its tokens other
-    documents have, 128-bit digest, such tokens of the first-order prefix.  ``shared``: the broadcast frequencies."""
+    """(doc_id, n, parts, d1, d2, prefix): set size, its tokens that other documents
+    have by frequency class, 128-bit digest, such tokens of the first-order prefix.  ``shared``: the broadcast frequencies."""
 
     def run(batches):
         frequencies = shared.value
@@ -203,11 +203,13 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
                 levels = frequencies.level(tokens & KEPT_BITS)
                 kept = prefixes(rows, tokens, sizes, levels, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(sizes, pa.int64()), pa.array(np.bincount(rows[levels > 0], minlength=n), pa.int64()), *(pa.array(d) for d in digests),
+                    [batch.column(0).slice(first, n), pa.array(sizes, pa.int64()), list_array(
+                        np.bincount((rows * len(LEVELS) + levels - 1)[levels > 0], minlength=n * len(LEVELS)).astype(np.int32),
+                        np.full(n, len(LEVELS)), pa.int32()), *(pa.array(d) for d in digests),
                      list_array(tokens[kept].view(np.int64), np.bincount(rows[kept], minlength=n), pa.int64())],
-                    names=["doc_id", "n", "core", "d1", "d2", "prefix"])
+                    names=["doc_id", "n", "parts", "d1", "d2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, core long, d1 long, d2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, parts array<int>, d1 long, d2 long, prefix array<long>")
 
 
 class Document:
@@ -279,9 +281,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     named = signed.filter("doc_id IS NOT NULL AND n > 0")
     classes = named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     heads = classes.select(F.col("rep").alias("doc_id")).distinct()
-    buckets = (named.select("doc_id", "n", "core", "prefix").filter("size(prefix) > 0").join(heads, "doc_id", "left_semi")
+    buckets = (named.select("doc_id", "n", "parts", "prefix").filter("size(prefix) > 0").join(heads, "doc_id", "left_semi")
                .select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("size"),
-                       F.col("core").cast("int").alias("core")).distinct())
+                       "parts").distinct())
     found = link(buckets, SIMILARITY, verifier(docs, shared))
     # rows that repeat a doc_id with another text carry their links over to it
     classes = classes.join(found, classes["rep"] == found["id"], "left").select(
