@@ -177,3 +177,16 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     offs = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offs[1:])
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values, type=kind))
+
+
+def bit_sketches(rows: np.ndarray, hashes: np.ndarray, n: int, longs: int, odd: bool) -> np.ndarray:
+    """``n`` x ``longs`` words of bits, one bit for each hash of a row: set by any
+    hash, or, if ``odd``, by an odd number of (distinct) ones."""
+    wide = 64 * longs
+    at = rows * wide + ((hashes >> U64(24)) % U64(wide)).astype(np.int64)
+    if odd:
+        at, times = np.unique(at, return_counts=True)
+        at = at[times % 2 == 1]
+    bits = np.zeros(n * wide, bool)
+    bits[at] = True
+    return np.packbits(bits).view(np.int64).reshape(n, longs)

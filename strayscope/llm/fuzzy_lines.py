@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayscope.llm.common import LOWER, U64, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, texts, window_hashes, written
-from strayscope.llm.linking import bloom, link, maybe_in
+from strayscope.llm.common import LOWER, U64, bit_sketches, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, texts, window_hashes, written
+from strayscope.llm.linking import bloom, link, maybe_in, near
 
 SHINGLE = 8
 SIMILARITY = 80
 BANDS, ROWS = 8, 4
 BINS = BANDS * ROWS
+#: longs of a line's bit sketch, which bounds how many shingles two lines differ in
+SKETCH = 8
 SEEDS = seeds(8, 5)
 #: the bins that an empty bin asks in turn (every bin comes up in each list)
 ASKED = np.argsort(mix(np.arange(BINS * BINS, dtype=U64) + SEEDS[0]).reshape(BINS, BINS), axis=1)
@@ -112,7 +114,7 @@ def scan(column: pa.Array):
         yield first, data, starts, ends, row, number, hashed
 
 
-LINES = "doc_id long, line int, id long, check long, size int, bands array<long>"
+LINES = "doc_id long, line int, id long, check long, size int, bands array<long>, sketch array<long>"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -126,8 +128,9 @@ def line_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(first + row)), pa.array(number.astype(np.int32)), pa.array(hashed.view(np.int64)),
                      pa.array(sums.view(np.int64)), pa.array(np.maximum(ends - starts - SHINGLE + 1, 1).astype(np.int32)),
-                     list_array(keys.ravel().view(np.int64), np.full(len(keys), BANDS), pa.int64())],
-                    names=["doc_id", "line", "id", "check", "size", "bands"])
+                     list_array(keys.ravel().view(np.int64), np.full(len(keys), BANDS), pa.int64()),
+                     list_array(bit_sketches(owner, marks, len(starts), SKETCH, odd=False).ravel(), np.full(len(keys), SKETCH), pa.int64())],
+                    names=["doc_id", "line", "id", "check", "size", "bands", "sketch"])
 
     return docs.mapInArrow(run, LINES)
 
@@ -184,12 +187,15 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     lines = written(line_table(docs), "lines")
     # one row per distinct line: its first place; ids that two lines share drop out
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(18,0)") + F.col("line")
-    distinct = (lines.select("id", "check", "size", place.cast("decimal(38,0)").alias("place"), *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)])
+    distinct = (lines.select("id", "check", "size", place.cast("decimal(38,0)").alias("place"), *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)], *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)])
                 .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"),
-                                   *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]).filter("lo = hi"))
-    distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), "distinct-lines")
-    buckets = distinct.select(F.explode("bands").alias("bucket"), "id", "size", F.array("size").alias("parts")).distinct()
-    found = link(buckets, SIMILARITY, verifier(docs), sized=False)  # sizes count repeated shingles
+                                   *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)], *[F.min(f"s{k}").alias(f"s{k}") for k in range(SKETCH)])
+                .filter("lo = hi"))
+    distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands"),
+                                       F.array(*[f"s{k}" for k in range(SKETCH)]).alias("sketch")), "distinct-lines")
+    buckets = distinct.select(F.explode("bands").alias("bucket"), "id", "size").distinct()
+    # sizes count repeated shingles, which only loosens the condition
+    found = link(buckets, SIMILARITY, verifier(docs), distinct.select("id", "size", "sketch"), near(SIMILARITY, SKETCH))
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = written(named.groupBy("component").agg(F.min("first").alias("head")), "line-heads")
     kept = named.join(heads, "component").select("id", "head")

@@ -77,15 +77,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- linking
 
-def link(buckets: DataFrame, similarity: int, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], sized: bool = True) -> DataFrame:
+#: bucket numbers that a record carries to tell where a pair comes up first
+LEAST = 32
+
+
+def near(similarity: int, sketch: int, more: str = "true") -> str:
+    """Condition that every linked pair of records x, y meets.  ``sketch`` longs of
+    bits differ in no more places than the sets do in elements, and two linked sets
+    do in (100 - similarity) of (100 + similarity) parts of both sizes at most."""
+    apart = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(sketch))
+    return f"{100 + similarity} * ({apart}) <= {100 - similarity} * (x.size + y.size) AND {more}"
+
+
+def link(buckets: DataFrame, similarity: int, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+         details: DataFrame, near: str) -> DataFrame:
     """(id, component) of every record with a link.
 
-    ``buckets``: bucket long, id long, size int, parts array<int>, distinct rows;
-    ``parts`` counts a record's set by classes that hold each element alike, without
-    those no other record has.  If ``sized``, a pair can't be linked when the sum of the
-    smaller counts is under ``similarity`` per cent of the union that it leaves.  ``prepare`` gets the ids
-    that have a bucket in common with another, and gives the function that keeps
-    the links of given pairs (a, b)."""
+    ``buckets``: bucket long, id long, size int, distinct rows.  ``details``: id and
+    what the condition ``near`` of records x and y reads, which no linked pair fails.
+    ``prepare`` gets the ids that have a bucket in common with another, and gives
+    the function that keeps the links of given pairs (a, b)."""
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
     shared = written(buckets.join(shared, "bucket"), "buckets")
     verify = prepare(shared.select("id").distinct())
@@ -100,15 +111,15 @@ def link(buckets: DataFrame, similarity: int, prepare: Callable[[DataFrame], Cal
     found = written(connected_components(first), "components")
 
     # what is left: pairs that share a bucket and lie in different components
-    known = shared.join(found, "id", "left").select("bucket", "id", "size", "parts", F.coalesce("component", "id").alias("c"))
+    known = shared.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
     known = written(known.join(mixed, "bucket"), "mixed")
-    left, right = known, known.select("bucket", F.col("id").alias("id2"), F.col("size").alias("size2"),
-                                      F.col("parts").alias("parts2"), F.col("c").alias("c2"))
-    common = "aggregate(zip_with(parts, parts2, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
-    near = f"100 * {common} >= {similarity} * (size + size2 - {common})" if sized else "true"
-    rest = (left.join(right, "bucket").filter(f"c < c2 AND {near}")
-            .select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+    # a pair counts in the smallest bucket that both carry, or in each if they carry none together
+    carried = known.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, LEAST).alias("least"))
+    known = written(known.join(carried, "id").join(details, "id"), "mixed")
+    once = "x.bucket = coalesce(array_min(array_intersect(x.least, y.least)), x.bucket)"
+    rest = (known.alias("x").join(known.alias("y"), F.expr(f"x.bucket = y.bucket AND x.c < y.c AND {near} AND {once}"))
+            .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti"))
     second = verify(written(rest, "pairs"))
     return connected_components(first.unionByName(written(second, "links")))

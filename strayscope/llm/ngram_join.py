@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayscope.llm.common import LOWER, U64, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, texts, window_hashes, written
-from strayscope.llm.linking import bloom, link, maybe_in
+from strayscope.llm.common import LOWER, U64, bit_sketches, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, texts, window_hashes, written
+from strayscope.llm.linking import bloom, link, maybe_in, near
 
 WORDS = 5
 SIMILARITY = 80
@@ -46,6 +46,8 @@ LEVELS = (2, 16, 256)
 FILTER_BYTES = (1 << 24, 1 << 22, 1 << 20)
 #: text bytes for one range of token hashes, tokens sorted at once by a task
 RANGE_BYTES, BLOCK_TOKENS = 12 << 20, 1 << 21
+#: longs of a document's odd sketch, which bounds how many tokens two sets differ in
+SKETCH = 16
 #: documents whose sets a task keeps while it compares pairs
 CACHED_DOCS = 2048
 #: the bits of a token that are counted; the rest would only swell the shuffle
@@ -185,8 +187,9 @@ def prefixes(rows: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, levels: np
 
 
 def signatures(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, n, parts, d1, d2, prefix): set size, its tokens that other documents
-    have by frequency class, 128-bit digest, such tokens of the first-order prefix.  ``shared``: the broadcast frequencies."""
+    """(doc_id, n, parts, sketch, d1, d2, prefix): set size, its tokens that other
+    documents have by frequency class, odd sketch of all tokens, 128-bit digest, such
+    tokens of the first-order prefix.  ``shared``: the broadcast frequencies."""
 
     def run(batches):
         frequencies = shared.value
@@ -205,11 +208,13 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), pa.array(sizes, pa.int64()), list_array(
                         np.bincount((rows * len(LEVELS) + levels - 1)[levels > 0], minlength=n * len(LEVELS)).astype(np.int32),
-                        np.full(n, len(LEVELS)), pa.int32()), *(pa.array(d) for d in digests),
+                        np.full(n, len(LEVELS)), pa.int32()),
+                     list_array(bit_sketches(rows, mix(tokens ^ SEEDS[4]), n, SKETCH, odd=True).ravel(), np.full(n, SKETCH), pa.int64()),
+                     *(pa.array(d) for d in digests),
                      list_array(tokens[kept].view(np.int64), np.bincount(rows[kept], minlength=n), pa.int64())],
-                    names=["doc_id", "n", "parts", "d1", "d2", "prefix"])
+                    names=["doc_id", "n", "parts", "sketch", "d1", "d2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, parts array<int>, d1 long, d2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, parts array<int>, sketch array<long>, d1 long, d2 long, prefix array<long>")
 
 
 class Document:
@@ -281,10 +286,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     named = signed.filter("doc_id IS NOT NULL AND n > 0")
     classes = named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     heads = classes.select(F.col("rep").alias("doc_id")).distinct()
-    buckets = (named.select("doc_id", "n", "parts", "prefix").filter("size(prefix) > 0").join(heads, "doc_id", "left_semi")
-               .select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("size"),
-                       "parts").distinct())
-    found = link(buckets, SIMILARITY, verifier(docs, shared))
+    buckets = (named.select("doc_id", "n", "prefix").filter("size(prefix) > 0").join(heads, "doc_id", "left_semi")
+               .select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("size")).distinct())
+    details = named.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "parts", "sketch").dropDuplicates()
+    # tokens in common, by frequency class: no more than the smaller count of each
+    common = " + ".join(f"least(x.parts[{k}], y.parts[{k}])" for k in range(len(LEVELS)))
+    enough = f"{100 + SIMILARITY} * ({common}) >= {SIMILARITY} * (x.size + y.size)"
+    found = link(buckets, SIMILARITY, verifier(docs, shared), details, near(SIMILARITY, SKETCH, enough))
     # rows that repeat a doc_id with another text carry their links over to it
     classes = classes.join(found, classes["rep"] == found["id"], "left").select(
         "d1", "d2", "n", F.coalesce("component", "rep").alias("component"))

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from strayscope.llm import crf_language, fuzzy_lines, kd_search, mph_tokens, ngram_join, phrase_index, sentence_spans, warc_zstd
 from strayscope.llm.bpe_prefix import PrefixBPE
+from strayscope.llm.common import bit_sketches
 
 ODD = ["", "   ", "a  b\n\n c", "it's we'll  <|endoftext|> x<|endoftext|>", "aaaaaaaaaaaaaaa bbbbbbb", "日本語テスト 🙂🙂", "x" * 5000,
        "  a b \x1c c\x85 d", "'S 'll ''re 12345 !!!\t\t x", "the\r\n the", "İstanbul ΣΑΣ ſo. ﬁ a.́ b x). ª º ŉ, é. don't"]
@@ -125,3 +126,15 @@ def test_phrases_and_proximity_in_a_shard():
     assert shard.doc(shard.phrase(one("on the mat"))).tolist() == [0, 3]
     assert not len(shard.phrase(one("mat cat"))) and not len(shard.phrase(one("dog")))
     assert set(shard.doc(shard.proximity(one("cat mat"), 3)).tolist()) == {3}
+
+
+def test_sketches_never_differ_in_more_places_than_the_sets():
+    r = np.random.default_rng(5)
+    for n in (3, 80, 900):
+        base = r.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
+        for k in (0, 1, n // 9, n // 2):
+            other = np.concatenate([base[k:], r.integers(0, 1 << 63, k, dtype=np.int64).astype(np.uint64)])
+            rows, both = np.repeat([0, 1], n), np.concatenate([base, other])
+            for odd in (False, True):
+                a, b = bit_sketches(rows, both, 2, 8, odd)
+                assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= len(set(base.tolist()) ^ set(other.tolist()))

@@ -1,6 +1,8 @@
 """The llm operators on small tables: nulls, empty and repeated rows, empty tables,
 clashing column names, and brute-force versions."""
 
+import itertools
+import random
 import re
 
 import corpus_pipeline
@@ -48,6 +50,25 @@ def test_jaccard_components(spark, docs):
     assert ngram_join.jaccard_components(docs.filter("false")).count() == 0
 
 
+def test_groups_near_the_threshold(spark):
+    prepare(spark)
+    r = random.Random(3)
+    base, rows = [[f"w{g}x{i}" for i in range(90)] for g in range(3)], []
+    for i in range(120):
+        words = list(base[i % 3])
+        for _ in range(r.randrange(7)):
+            words[r.randrange(len(words))] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(86)} for i, t in rows}
+    root = list(range(120))
+    for _ in range(120):
+        for a, b in itertools.combinations(range(120), 2):
+            if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == dict(enumerate(root)) and 3 < len(set(root)) < 120
+
+
 def test_lines(spark, docs):
     rows = [(1, "same line of text here\nonly one"), (2, "Same line of text here \n\nanother"), (3, None), (None, "same line of text here")]
     small = spark.createDataFrame([(i, t, "_") for i, t in rows], "doc_id long, text string, _lines string")
