@@ -29,8 +29,8 @@ SHINGLE = 8
 SIMILARITY = 80
 BANDS, ROWS = 8, 4
 BINS = BANDS * ROWS
-#: longs of a line's bit sketch, which bounds how many shingles two lines differ in
-SKETCH = 8
+#: longs of a line's odd sketch, which bounds how many shingles two lines differ in
+SKETCH = 16
 SEEDS = seeds(8, 5)
 #: the bins that an empty bin asks in turn (every bin comes up in each list)
 ASKED = np.argsort(mix(np.arange(BINS * BINS, dtype=U64) + SEEDS[0]).reshape(BINS, BINS), axis=1)
@@ -114,7 +114,7 @@ def scan(column: pa.Array):
         yield first, data, starts, ends, row, number, hashed
 
 
-LINES = "doc_id long, line int, id long, check long, size int, bands array<long>, sketch array<long>"
+LINES = "doc_id long, line int, id long, check long, size int, bands array<long>"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -128,9 +128,8 @@ def line_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(first + row)), pa.array(number.astype(np.int32)), pa.array(hashed.view(np.int64)),
                      pa.array(sums.view(np.int64)), pa.array(np.maximum(ends - starts - SHINGLE + 1, 1).astype(np.int32)),
-                     list_array(keys.ravel().view(np.int64), np.full(len(keys), BANDS), pa.int64()),
-                     list_array(bit_sketches(owner, marks, len(starts), SKETCH, odd=False).ravel(), np.full(len(keys), SKETCH), pa.int64())],
-                    names=["doc_id", "line", "id", "check", "size", "bands", "sketch"])
+                     list_array(keys.ravel().view(np.int64), np.full(len(keys), BANDS), pa.int64())],
+                    names=["doc_id", "line", "id", "check", "size", "bands"])
 
     return docs.mapInArrow(run, LINES)
 
@@ -152,12 +151,21 @@ def verifier(docs: DataFrame):
                     keep = np.flatnonzero(maybe_in(bits.value, hashed.view(np.int64)))
                     _, one = np.unique(hashed[keep], return_index=True)
                     keep = keep[one]
+                    owner, marks, _ = shingles(data, starts[keep], ends[keep])
+                    order = np.lexsort((marks, owner))
+                    owner, marks = owner[order], marks[order]
+                    new = np.ones(len(owner), bool)
+                    new[1:] = (owner[1:] != owner[:-1]) | (marks[1:] != marks[:-1])
+                    owner, marks = owner[new], marks[new]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(hashed[keep].view(np.int64)),
-                         pa.array([data[s:e].tobytes() for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)], pa.binary())],
-                        names=["id", "line"])
+                         pa.array([data[s:e].tobytes() for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)], pa.binary()),
+                         pa.array(np.bincount(owner, minlength=len(keep)), pa.int64()),
+                         list_array(bit_sketches(owner, marks, len(keep), SKETCH, odd=True).ravel(), np.full(len(keep), SKETCH), pa.int64())],
+                        names=["id", "line", "size", "sketch"])
 
-        some = written(docs.mapInArrow(needed, "id long, line binary").dropDuplicates(["id"]), "candidate-lines")
+        some = written(docs.mapInArrow(needed, "id long, line binary, size long, sketch array<long>").dropDuplicates(["id"]), "candidate-lines")
+        lines = some.select("id", "line")
 
         def run(batches):
             last, own = None, set()
@@ -172,11 +180,11 @@ def verifier(docs: DataFrame):
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            joined = (pairs.join(some.withColumnsRenamed({"id": "a", "line": "line_a"}), "a")
-                      .join(some.withColumnsRenamed({"id": "b", "line": "line_b"}), "b").select("a", "b", "line_a", "line_b"))
+            joined = (pairs.join(lines.withColumnsRenamed({"id": "a", "line": "line_a"}), "a")
+                      .join(lines.withColumnsRenamed({"id": "b", "line": "line_b"}), "b").select("a", "b", "line_a", "line_b"))
             return joined.mapInArrow(run, "a long, b long")
 
-        return verify
+        return some.select("id", "size", "sketch"), verify
 
     return prepared
 
@@ -187,15 +195,12 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     lines = written(line_table(docs), "lines")
     # one row per distinct line: its first place; ids that two lines share drop out
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(18,0)") + F.col("line")
-    distinct = (lines.select("id", "check", "size", place.cast("decimal(38,0)").alias("place"), *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)], *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)])
+    distinct = (lines.select("id", "check", "size", place.cast("decimal(38,0)").alias("place"), *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)])
                 .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"),
-                                   *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)], *[F.min(f"s{k}").alias(f"s{k}") for k in range(SKETCH)])
-                .filter("lo = hi"))
-    distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands"),
-                                       F.array(*[f"s{k}" for k in range(SKETCH)]).alias("sketch")), "distinct-lines")
+                                   *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]).filter("lo = hi"))
+    distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), "distinct-lines")
     buckets = distinct.select(F.explode("bands").alias("bucket"), "id", "size").distinct()
-    # sizes count repeated shingles, which only loosens the condition
-    found = link(buckets, SIMILARITY, verifier(docs), distinct.select("id", "size", "sketch"), near(SIMILARITY, SKETCH))
+    found = link(buckets, SIMILARITY, verifier(docs), near(SIMILARITY, SKETCH))
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = written(named.groupBy("component").agg(F.min("first").alias("head")), "line-heads")
     kept = named.join(heads, "component").select("id", "head")

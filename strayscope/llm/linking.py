@@ -3,14 +3,15 @@ distributed connected components.
 
 ``link`` takes candidate buckets (two records can only be linked if they share a
 bucket) and a verifier of pairs.  It finds the same components as verifying every
-pair would, in two phases: first each record is paired with one pivot of its
-bucket, which joins most members of a large group by a number of pairs linear in
-its size; then only pairs whose ends are still in different components are
-verified.  Pairs within a component can't change it, so none is lost."""
+pair would, in two phases: first, in a few turns, each record is paired with one
+pivot of its bucket, which joins most members of a large group by a number of pairs
+linear in its size; then only pairs whose ends are still in different components
+are verified.  Pairs within a component can't change it, so none is lost."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 #: bucket numbers that a record carries to tell where a pair comes up first
 LEAST = 32
+#: one turn of pivots each: the record whose id comes first after these bits are flipped
+PIVOTS = (0, 0x2545F4914F6CDD1D)
 
 
 def near(similarity: int, sketch: int, more: str = "true") -> str:
@@ -89,40 +92,57 @@ def near(similarity: int, sketch: int, more: str = "true") -> str:
     return f"{100 + similarity} * ({apart}) <= {100 - similarity} * (x.size + y.size) AND {more}"
 
 
-def link(buckets: DataFrame, similarity: int, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
-         details: DataFrame, near: str) -> DataFrame:
+def link(buckets: DataFrame, similarity: int, prepare: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
+         near: str) -> DataFrame:
     """(id, component) of every record with a link.
 
-    ``buckets``: bucket long, id long, size int, distinct rows.  ``details``: id and
-    what the condition ``near`` of records x and y reads, which no linked pair fails.
-    ``prepare`` gets the ids that have a bucket in common with another, and gives
-    the function that keeps the links of given pairs (a, b)."""
+    ``buckets``: bucket long, id long, size int, distinct rows.  ``prepare`` gets the
+    ids that have a bucket in common with another, and gives a table of their id and
+    what the condition ``near`` of records x and y reads, which no linked pair fails,
+    and the function that keeps the links of given pairs (a, b)."""
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
     shared = written(buckets.join(shared, "bucket"), "buckets")
-    verify = prepare(shared.select("id").distinct())
+    details, verify = prepare(shared.select("id").distinct())
 
-    # one pivot in each bucket and band of sizes
+    # turns with one pivot in each bucket and band of sizes, another one each time
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / similarity))).cast("int").alias("band")
-    banded = shared.select("bucket", "id", band)
-    pivots = banded.groupBy("bucket", "band").agg(F.min("id").alias("b"))
-    pairs = (banded.join(pivots, ["bucket", "band"]).filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
-    tried = written(pairs, "pairs")
-    first = written(verify(tried), "links")
-    found = written(connected_components(first), "components")
-
-    # what is left: pairs that share a bucket and lie in different components
-    known = shared.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    known = written(known.join(mixed, "bucket"), "mixed")
+    known, links, tried = shared.select("bucket", "id", band, F.col("id").alias("c")), [], []
+    for salt in PIVOTS:
+        pivots = known.groupBy("bucket", "band").agg(F.min(F.col("id").bitwiseXOR(F.lit(salt))).bitwiseXOR(F.lit(salt)).alias("b"))
+        homes = known.select(F.col("id").alias("b"), F.col("c").alias("cb")).distinct()
+        pairs = (known.join(pivots, ["bucket", "band"]).join(homes, "b").filter("c <> cb")
+                 .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct())
+        for old in tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        tried.append(written(pairs, "pairs"))
+        links.append(written(verify(tried[-1]), "links"))
+        found = written(connected_components(reduce(DataFrame.unionByName, links)), "components")
+        # what is left: buckets whose records lie in different components
+        known = known.drop("c").join(found, "id", "left").select("bucket", "id", "band", F.coalesce("component", "id").alias("c"))
+        mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
+        known = written(known.join(mixed, "bucket"), "mixed")
+
+    # every pair that shares a bucket and lies in different components
     # a pair counts in the smallest bucket that both carry, or in each if they carry none together
     carried = known.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, LEAST).alias("least"))
-    known = written(known.join(carried, "id").join(details, "id"), "mixed")
+    known = written(known.drop("band").join(carried, "id").join(details, "id"), "mixed")
     once = "x.bucket = coalesce(array_min(array_intersect(x.least, y.least)), x.bucket)"
     rest = (known.alias("x").join(known.alias("y"), F.expr(f"x.bucket = y.bucket AND x.c < y.c AND {near} AND {once}"))
-            .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-            .join(tried, ["a", "b"], "left_anti"))
-    second = verify(written(rest, "pairs"))
-    return connected_components(first.unionByName(written(second, "links")))
+            .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.col("x.c").alias("lo"), F.col("y.c").alias("hi")).distinct())
+    for old in tried:
+        rest = rest.join(old, ["a", "b"], "left_anti")
+    rest = written(rest, "pairs")
+    # first one pair of each two components, then those that are still apart
+    one = rest.groupBy("lo", "hi").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+    one = written(one, "pairs")
+    links.append(written(verify(one), "links"))
+    found = written(connected_components(reduce(DataFrame.unionByName, links)), "components")
+    for end in ("a", "b"):
+        home = found.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+        rest = rest.join(home, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    rest = rest.filter("ca <> cb").select("a", "b").join(one, ["a", "b"], "left_anti")
+    links.append(written(verify(written(rest, "pairs")), "links"))
+    return connected_components(reduce(DataFrame.unionByName, links))
 
 
 # ------------------------------------------------------- membership filter

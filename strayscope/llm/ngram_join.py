@@ -237,9 +237,9 @@ def similar(a: Document, b: Document) -> bool:
     return 100 * both >= SIMILARITY * (n + m - both)
 
 
-def verifier(docs: DataFrame, shared):
+def verifier(docs: DataFrame, shared, details: DataFrame):
     """Prepares, for the doc_ids that have a bucket in common with another, the test
-    of pairs.  Only texts that a pair may need are shuffled: a fixed-size filter
+    of pairs; ``details`` are passed on.  Only texts that a pair may need are shuffled: a fixed-size filter
     drops most others at the scan."""
 
     def prepared(ids: DataFrame):
@@ -273,7 +273,7 @@ def verifier(docs: DataFrame, shared):
                       .join(some.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b"))
             return joined.mapInArrow(run, "a long, b long").distinct()
 
-        return verify
+        return details, verify
 
     return prepared
 
@@ -292,7 +292,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # tokens in common, by frequency class: no more than the smaller count of each
     common = " + ".join(f"least(x.parts[{k}], y.parts[{k}])" for k in range(len(LEVELS)))
     enough = f"{100 + SIMILARITY} * ({common}) >= {SIMILARITY} * (x.size + y.size)"
-    found = link(buckets, SIMILARITY, verifier(docs, shared), details, near(SIMILARITY, SKETCH, enough))
+    found = link(buckets, SIMILARITY, verifier(docs, shared, details), near(SIMILARITY, SKETCH, enough))
     # rows that repeat a doc_id with another text carry their links over to it
     classes = classes.join(found, classes["rep"] == found["id"], "left").select(
         "d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
