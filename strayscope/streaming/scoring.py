@@ -3,7 +3,7 @@
 Fitting and metrics are batch jobs; scoring only needs the new rows plus the
 fixed fitted state, so it runs inside ``foreachBatch`` (each micro-batch is a
 bounded static DataFrame: the pair scans and per-query merges run on it
-without keeping streaming state per row).  Results are appended to a parquet
+without keeping streaming state per row).  Each batch owns a partition of a parquet
 sink; the checkpoint location makes the query restartable after failures.
 """
 
@@ -26,10 +26,10 @@ def vector_stream(spark: SparkSession, source_dir: str) -> DataFrame:
 
 def score_stream(stream: DataFrame, detector: Detector, sink_dir: str, checkpoint_dir: str,
                  available_now: bool = True) -> StreamingQuery:
-    """Score every micro-batch with a fitted detector and append (id, score)."""
+    """Score every micro-batch with a fitted detector into a folder of its epoch
+    (``epoch`` is a partition column of the sink); a replayed batch overwrites it."""
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        scored = detector.score(batch).withColumn("epoch", F.lit(epoch_id))
-        scored.write.mode("append").parquet(sink_dir)
+        detector.score(batch).write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
