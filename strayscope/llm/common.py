@@ -61,8 +61,9 @@ def quoted(name: str) -> Column:
 
 # ------------------------------------------------------------ Arrow texts
 
-def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices (first row, end row, bytes, offsets of the rows in those bytes)."""
+def texts(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices (first row, end row, bytes, offsets of the rows in those bytes) of
+    about ``size`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -76,7 +77,7 @@ def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        end = max(first + 1, int(np.searchsorted(off, off[first] + SLICE, "right")) - 1)
+        end = max(first + 1, int(np.searchsorted(off, off[first] + size, "right")) - 1)
         end = min(end, n)
         yield first, end, raw[off[first]:off[end]], off[first:end + 1] - off[first]
         first = end

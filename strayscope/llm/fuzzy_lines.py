@@ -31,6 +31,8 @@ BANDS, ROWS = 8, 4
 BINS = BANDS * ROWS
 #: longs of a line's odd sketch, which bounds how many shingles two lines differ in
 SKETCH = 16
+#: bytes of text at a time, few enough that the arrays over them stay in the cache
+CACHED = 1 << 17
 SEEDS = seeds(8, 5)
 #: the bins that an empty bin asks in turn (every bin comes up in each list)
 ASKED = np.argsort(mix(np.arange(BINS * BINS, dtype=U64) + SEEDS[0]).reshape(BINS, BINS), axis=1)
@@ -43,10 +45,11 @@ def line_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Starts and ends (stripped) of the lines that aren't blank, row, line number."""
     breaks = raw == 10
     starts, ends = runs(~breaks, offs)
-    solid = np.concatenate([[0], np.cumsum(~(SPACE[raw] | breaks))])
+    black = ~(SPACE[raw] | breaks)
+    solid = np.concatenate([[0], np.cumsum(black)])
     keep = solid[ends] > solid[starts]
     starts, ends = starts[keep], ends[keep]
-    places = np.flatnonzero(~(SPACE[raw] | breaks))
+    places = np.flatnonzero(black)
     first = places[solid[starts]] if len(starts) else starts
     last = places[solid[ends] - 1] + 1 if len(ends) else ends
     row = row_of(starts, offs)
@@ -56,25 +59,26 @@ def line_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, hash) of the shingles at every position of the spans, and a second
-    hash of each span, the sum over its shingles."""
+    hash of each span, the sum over its shingles weighted by their places."""
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
     counts = np.maximum(ends - starts - SHINGLE + 1, 1)
     owner = np.repeat(np.arange(len(starts)), counts)
-    at = np.arange(len(owner)) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+    heads = np.cumsum(counts) - counts
+    place = np.arange(len(owner)) - np.repeat(heads, counts)
     padded = np.concatenate([data, np.zeros(SHINGLE, np.uint8)])
     codes = np.empty(len(data), U64)  # the eight bytes from each position on
     for k in range(SHINGLE):
         part = padded[k:k + (len(padded) - k) // 8 * 8].view("<u8")
         codes[k::SHINGLE] = part[:len(codes[k::SHINGLE])]
-    codes = codes[at]
+    codes = codes[place + np.repeat(starts, counts)]
     short = ends - starts < SHINGLE
     if short.any():  # the bytes behind a short line don't belong to it
-        first = (np.cumsum(counts) - counts)[short]
+        first = heads[short]
         codes[first] &= (U64(1) << (U64(8) * (ends - starts)[short].astype(U64))) - U64(1)
     hashed = mix(codes ^ SEEDS[4])
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(mix(hashed + (at - np.repeat(starts, counts)).astype(U64)), np.cumsum(counts) - counts)
+        sums = np.add.reduceat(hashed * (2 * place + 1).view(U64), heads)
     return owner, hashed, sums
 
 
@@ -83,17 +87,15 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     table = np.full(n * BINS, EMPTY, U64)
     np.minimum.at(table, owner * BINS + (hashes & U64(BINS - 1)).astype(np.int64), hashes)
     table = table.reshape(n, BINS)
-    empty = table == EMPTY
     filled = table.copy()
+    rows, bins = np.nonzero(table == EMPTY)
     for k in range(BINS):
-        if not empty.any():
+        if not len(rows):
             break
-        rows, bins = np.nonzero(empty)
-        source = ASKED[bins, k]
-        value = table[rows, source]
+        value = table[rows, ASKED[bins, k]]
         ok = value != EMPTY
         filled[rows[ok], bins[ok]] = mix(value[ok] ^ SEEDS[1])
-        empty[rows[ok], bins[ok]] = False
+        rows, bins = rows[~ok], bins[~ok]
     return filled
 
 
@@ -107,7 +109,7 @@ def bands(table: np.ndarray) -> np.ndarray:
 
 def scan(column: pa.Array):
     """Slices (first row, bytes, starts, ends, row, line number, id) of lines."""
-    for first, _, raw, offs in texts(column):
+    for first, _, raw, offs in texts(column, CACHED):
         data = LOWER[raw]
         starts, ends, row, number = line_spans(data, offs)
         hashed = span_hashes(data, starts, ends)
@@ -199,7 +201,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"),
                                    *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]).filter("lo = hi"))
     distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), "distinct-lines")
-    buckets = distinct.select(F.explode("bands").alias("bucket"), "id", "size").distinct()
+    buckets = distinct.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id", "size")  # an id is in one row
     found = link(buckets, SIMILARITY, verifier(docs), near(SIMILARITY, SKETCH))
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = written(named.groupBy("component").agg(F.min("first").alias("head")), "line-heads")
