@@ -16,7 +16,6 @@ EMAIL_PATTERN = r"\S*[a-zA-Z0-9+_.-]+@[a-zA-Z0-9.-]+\S*"
 DIGIT_PATTERN = r"\p{Nd}"
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 BOW_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-MAX_UTTERANCE_TOKENS = 40
 
 # fixed values: English stop-word list used by the RAKE phrase splitter
 # (the classic 179-word NLTK English list)
@@ -71,13 +70,15 @@ def default_tokenizer(c: Column) -> Column:
     return word_tokens(F.lower(c))
 
 
-def rake_tokens(text: Column, max_tokens: int = MAX_UTTERANCE_TOKENS,
+def rake_tokens(text: Column, max_tokens: int | None = None,
                 lemma: Column | None = None) -> Column:
     """Cleaning chain of the keyword detector: URL text dropped, lower case,
-    e-mails and digits removed, word tokens, utterances above ``max_tokens``
-    tokens emptied.  (Lemmatisation is an optional map column ``lemma``.)"""
+    e-mails and digits removed, word tokens.  Every text keeps all its tokens unless
+    ``max_tokens`` is given, which empties longer ones.  (Lemmatisation is an optional map column ``lemma``.)"""
     t = strip_digits(strip_email(let(text, lambda x: F.lower(strip_url_text(x)))))
-    toks = let(word_tokens(t), lambda w: F.when(F.size(w) > max_tokens, F.array().cast("array<string>")).otherwise(w))
+    toks = word_tokens(t)
+    if max_tokens is not None:
+        toks = let(toks, lambda w: F.when(F.size(w) > max_tokens, F.array().cast("array<string>")).otherwise(w))
     if lemma is not None:
         toks = F.transform(toks, lambda w: F.coalesce(F.element_at(lemma, w), w))
     return toks

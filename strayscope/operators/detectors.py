@@ -31,6 +31,10 @@ HASH_A, HASH_B, HASH_C = 48271, 69621, 40692
 HASH_A2, HASH_C2 = 1583458089, 12345
 
 
+class NotApplicable(ValueError):
+    """The configuration doesn't fit the training data (it needs or refuses OOD rows)."""
+
+
 class Detector:
     name = "base"
     outdomain_is_lower = False
@@ -44,7 +48,7 @@ class Detector:
         if missing:
             raise ValueError(f"missing columns {sorted(missing)}")
         if self.forbids_ood_in_train and train.filter(F.col("intent") == self.ood_label).limit(1).count() > 0:
-            raise ValueError(f"found {self.ood_label!r} in training data; {self.name} needs in-domain rows only")
+            raise NotApplicable(f"found {self.ood_label!r} in training data; {self.name} needs in-domain rows only")
 
     def fit(self, train: DataFrame) -> "Detector":
         self.check_train(train)
@@ -442,7 +446,7 @@ class BinaryMSP(_HeadDetector):
     def _fit(self, train):
         self.train = train.select("id", "v", (F.col("intent") == self.ood_label).cast("string").alias("intent"))
         if self.train.filter(F.col("intent") == "true").limit(1).count() == 0:
-            raise ValueError("binary_msp needs out-of-domain rows in the training data")
+            raise NotApplicable("binary_msp needs out-of-domain rows in the training data")
         self.head = CentroidHead(self.temperature).fit(self.train)
 
     def _from_probs(self, p, head, x):

@@ -21,7 +21,8 @@ from .text import join_dimension, md5_uniform
 LOG_WEIGHT_MU = 0.35
 LOG_WEIGHT_MIN = 0.65
 SPLIT_TOLERANCE = 0.15
-MAX_POWERSET_CLASSES = 20
+DIRECT_CLASSES = 20  # subsets of so many classes are one range
+MASK_CLASSES = 62  # bits of a mask
 
 
 def class_counts(df: DataFrame, label: str = "intent", by: tuple[str, ...] = ()) -> DataFrame:
@@ -87,26 +88,39 @@ def open_set_splits(df: DataFrame, ratio: float, label: str = "intent",
                     tolerance: float = SPLIT_TOLERANCE) -> DataFrame:
     """All class subsets whose row count lies within ratio*n*(1 +- tolerance).
 
-    Subsets are bitmasks over the lexically ordered classes (C <= 20); the row
-    count of a mask is a sum of per-class counts selected by its bits, so the
-    2^C candidates are a ``range`` with one arithmetic column - no join.
+    Subsets are bitmasks over the lexically ordered classes; the row count of a
+    mask is a sum of per-class counts selected by its bits, so the subsets of the
+    20 largest classes are a ``range`` with one arithmetic column - no join.
+    Further classes are put in or left out one by one; a subset that has too many
+    rows, or can't reach enough with the classes to come, is not carried on.
+    Above 62 classes the subsets in question are too many to list.
     Returns (mask, n_rows, classes, complement) with comma-joined class lists."""
-    # at most MAX_POWERSET_CLASSES + 1 class rows ever reach the driver
-    counts = sorted((r[label], int(r["n"])) for r in class_counts(df, label).limit(MAX_POWERSET_CLASSES + 1).collect())
+    # at most MASK_CLASSES + 1 class rows ever reach the driver
+    counts = sorted((r[label], int(r["n"])) for r in class_counts(df, label).limit(MASK_CLASSES + 1).collect())
     C = len(counts)
-    if C > MAX_POWERSET_CLASSES:
-        raise ValueError(f"{C} classes: the power set is limited to {MAX_POWERSET_CLASSES} classes")
+    if C > MASK_CLASSES:
+        raise ValueError(f"more than {MASK_CLASSES} classes: a mask has {MASK_CLASSES} bits")
     total = sum(n for _, n in counts)
     lo, hi = (1 - tolerance) * ratio * total, (1 + tolerance) * ratio * total
     spark = df.sparkSession
-    m = F.col("id")
-    bits = [F.shiftright(m, i).bitwiseAND(1) for i in range(C)]
-    n_rows = sum(b * n for b, (_, n) in zip(bits, counts))
+    by_size = sorted(range(C), key=lambda i: (-counts[i][1], i))
+    head, tail = sorted(by_size[:DIRECT_CLASSES]), by_size[DIRECT_CLASSES:]
+    small = [F.shiftright(F.col("id"), k).bitwiseAND(1) for k in range(len(head))]
+    mask = sum((F.shiftleft(b, i) for b, i in zip(small, head)), F.lit(0).cast("long"))
+    n_rows = sum((b * counts[i][1] for b, i in zip(small, head)), F.lit(0).cast("long"))
+    open_rows = sum(counts[i][1] for i in tail)
+    out = spark.range(0, 1 << len(head)).select(mask.alias("mask"), n_rows.alias("n_rows"))
+    for i in tail:
+        out = out.filter((F.col("n_rows") <= hi) & (F.col("n_rows") + open_rows >= lo))
+        out = out.select("mask", "n_rows", F.explode(F.array(F.lit(0), F.lit(1))).alias("in")).select(
+            (F.col("mask") + F.col("in") * F.lit(1 << i).cast("long")).alias("mask"),
+            (F.col("n_rows") + F.col("in") * F.lit(counts[i][1]).cast("long")).alias("n_rows"))
+        open_rows -= counts[i][1]
+    bits = [F.shiftright("mask", i).bitwiseAND(1) for i in range(C)]
     chosen = F.concat_ws(",", *[F.when(b == 1, F.lit(c)) for b, (c, _) in zip(bits, counts)])
     other = F.concat_ws(",", *[F.when(b == 0, F.lit(c)) for b, (c, _) in zip(bits, counts)])
-    out = spark.range(0, 1 << C).select(m.alias("mask"), n_rows.cast("long").alias("n_rows"),
-                                        chosen.alias("classes"), other.alias("complement"))
-    return out.filter((F.col("n_rows") >= lo) & (F.col("n_rows") <= hi))
+    out = out.filter((F.col("n_rows") >= lo) & (F.col("n_rows") <= hi))
+    return out.select("mask", "n_rows", chosen.alias("classes"), other.alias("complement"))
 
 
 def pick_splits(splits: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -67,13 +67,16 @@ def keyword_hits(df: DataFrame, keywords: DataFrame, text_col: str = "text") ->
     (whole-token, contiguous match).
 
     Candidates are anchored on keyword first words: a token only spawns the
-    n-grams of the lengths that keywords starting with it actually have
-    (at most 40 per token), so stop words and unknown words spawn nothing."""
+    n-grams of the lengths that keywords starting with it actually have, so stop
+    words and unknown words spawn nothing.  Places, not token arrays, go through
+    the join; they meet their tokens again by id."""
     firsts = keywords.select(F.split("phrase", " ")[0].alias("tok"), "n_words").distinct()
     toks = df.select("id", T.rake_tokens(F.col(text_col)).alias("toks"))
-    pos = toks.select("id", "toks", F.posexplode("toks").alias("pos", "tok"))
-    cand = join_dimension(pos, firsts, "tok").filter(F.col("pos") + F.col("n_words") <= F.size("toks"))
-    grams = cand.select("id", F.array_join(F.slice("toks", F.col("pos") + 1, F.col("n_words")), " ").alias("phrase"))
+    pos = toks.select("id", F.size("toks").alias("size"), F.posexplode("toks").alias("pos", "tok"))
+    cand = join_dimension(pos, firsts, "tok").filter(F.col("pos") + F.col("n_words") <= F.col("size"))
+    spans = cand.groupBy("id").agg(F.collect_set(F.struct("pos", "n_words")).alias("spans"))  # of one text
+    grams = spans.join(toks, "id").select("id", F.explode(F.transform(
+        "spans", lambda s: F.array_join(F.slice("toks", s["pos"] + 1, s["n_words"]), " "))).alias("phrase"))
     return join_dimension(grams, keywords.select("phrase"), "phrase", "left_semi").select("id").distinct()
 
 

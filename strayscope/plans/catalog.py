@@ -793,7 +793,7 @@ def stratified_folds_sources(spark, sf_dir):
 
 # ------------------------------------------------------------ short-text fixture (conversations)
 CONV_UT = """
-ut AS (SELECT conv_id * 1000 + turn AS id, text, CASE WHEN role = 'system' THEN 'oos' ELSE role END AS intent,
+ut AS (SELECT conv_id * 2147483648 + turn AS id, text, CASE WHEN role = 'system' THEN 'oos' ELSE role END AS intent,
               CASE WHEN conv_id % 5 < 3 THEN 'train' WHEN conv_id % 5 = 3 THEN 'val' ELSE 'test' END AS split
        FROM conversations)"""
 
@@ -834,10 +834,10 @@ register("bench_likelihood_ratio_conversations",
 
 
 CROSS_UT = """
-ut AS (SELECT doc_id AS id, text, lang AS intent,
+ut AS (SELECT 2 * doc_id AS id, text, lang AS intent,
               CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'val' ELSE 'test' END AS split FROM documents
        UNION ALL
-       SELECT item_id + 1000000000 AS id, text, 'oos' AS intent, CASE WHEN item_id % 2 = 0 THEN 'val' ELSE 'test' END AS split
+       SELECT 2 * item_id + 1 AS id, text, 'oos' AS intent, CASE WHEN item_id % 2 = 0 THEN 'val' ELSE 'test' END AS split
        FROM benchmark)"""
 
 register("bench_likelihood_ratio_cross_corpus",

@@ -204,7 +204,7 @@ FROM lc"""
 UTT = r"""
 u0 AS (SELECT doc_id, lang, UNNEST(regexp_split_to_array(text, '[.\n]+')) AS raw,
               UNNEST(generate_series(0, len(regexp_split_to_array(text, '[.\n]+')) - 1)) AS pos FROM documents),
-ut AS (SELECT doc_id * 1000000 + pos AS id, trim(raw) AS text,
+ut AS (SELECT doc_id * 2147483648 + pos AS id, trim(raw) AS text,
               CASE WHEN lang = 'es' THEN 'oos' ELSE lang END AS intent,
               CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'val' ELSE 'test' END AS split
        FROM u0 WHERE length(trim(raw)) > 0)"""
@@ -222,7 +222,7 @@ rt AS (SELECT id, intent, split, regexp_extract_all(
                         '\S*[a-zA-Z0-9+_.-]+@[a-zA-Z0-9.-]+\S*', '', 'g'), '\p{{Nd}}', '', 'g'),
          '[\p{{L}}\p{{N}}_]+') AS toks0 FROM ut),
 rt2 AS (SELECT id, intent, split, CAST(intent = 'oos' AS INTEGER) AS y,
-               CASE WHEN len(toks0) > 40 THEN []::VARCHAR[] ELSE toks0 END AS toks FROM rt),
+               toks0 AS toks FROM rt),
 ph AS (SELECT DISTINCT trim(p) AS phrase FROM (
          SELECT UNNEST(string_split(array_to_string(list_transform(toks, lambda w:
                   CASE WHEN list_contains({_sql_list(RAKE_STOPWORDS)}, w) THEN chr(1) ELSE w END), ' '), chr(1))) AS p
@@ -237,7 +237,7 @@ kw AS (SELECT phrase, n_words FROM kw0 WHERE NOT list_contains({_sql_list(KEYWOR
 RAKE_PRED = """
 tt AS (SELECT id, y, toks FROM rt2 WHERE split = 'test'),
 grams AS (SELECT tt.id, array_to_string(tt.toks[s:s + L.n - 1], ' ') AS g
-          FROM tt, (SELECT DISTINCT n_words AS n FROM kw) L, range(1, 41) r(s) WHERE s + L.n - 1 <= len(tt.toks)),
+          FROM tt, (SELECT DISTINCT n_words AS n FROM kw) L, unnest(range(1, len(tt.toks) + 1)) r(s) WHERE s + L.n - 1 <= len(tt.toks)),
 hits AS (SELECT DISTINCT id FROM grams WHERE g IN (SELECT phrase FROM kw)),
 rpred AS (SELECT tt.id, tt.y, tt.id NOT IN (SELECT id FROM hits) AS is_ood_pred FROM tt)"""
 
@@ -287,7 +287,7 @@ sc AS (SELECT id, split, y, max(mp) AS score FROM (SELECT id, split, y, cls, avg
 
 
 CONV_EMB = r"""
-ct AS (SELECT conv_id * 1000 + turn AS id, text, CASE WHEN role = 'system' THEN 'oos' ELSE role END AS intent,
+ct AS (SELECT conv_id * 2147483648 + turn AS id, text, CASE WHEN role = 'system' THEN 'oos' ELSE role END AS intent,
               CASE WHEN conv_id % 5 < 3 THEN 'train' WHEN conv_id % 5 = 3 THEN 'val' ELSE 'test' END AS split
        FROM conversations),
 tk AS (SELECT id, intent, split, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS toks FROM ct),

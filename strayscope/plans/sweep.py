@@ -3,12 +3,14 @@
 The grid is small and fixed (configurations, not data), so the driver loops
 over it; each configuration is a full Spark job chain (fit -> score once ->
 tune -> metrics) that returns one row.  Detectors that refuse OOD rows in
-training, or need them, skip that configuration (the reference writes no
-result file then).  Rows can be written with the run-results sink.
+training, or need them, skip that configuration with a logged reason (the
+reference writes no result file then); any other error ends the sweep.  Rows can be written with the run-results sink.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -45,8 +47,9 @@ def run_sweep(spark: SparkSession, sf_dir: str, detectors=GRID_DETECTORS, ood_op
                     res = B.benchmark_adb(splits).first().asDict()
                 else:
                     res = B.benchmark(_make(name, ood_in_train), splits).first().asDict()
-            except ValueError:
-                continue  # configuration not applicable (OOD rows required or forbidden)
+            except D.NotApplicable as reason:
+                logging.getLogger(__name__).warning("skipped %s, ood_in_train=%s: %s", name, ood_in_train, reason)
+                continue
             rows.append((dataset, name, "precomputed", ood_in_train, *[res.get(m) for m in METRICS]))
     out = B.round_cols(spark.createDataFrame(rows, SCHEMA))  # one row per configuration
     if out_dir:

@@ -70,16 +70,21 @@ def vector_splits(spark: SparkSession, sf_dir: str, ood_in_train: bool = False)
     return _three(vector_table(spark, sf_dir), ood_in_train)
 
 
+def pair_id(key: str, pos: str):
+    """One long for (key, pos): ``pos`` is an int, so no two pairs share one; a key of
+    2^32 or more overflows, which is an error in ANSI mode, not a merged row."""
+    return F.col(key).cast("long") * F.lit(1 << 31) + F.col(pos).cast("int")
+
+
 def utterance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` exploded into trimmed, non-empty utterances.
 
-    Key is (doc_id, pos); ``id`` = doc_id * 1_000_000 + pos is a convenience
-    single-column key (documents hold far fewer than 10^6 utterances)."""
+    Key is (doc_id, pos); ``id`` is the single-column key of ``pair_id``."""
     d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     u = (d.select("doc_id", "lang", F.posexplode(F.split("text", UTTERANCE_SPLIT)).alias("pos", "raw"))
          .select("doc_id", "pos", F.trim("raw").alias("text"), F.col("lang").alias("intent"))
          .filter(F.length("text") > 0))
-    return u.select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("id"), "doc_id", "pos", "text",
+    return u.select(pair_id("doc_id", "pos").alias("id"), "doc_id", "pos", "text",
                     F.when(F.col("intent") == TEXT_OOD_LANG, F.lit(OOD_LABEL)).otherwise(F.col("intent")).alias("intent"),
                     split_of(F.col("doc_id")).alias("split"))
 
@@ -91,7 +96,7 @@ def utterance_splits(spark: SparkSession, sf_dir: str, ood_in_train: bool = Fals
 def short_text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` -> (id, text, intent=role, split by conversation)."""
     c = spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text",
+    return c.select(pair_id("conv_id", "turn").alias("id"), "text",
                     F.when(F.col("role") == SHORT_TEXT_OOD_ROLE, F.lit(OOD_LABEL)).otherwise(F.col("role")).alias("intent"),
                     split_of(F.col("conv_id")).alias("split"))
 
@@ -105,17 +110,15 @@ def cross_corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(b)
 
 
-FOREIGN_ID_OFFSET = 1_000_000_000
-
-
 def cross_corpus_splits(spark: SparkSession, sf_dir: str) -> Splits:
     """Foreign-corpus OOD: whole ``documents`` are in-domain (split by doc_id),
     ``benchmark`` items are the OOD rows of validation (even item_id) and test
-    (odd item_id); they never appear in training."""
+    (odd item_id); they never appear in training.  Ids are 2 * doc_id and
+    2 * item_id + 1, so the two corpora share none."""
     d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    docs = d.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("intent"), split_of(F.col("doc_id")).alias("split"))
+    docs = d.select((2 * F.col("doc_id")).alias("id"), "text", F.col("lang").alias("intent"), split_of(F.col("doc_id")).alias("split"))
     b = read_table(spark, sf_dir, "benchmark")
-    foreign = b.select((F.col("item_id") + FOREIGN_ID_OFFSET).alias("id"), "text", F.lit(OOD_LABEL).alias("intent"),
+    foreign = b.select((2 * F.col("item_id") + 1).alias("id"), "text", F.lit(OOD_LABEL).alias("intent"),
                        F.when(F.pmod("item_id", F.lit(2)) == 0, "val").otherwise("test").alias("split"))
     return _three(docs.unionByName(foreign), False)
 

@@ -21,7 +21,7 @@ RESULT_METRICS = ("fpr_95", "fpr_90", "fpr95", "fpr90", "aupr", "auroc", "f1", "
 
 def _pairs(df: DataFrame, key: str, split: str, code: int) -> DataFrame:
     return (df.select(F.posexplode(key).alias("pos", "p"))
-            .select((F.lit(code) * 1_000_000_000 + F.col("pos")).alias("id"),
+            .select((F.lit(code).cast("long") * F.lit(1 << 31) + F.col("pos")).alias("id"),
                     F.col("p")[0].alias("text"), F.col("p")[1].alias("intent"), F.lit(split).alias("split")))
 
 

@@ -72,3 +72,26 @@ def test_partition_count_invariance(spark, parts):
     ref_folds = sorted((r["id"], r["fold"]) for r in P.stratified_folds(FX.vector_table(spark, SF01)).collect())
     assert folds == ref_folds
     assert roc_rows[0][3] >= 0 and len(roc_rows) == 7
+
+
+def test_open_set_splits_of_25_classes(spark):
+    from strayscope.operators.prep import open_set_splits
+    sizes = [1 + (7 * k) % 11 for k in range(22)] + [600, 700, 5]
+    rows = [(f"c{k:02d}",) for k, n in enumerate(sizes) for _ in range(n)]
+    total = sum(sizes)
+    ratio, tolerance = 0.5, 0.001
+    got = open_set_splits(spark.createDataFrame(rows, "intent string"), ratio, tolerance=tolerance)
+    sums = np.zeros(1, np.int64)
+    for n in sizes:
+        sums = np.concatenate([sums, sums + n])
+    want = np.flatnonzero((sums >= (1 - tolerance) * ratio * total) & (sums <= (1 + tolerance) * ratio * total))
+    found = got.selectExpr("count(*) AS n", "count(DISTINCT mask) AS d", "sum(mask) AS s", "sum(n_rows) AS r").first()
+    assert (found.n, found.d, found.s, found.r) == (len(want), len(want), int(want.sum()), int(sums[want].sum()))
+
+
+def test_long_texts_keep_their_tokens(spark):
+    from strayscope.operators.text import keyword_hits
+    words = " ".join(f"w{k % 50}x" for k in range(3000)).replace("0", "a").replace("1", "b")
+    docs = spark.createDataFrame([(1, words + " needle stack"), (2, words), (3, None), (4, "")], "id long, text string")
+    keys = spark.createDataFrame([("needle stack", 2), ("absent", 1)], "phrase string, n_words int")
+    assert [r.id for r in keyword_hits(docs, keys).collect()] == [1]
