@@ -15,7 +15,9 @@ def test_cleaning_edges(spark):
             (5, "12345"), (6, " ".join(["w"] * 41)), (7, "Café Ünïcode 3rd")]
     df = spark.createDataFrame(rows, "id long, text string")
     got = {r["id"]: r["c"] for r in df.select("id", T.rake_text(T.rake_tokens(F.col("text"))).alias("c")).collect()}
-    assert got[2] == "" and got[3] == "" and got[5] == "" and got[6] == ""
+    assert got[2] == "" and got[3] == "" and got[5] == "" and got[6] == "w " * 41
+    cut = df.filter("id = 6").select(T.rake_text(T.rake_tokens(F.col("text"), max_tokens=40)).alias("c")).first()
+    assert cut.c == ""
     assert got[4] == "mail me at please "
     assert got[7] == "café ünïcode rd "
 
