@@ -1,16 +1,20 @@
 """Operator 3: substring deduplication by sliding sentence spans.
 
-Sentences end at ``.``, ``!`` or ``?`` before white space, and at line breaks.  At
-every sentence starts one span: at least ``SENTENCES`` consecutive sentences, and
-as many more as it takes to hold ``WORDS`` words (so that three one-word sentences
-aren't a passage).  All spans are hashed to 128 bits and grouped globally; the
-first occurrence of each, by (doc_id, sentence number), stays, and every sentence
-that another occurrence covers is removed.
-
-Grouping keeps one row per distinct span and pre-aggregates; occurrences of
-repeated spans are found in a second scan, where a fixed-size filter drops
-nearly all spans that occur once before they are shuffled.  Defined results: null
+Sentences end at ``.``, ``!`` or ``?`` before white space, and at line breaks.  Long
+ones are cut into pieces at places that the nearby words alone decide (no piece has
+more than 2 * ``APART`` + ``WINDOW`` - 2 words), so that a passage has the same pieces
+wherever it is pasted, also if its first and last sentence merge with their
+surroundings.  A span is a run of at least ``SENTENCES`` whole sentences and ``WORDS``
+words, or a run of pieces of at least ``PASSAGE`` words; the shortest such runs from
+each start on and back from each end are taken, which together cover every longer
+one.  All spans are hashed, word by word, to 128 bits and grouped globally; the first
+occurrence of each, by (doc_id, piece number), stays, and every piece that another
+occurrence covers is removed.
+
+A first scan counts the spans by half of their hash; the others run over what a
+fixed-size filter of the repeated halves lets through.  Defined results: null
 and empty texts have no sentences; a document shorter than a span has no spans;
+white space between words doesn't count (line breaks end sentences);
 rows with a null doc_id take no part and keep their text; rows that repeat a
 doc_id count as one; an empty table stays empty."""
 
@@ -25,8 +29,12 @@ from pyspark.sql import types as T
 from strayscope.llm.common import U64, fresh, mix, quoted, row_of, run_hashes, runs, seeds, span_hashes, texts, written
 from strayscope.llm.linking import bloom, maybe_in
 
-SENTENCES = 3
+SENTENCES = 2
 WORDS = 8
+#: words of a run of pieces
+PASSAGE = 16
+#: words between a cut and the ends of its sentence; places of which the least is a cut
+APART, WINDOW = 4, 5
 SEEDS = seeds(4, 7)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -55,20 +63,61 @@ def sentences(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, last, row_of(first, offs), inside
 
 
-def spans(raw: np.ndarray, offs: np.ndarray, n_sentences: int = SENTENCES, n_words: int = WORDS):
-    """(row, first sentence, end sentence, two hashes) of every span; sentences are
-    numbered within their row."""
-    starts, ends, row, words = sentences(raw, offs)
-    n = len(starts)
-    per_row = np.bincount(row, minlength=len(offs) - 1)
-    base = np.cumsum(per_row) - per_row
-    total = np.concatenate([[0], np.cumsum(words)])
-    at = np.arange(n)
-    end = np.maximum(at + n_sentences, np.searchsorted(total, total[:-1] + n_words)) if n else at
-    ok = end <= (base + per_row)[row]
-    at, end, row = at[ok], end[ok], row[ok]
+def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Byte start of each piece, its first word, whether it starts a sentence, its
+    row, and the hashes of the words."""
+    first, _, _, inside = sentences(raw, offs)
+    starts, ends = runs(~SPACE[raw], offs)
     codes = span_hashes(raw, starts, ends)
-    return row, at - base[row], end - base[row], run_hashes(codes, at, end), run_hashes(mix(codes ^ SEEDS[0]), at, end)
+    opens = np.zeros(len(starts), bool)
+    heads = np.searchsorted(starts, first)
+    opens[heads] = True
+    cuts = opens.copy()
+    if len(starts) >= WINDOW:
+        place = np.arange(len(starts)) - np.repeat(heads, inside)
+        free = (place >= APART) & (np.repeat(inside, inside) - place >= APART)
+        mark = codes.copy()
+        with np.errstate(over="ignore"):
+            mark[1:] += codes[:-1] * (SEEDS[1] | U64(1))
+        windows = np.lib.stride_tricks.sliding_window_view(mix(mark ^ SEEDS[2]), WINDOW)
+        # a window lies in one sentence if its last place is as much further in
+        ok = np.flatnonzero(free[:-WINDOW + 1] & free[WINDOW - 1:] & (place[WINDOW - 1:] - place[:-WINDOW + 1] == WINDOW - 1))
+        cuts[ok + windows[ok].argmin(axis=1)] = True
+    at = np.flatnonzero(cuts)
+    return starts[at], at, opens[at], row_of(starts[at], offs), codes
+
+
+def shortest(first: np.ndarray, row: np.ndarray, total: int, least: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shortest runs (from, to) of ``least`` units and ``n_words`` words within a row,
+    from each unit on and back from each; ``first`` is the first word of each unit."""
+    n = len(first)
+    edges = np.append(first, total)
+    low, high = np.searchsorted(row, row), np.searchsorted(row, row, "right")
+    at = np.arange(n)
+    to = np.maximum(at + least, np.searchsorted(edges, first + n_words))
+    back = np.minimum(at + 1 - least, np.searchsorted(edges, edges[1:] - n_words, "right") - 1)
+    on, off = to <= high, back >= low
+    return np.concatenate([at[on], back[off]]), np.concatenate([to[on], at[off] + 1])
+
+
+def spans(raw: np.ndarray, offs: np.ndarray):
+    """(row, first piece, end piece, two hashes) of every span; pieces are numbered
+    within their row."""
+    _, first, opens, row, codes = pieces(raw, offs)
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(U64), none.view(U64)
+    whole = np.flatnonzero(opens)
+    edges = np.append(whole, len(first))
+    a, b = shortest(first[whole], row[whole], len(codes), SENTENCES, WORDS)
+    c, d = shortest(first, row, len(codes), 1, PASSAGE)
+    wide = len(first) + 1
+    both = np.unique(np.concatenate([edges[a] * wide + edges[b], c * wide + d]))
+    at, end = both // wide, both % wide
+    words = np.append(first, len(codes))
+    base = np.searchsorted(row, row[at])
+    h1, h2 = (run_hashes(x, words[at], words[end]) for x in (codes, mix(codes ^ SEEDS[0])))
+    return row[at], at - base, end - base, h1, h2
 
 
 SPANS = "doc_id long, first int, end int, h1 long, h2 long"
@@ -92,21 +141,23 @@ def span_table(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, first, end, source): the occurrences after the first of repeated
+    """(doc_id, first, end, source): the occurrences (pieces first to end) after the first of repeated
     spans, and the doc_id that holds the first one."""
     docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).filter("doc_id IS NOT NULL")
     place = F.struct("doc_id", "first")
-    groups = span_table(docs).groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
+    often = span_table(docs).groupBy("h1").count().filter("count > 1").select("h1")
+    some = written(span_table(docs, bloom(often)), "likely-spans")
+    groups = some.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
     groups = written(groups.filter("head <> tail").select("h1", "h2", "head"), "repeated-spans")
-    some = span_table(docs, bloom(groups.select("h1")))
     return (some.join(groups, ["h1", "h2"]).filter(place != F.col("head"))
             .select("doc_id", "first", "end", F.col("head.doc_id").alias("source")))
 
 
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the covered sentences cut from ``text`` (each up to the start of
-    the next), and columns n_sentences, n_removed, source_ids (documents that hold
-    the first occurrences); columns of these names in ``docs`` are replaced."""
+    """``docs`` with the covered pieces cut from ``text`` (each up to the start of
+    the next), and columns n_sentences, n_removed (sentences cut, whole or in part),
+    source_ids (documents that hold the first occurrences); columns of these names in
+    ``docs`` are replaced."""
     rest = docs.drop("n_sentences", "n_removed", "source_ids")
     own, cuts = fresh(rest, "_key"), fresh(rest, "_spans")
     hits = (repeated_spans(docs, key, text).groupBy("doc_id")
@@ -121,14 +172,14 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             cleaned, counts, removed = [], [], []
             for t, cut in zip(batch.column(at).to_pylist(), batch.column(where).to_pylist(), strict=True):
                 raw = np.frombuffer((t or "").encode(), np.uint8)
-                starts, _, _, _ = sentences(raw, np.array([0, len(raw)]))
+                starts, _, opens, _, _ = pieces(raw, np.array([0, len(raw)]))
                 gone = np.zeros(len(starts) + 1, np.int64)
                 for s in cut or []:
                     gone[min(s["first"], len(starts))] += 1
                     gone[min(s["end"], len(starts))] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
-                counts.append(len(starts))
-                removed.append(int(gone.sum()))
+                counts.append(int(opens.sum()))
+                removed.append(len(np.unique(np.cumsum(opens)[gone])))
                 if gone.any():
                     edges = np.append(starts, len(raw))
                     head = raw[:edges[0]].tobytes()

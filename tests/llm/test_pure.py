@@ -115,6 +115,23 @@ def test_lines_and_sentences():
     assert words.tolist() == [2, 1, 1, 3, 1]
 
 
+def test_any_repeated_51_words_share_a_span():
+    rng = np.random.default_rng(5)
+
+    def prose(n):
+        stop = rng.random(n) < rng.choice([0.0, 0.02, 0.08, 0.3])
+        return [f"w{w}" + "." * int(s) for w, s in zip(rng.integers(0, 10**6, n), stop, strict=True)]
+
+    for _ in range(300):
+        passage = prose(51)
+        found = []
+        for _ in range(2):
+            raw = " ".join(prose(rng.integers(1, 60)) + passage + prose(rng.integers(1, 60))).encode()
+            _, _, _, h1, h2 = sentence_spans.spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            found.append(set(zip(h1.tolist(), h2.tolist(), strict=True)))
+        assert found[0] & found[1]
+
+
 def test_phrases_and_proximity_in_a_shard():
     docs = ["the cat sat on the mat", "cat the sat", None, "on the mat the cat"]
     terms = phrase_index.Queries([("q", "the cat sat on mat")]).terms

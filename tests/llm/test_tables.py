@@ -87,6 +87,28 @@ def test_spans(spark, docs):
     assert sentence_spans.dedup_spans(docs.filter("false")).count() == 0
 
 
+def test_spans_of_long_and_merged_sentences(spark):
+    prepare(spark)
+    r = random.Random(3)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    rows, passages = [], []
+    for k in range(30):  # 51 words and more without a whole sentence, or with one or two
+        passages.append(". ".join(text(n) for n in ([51], [25, 26], [4, 43, 5], [20, 9, 9, 20])[k % 4]))
+        rows += [(2 * k, f"{text(7)} {passages[k]} {text(9)}. {text(12)}."), (2 * k + 1, f"{text(5)}. {text(30)} {passages[k]} {text(4)}.")]
+    short = "Only two sentences are in here. That is all of it."
+    rows += [(100, short), (101, short), (102, text(60)), (103, rows[-1][1].upper())]
+    got = {x["doc_id"]: x for x in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for k, passage in enumerate(passages):
+        a, b = got[2 * k], got[2 * k + 1]
+        assert a["text"] == texts[2 * k] and b["source_ids"] == [2 * k] and b["n_removed"] > 0
+        left = set(b["text"].replace(".", "").split())
+        assert len(left & set(passage.replace(".", "").split())) <= 30
+        assert set(texts[2 * k + 1].replace(passage, "").replace(".", "").split()) <= left
+    assert got[100]["text"] == short and (got[101]["text"], got[101]["n_removed"]) == ("", 2)
+    assert all(got[i]["text"] == texts[i] for i in (102, 103))
+
+
 def test_bpe(docs):
     path = public_tokenizers.path(BYTE_BPE)
     rows = bpe_prefix.encode_documents(docs, path).collect()
