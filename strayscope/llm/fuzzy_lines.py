@@ -2,9 +2,9 @@
 
 Lines (cut at ``\\n``, stripped, A-Z lower-cased) are compared by their sets of
 character shingles (``SHINGLE`` bytes of UTF-8 at every position; a shorter line
-is one shingle).  One-permutation MinHash signatures of 32 bins, empty bins
-filled from a fixed pseudo-random other bin, are banded 8 x 4: lines at the threshold
-of 0.8 share a band with probability 0.985, at 0.9 with 0.9998.  Candidates are
+is one shingle).  One-permutation MinHash signatures of 64 bins, empty bins
+filled from a fixed pseudo-random other bin, are banded 16 x 4: lines at the threshold
+of 0.8 share a band with probability 0.9998, at 0.9 with 0.9999999.  Candidates are
 verified by the exact Jaccard similarity of their whole shingle sets, links are
 joined to components (distributed star rounds), and the first line of each
 component, by (doc_id, line number), stays.
@@ -27,7 +27,7 @@ from strayscope.llm.linking import bloom, link, maybe_in, near
 
 SHINGLE = 8
 SIMILARITY = 80
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 16, 4
 BINS = BANDS * ROWS
 #: longs of a line's odd sketch, which bounds how many shingles two lines differ in
 SKETCH = 16
@@ -100,11 +100,11 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def bands(table: np.ndarray) -> np.ndarray:
-    """Band keys, ``n`` x ``BANDS``."""
+    """Band keys, ``n`` x ``BANDS``: 32 bits, to which the bucket adds the band's number."""
     weights = seeds(ROWS, 6) | U64(1)
     with np.errstate(over="ignore"):
         parts = mix((table.reshape(len(table), BANDS, ROWS) * weights).sum(axis=2, dtype=U64))
-    return mix(parts + np.arange(BANDS, dtype=U64) * SEEDS[2])
+        return (mix(parts + np.arange(BANDS, dtype=U64) * SEEDS[2]) >> U64(32)).astype(np.uint32)
 
 
 def scan(column: pa.Array):
@@ -116,7 +116,7 @@ def scan(column: pa.Array):
         yield first, data, starts, ends, row, number, hashed
 
 
-LINES = "doc_id long, line int, id long, check long, size int, bands array<long>"
+LINES = "doc_id long, line int, id long, check long, size int, bands array<int>"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -126,11 +126,11 @@ def line_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first, data, starts, ends, row, number, hashed in scan(batch.column(1)):
                 owner, marks, sums = shingles(data, starts, ends)
-                keys = bands(signatures(owner, marks, len(starts))) if len(starts) else np.zeros((0, BANDS), U64)
+                keys = bands(signatures(owner, marks, len(starts))) if len(starts) else np.zeros((0, BANDS), np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(first + row)), pa.array(number.astype(np.int32)), pa.array(hashed.view(np.int64)),
                      pa.array(sums.view(np.int64)), pa.array(np.maximum(ends - starts - SHINGLE + 1, 1).astype(np.int32)),
-                     list_array(keys.ravel().view(np.int64), np.full(len(keys), BANDS), pa.int64())],
+                     list_array(keys.ravel().view(np.int32), np.full(len(keys), BANDS), pa.int32())],
                     names=["doc_id", "line", "id", "check", "size", "bands"])
 
     return docs.mapInArrow(run, LINES)
@@ -201,7 +201,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"),
                                    *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]).filter("lo = hi"))
     distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), "distinct-lines")
-    buckets = distinct.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id", "size")  # an id is in one row
+    buckets = distinct.select("id", "size", F.posexplode("bands").alias("band", "part"))  # an id is in one row
+    buckets = buckets.select((F.col("band") * F.lit(1 << 32) + F.col("part")).alias("bucket"), "id", "size")
     found = link(buckets, SIMILARITY, verifier(docs), near(SIMILARITY, SKETCH))
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = written(named.groupBy("component").agg(F.min("first").alias("head")), "line-heads")

@@ -115,6 +115,22 @@ def test_lines_and_sentences():
     assert words.tolist() == [2, 1, 1, 3, 1]
 
 
+def test_lines_at_the_threshold_share_a_band():
+    rng = np.random.default_rng(11)
+    mates, lines = [], []
+    while len(mates) < 2000:
+        line = rng.integers(97, 123, rng.integers(100, 1000), dtype=np.uint8)
+        n = len(line) - fuzzy_lines.SHINGLE + 1
+        cut = n // 5  # a head less: Jaccard (n - cut) / n, just over 0.8
+        mates.append((len(lines), len(lines) + 1))
+        lines += [line, line[cut:]]
+    ends = np.cumsum([len(x) for x in lines])
+    owner, marks, _ = fuzzy_lines.shingles(np.concatenate(lines), ends - [len(x) for x in lines], ends)
+    keys = fuzzy_lines.bands(fuzzy_lines.signatures(owner, marks, len(lines)))
+    a, b = np.array(mates).T
+    assert (keys[a] == keys[b]).any(axis=1).mean() >= 0.9995
+
+
 def test_any_repeated_51_words_share_a_span():
     rng = np.random.default_rng(5)
 
