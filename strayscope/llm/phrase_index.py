@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strayscope.llm.common import LOWER, fresh, list_array, quoted, row_of, runs, span_hashes, texts, written
@@ -158,11 +158,14 @@ class Shard:
         return hits
 
 
-def build_index(docs: DataFrame, terms: np.ndarray, key: str = "doc_id", text: str = "text", gap: int = WINDOW) -> DataFrame:
+def build_index(docs: DataFrame, terms: np.ndarray, key: str = "doc_id", text: str = "text", gap: int = WINDOW,
+                row: str | None = None) -> DataFrame:
     """Write the positional index of ``docs`` over the given terms (sorted hashes).
 
-    ``row`` numbers the rows, so that rows with null or repeated keys stay apart."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].cast("long").alias("key"), docs[text].alias("text"))
+    ``row`` numbers the rows (by a column of ``docs``, if named), so that rows with
+    null or repeated keys stay apart."""
+    number = quoted(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), docs[key].cast("long").alias("key"), docs[text].alias("text"))
     return written(rows.mapInArrow(lambda batches: index_rows(batches, terms, gap), INDEX), "phrase-index")
 
 
@@ -217,12 +220,12 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[st
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-                       item_text: str = "text", width: int = WINDOW) -> DataFrame:
+                       item_text: str = "text", width: int = WINDOW, row: str | None = None) -> DataFrame:
     """Per row of ``docs``: row, key, n_words, merged hit spans, ids of hit items."""
     parts = []
     for block in item_blocks(items, item_key, item_text):
         queries = Queries(block, width)
-        index = build_index(docs, queries.terms, key, text, width)
+        index = build_index(docs, queries.terms, key, text, width, row)
         parts.append(index.mapInArrow(lambda batches, q=queries: search_rows(batches, q, width), HITS))
     if len(parts) == 1:
         return parts[0]
@@ -238,20 +241,28 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     return all_hits.mapInArrow(join_spans, HITS)
 
 
+def words_hit() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
+
+
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spans = contaminated_spans(docs, items, **options)
     ids = F.array_sort("items")
     return spans.select(
         F.col("key").alias("doc_id"), "n_words",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"]).alias("n_hit"),
+        words_hit().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", max_share: float = 0.0, **options) -> DataFrame:
-    """``docs`` without the rows whose key has more than ``max_share`` of its words hit."""
-    own = fresh(docs, "_bad")
-    bad = (contamination(docs, items, key=key, **options).filter(F.col("n_hit") > max_share * F.col("n_words"))
-           .select(F.col("doc_id").alias(own)).distinct())
-    return docs.join(bad, quoted(key).cast("long") == F.col(own), "left_anti")
+    """``docs`` without the rows that have more than ``max_share`` of their words hit.
+
+    Each row goes or stays by its own text, also if its key is null or another row's:
+    the rows are numbered and written once, and found again by their number."""
+    row = fresh(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    bad = (contaminated_spans(rows, items, key=key, row=row, **options).filter(words_hit() > max_share * F.col("n_words"))
+           .select(F.col("row").alias(row)))
+    return rows.join(bad, row, "left_anti").drop(row)

@@ -180,3 +180,14 @@ def test_decontamination(spark, docs):
     assert clean.columns == docs.columns and clean.count() == 8
     assert not any(r["contaminated"] for r in phrase_index.contamination(docs, items.filter("false")).collect())
     assert phrase_index.contamination(docs.filter("false"), items).count() == 0
+
+
+def test_decontamination_decides_per_row(spark):
+    prepare(spark)
+    leak, clean = "so two words is it", "nothing of the kind here"
+    rows = [(None, leak), (None, clean), (7, leak), (7, clean), (8, clean), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row int").repartition(3)
+    items = spark.createDataFrame([(1, "two WORDS")], "item_id long, text string")
+    left = phrase_index.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and {r["_row"] for r in left.collect()} == {1, 3, 4, 5, 6} and left.count() == 5
+    assert phrase_index.drop_contaminated(docs, items.filter("false")).count() == 7
