@@ -59,6 +59,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def text_hash(name: str) -> Column:
+    """Tells rows with the same key but different texts apart."""
+    return F.xxhash64(quoted(name).cast("string"))
+
+
 # ------------------------------------------------------------ Arrow texts
 
 def texts(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -7,11 +7,12 @@ filled from a fixed pseudo-random other bin, are banded 16 x 4: lines at the thr
 of 0.8 share a band with probability 0.9998, at 0.9 with 0.9999999.  Candidates are
 verified by the exact Jaccard similarity of their whole shingle sets, links are
 joined to components (distributed star rounds), and the first line of each
-component, by (doc_id, line number), stays.
+component, by (doc_id, hash of the text, line number), stays.
 
 Defined results: blank lines are layout and always stay; null and empty texts
 have no lines; rows with a null doc_id take no part and keep their text; rows that
-repeat a doc_id count as one (their equal lines are at the same place); an empty
+repeat doc_id and text count as one (their lines are at the same place), and rows
+that repeat the doc_id only are told apart by 64 bits of hash of the text; an empty
 table stays empty.  A line is known by 64 bits of hash; lines whose hash another
 line shares (told apart by 64 more bits) take no part."""
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayscope.llm.common import LOWER, U64, bit_sketches, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, texts, window_hashes, written
+from strayscope.llm.common import LOWER, U64, bit_sketches, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, text_hash, texts, window_hashes, written
 from strayscope.llm.linking import bloom, link, maybe_in, near
 
 SHINGLE = 8
@@ -116,11 +117,11 @@ def scan(column: pa.Array):
         yield first, data, starts, ends, row, number, hashed
 
 
-LINES = "doc_id long, line int, id long, check long, size int, bands array<int>"
+LINES = "doc_id long, body long, line int, id long, check long, size int, bands array<int>"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Every non-blank line with its id and band keys."""
+    """Every non-blank line of (doc_id, text, body) rows with its id and band keys."""
 
     def run(batches):
         for batch in batches:
@@ -128,10 +129,10 @@ def line_table(docs: DataFrame) -> DataFrame:
                 owner, marks, sums = shingles(data, starts, ends)
                 keys = bands(signatures(owner, marks, len(starts))) if len(starts) else np.zeros((0, BANDS), np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(first + row)), pa.array(number.astype(np.int32)), pa.array(hashed.view(np.int64)),
-                     pa.array(sums.view(np.int64)), pa.array(np.maximum(ends - starts - SHINGLE + 1, 1).astype(np.int32)),
+                    [batch.column(0).take(pa.array(first + row)), batch.column(2).take(pa.array(first + row)),
+                     pa.array(number.astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array(sums.view(np.int64)), pa.array(np.maximum(ends - starts - SHINGLE + 1, 1).astype(np.int32)),
                      list_array(keys.ravel().view(np.int32), np.full(len(keys), BANDS), pa.int32())],
-                    names=["doc_id", "line", "id", "check", "size", "bands"])
+                    names=["doc_id", "body", "line", "id", "check", "size", "bands"])
 
     return docs.mapInArrow(run, LINES)
 
@@ -192,11 +193,15 @@ def verifier(docs: DataFrame):
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lines): numbers of the lines to remove from each document."""
-    docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    """(doc_id, body, lines): numbers of the lines to remove from each document, which
+    is known by its doc_id and ``text_hash``."""
+    docs = (docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), text_hash(text).alias("body"))
+            .filter("doc_id IS NOT NULL"))
     lines = written(line_table(docs), "lines")
     # one row per distinct line: its first place; ids that two lines share drop out
-    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(18,0)") + F.col("line")
+    # a place is (doc_id, 31 bits of body, line): 126 bits
+    within = F.shiftleft(F.col("body").bitwiseAND(F.lit((1 << 31) - 1)), 31) + F.col("line")
+    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 62).cast("decimal(19,0)") + within
     distinct = (lines.select("id", "check", "size", place.cast("decimal(38,0)").alias("place"), *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)])
                 .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"),
                                    *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]).filter("lo = hi"))
@@ -207,17 +212,17 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = written(named.groupBy("component").agg(F.min("first").alias("head")), "line-heads")
     kept = named.join(heads, "component").select("id", "head")
-    drop = lines.select("doc_id", "line", "id").join(kept, "id").filter(place.cast("decimal(38,0)") != F.col("head"))
-    return drop.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    drop = lines.select("doc_id", "body", "line", "id").join(kept, "id").filter(place.cast("decimal(38,0)") != F.col("head"))
+    return drop.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated lines cut from ``text`` (and the line break
     before each), and a column ``lines_removed``."""
     rest = docs.drop("lines_removed")
-    own, cut = fresh(rest, "_key"), fresh(rest, "_lines")
-    drop = removed_lines(docs, key, text).withColumnsRenamed({"doc_id": own, "lines": cut})
-    marked = rest.join(drop, quoted(key).cast("long") == F.col(own), "left")
+    own, body, cut = fresh(rest, "_key"), fresh(rest, "_body"), fresh(rest, "_lines")
+    drop = removed_lines(docs, key, text).withColumnsRenamed({"doc_id": own, "body": body, "lines": cut})
+    marked = rest.join(drop, (quoted(key).cast("long") == F.col(own)) & (text_hash(text) == F.col(body)), "left")
     keep = F.filter(F.split(quoted(text), "\n", -1), lambda _, i: ~F.array_contains(cut, i))
     clean = F.when(F.col(cut).isNull(), quoted(text)).otherwise(F.array_join(keep, "\n"))
     return marked.select(*[clean.alias(c) if c == text else quoted(c) for c in rest.columns],

@@ -8,15 +8,16 @@ surroundings.  A span is a run of at least ``SENTENCES`` whole sentences and ``W
 words, or a run of pieces of at least ``PASSAGE`` words; the shortest such runs from
 each start on and back from each end are taken, which together cover every longer
 one.  All spans are hashed, word by word, to 128 bits and grouped globally; the first
-occurrence of each, by (doc_id, piece number), stays, and every piece that another
+occurrence of each, by (doc_id, hash of the text, piece number), stays, and every piece that another
 occurrence covers is removed.
 
 A first scan counts the spans by half of their hash; the others run over what a
 fixed-size filter of the repeated halves lets through.  Defined results: null
 and empty texts have no sentences; a document shorter than a span has no spans;
 white space between words doesn't count (line breaks end sentences);
-rows with a null doc_id take no part and keep their text; rows that repeat a
-doc_id count as one; an empty table stays empty."""
+rows with a null doc_id take no part and keep their text; rows that repeat
+doc_id and text count as one, and rows that repeat the doc_id only are told apart by
+64 bits of hash of the text; an empty table stays empty."""
 
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strayscope.llm.common import U64, fresh, mix, quoted, row_of, run_hashes, runs, seeds, span_hashes, texts, written
+from strayscope.llm.common import U64, fresh, mix, quoted, row_of, run_hashes, runs, seeds, span_hashes, text_hash, texts, written
 from strayscope.llm.linking import bloom, maybe_in
 
 SENTENCES = 2
@@ -120,11 +121,11 @@ def spans(raw: np.ndarray, offs: np.ndarray):
     return row[at], at - base, end - base, h1, h2
 
 
-SPANS = "doc_id long, first int, end int, h1 long, h2 long"
+SPANS = "doc_id long, body long, first int, end int, h1 long, h2 long"
 
 
 def span_table(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """The spans of (doc_id, text) rows; with ``bits`` only those that may be in it."""
+    """The spans of (doc_id, text, body) rows; with ``bits`` only those that may be in it."""
 
     def run(batches):
         for batch in batches:
@@ -134,23 +135,25 @@ def span_table(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                     keep = maybe_in(bits, h1.view(np.int64))
                     row, first, end, h1, h2 = (x[keep] for x in (row, first, end, h1, h2))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(start + row)), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)),
-                     pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "first", "end", "h1", "h2"])
+                    [batch.column(0).take(pa.array(start + row)), batch.column(2).take(pa.array(start + row)), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)),
+                     pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "body", "first", "end", "h1", "h2"])
 
     return docs.mapInArrow(run, SPANS)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, first, end, source): the occurrences (pieces first to end) after the first of repeated
-    spans, and the doc_id that holds the first one."""
-    docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    place = F.struct("doc_id", "first")
+    """(doc_id, body, first, end, source): the occurrences (pieces first to end) after the first of repeated
+    spans (``body`` is the ``text_hash`` of the document), and the doc_id that holds
+    the first one."""
+    docs = (docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), text_hash(text).alias("body"))
+            .filter("doc_id IS NOT NULL"))
+    place = F.struct("doc_id", "body", "first")
     often = span_table(docs).groupBy("h1").count().filter("count > 1").select("h1")
     some = written(span_table(docs, bloom(often)), "likely-spans")
     groups = some.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
     groups = written(groups.filter("head <> tail").select("h1", "h2", "head"), "repeated-spans")
     return (some.join(groups, ["h1", "h2"]).filter(place != F.col("head"))
-            .select("doc_id", "first", "end", F.col("head.doc_id").alias("source")))
+            .select("doc_id", "body", "first", "end", F.col("head.doc_id").alias("source")))
 
 
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,11 +162,11 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     source_ids (documents that hold the first occurrences); columns of these names in
     ``docs`` are replaced."""
     rest = docs.drop("n_sentences", "n_removed", "source_ids")
-    own, cuts = fresh(rest, "_key"), fresh(rest, "_spans")
-    hits = (repeated_spans(docs, key, text).groupBy("doc_id")
+    own, body, cuts = fresh(rest, "_key"), fresh(rest, "_body"), fresh(rest, "_spans")
+    hits = (repeated_spans(docs, key, text).groupBy("doc_id", "body")
             .agg(F.collect_set(F.struct("first", "end")).alias(cuts), F.array_sort(F.collect_set("source")).alias("source_ids"))
-            .withColumnRenamed("doc_id", own))
-    joined = (rest.join(hits, quoted(key).cast("long") == F.col(own), "left")
+            .withColumnsRenamed({"doc_id": own, "body": body}))
+    joined = (rest.join(hits, (quoted(key).cast("long") == F.col(own)) & (text_hash(text) == F.col(body)), "left")
               .select(*map(quoted, rest.columns), quoted(cuts), "source_ids"))
     at, where = rest.columns.index(text), len(rest.columns)
 

@@ -191,3 +191,17 @@ def test_decontamination_decides_per_row(spark):
     left = phrase_index.drop_contaminated(docs, items)
     assert left.columns == docs.columns and {r["_row"] for r in left.collect()} == {1, 3, 4, 5, 6} and left.count() == 5
     assert phrase_index.drop_contaminated(docs, items.filter("false")).count() == 7
+
+
+def test_rows_that_share_a_key_but_not_the_text(spark):
+    prepare(spark)
+    rows = [(1, "a line that comes twice\nsomething"), (7, "x of its own\na line that comes twice"), (7, "y of its own\na unique line of text"),
+            (7, "y of its own\na unique line of text"), (9, "a unique line of text")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _body int").repartition(3)
+    got = {r["_body"]: r["text"] for r in fuzzy_lines.dedup_lines(docs).collect()}
+    assert got[0] == rows[0][1] and got[1] == "x of its own" and got[2] == got[3] == rows[2][1] and got[4] == ""
+    passage = "Here is a first sentence with words. And then a second one follows it."
+    rows = [(1, passage), (7, "Some start. " + passage), (7, "Other start. These sentences are unique in all. No row but this has them.")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _body int").repartition(3)
+    got = {r["_body"]: r["text"] for r in sentence_spans.dedup_spans(docs).collect()}
+    assert got == {0: passage, 1: "Some start.", 2: rows[2][1]}
