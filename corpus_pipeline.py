@@ -16,7 +16,8 @@ from strayscope.llm.common import prepare, quoted, table, written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay: the field is fitted on a bounded sample
-    of the labelled ones; texts without letters or with a score under 0.35 go."""
+    of the labelled ones; texts without letters go, and those whose words' likeliest
+    languages have a mean probability under 0.35."""
     prepare(spark)
     return crf_language.keep_identified(docs, crf_language.train_on(docs))
 

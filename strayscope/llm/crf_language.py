@@ -237,36 +237,39 @@ def training_sample(docs: DataFrame, key: str, text: str, lang: str) -> list[tup
 
 # --------------------------------------------------------------- prediction
 
-def predict_texts(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
+def predict_texts(model: Model | None, column: pa.Array, certainty: bool = False) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text: the mean over its words of the probability of
+    that language, or, for ``certainty``, of each word's likeliest language."""
     names, scores = [], []
     for first, end, raw, offs in texts(column):
         n = end - first
         words = Words(raw, offs)
         share = np.zeros((n, len(model.labels) if model else 1))
+        sure = np.zeros(n)
         if model and len(words.starts):
             p, _ = forward_backward(model.potentials(words), words.counts, model.step, model.start)
             np.add.at(share, words.row, p)
             share /= np.maximum(words.counts, 1)[:, None]
+            sure = np.bincount(words.row, p.max(axis=1), n) / np.maximum(words.counts, 1)
         # texts without an ASCII letter: is there any other letter?
         plain = np.zeros(n, bool)
         plain[words.row[(raw[words.starts] < 0x80) | (raw[words.ends - 1] < 0x80)]] = True
         some = np.array([bool(plain[i]) or bool(words.counts[i]) and any(map(str.isalpha, column[first + i].as_py() or "")) for i in range(n)], bool)
         best = share.argmax(axis=1)
         names += [model.labels[b] if model and ok else UNKNOWN for b, ok in zip(best.tolist(), some.tolist(), strict=True)]
-        scores.append(np.where(some & (model is not None), share[np.arange(n), best], 0.0))
+        scores.append(np.where(some & (model is not None), sure if certainty else share[np.arange(n), best], 0.0))
     return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def with_language(docs: DataFrame, model: Model | None, text: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score (columns of these names are replaced)."""
+def with_language(docs: DataFrame, model: Model | None, text: str = "text", name: str = "lang_pred", score: str = "score", certainty: bool = False) -> DataFrame:
+    """``docs`` with the predicted language and its score, see ``predict_texts`` (columns of these names are replaced)."""
     rest = docs.drop(name, score)
     at = rest.columns.index(text)
     shared = rest.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the corpus
 
     def run(batches):
         for batch in batches:
-            names, scores = predict_texts(shared.value, batch.column(at))
+            names, scores = predict_texts(shared.value, batch.column(at), certainty)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.minimum(scores, 1.0), pa.float64())],
                                              names=[*batch.schema.names, name, score])
 
@@ -297,7 +300,9 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.35, text: str = "text") -> DataFrame:
-    """``docs`` without those in no known language: ``und``, or a score below ``least``."""
+    """``docs`` without those in no known language: ``und``, or words whose likeliest
+    languages have a mean probability below ``least`` (whatever these languages are, so
+    that text in several of them stays)."""
     name, score = fresh(docs, "lang_pred"), fresh(docs, "score")
-    found = with_language(docs, model, text, name, score)
+    found = with_language(docs, model, text, name, score, certainty=True)
     return found.filter((F.col(name) != UNKNOWN) & (F.col(score) >= least)).select(*map(quoted, docs.columns))

@@ -205,3 +205,15 @@ def test_rows_that_share_a_key_but_not_the_text(spark):
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _body int").repartition(3)
     got = {r["_body"]: r["text"] for r in sentence_spans.dedup_spans(docs).collect()}
     assert got == {0: passage, 1: "Some start.", 2: rows[2][1]}
+
+
+def test_text_in_many_languages_is_kept(spark):
+    prepare(spark)
+    r = random.Random(2)
+    langs = {k: [c + v + c for c in cs for v in "aeiou"] for k, cs in {"p": "bdg", "q": "klm", "r": "npr", "s": "stv"}.items()}
+    words = lambda k, n: " ".join("".join(r.choices(langs[k], k=2)) for _ in range(n))
+    model = crf_language.fit([(words(k, 60), k) for k in langs for _ in range(40)])
+    mixed = " ".join(words(k, 50) for k in langs)
+    docs = spark.createDataFrame([(1, mixed), (2, words("p", 50)), (3, "12 !!")], "doc_id long, text string")
+    assert {x["doc_id"]: x["score"] < 0.35 for x in crf_language.with_language(docs, model).collect()} == {1: True, 2: False, 3: True}
+    assert {x["doc_id"] for x in crf_language.keep_identified(docs, model).collect()} == {1, 2}
