@@ -9,7 +9,8 @@ word; a document's language is the one with the largest sum of probabilities.
 
 The model is fitted on the driver from a bounded sample: at most
 ``TRAIN_DOCS`` labelled documents of each language (smallest hashes), at most
-``TRAIN_WORDS`` words of each; half of the training sequences join pieces of two
+``TRAIN_WORDS`` words of each, and at most ``MAX_LABELS`` languages (more are an
+error: none is left out unsaid); half of the training sequences join pieces of two
 documents, so that transitions are learned from switches too.  Prediction reads
 whole texts.  Defined results: a text that is null or has no letter is ``und`` with
 score 0; so is every text if there is no labelled one; rows with null or repeated
@@ -223,9 +224,12 @@ def fit(samples: list[tuple[str, str]]) -> Model | None:
 
 
 def training_sample(docs: DataFrame, key: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """At most ``TRAIN_DOCS`` labelled texts per language: keys first, then their texts."""
+    """At most ``TRAIN_DOCS`` labelled texts per language, of ``MAX_LABELS`` languages
+    at most: keys first, then their texts."""
     rows = docs.select(F.xxhash64(docs[key], docs[text]).alias("h"), docs[text].alias("t"), docs[lang].cast("string").alias("y")).filter("t IS NOT NULL AND y IS NOT NULL")
-    labels = [r["y"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LABELS).collect()]
+    labels = [r["y"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LABELS + 1).collect()]
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} languages in {lang}: the field is fitted on the driver and can't learn them all")
     if not labels:
         return []
     chosen = reduce(DataFrame.unionByName, [rows.filter(F.col("y") == y).select("y", "h").distinct().orderBy("h").limit(TRAIN_DOCS) for y in labels])

@@ -217,3 +217,12 @@ def test_text_in_many_languages_is_kept(spark):
     docs = spark.createDataFrame([(1, mixed), (2, words("p", 50)), (3, "12 !!")], "doc_id long, text string")
     assert {x["doc_id"]: x["score"] < 0.35 for x in crf_language.with_language(docs, model).collect()} == {1: True, 2: False, 3: True}
     assert {x["doc_id"] for x in crf_language.keep_identified(docs, model).collect()} == {1, 2}
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    prepare(spark)
+    monkeypatch.setattr(crf_language, "MAX_LABELS", 2)
+    docs = spark.createDataFrame([(k, "some words here", f"l{k}") for k in range(3)], "doc_id long, text string, lang string")
+    assert len(crf_language.training_sample(docs.filter("doc_id < 2"), "doc_id", "text", "lang")) == 2
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        crf_language.training_sample(docs, "doc_id", "text", "lang")
