@@ -5,21 +5,14 @@ whole tables that Spark derives from the given data."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 from ..sources import fixtures as FX
 from ..sources import readers as R
 
 
-def scratch_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/strayscope-io/{tag}-{uuid.uuid4().hex}"
-
-
 def intent_tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = FX.utterance_table(spark, sf_dir)
     root = scratch_dir(spark, "tsv")
@@ -30,7 +23,7 @@ def intent_tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = {"OODRemovedtrain.tsv": (F.col("split") == "train") & ~ood, "OODrelease.tsv": (F.col("split") == "train") & ood,
              "eval.tsv": F.col("split") == "val", "test.tsv": F.col("split") == "test"}
     for name, cond in files.items():
-        rows.filter(cond).drop("split").write.mode("overwrite").option("sep", "\t").csv(f"{root}/{name}")
+        rows.filter(cond).drop("split").write.mode("overwrite").option("sep", "\t").option("escape", '"').csv(f"{root}/{name}")
     back = R.read_intent_tsv(spark, root)
     return back.groupBy("split", "intent").agg(F.count(F.lit(1)).alias("n"))
 
@@ -44,7 +37,7 @@ def intent_csv_roundtrip(spark: SparkSession, sf_dir: str, k: int = 75, version:
     out = None
     for split in ("train", "val", "test"):
         path = R.snips_path(root, split, k, version)
-        rows.filter(F.col("split") == split).drop("split").write.mode("overwrite").option("header", True).csv(path)
+        rows.filter(F.col("split") == split).drop("split").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
         part = R.read_intent_csv(spark, path, split)
         out = part if out is None else out.unionByName(part)
     return out.groupBy("split", "intent").agg(F.count(F.lit(1)).alias("n"))

@@ -7,10 +7,11 @@ time.  Schemas are declared, never inferred.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from .fixtures import OOD_LABEL
 
 # fixed values: raw OOD markers of the source formats
@@ -19,6 +20,32 @@ ROSTD_FILLER = "FILLER"
 RESULT_METRICS = ("fpr_95", "fpr_90", "fpr95", "fpr90", "aupr", "auroc", "f1", "mcc")
 
 
+SPLIT_CODES = {"train": 0, "val": 1, "test": 2}
+FOREIGN_CODE = 8
+RECORD_BITS = 40  # of an id: the number of the record in its file, below the file's code
+BROADCAST_BLOCKS = 1 << 17  # one row of 40 bytes per scanned block
+
+
+def positioned(scan: DataFrame, code: int = 0) -> DataFrame:
+    """Adds ``id`` = code * 2^40 + number of the record in the file (parts of a folder in
+    the order of their names).
+
+    ``scan`` comes straight from ``spark.read``.  Rows are numbered within their task as
+    they are read; one small table of (file, block) -> records before it turns that into
+    the place in the file, which depends neither on how the file is cut into tasks nor
+    on the run, and tells repeated rows apart."""
+    raw = scan.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_seen"))
+    blocks = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_seen").alias("_first"))
+    blocks = written(blocks, "file-blocks")
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    starts = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    if blocks.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    place = F.lit(code << RECORD_BITS) + F.col("_seen") + F.col("_base")
+    return raw.join(starts, ["_file", "_block"]).select(place.alias("id"), *scan.columns)
+
+
 def _pairs(df: DataFrame, key: str, split: str, code: int) -> DataFrame:
     return (df.select(F.posexplode(key).alias("pos", "p"))
             .select((F.lit(code).cast("long") * F.lit(1 << 31) + F.col("pos")).alias("id"),
@@ -46,8 +73,12 @@ TSV_SCHEMA = T.StructType([T.StructField("c0", T.StringType()), T.StructField("c
                            T.StructField("c2", T.StringType()), T.StructField("c3", T.StringType())])
 
 
-def _tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TSV_SCHEMA).option("sep", "\t").option("header", False).csv(path)
+def _tsv(spark: SparkSession, path: str, code: int = 0) -> DataFrame:
+    return positioned(spark.read.schema(TSV_SCHEMA).option("sep", "\t").option("header", False).option("escape", '"').csv(path), code)
+
+
+def _tsv_intent() -> Column:
+    return F.when(F.col("c0") == ROSTD_OOD, F.lit(OOD_LABEL)).otherwise(F.col("c0"))
 
 
 def read_intent_tsv(spark: SparkSession, root: str, include_ood_in_train: bool = False) -> DataFrame:
@@ -57,25 +88,19 @@ def read_intent_tsv(spark: SparkSession, root: str, include_ood_in_train: bool =
     if include_ood_in_train:
         files.append(("train", "OODrelease.tsv"))
     out = None
-    for split, name in files:
-        df = _tsv(spark, f"{root}/{name}")
-        if split == "train" and name == "OODrelease.tsv":
-            df = df.filter(F.col("c0") == ROSTD_OOD)
-        df = df.select(F.xxhash64(F.lit(name), F.col("c0"), F.col("c2")).alias("id"),
-                       F.col("c2").alias("text"),
-                       F.when(F.col("c0") == ROSTD_OOD, F.lit(OOD_LABEL)).otherwise(F.col("c0")).alias("intent"),
-                       F.lit(split).alias("split"))
+    for code, (split, name) in enumerate(files):
+        df = _tsv(spark, f"{root}/{name}", code).select("id", F.col("c2").alias("text"), _tsv_intent().alias("intent"), F.lit(split).alias("split"))
         out = df if out is None else out.unionByName(df)
     return out
 
 
-def read_rostd_flagged(spark: SparkSession, path: str, use_coarse_labels: bool = False) -> DataFrame:
-    """Same TSV, OOD flag from the 4th column == FILLER; optional coarse label
+def read_rostd_flagged(spark: SparkSession, path: str, use_coarse_labels: bool = False, split: str = "train") -> DataFrame:
+    """Same TSV, OOD flag from the 4th column == FILLER (null: not); optional coarse label
     (part before the first '/')."""
-    df = _tsv(spark, path)
-    label = F.substring_index("c0", "/", 1) if use_coarse_labels else F.col("c0")
-    return df.select(F.col("c2").alias("text"), label.alias("intent"),
-                     (F.col("c3") == ROSTD_FILLER).cast("int").alias("ood"))
+    df = _tsv(spark, path, SPLIT_CODES[split])
+    label = F.substring_index(_tsv_intent(), "/", 1) if use_coarse_labels else _tsv_intent()
+    return df.select("id", F.col("c2").alias("text"), label.alias("intent"),
+                     F.coalesce((F.col("c3") == ROSTD_FILLER).cast("int"), F.lit(0)).alias("ood"), F.lit(split).alias("split"))
 
 
 CSV_SCHEMA = "text string, labels string, is_ood int"
@@ -84,16 +109,16 @@ CSV_SCHEMA = "text string, labels string, is_ood int"
 def read_intent_csv(spark: SparkSession, path: str, split: str, include_ood_in_train: bool = False) -> DataFrame:
     """Header CSV (text, labels, is_ood): is_ood = 1 -> OOD label; in train the
     OOD rows are relabelled when allowed, else dropped."""
-    df = spark.read.schema(CSV_SCHEMA).option("header", True).csv(path)
+    df = positioned(spark.read.schema(CSV_SCHEMA).option("header", True).option("escape", '"').csv(path), SPLIT_CODES[split])
     if split == "train" and not include_ood_in_train:
         df = df.filter(F.col("is_ood") == 0)
-    return df.select("text", F.when(F.col("is_ood") == 1, F.lit(OOD_LABEL)).otherwise(F.col("labels")).alias("intent"),
+    return df.select("id", "text", F.when(F.col("is_ood") == 1, F.lit(OOD_LABEL)).otherwise(F.col("labels")).alias("intent"),
                      F.lit(split).alias("split"))
 
 
 def read_plain_csv(spark: SparkSession, path: str, split: str, include_ood_in_train: bool = False) -> DataFrame:
     """Header CSV (text, intent) with the OOD label already in place."""
-    df = spark.read.schema("text string, intent string").option("header", True).csv(path)
+    df = positioned(spark.read.schema("text string, intent string").option("header", True).option("escape", '"').csv(path), SPLIT_CODES[split])
     if split == "train" and not include_ood_in_train:
         df = df.filter(F.col("intent") != OOD_LABEL)
     return df.withColumn("split", F.lit(split))
@@ -104,19 +129,26 @@ def snips_path(root: str, subset: str, k: int = 75, version: int = 0) -> str:
 
 
 def read_sentiment_with_foreign(spark: SparkSession, sentiment_tsv: str, foreign: str | None = None,
-                                foreign_kind: str = "single") -> DataFrame:
+                                foreign_kind: str = "single", split: str = "train") -> DataFrame:
     """Sentiment TSV (text, label 1 -> positive else negative) plus an optional
-    foreign corpus as OOD; pair corpora join sentence1 and sentence2."""
-    s = spark.read.schema("text string, label int").option("sep", "\t").csv(sentiment_tsv)
-    s = s.select("text", F.when(F.col("label") == 1, "positive").otherwise("negative").alias("intent"))
+    foreign corpus as OOD; pair corpora join sentence1 and sentence2.  Foreign rows are
+    numbered as a file of their own."""
+    def rows(reader: DataFrame, code: int) -> DataFrame:
+        return positioned(reader, code).withColumn("split", F.lit(split))
+
+    tsv = spark.read.option("sep", "\t").option("escape", '"')
+    code = SPLIT_CODES[split]
+    s = rows(tsv.schema("text string, label int").csv(sentiment_tsv), code)
+    s = s.select("id", "text", F.when(F.col("label") == 1, "positive").otherwise("negative").alias("intent"), "split")
     if foreign is None:
         return s
     if foreign_kind == "pair":
-        f = spark.read.option("sep", "\t").option("header", True).csv(foreign) \
-            .select(F.concat_ws(" ", "sentence1", "sentence2").alias("text"))
+        names = spark.read.option("sep", "\t").option("header", True).csv(foreign).columns  # the header line only
+        pairs = tsv.option("header", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(foreign)
+        f = rows(pairs, FOREIGN_CODE + code).select("id", "split", F.concat_ws(" ", "sentence1", "sentence2").alias("text"))
     else:
-        f = spark.read.text(foreign).select(F.col("value").alias("text"))
-    return s.unionByName(f.select("text", F.lit(OOD_LABEL).alias("intent")))
+        f = rows(spark.read.text(foreign), FOREIGN_CODE + code).select("id", "split", F.col("value").alias("text"))
+    return s.unionByName(f.select("id", "text", F.lit(OOD_LABEL).alias("intent"), "split"))
 
 
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
