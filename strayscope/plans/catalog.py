@@ -972,3 +972,6 @@ FROM cm JOIN mc ON cm.i = mc.i""")
 def lineitem_threshold_curve(spark, sf_dir):
     c = M.threshold_curve(_lineitem_scored(spark, sf_dir), outdomain_is_lower=False)
     return B.round_cols(c.select("i", "threshold", "tp", "fp", "fn", "tn", "mcc"))
+
+
+from . import named  # noqa: E402,F401  registers its queries here

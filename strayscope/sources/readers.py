@@ -204,6 +204,9 @@ def write_run_json(metrics_row: DataFrame, results_dir: str, name: str) -> None:
     metrics_row.coalesce(1).write.mode("overwrite").json(f"{results_dir}/{name}.json")
 
 
-def write_splits(df: DataFrame, out_dir: str) -> None:
-    """Open-set split tables: (text, labels, is_ood) per ratio / version / split."""
-    df.write.mode("overwrite").partitionBy("ratio", "version", "split").option("header", True).csv(out_dir)
+def write_splits(df: DataFrame, root: str, k: int) -> None:
+    """Open-set split tables (text, labels, is_ood): one file ``snips_{subset}_{k}_{version}.csv``
+    for each subset and version in ``df`` (text, labels, is_ood, split, version)."""
+    for r in df.select("split", "version").distinct().collect():  # three subsets of a few versions
+        mine = df.filter((F.col("split") == r["split"]) & (F.col("version") == r["version"]))
+        mine.select("text", "labels", "is_ood").write.option("header", True).option("escape", '"').csv(snips_path(root, r["split"], k, r["version"]))
