@@ -1,6 +1,5 @@
 """Text operators: RAKE keywords + keyword containment (the keyword
-detector), vocabulary build/encode/decode, bag of words, tf-idf, and the
-n-gram likelihood-ratio detector with its word-noise background corpus.
+detector), vocabulary build/encode/decode, bag of words and tf-idf, word vectors.
 
 Utterance frames carry ``id`` and ``text``.  Everything is a DataFrame plan;
 small dimension tables (keywords, vocabulary, idf) are broadcast only after a
@@ -16,7 +15,6 @@ from ..functions import text as T
 
 SPECIALS = ("[PAD]", "[BOS]", "[EOS]", "[UNK]", "[SEP]")
 PAD_ID, BOS_ID, EOS_ID, UNK_ID, SEP_ID = 0, 1, 2, 3, 4
-SCORE_DIGITS = 9
 
 
 def join_dimension(left: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -208,7 +206,7 @@ def tfidf_transform(df: DataFrame, idf: DataFrame, text_col: str = "text") -> Da
     return w.join(norm, "id").select("id", "token", (F.col("w") / F.col("nrm")).alias("weight"))
 
 
-# ------------------------------------------------------------ likelihood ratio
+# ------------------------------------------------------------ hashed draws
 
 def md5_uniform(*parts: Column) -> Column:
     """Deterministic uniform in [0, 1) from md5 of the '/'-joined parts."""
@@ -216,59 +214,6 @@ def md5_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def add_noise(encoded: DataFrame, vocab: DataFrame, p_noise: float = 0.1, seed: int = 0) -> DataFrame:
-    """Replace each non-special token (long form id, pos, token_id) with
-    probability ``p_noise`` by a vocabulary word drawn uniformly (md5-seeded)."""
-    n_words = vocab.count()
-    u = md5_uniform(F.lit(seed), F.col("id"), F.col("pos"), F.lit("noise"))
-    pick = (F.floor(md5_uniform(F.lit(seed), F.col("id"), F.col("pos"), F.lit("word")) * n_words) + 5).cast("int")
-    noisy = F.when((F.col("token_id") >= 5) & (u < p_noise), pick).otherwise(F.col("token_id"))
-    return encoded.select("id", "pos", noisy.alias("token_id"))
-
-
-def _bigrams(encoded: DataFrame) -> DataFrame:
-    """(id, prev, tok) for BOS + tokens + EOS (EOS predicted, BOS context only)."""
-    w = Window.partitionBy("id").orderBy("pos")
-    body = encoded.select("id", F.col("pos").cast("int").alias("pos"), "token_id")
-    last = body.groupBy("id").agg(F.max("pos").alias("pos"))
-    eos = last.select("id", (F.col("pos") + 1).alias("pos"), F.lit(EOS_ID).alias("token_id"))
-    seq = body.unionByName(eos)
-    return seq.select("id", "pos", F.coalesce(F.lag("token_id").over(w), F.lit(BOS_ID)).alias("prev"),
-                      F.col("token_id").alias("tok"))
-
-
-def ngram_lm(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bigram and context counts of an encoded corpus."""
-    bi = _bigrams(encoded)
-    pair = bi.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair"))
-    ctx = bi.groupBy("prev").agg(F.count(F.lit(1)).alias("c_ctx"))
-    return pair, ctx
-
-
-def lm_logprob(bi: DataFrame, pair: DataFrame, ctx: DataFrame, vocab_size: int, k: float) -> DataFrame:
-    j = bi.join(pair, ["prev", "tok"], "left").join(ctx, "prev", "left")
-    lp = F.log((F.coalesce("c_pair", F.lit(0)) + F.lit(k)) / (F.coalesce("c_ctx", F.lit(0)) + F.lit(k * vocab_size)))
-    return j.select("id", "pos", "prev", "tok", lp.alias("lp"))
-
-
-def likelihood_ratio_scores(train_enc: DataFrame, eval_enc: DataFrame, vocab_size: int,
-                            noise_vocab: DataFrame, p_noise: float = 0.1, k: float = 1.0) -> DataFrame:
-    """(id, score) with score = -sum_tokens [log p_LM - log p_background],
-    add-k bigram LMs; the background LM is trained on noised training text.
-    High score = out-of-domain.  Per-token differences are summed in token
-    order and the score is quantised to ``SCORE_DIGITS`` decimals, so
-    utterances with the same tokens tie exactly whatever the float
-    summation order of the engine."""
-    pair, ctx = ngram_lm(train_enc)
-    bpair, bctx = ngram_lm(add_noise(train_enc, noise_vocab, p_noise))
-    bi = _bigrams(eval_enc).cache()  # probed by both language models
-    a = lm_logprob(bi, pair, ctx, vocab_size, k).select("id", "pos", F.col("lp").alias("lp_in"))
-    b = lm_logprob(bi, bpair, bctx, vocab_size, k).select("id", "pos", F.col("lp").alias("lp_bg"))
-    d = a.join(b, ["id", "pos"]).select("id", "pos", (F.col("lp_in") - F.col("lp_bg")).alias("d"))
-    per = d.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("_t"))  # one utterance
-    total = F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + t["d"])
-    return per.select("id", F.round(-total, SCORE_DIGITS).alias("score"))
-
 
 # ------------------------------------------------------------ word vectors / pooling
 WORD_VECTOR_SIGMA = 0.3836
@@ -373,59 +318,3 @@ def rake_keywords_enhanced(train: DataFrame, text_col: str = "text", topn: int =
     sim = similar_terms(phrases, wv, topn).select(F.col("term").alias("phrase"))
     kw = phrases.unionByName(sim).distinct().filter(~F.col("phrase").isin(*keyword_stopwords))
     return kw.withColumn("n_words", F.size(F.split("phrase", " ")))
-
-
-# ------------------------------------------------------------ likelihood ratio, shuffle-light form
-_BOS_W, _EOS_W = "\u0002[BOS]", "\u0002[EOS]"
-
-
-def bigram_rows(df: DataFrame, tokens: Column, vocab: DataFrame) -> DataFrame:
-    """(id, pos, prev, tok) token-id bigrams of ``[BOS] + tokens + [EOS]``.
-
-    Built from each row's token array (``arrays_zip`` + ``posexplode``: no
-    shuffle, no window); word -> id lookups are two dimension joins (unknown
-    -> UNK).  pos = index of the predicted token (EOS at pos = len)."""
-    t = df.select("id", tokens.alias("toks")).filter(F.size("toks") > 0)
-    prevs = F.concat(F.array(F.lit(_BOS_W)), F.col("toks"))
-    nexts = F.concat(F.col("toks"), F.array(F.lit(_EOS_W)))
-    pairs = t.select("id", F.posexplode(F.arrays_zip(prevs.alias("a"), nexts.alias("b"))).alias("pos", "z")) \
-        .select("id", F.col("pos").cast("int").alias("pos"), F.col("z.a").alias("pw"), F.col("z.b").alias("tw"))
-    ids = vocab.select("word", "idx").unionByName(
-        vocab.sparkSession.createDataFrame([(_BOS_W, BOS_ID), (_EOS_W, EOS_ID)], "word string, idx int"))
-    j = join_dimension(pairs, ids.select(F.col("word").alias("pw"), F.col("idx").alias("prev")), "pw", "left")
-    j = join_dimension(j, ids.select(F.col("word").alias("tw"), F.col("idx").alias("tok")), "tw", "left")
-    return j.select("id", "pos", F.coalesce("prev", F.lit(UNK_ID)).alias("prev"), F.coalesce("tok", F.lit(UNK_ID)).alias("tok"))
-
-
-def _noised(token: Column, id_col: Column, pos: Column, n_words: int, p_noise: float, seed: int) -> Column:
-    u = md5_uniform(F.lit(seed), id_col, pos, F.lit("noise"))
-    pick = (F.floor(md5_uniform(F.lit(seed), id_col, pos, F.lit("word")) * n_words) + 5).cast("int")
-    return F.when((token >= 5) & (u < p_noise), pick).otherwise(token)
-
-
-def likelihood_ratio_from_bigrams(train_bi: DataFrame, eval_bi: DataFrame, vocab_size: int, n_words: int,
-                                  p_noise: float = 0.1, k: float = 1.0, seed: int = 0) -> DataFrame:
-    """Same scores as :func:`likelihood_ratio_scores` from bigram rows: the
-    background corpus noises each token at its own position (the previous
-    token of a bigram at pos - 1), so no re-sequencing is needed."""
-    bg = train_bi.select("id", "pos",
-                         _noised(F.col("prev"), F.col("id"), F.col("pos") - 1, n_words, p_noise, seed).alias("prev"),
-                         _noised(F.col("tok"), F.col("id"), F.col("pos"), n_words, p_noise, seed).alias("tok"))
-
-    def counts(bi):
-        return (bi.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair")),
-                bi.groupBy("prev").agg(F.count(F.lit(1)).alias("c_ctx")))
-
-    (p_in, c_in), (p_bg, c_bg) = counts(train_bi), counts(bg)
-    kv = F.lit(k * vocab_size)
-
-    def lp(pair, ctx, name):
-        return (F.log((F.coalesce(pair, F.lit(0)) + F.lit(k)) / (F.coalesce(ctx, F.lit(0)) + kv))).alias(name)
-
-    j = (eval_bi.join(p_in, ["prev", "tok"], "left").join(c_in, "prev", "left")
-         .select("id", "pos", "prev", "tok", lp(F.col("c_pair"), F.col("c_ctx"), "lp_in")))
-    j = (j.join(p_bg, ["prev", "tok"], "left").join(c_bg, "prev", "left")
-         .select("id", "pos", (F.col("lp_in") - lp(F.col("c_pair"), F.col("c_ctx"), "lp_bg")).alias("d")))
-    per = j.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("_t"))  # one utterance
-    total = F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + t["d"])
-    return per.select("id", F.round(-total, SCORE_DIGITS).alias("score"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detectors as D
+from ..operators import likelihood as LR
 from ..operators import metrics as M
 from ..operators import vectors as V
 from ..sources import fixtures as FX
@@ -545,12 +546,24 @@ def cross_corpus(spark, sf_dir):
 LR_P_NOISE = 0.1
 
 
-@register("bench_likelihood_ratio", O.with_(O.UTT, O.TOK, O.ENC, f"""
+def _lr_sql(noise: str = "uniform", utterances: str = O.UTT) -> str:
+    if noise == "uniform":
+        cumulated, pick = "", f"""CAST(floor({MD5U.format(parts="0, id, pos, 'word'")} * nw) + 5 AS INTEGER)"""
+    else:  # the word whose share of the running total holds the draw
+        weight = {"unigram": "cnt", "uniroot": "CAST(floor(sqrt(cnt) * 1048576) AS BIGINT)"}[noise]
+        cumulated = f"""wt AS (SELECT idx, CAST({weight} AS HUGEINT) AS w, sum(CAST({weight} AS HUGEINT)) OVER (ORDER BY idx) AS upto FROM vocab),
+ends AS (SELECT list(upto ORDER BY idx) AS ends, CAST(max(upto) AS DOUBLE) AS total FROM wt),
+dr AS (SELECT id, pos, CAST(floor(('0x' || substr(md5(concat_ws('/', 0, id, pos, 'word')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE * total) AS HUGEINT) AS at
+       FROM enc, ends WHERE split = 'train' AND intent <> 'oos'),
+drawn AS (SELECT dr.id AS did, dr.pos AS dpos, wt.idx AS didx FROM dr ASOF JOIN (SELECT idx, upto - w AS start FROM wt) wt ON dr.at >= wt.start),
+"""
+        pick = "(SELECT didx FROM drawn WHERE did = id AND dpos = pos)"
+    return O.with_(utterances, O.TOK, O.ENC, f"""
 nv AS (SELECT count(*) AS nw FROM vocab),
-tren AS (SELECT id, pos, token_id FROM enc WHERE split = 'train' AND intent <> 'oos'),
+{cumulated}tren AS (SELECT id, pos, token_id FROM enc WHERE split = 'train' AND intent <> 'oos'),
 teen AS (SELECT id, pos, token_id FROM enc WHERE split = 'test'),
 noisy AS (SELECT id, pos, CASE WHEN token_id >= 5 AND {MD5U.format(parts="0, id, pos, 'noise'")} < {LR_P_NOISE}
-            THEN CAST(floor({MD5U.format(parts="0, id, pos, 'word'")} * nw) + 5 AS INTEGER) ELSE token_id END AS token_id
+            THEN {pick} ELSE token_id END AS token_id
           FROM tren, nv),
 bi_tr AS (SELECT id, pos, coalesce(lag(token_id) OVER (PARTITION BY id ORDER BY pos), 1) AS prev, token_id AS tok
           FROM (SELECT id, pos, token_id FROM tren UNION ALL SELECT id, max(pos) + 1, 2 FROM tren GROUP BY id)),
@@ -569,16 +582,18 @@ lp AS (SELECT b.id, b.pos,
        FROM bi_te b CROSS JOIN V
        LEFT JOIN p_tr p1 ON p1.prev = b.prev AND p1.tok = b.tok LEFT JOIN c_tr c1 ON c1.prev = b.prev
        LEFT JOIN p_bg p2 ON p2.prev = b.prev AND p2.tok = b.tok LEFT JOIN c_bg c2 ON c2.prev = b.prev),
-sc AS (SELECT lp.id, round(-list_reduce(list(lp_in - lp_bg ORDER BY pos), lambda a, b: a + b), 9) AS score
+sc AS (SELECT lp.id, round(-(CAST(sum(CAST(round((lp_in - lp_bg) * 1e12) AS HUGEINT)) AS DOUBLE) / 1e12), 9) AS score
        FROM lp GROUP BY lp.id),
 ts AS (SELECT sc.score, CAST(ut.intent = 'oos' AS INTEGER) AS y FROM sc JOIN ut ON sc.id = ut.id)""",
                                               O.roc_sql()) + """,
 f95 AS (SELECT fp / N AS v FROM cum, tot WHERE tp / P >= 0.95 ORDER BY s DESC LIMIT 1),
 f90 AS (SELECT fp / N AS v FROM cum, tot WHERE tp / P >= 0.9 ORDER BY s DESC LIMIT 1)
 SELECT round(f95.v, 6) AS fpr95, round(f90.v, 6) AS fpr90, round(rk.aupr, 6) AS aupr, round(rk.auroc, 6) AS auroc
-FROM f95, f90, rk""")
-def bench_likelihood_ratio(spark, sf_dir):
-    return _lr_bench(_utt)(spark, sf_dir)
+FROM f95, f90, rk"""
+
+
+for _name, _noise in (("bench_likelihood_ratio", "uniform"), ("bench_likelihood_ratio_unigram", "unigram"), ("bench_likelihood_ratio_uniroot", "uniroot")):
+    register(_name, _lr_sql(_noise))(lambda spark, sf_dir, _noise=_noise: _lr_bench(_utt, _noise)(spark, sf_dir))
 
 
 @register("bench_binary_msp", O.with_(O.VEC.replace(
@@ -809,28 +824,17 @@ def bench_rake_conversations(spark, sf_dir):
     return B.round_cols(B.benchmark_labels(pred, sp.test))
 
 
-def _lr_bench(splits_fn) -> Query:
+def _lr_bench(splits_fn, noise: str = "uniform") -> Query:
     def q(spark, sf_dir):
         sp = splits_fn(spark, sf_dir)
-        # tokenise the training and test rows once; vocabulary, both language
-        # models and the test bigrams all read this materialised table
-        both = (sp.train.unionByName(sp.test)
-                .select("id", "intent", "split", TXT.default_tokenizer(F.col("text")).alias("toks")).checkpoint())
-        train, test = both.filter(F.col("split") == "train"), both.filter(F.col("split") == "test")
-        toks = F.col("toks")
-        vocab = TO.vocab_build(train, toks).checkpoint()
-        n_words = vocab.count()
-        tr = TO.bigram_rows(train, toks, vocab).checkpoint()  # feeds both language models
-        te = TO.bigram_rows(test, toks, vocab)
-        scores = TO.likelihood_ratio_from_bigrams(tr, te, n_words + 5, n_words, LR_P_NOISE)
-        scored = B.with_labels(scores, test).checkpoint()
+        detector = LR.LikelihoodRatio(noise=noise, p_noise=LR_P_NOISE).fit(sp.train)
+        scored = B.with_labels(detector.score(sp.test), sp.test).checkpoint()
         m = M.ranking_metrics(scored, interpolate=False)
         return B.round_cols(m.select(F.col("fpr_95").alias("fpr95"), F.col("fpr_90").alias("fpr90"), "aupr", "auroc"))
     return q
 
 
-register("bench_likelihood_ratio_conversations",
-         ORACLES["bench_likelihood_ratio"].replace(O.UTT.strip("\n"), CONV_UT.strip("\n")))(_lr_bench(_conv_splits))
+register("bench_likelihood_ratio_conversations", _lr_sql(utterances=CONV_UT))(_lr_bench(_conv_splits))
 
 
 CROSS_UT = """
@@ -841,7 +845,7 @@ ut AS (SELECT 2 * doc_id AS id, text, lang AS intent,
        FROM benchmark)"""
 
 register("bench_likelihood_ratio_cross_corpus",
-         ORACLES["bench_likelihood_ratio"].replace(O.UTT.strip("\n"), CROSS_UT.strip("\n")))(
+         _lr_sql(utterances=CROSS_UT))(
     _lr_bench(FX.cross_corpus_splits))
 
 
@@ -851,7 +855,7 @@ ut AS (SELECT d.doc_id AS id, d.text, CASE WHEN l.quality = 0 THEN 'oos' ELSE 'o
        FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 register("bench_likelihood_ratio_quality",
-         ORACLES["bench_likelihood_ratio"].replace(O.UTT.strip("\n"), QUALITY_UT.strip("\n")))(
+         _lr_sql(utterances=QUALITY_UT))(
     _lr_bench(FX.quality_splits))
 
 

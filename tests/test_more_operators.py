@@ -103,19 +103,3 @@ def test_encoder_udf_and_label_validation(spark):
     bad = spark.createDataFrame([(0.1, 2)], "score double, y int")
     with pytest.raises(ValueError):
         M.validate_ood_labels(bad)
-
-
-def test_likelihood_ratio_two_formulations_agree(spark):
-    from strayscope.functions import text as T
-    sp = FX.utterance_splits(spark, "/root/testdata/sf0.001")
-    tok = T.default_tokenizer(F.col("text"))
-    vocab = TO.vocab_build(sp.train, tok).checkpoint()
-    n = vocab.count()
-    a = TO.likelihood_ratio_scores(TO.vocab_encode(sp.train, vocab, tok), TO.vocab_encode(sp.test, vocab, tok),
-                                   n + 5, vocab, 0.1)
-    b = TO.likelihood_ratio_from_bigrams(TO.bigram_rows(sp.train, tok, vocab), TO.bigram_rows(sp.test, tok, vocab),
-                                         n + 5, n, 0.1)
-    ga = {r["id"]: r["score"] for r in a.collect()}
-    gb = {r["id"]: r["score"] for r in b.collect()}
-    assert ga.keys() == gb.keys() and len(ga) > 100
-    assert all(abs(ga[k] - gb[k]) < 1e-6 for k in ga)
