@@ -978,4 +978,4 @@ def lineitem_threshold_curve(spark, sf_dir):
     return B.round_cols(c.select("i", "threshold", "tp", "fp", "fn", "tn", "mcc"))
 
 
-from . import named  # noqa: E402,F401  registers its queries here
+from . import named, trained  # noqa: E402,F401  register their queries here
