@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strayscope.llm import shared_files
-from strayscope.llm.common import mix, shared_path, written
+from strayscope.llm.common import LOWER, mix, row_of, runs, shared_path, span_hashes, texts, written
 
 MAGIC = b"TOKENID1"
 KEYS_PER_INDEX = 1 << 16
-CACHE = 400_000
-MARKS = ".,;:!?"
+CACHE = 1_000_000  # words, of some 150 bytes
+LONGEST_MARKS = 8  # marks that are cut off a word; a longer run stays with it
+BLANK, MARK, PLAIN, ODD_FIRST = (np.zeros(256, bool) for _ in range(4))
+BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+MARK[list(b".,;:!?")] = True
+PLAIN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+ODD_FIRST[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 CASED = "\u0130"  # below it, letters are composed and have one-letter lower cases
 GAMMA = 1.5
 LEVELS = 48
@@ -46,9 +51,12 @@ ENTRY = "doc_id long, shard int, file string, at long, n int, first boolean"
 
 class WordCache:
     """The library's encoding, word by word: this tokenizer drops white space and
-    never joins across it, so the ids of a text are those of its words in order."""
+    never joins across it, so the ids of a text are those of its words in order.
 
-    odd = re.compile("[\x1c-\x1f]")  # white space for Python alone
+    Words are spans of bytes, known by 64 bits of hash.  Case is dropped, so A-Z are
+    lower-cased first; marks behind a-z or 0-9 at the end of a word are a piece of their own and are
+    looked up apart.  A word is encoded by the library when it first comes up; its ids
+    lie in one long array, from which those of a text are gathered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,69 +66,99 @@ class WordCache:
         self.lib.no_padding()
         top = max(self.lib.get_vocab(with_added_tokens=True).values())
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.added = [t.content.lower().encode() for t in self.lib.get_added_tokens_decoder().values()]
+        self._forget()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.number: dict[int, int] = {}  # hash -> number of the word
+        self.ids, self.starts = np.zeros(1 << 16, self.dtype), np.zeros(1 << 16, np.int64)
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of plain lower-case letters: each is one pre-split piece, so
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and how many each has."""
+        found = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), self.dtype), np.array(list(map(len, found)), np.int64)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of plain lower-case letters: each is one pre-split piece, so
         all can be one text, cut again where the number of the piece changes."""
         coded = self.lib.encode(" ".join(words), add_special_tokens=False)
-        ids, piece = np.array(coded.ids, self.dtype), np.array(coded.word_ids)
-        cuts = np.flatnonzero(np.diff(piece)) + 1
-        if len(cuts) + 1 != len(words):
-            return self._ids(words)
-        raw, width = ids.tobytes(), self.dtype.itemsize
-        edges = [0, *(cuts * width).tolist(), len(raw)]
-        return [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)]
-
-    def _known(self, word: str) -> bytes | None:
-        got = self.young.get(word)
-        if got is None and (got := self.old.get(word)) is not None:
-            self.young[word] = got
-        return got
-
-    def _learn(self, words: set[str]) -> None:
-        """Cache the ids of ``words``.  Case is dropped, and marks are pieces of their
-        own after letters: only plain words go to the library one by one."""
-        odd, plain, parts = [], set(), {}
-        for w in words:
-            if self._known(w) is not None:
+        piece = np.array(coded.word_ids)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(piece)]])
+        return (np.array(coded.ids, self.dtype), np.diff(cuts)) if len(cuts) == len(words) + 1 else self._ids(words)
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        plain = [w.isalpha() and (w.isascii() or max(w) < CASED) for w in words]
+        for alike, coder in ((True, self._letters), (False, self._ids)):
+            some = [w.lower() if p else w for w, p in zip(words, plain, strict=True) if p is alike]
+            if not some:
                 continue
-            core = w.rstrip(MARKS)
-            if core.isalpha() and max(core) < CASED:
-                tail, core = w[len(core):], core.lower()
-                parts[w] = core, tail
-                if self._known(core) is None:
-                    plain.add(core)
-                if tail and self._known(tail) is None:
-                    odd.append(tail)
-            else:
-                odd.append(w)
-        if plain:
-            plain_list = list(plain)
-            self.young.update(zip(plain_list, self._letters(plain_list), strict=True))
-        if odd:
-            self.young.update(zip(odd, self._ids(odd), strict=True))
-        for w, (core, tail) in parts.items():
-            self.young[w] = self.young[core] + (self.young[tail] if tail else b"")
-
-    def encode(self, text: str) -> bytes:
-        """Raw ids of ``text``."""
-        if self.odd.search(text):
-            return self._ids([text])[0]
-        words = text.split()
-        known = self.young
-        missing = {w for w in words if w not in known}
-        if missing:
-            if len(known) + len(missing) > CACHE:
-                self.old, self.young = known, {}
-                known = self.young
-                missing = set(words)
-            self._learn(missing)
-        return b"".join(map(known.__getitem__, words))
+            ids, lengths = coder(some)
+            n = len(self.number)
+            end = int(self.starts[n])
+            while end + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while n + len(some) >= len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.ids[end:end + len(ids)] = ids
+            self.starts[n + 1:n + 1 + len(some)] = end + np.cumsum(lengths)
+            self.number.update(zip((h for h, p in zip(hashes, plain, strict=True) if p is alike), range(n, n + len(some)), strict=True))
+
+    def _pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words, marks at their ends cut off."""
+        starts, ends = runs(~BLANK[data], offs)
+        tail, k = np.zeros(len(starts), np.int64), np.arange(len(starts))
+        for _ in range(LONGEST_MARKS):
+            k = k[(ends[k] - tail[k] - 1 > starts[k]) & MARK[data[np.maximum(ends[k] - tail[k] - 1, 0)]]]
+            tail[k] += 1
+        tail[~PLAIN[data[np.maximum(ends - tail - 1, 0)]]] = 0
+        cut = np.flatnonzero(tail)
+        at = np.insert(starts, cut + 1, (ends - tail)[cut])
+        return at, np.insert(ends, cut, (ends - tail)[cut])
+
+    def _odd_places(self, raw: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Places of white space beyond ASCII, of the four separators that only some take for
+        white space, and of added tokens in any case: texts that hold any go to the
+        library whole."""
+        at = np.flatnonzero(ODD_FIRST[raw])
+        one, two = raw[np.minimum(at + 1, len(raw) - 1)], raw[np.minimum(at + 2, len(raw) - 1)]
+        lead = raw[at]
+        odd = (lead < 32) | (lead == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (lead == 0xE1) & (one == 0x9A) & (two == 0x80)
+        odd |= (lead == 0xE2) & (one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF))
+        odd |= (lead == 0xE2) & (one == 0x81) & (two == 0x9F) | (lead == 0xE3) & (one == 0x80) & (two == 0x80)
+        found, text = [at[odd]], data.tobytes()
+        for token in self.added:
+            k = text.find(token)
+            while k >= 0:
+                found.append(np.array([k]))
+                k = text.find(token, k + 1)
+        return np.concatenate(found)
+
+    def encode(self, raw: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """Ids of each text of a slice (bytes, offsets)."""
+        texts_ = len(offs) - 1
+        data = LOWER[raw]
+        odd = row_of(self._odd_places(raw, data), offs)
+        whole = {r: self._ids([raw[offs[r]:offs[r + 1]].tobytes().decode()])[0] for r in np.unique(odd).tolist()}
+        starts, ends = self._pieces(data, offs)
+        if not len(starts):
+            return [whole[r].tobytes() if r in whole else b"" for r in range(texts_)]
+        hashes, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        if len(self.number) + len(keys) > CACHE:
+            self._forget()
+        numbers = list(map(self.number.get, keys))
+        new = [k for k, n in enumerate(numbers) if n is None]
+        if new:
+            text, a, b = data.tobytes(), starts[first].tolist(), ends[first].tolist()
+            self._learn([keys[k] for k in new], [text[a[k]:b[k]].decode() for k in new])
+            for k in new:
+                numbers[k] = self.number[keys[k]]
+        own = np.array(numbers)[back]
+        counts = self.starts[own + 1] - self.starts[own]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        places = np.arange(upto[-1]) + np.repeat(self.starts[own] - upto[:-1], counts)
+        flat, cuts = self.ids[places].tobytes(), (upto[np.searchsorted(starts, offs)] * self.dtype.itemsize).tolist()
+        return [whole[r].tobytes() if r in whole else flat[cuts[r]:cuts[r + 1]] for r in range(texts_)]
 
 
 _LOADED: dict[str, WordCache] = {}
@@ -239,10 +277,11 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
             if out is None and keys:
                 uri, out = shared_files.create(folder, f"shard-{shard:06d}", ".ids")
                 out.write(MAGIC + struct.pack("<II", words.dtype.itemsize, 0))
-            for k, t in zip(keys, batch.column(1).to_pylist(), strict=True):
-                raw = words.encode(t or "") + last
-                out.write(raw)
-                lengths.append(len(raw) // words.dtype.itemsize)
+            for _, _, raw, offs in texts(batch.column(1)):
+                for ids in words.encode(raw, offs):
+                    out.write(ids + last)
+                    lengths.append(len(ids + last) // words.dtype.itemsize)
+            for k in keys:
                 firsts.append(k is not None and k != before)
                 before = k
             n = np.array(lengths, np.int64)

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from strayscope.llm import crf_language, fuzzy_lines, kd_search, mph_tokens, ngram_join, phrase_index, sentence_spans, warc_zstd
 from strayscope.llm.bpe_prefix import PrefixBPE
-from strayscope.llm.common import bit_sketches
+from strayscope.llm.common import bit_sketches, texts
 
 ODD = ["", "   ", "a  b\n\n c", "it's we'll  <|endoftext|> x<|endoftext|>", "aaaaaaaaaaaaaaa bbbbbbb", "日本語テスト 🙂🙂", "x" * 5000,
        "  a b \x1c c\x85 d", "'S 'll ''re 12345 !!!\t\t x", "the\r\n the", "İstanbul ΣΑΣ ſo. ﬁ a.́ b x). ª º ŉ, é. don't"]
@@ -35,8 +35,13 @@ def test_prefix_bpe_equals_the_library():
 
 def test_word_cache_equals_the_library():
     words = mph_tokens.WordCache(public_tokenizers.path("word_bpe_49k.json"))
-    for text in ODD + noise(300, 2):
-        assert np.frombuffer(words.encode(text), words.dtype).tolist() == words.lib.encode(text, add_special_tokens=False).ids
+    marked = ["a., b.!", "3.14, 2.", "don't! he's,", "“quoted.” end.", "x_. y", "w.).", "wait................ no", "é.è, ÜNÏ.", "ΟΔΟΣ. ΣΑΣ", "<|ENDOFTEXT|> <|endoftext|>.",
+              "a\x1cb", "a\u00a0b.", "\u3000x", "İ. ŉ. ǅ.", "Ⅷ. ²,"]
+    rows = ODD + noise(300, 2) + marked
+    for size in (1, 200, 1 << 20):
+        got = [ids for _, _, raw, offs in texts(pa.array(rows), size) for ids in words.encode(raw, offs)]
+        for text, ids in zip(rows, got, strict=True):
+            assert np.frombuffer(ids, words.dtype).tolist() == words.lib.encode(text, add_special_tokens=False).ids, text
 
 
 def test_perfect_hash_is_minimal_and_rejects_strangers():
