@@ -34,6 +34,8 @@ BINS = BANDS * ROWS
 SKETCH = 16
 #: bytes of text at a time, few enough that the arrays over them stay in the cache
 CACHED = 1 << 17
+#: lines whose band keys a task holds, keys of a range, shared keys that every task may get
+FLUSH, KEYS_PER_RANGE, BROADCAST_KEYS = 1 << 18, 1 << 21, 1 << 23
 SEEDS = seeds(8, 5)
 #: the bins that an empty bin asks in turn (every bin comes up in each list)
 ASKED = np.argsort(mix(np.arange(BINS * BINS, dtype=U64) + SEEDS[0]).reshape(BINS, BINS), axis=1)
@@ -137,6 +139,87 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
+def shared_keys(signed: DataFrame, rows: int) -> DataFrame:
+    """(band, keys binary, n): the band keys that several lines have, as sorted 32-bit
+    numbers.  Each task sends a key once, four bytes, in lists by ranges of the keys."""
+    fine = max(0, (rows // KEYS_PER_RANGE).bit_length())  # leading bits of a key that name its range
+
+    def send(batches):
+        held, size = [], 0
+
+        def flush():
+            for band in range(BANDS):
+                keys, times = np.unique(np.concatenate([k[:, band] for k in held]), return_counts=True)
+                cuts = np.searchsorted(keys, (np.arange((1 << fine) + 1, dtype=np.uint64) << U64(32 - fine)))
+                for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    if a < b:
+                        yield pa.RecordBatch.from_pydict({"band": pa.array([band], pa.int32()), "part": pa.array([part], pa.int32()),
+                                                          "keys": [keys[a:b].tobytes()], "again": [keys[a:b][times[a:b] > 1].tobytes()]})
+
+        for batch in batches:
+            held.append(_band_keys(batch.column(0)))
+            size += len(held[-1])
+            if size >= FLUSH:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    def merge(group: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint32) for c in ("keys", "again") for x in group.column(c).to_pylist()]
+        keys, times = np.unique(np.concatenate(parts), return_counts=True)
+        keys = keys[times > 1]
+        return pa.table({"band": group.column("band").slice(0, 1), "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([len(keys)], pa.int64())})
+
+    sent = signed.select("bands").mapInArrow(send, "band int, part int, keys binary, again binary")
+    return written(sent.groupBy("band", "part").applyInArrow(merge, "band int, keys binary, n long"), "shared-keys")
+
+
+def _band_keys(column: pa.Array) -> np.ndarray:
+    """n x BANDS unsigned 32-bit numbers."""
+    return np.asarray(column.flatten()).view(np.uint32).reshape(-1, BANDS)
+
+
+def shared_buckets(distinct: DataFrame) -> DataFrame:
+    """(bucket, id, size) of the band keys that other lines have too.
+
+    The shared keys go to every task while they are few (BROADCAST_KEYS of four bytes);
+    beyond that, the keys of all lines meet them in a join."""
+    rows = distinct.count()
+    shared = shared_keys(distinct, rows)
+    if (shared.agg(F.sum("n")).first()[0] or 0) > BROADCAST_KEYS:
+        def listed(batches):
+            for batch in batches:
+                for band, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    keys = np.frombuffer(raw, np.uint32).astype(np.int64)
+                    for at in range(0, len(keys), FLUSH):
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + FLUSH] + (band << 32))], names=["bucket"])
+
+        every = distinct.select("id", "size", F.posexplode("bands").alias("band", "part"))  # an id is in one row
+        part = F.col("part").cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+        every = every.select((F.col("band") * F.lit(1 << 32) + part).alias("bucket"), "id", "size")
+        return every.join(shared.select("band", "keys").mapInArrow(listed, "bucket long"), "bucket", "left_semi")
+
+    keys = [[] for _ in range(BANDS)]
+    for r in shared.collect():
+        keys[r["band"]].append(np.frombuffer(r["keys"], np.uint32))
+    known = distinct.sparkSession.sparkContext.broadcast([np.sort(np.concatenate(k)) if k else np.zeros(0, np.uint32) for k in keys])
+
+    def run(batches):
+        for batch in batches:
+            own = _band_keys(batch.column(2))
+            for band, some in enumerate(known.value):
+                if not len(some):
+                    continue
+                at = np.minimum(np.searchsorted(some, own[:, band]), len(some) - 1)
+                hit = np.flatnonzero(some[at] == own[:, band])
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[hit, band].astype(np.int64) + (band << 32)), batch.column(0).take(pa.array(hit)),
+                                                      batch.column(1).take(pa.array(hit))], names=["bucket", "id", "size"])
+
+    return distinct.select("id", "size", "bands").mapInArrow(run, "bucket long, id long, size int")
+
+
 def shingle_set(line: bytes) -> set:
     return {line[k:k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -206,9 +289,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"),
                                    *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]).filter("lo = hi"))
     distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), "distinct-lines")
-    buckets = distinct.select("id", "size", F.posexplode("bands").alias("band", "part"))  # an id is in one row
-    buckets = buckets.select((F.col("band") * F.lit(1 << 32) + F.col("part")).alias("bucket"), "id", "size")
-    found = link(buckets, SIMILARITY, verifier(docs), near(SIMILARITY, SKETCH))
+    found = link(shared_buckets(distinct), SIMILARITY, verifier(docs), near(SIMILARITY, SKETCH))
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = written(named.groupBy("component").agg(F.min("first").alias("head")), "line-heads")
     kept = named.join(heads, "component").select("id", "head")
