@@ -32,7 +32,7 @@ from strayscope.llm.common import LOWER, mix, row_of, runs, shared_path, span_ha
 
 MAGIC = b"TOKENID1"
 KEYS_PER_INDEX = 1 << 16
-CACHE = 1_000_000  # words, of some 150 bytes
+CACHE = 1_000_000  # words, of some 30 bytes
 LONGEST_MARKS = 8  # marks that are cut off a word; a longer run stays with it
 BLANK, MARK, PLAIN, ODD_FIRST = (np.zeros(256, bool) for _ in range(4))
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -70,7 +70,7 @@ class WordCache:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[int, int] = {}  # hash -> number of the word
+        self.hashes, self.numbers = np.zeros(0, U64), np.zeros(0, np.int32)  # of the known words, by hash
         self.ids, self.starts = np.zeros(1 << 16, self.dtype), np.zeros(1 << 16, np.int64)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +86,14 @@ class WordCache:
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(piece)]])
         return (np.array(coded.ids, self.dtype), np.diff(cuts)) if len(cuts) == len(words) + 1 else self._ids(words)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        plain = [w.isalpha() and (w.isascii() or max(w) < CASED) for w in words]
-        for alike, coder in ((True, self._letters), (False, self._ids)):
-            some = [w.lower() if p else w for w, p in zip(words, plain, strict=True) if p is alike]
-            if not some:
+    def _learn(self, words: list[str], n: int) -> np.ndarray:
+        """Appends the ids of ``words`` behind those of the ``n`` known ones; their numbers."""
+        plain = np.array([w.isalpha() and (w.isascii() or max(w) < CASED) for w in words])
+        numbers = np.empty(len(words), np.int32)
+        for some, coder in ((np.flatnonzero(plain), self._letters), (np.flatnonzero(~plain), self._ids)):
+            if not len(some):
                 continue
-            ids, lengths = coder(some)
-            n = len(self.number)
+            ids, lengths = coder([words[k].lower() for k in some] if coder == self._letters else [words[k] for k in some])
             end = int(self.starts[n])
             while end + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -101,7 +101,9 @@ class WordCache:
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.ids[end:end + len(ids)] = ids
             self.starts[n + 1:n + 1 + len(some)] = end + np.cumsum(lengths)
-            self.number.update(zip((h for h, p in zip(hashes, plain, strict=True) if p is alike), range(n, n + len(some)), strict=True))
+            numbers[some] = np.arange(n, n + len(some))
+            n += len(some)
+        return numbers
 
     def _pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words, marks at their ends cut off."""
@@ -143,17 +145,19 @@ class WordCache:
         if not len(starts):
             return [whole[r].tobytes() if r in whole else b"" for r in range(texts_)]
         hashes, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.number) + len(keys) > CACHE:
+        if len(self.hashes) + len(hashes) > CACHE:
             self._forget()
-        numbers = list(map(self.number.get, keys))
-        new = [k for k, n in enumerate(numbers) if n is None]
-        if new:
-            text, a, b = data.tobytes(), starts[first].tolist(), ends[first].tolist()
-            self._learn([keys[k] for k in new], [text[a[k]:b[k]].decode() for k in new])
-            for k in new:
-                numbers[k] = self.number[keys[k]]
-        own = np.array(numbers)[back]
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != hashes[inside]
+        own = np.empty(len(hashes), np.int32)
+        own[~new] = self.numbers[at[~new]]
+        if new.any():
+            text, spans = data.tobytes(), zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            own[new] = self._learn([text[a:b].decode() for a, b in spans], len(self.hashes))
+            self.hashes, self.numbers = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.numbers, at[new], own[new])
+        own = own[back]
         counts = self.starts[own + 1] - self.starts[own]
         upto = np.concatenate([[0], np.cumsum(counts)])
         places = np.arange(upto[-1]) + np.repeat(self.starts[own] - upto[:-1], counts)
