@@ -55,8 +55,12 @@ for _name, _sql in {
     "msp": O.with_(O.VEC, O.HEAD, O.MSP_SC, O.bench_sql(True)),
     "doc": O.with_(O.VEC, O.HEAD, O.DOC_SC, O.bench_sql(True)),
     "class_euclidean": O.with_(O.VEC, O.CLASS_MEAN, O.CLASS_EUC_SC, O.bench_sql(False)),
-    "maha": None, "class_maha": None, "class_maha_pca": None,
-    "marginal_maha": None, "marginal_maha_pca": None, "mc_dropout": None,
+    "maha": O.with_(O.VEC, O.mahalanobis_sql(False, 1, True), O.bench_sql(False)),
+    "class_maha": O.with_(O.VEC, O.mahalanobis_sql(True, 0, False), O.bench_sql(False)),
+    "class_maha_pca": O.with_(O.VEC, O.mahalanobis_sql(True, 1, False, nearest=True), O.bench_sql(False)),
+    "marginal_maha": O.with_(O.VEC, O.mahalanobis_sql(False, 0, False), O.bench_sql(False)),
+    "marginal_maha_pca": O.with_(O.VEC, O.mahalanobis_sql(False, 1, False), O.bench_sql(False)),
+    "mc_dropout": None,
 }.items():
     register(f"bench_{_name}", _sql)(_bench(_name))
 

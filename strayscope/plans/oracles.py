@@ -307,3 +307,43 @@ emb AS (SELECT id, list(m ORDER BY j) AS v FROM (SELECT id, j, avg(x) AS m FROM
 e AS (SELECT ct.id, emb.v, ct.intent, ct.split FROM ct JOIN emb ON ct.id = emb.id),
 tr AS (SELECT id, v, intent FROM e WHERE split = 'train' AND intent <> 'oos'),
 q AS (SELECT id, v, intent, split, CAST(intent = 'oos' AS INTEGER) AS y FROM e WHERE split <> 'train')"""
+
+
+# ------------------------------------------------------------ Mahalanobis family
+NEWTON_STEPS = 40
+
+
+def inverse_sql(name: str, steps: int = NEWTON_STEPS) -> str:
+    """``inv(i, j, v)``: the (pseudo-)inverse of the symmetric matrix ``name(i, j, v)`` by Newton's
+    iteration x <- 2x - x c x, which starts at c divided by its largest row sum squared."""
+    parts = [f"nx0 AS MATERIALIZED (SELECT i, j, v / (SELECT max(s) * max(s) FROM (SELECT sum(abs(v)) AS s FROM {name} GROUP BY i)) AS v FROM {name})"]
+    for k in range(steps):
+        parts.append(f"np{k} AS MATERIALIZED (SELECT c.i, x.j, sum(c.v * x.v) AS v FROM {name} c JOIN nx{k} x ON c.j = x.i GROUP BY c.i, x.j)")
+        parts.append(f"nq{k} AS MATERIALIZED (SELECT x.i, p.j, sum(x.v * p.v) AS v FROM nx{k} x JOIN np{k} p ON x.j = p.i GROUP BY x.i, p.j)")
+        parts.append(f"nx{k + 1} AS MATERIALIZED (SELECT i, j, 2 * x.v - q.v AS v FROM nx{k} x JOIN nq{k} q USING (i, j))")
+    return ",\n".join(parts) + f",\ninv AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM nx{steps} GROUP BY i))"
+
+
+def mahalanobis_sql(by_class: bool, ddof: int, root: bool, nearest: bool = False) -> str:
+    """sc(id, split, y, score): (squared) Mahalanobis distance to the mean, or to the class
+    means (``nearest``: to the mean that is nearest by Euclidean distance)."""
+    group = "intent" if by_class else "''"
+    value = "list_sum(list_transform(inv.m, lambda r, i: d[i] * list_dot_product(r, d)))"
+    if nearest:  # residuals are centred on their own mean again
+        cut, pick = ", sum(x) / (SELECT count(*) FROM tr) AS c", "arg_min(score, e)"
+    else:
+        cut, pick = ", 0.0 AS c", "min(score)"
+    return f"""
+ml AS (SELECT id, {group} AS g, UNNEST(v) AS x, UNNEST(generate_series(1, len(v))) AS pos FROM tr),
+mm AS (SELECT g, pos, avg(x) AS m FROM ml GROUP BY g, pos),
+ms AS (SELECT g, list(m ORDER BY pos) AS m FROM mm GROUP BY g),
+mr AS (SELECT id, pos, x - m AS x FROM ml JOIN mm USING (g, pos)),
+mz AS (SELECT pos{cut} FROM mr GROUP BY pos),
+mx AS (SELECT id, pos, x - c AS x FROM mr JOIN mz USING (pos)),
+zs AS (SELECT list(c ORDER BY pos) AS z FROM mz),
+cv AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) / ((SELECT count(*) FROM tr) - {ddof}) AS v FROM mx a JOIN mx b USING (id) GROUP BY a.pos, b.pos),
+{inverse_sql("cv")},
+df AS (SELECT q.id, q.split, q.y, list_transform(q.v, lambda x, i: x - ms.m[i]) AS r,
+              list_transform(q.v, lambda x, i: x - ms.m[i] - zs.z[i]) AS d FROM q, ms, zs),
+sv AS (SELECT id, split, y, list_dot_product(r, r) AS e, {value} AS score FROM df, inv),
+sc AS (SELECT id, split, any_value(y) AS y, {f"sqrt(greatest({pick}, 0))" if root else pick} AS score FROM sv GROUP BY id, split)"""
