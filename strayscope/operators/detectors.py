@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import OOD_LABEL
+from ..session import written
 from . import vectors as V
+from .classes import class_residual_moments, numbered_classes, residuals_of_many, within_radius_of_many
 from .pairs import AdjustedEntropyOp, NearestOp, QuadraticMinOp, SoftmaxStatsOp, pair_scan
 
 # fixed values: detector constants
@@ -110,7 +112,7 @@ class CosineEntropy(Detector):
     def score(self, df):
         p1 = SoftmaxStatsOp()
         p1.transform = self.transform
-        stats = pair_scan(df, self.train, p1)
+        stats = pair_scan(df, self.train, p1).checkpoint()  # read twice below
         q = df.select("id", "v").join(stats.withColumnRenamed("qid", "id"), "id")
         p2 = AdjustedEntropyOp()
         p2.transform = self.transform
@@ -218,7 +220,7 @@ class ClassEuclidean(Detector):
     def _fit(self, train):
         super()._fit(train)
         means = V.long_to_vectors(V.class_vector_means(self.train), "intent")
-        self.means = means.select(F.monotonically_increasing_id().alias("id"), "v", "intent")
+        self.means = numbered_classes(means)
         self.weight = None
 
     def score(self, df):
@@ -232,8 +234,7 @@ class ClassMahalanobis(ClassEuclidean):
 
     def _fit(self, train):
         super()._fit(train)
-        keys, mat = V.collect_matrix(V.class_vector_means(self.train), "intent")
-        cov, _ = V.pooled_class_covariance(self.train, dict(zip(keys, mat)), ddof=0)
+        _, cov, _ = class_residual_moments(self.train, ddof=0)
         self.weight = np.linalg.inv(cov)
 
 
@@ -249,24 +250,25 @@ class ClassMahalanobisPCA(Detector):
 
     def _fit(self, train):
         super()._fit(train)
-        self.keys, self.cmat = V.collect_matrix(V.class_vector_means(self.train), "intent")
-        cmap = dict(zip(self.keys, self.cmat))
-        cov, n = V.pooled_class_covariance(self.train, cmap, ddof=1)
         # PCA of the class-centred rows re-centres by their own (numerically ~0) mean
-        resid_mean = V._tree_sum(V._gram_partials(self.train, "v", cmap, "intent"))[1] / n
+        resid_mean, cov, n = class_residual_moments(self.train, ddof=1)
         cov = cov - np.outer(resid_mean, resid_mean) * n / (n - 1)
+        self.means = written(V.class_vector_means(self.train), "class-means")
+        self.fits = V.class_state_fits(self.means, "intent")
+        if self.fits:
+            self.keys, self.cmat = V.collect_matrix(self.means, "intent")
         w, v = np.linalg.eigh(cov)
         order = np.argsort(w)[::-1]
         self.var, self.basis, self.resid_mean = w[order], v[:, order], resid_mean
 
     def score(self, df):
-        cmat, b = self.cmat, self.basis[:, self.start_elem:]
-        var, rm = self.var[self.start_elem:], self.resid_mean
+        b, var, rm = self.basis[:, self.start_elem:], self.var[self.start_elem:], self.resid_mean
+        cmat = self.cmat if self.fits else np.zeros((1, b.shape[0]))
+        if not self.fits:  # the rows less their nearest class mean
+            df = residuals_of_many(df, self.means)
 
         def fn(ids, x, _):
-            d2 = ((x[:, None, :] - cmat[None, :, :]) ** 2).sum(-1)
-            best = np.argmin(d2, axis=1)
-            r = x - cmat[best] - rm[None, :]
+            r = x - cmat[np.argmin(V.square_distances(x, cmat), axis=1)] - rm[None, :]
             comp = r @ b
             return pd.DataFrame({"id": ids, "score": (comp * comp / var[None, :]).sum(axis=1)})
 
@@ -686,19 +688,22 @@ class ADB:
     def fit(self, train: DataFrame) -> "ADB":
         self.centroids = V.class_centroids(train)
         self.radius = V.adb_radius(train, self.centroids, alpha=self.alpha, step=self.step)
-        keys, cmat = V.collect_matrix(self.centroids, "intent")
-        rad = {r["intent"]: float(r["radius"]) for r in self.radius.collect()}  # one row per class
-        self.keys, self.cmat = keys, cmat
-        self.rvec = np.array([rad[k] for k in keys])
+        self.centroids = written(self.centroids, "centroids")
+        self.fits = V.class_state_fits(self.centroids, "intent")
+        if self.fits:
+            self.keys, self.cmat = V.collect_matrix(self.centroids, "intent")
+            rad = {r["intent"]: float(r["radius"]) for r in self.radius.collect()}  # one row per class
+            self.rvec = np.array([rad[k] for k in self.keys])
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
+        if not self.fits:
+            return within_radius_of_many(df, self.centroids, self.radius, self.ood_label)
         keys, cmat, rvec, ood = np.array(self.keys, dtype=object), self.cmat, self.rvec, self.ood_label
 
         def fn(ids, x, _):
             nrm = np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x), 1e-12))
-            xn = x / nrm[:, None]
-            d = np.sqrt(((xn[:, None, :] - cmat[None, :, :]) ** 2).sum(-1))
+            d = np.sqrt(V.square_distances(x / nrm[:, None], cmat))
             b = np.argmin(d, axis=1)
             dist = d[np.arange(len(b)), b]
             pred = np.where(dist < rvec[b], keys[b], ood)

@@ -37,6 +37,9 @@ QUERY_CHUNK = 1024
 REF_CHUNK = 4096
 
 
+TIED_PAIRS = 1 << 15
+
+
 @dataclass
 class RefBlock:
     ids: np.ndarray          # int64 [m]
@@ -192,6 +195,20 @@ class NearestOp(PairOp):
         mask &= np.isfinite(key)
         return np.nonzero(mask)
 
+    def _settled(self, qmat, rmat, qi, ri, ids):
+        """The k first of each query's candidates by (exact value, reference id).  Candidates
+        (many, if many references tie) are compared a bounded number at a time."""
+        kept = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        for s in range(0, len(qi), TIED_PAIRS):
+            q, r = qi[s:s + TIED_PAIRS], ri[s:s + TIED_PAIRS]
+            q, r, val = (np.concatenate([a, b]) for a, b in zip(kept, (q, r, self._exact(qmat, rmat, q, r))))
+            order = np.lexsort((ids[r], -val if self.metric == "cosine_sim" else val, q))
+            q, r, val = q[order], r[order], val[order]
+            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+            place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+            kept = [a[place < self.k] for a in (q, r, val)]
+        return kept
+
     def partial(self, qids, qmat, extra, refs):
         rmat = refs.mat
         key, tol = self._keys(qmat, rmat)
@@ -210,8 +227,7 @@ class NearestOp(PairOp):
         for cls, cols in groups:
             sub = key[:, cols]
             qi, cj = self._topk_pairs(sub, tol)
-            ri = cols[cj]
-            val = self._exact(qmat, rmat, qi, ri)
+            qi, ri, val = self._settled(qmat, rmat, qi, cols[cj], refs.ids)
             fr = pd.DataFrame({"qid": qids[qi], "ref_id": refs.ids[ri],
                                "ref_label": labels[ri], "value": val})
             if self.by_class:
@@ -326,6 +342,21 @@ class QuadraticMinOp(PairOp):
         return df.groupBy("qid").agg(best.alias("b")).select("qid", "b.ref_id", "b.ref_label", "b.value")
 
 
+class DistanceSumOp(PairOp):
+    """Per reference, over all queries: sum of the Euclidean distances and number of rows."""
+
+    schema = "ref_label string, s double, n long"
+
+    def partial(self, qids, qmat, extra, refs):
+        return pd.DataFrame({"ref_label": refs.labels, "s": np.sqrt(_sq_dists(qmat, refs.mat)).sum(axis=0), "n": len(qids)})
+
+    def combine(self, pdf):
+        return pdf.groupby("ref_label", as_index=False).sum()
+
+    def merge(self, df):
+        return df.groupBy("ref_label").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def _prepare(df: DataFrame, extra: tuple[str, ...] = (), label_col: str | None = None) -> DataFrame:
     # fresh aliases: query and reference frames often share lineage (splits of
     # one table); without new attribute ids the cogroup drops the shared column

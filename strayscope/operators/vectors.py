@@ -11,14 +11,17 @@ the driver, where inverses and eigen-decompositions (d x d only) are done.
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 
-MAX_STATE_BYTES = 512 << 20
+MAX_STATE_BYTES = 512 << 20  # of a d x d matrix, or of weights, that every task gets
+CLASS_STATE_BYTES = 128 << 20  # of class vectors; more of them stay distributed (``operators.classes``)
 TREE_FAN_IN = 16
 
 
@@ -27,6 +30,12 @@ def _check_state(nbytes: int, what: str) -> None:
         raise ValueError(f"{what} needs {nbytes} bytes of broadcast state, above the {MAX_STATE_BYTES} limit")
 
 
+def class_state_fits(long: DataFrame, key: str) -> bool:
+    """Whether the class vectors of (key, pos, value) may go to every task."""
+    stats = long.agg(F.countDistinct(key).alias("k"), (F.max("pos") + 1).alias("d")).first()
+    return int(stats["k"] or 0) * int(stats["d"] or 0) * 8 <= CLASS_STATE_BYTES
+
+
 def _class_sum_partials(df: DataFrame, label: str | None, vec: str, normalize_rows: bool) -> DataFrame:
     """Per input partition and class: component sums and row count, computed in
     numpy (rows optionally L2-normalised with the 1e-12 epsilon).  Output is
@@ -86,12 +95,10 @@ def long_to_vectors(long: DataFrame, key: str | None) -> DataFrame:
 
 
 def collect_matrix(long: DataFrame, key: str) -> tuple[list[str], np.ndarray]:
-    """Small (key, pos, value) state -> (sorted keys, matrix); size-checked."""
-    stats = long.agg(F.countDistinct(key).alias("k"), (F.max("pos") + 1).alias("d")).first()
-    _check_state(int(stats["k"] or 0) * int(stats["d"] or 0) * 8, "class state")
+    """Small (key, pos, value) state -> (sorted keys, matrix); the caller has checked its size."""
     pdf = long.toPandas()
     keys = sorted(pdf[key].unique().tolist())
-    d = int(stats["d"] or 0)
+    d = int(pdf["pos"].max()) + 1 if len(pdf) else 0
     mat = np.zeros((len(keys), d))
     idx = {k: i for i, k in enumerate(keys)}
     mat[pdf[key].map(idx).to_numpy(), pdf["pos"].to_numpy()] = pdf["value"].to_numpy()
@@ -145,9 +152,12 @@ def _tree_sum(partials: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.tolist()]})
 
-    # shuffled levels, so that the scan keeps its own parallelism; each task streams its partials
-    for width in (TREE_FAN_IN * TREE_FAN_IN, TREE_FAN_IN):
-        partials = (partials.withColumn("_k", F.spark_partition_id() % width).repartition(width, "_k").drop("_k")
+    # shuffled levels, so that the scan keeps its own parallelism; each task streams its partials,
+    # about the square root of them, and a scan of few tasks needs no level
+    tasks = partials.rdd.getNumPartitions()
+    while tasks > TREE_FAN_IN:
+        tasks = math.ceil(math.sqrt(tasks))
+        partials = (partials.withColumn("_k", F.spark_partition_id() % tasks).repartition(tasks, "_k").drop("_k")
                     .mapInPandas(add, "n long, s array<double>, g array<double>"))
     rows = partials.collect()  # at most TREE_FAN_IN rows of d*d doubles
     if not rows:
@@ -234,6 +244,16 @@ def quadratic_scores(df: DataFrame, mean: np.ndarray, weight: np.ndarray, sqrt:
     return score_rows(df, fn, "id long, score double")
 
 
+def square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """|x - y|^2 of all pairs by the expanded form (no rows x classes x d array), each row's
+    nearest one in full, so that equal vectors have distance 0."""
+    d2 = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)[None, :] - 2.0 * (x @ y.T)
+    best = np.argmin(d2, axis=1)
+    diff = x - y[best]
+    d2[np.arange(len(x)), best] = np.einsum("ij,ij->i", diff, diff)
+    return np.maximum(d2, 0.0)
+
+
 def adb_radius(points: DataFrame, centroid_long: DataFrame, label: str = "intent", vec: str = "v",
                alpha: float = 0.75, step: float = 0.01, cap: float = 2.0) -> DataFrame:
     """Per-class decision radius of the adaptive decision boundary.
@@ -246,6 +266,10 @@ def adb_radius(points: DataFrame, centroid_long: DataFrame, label: str = "intent
     also the answer when a class has no other-class rows).  S are sums of
     distances of all points to the class centroid.
     """
+    centroid_long = written(centroid_long, "centroids")
+    if not class_state_fits(centroid_long, label):
+        from .classes import distance_sums
+        return _radius(distance_sums(points, centroid_long, label, vec), label, alpha, step, cap)
     keys, cmat = collect_matrix(centroid_long, label)
     spark = points.sparkSession
 
@@ -262,7 +286,10 @@ def adb_radius(points: DataFrame, centroid_long: DataFrame, label: str = "intent
 
     partial = score_rows(points.withColumn("lab", F.col(label).cast("string")), fn,
                          "cls string, s_id double, n_id long, s_ood double, n_ood long, id long", keep=("lab",))
-    tot = partial.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("s_id", "n_id", "s_ood", "n_ood")])
+    return _radius(partial.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("s_id", "n_id", "s_ood", "n_ood")]), label, alpha, step, cap)
+
+
+def _radius(tot: DataFrame, label: str, alpha: float, step: float, cap: float) -> DataFrame:
     per = F.col("n_ood") / F.col("n_id")
     r_star = (F.col("s_ood") + F.col("s_id") * per / F.lit(alpha)) / (F.col("n_ood") * (1.0 + 1.0 / alpha))
     radius = F.when(F.col("n_ood") == 0, F.lit(cap)).otherwise(
@@ -273,13 +300,18 @@ def adb_radius(points: DataFrame, centroid_long: DataFrame, label: str = "intent
 def nearest_centroid(df: DataFrame, centroid_long: DataFrame, label: str = "intent") -> DataFrame:
     """Nearest class centroid under Euclidean, cosine (1 - cos) and angular
     (acos(cos)/pi) distance; ties -> lexically first class.  The centroid
-    matrix is classes x d (size-checked) and applied per Arrow batch."""
+    matrix is classes x d and applied per Arrow batch, or, if it is large, dealt into
+    blocks that meet the rows in the pair engine."""
+    centroid_long = written(centroid_long, "centroids")
+    if not class_state_fits(centroid_long, label):
+        from .classes import nearest_of_many
+        return nearest_of_many(df, centroid_long, label)
     keys, cmat = collect_matrix(centroid_long, label)
     keys = np.array(keys, dtype=object)
     cn = np.sqrt(np.einsum("ij,ij->i", cmat, cmat))
 
     def fn(ids, x, _):
-        d_e = np.sqrt(((x[:, None, :] - cmat[None, :, :]) ** 2).sum(-1))
+        d_e = np.sqrt(square_distances(x, cmat))
         xn = np.sqrt(np.einsum("ij,ij->i", x, x))
         den = xn[:, None] * cn[None, :]
         cos = np.divide(x @ cmat.T, den, out=np.zeros_like(den), where=den > 0)
