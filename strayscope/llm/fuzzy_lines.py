@@ -85,6 +85,14 @@ def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return owner, hashed, sums
 
 
+def distinct_marks(owner: np.ndarray, marks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each owner's different shingles: one sort of numbers that begin with the owner and go
+    on with as many leading bits of the hash as fit, which are the hash from here on."""
+    bits = U64(64 - max(1, n).bit_length())
+    key = np.unique(owner.astype(U64) << bits | marks >> (U64(64) - bits))
+    return (key >> bits).astype(np.int64), key << (U64(64) - bits)
+
+
 def signatures(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     """One-permutation MinHash: ``n`` x ``BINS``."""
     table = np.full(n * BINS, EMPTY, U64)
@@ -238,11 +246,7 @@ def verifier(docs: DataFrame):
                     _, one = np.unique(hashed[keep], return_index=True)
                     keep = keep[one]
                     owner, marks, _ = shingles(data, starts[keep], ends[keep])
-                    order = np.lexsort((marks, owner))
-                    owner, marks = owner[order], marks[order]
-                    new = np.ones(len(owner), bool)
-                    new[1:] = (owner[1:] != owner[:-1]) | (marks[1:] != marks[:-1])
-                    owner, marks = owner[new], marks[new]
+                    owner, marks = distinct_marks(owner, marks, len(keep))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(hashed[keep].view(np.int64)),
                          pa.array([data[s:e].tobytes() for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)], pa.binary()),
@@ -289,7 +293,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"),
                                    *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]).filter("lo = hi"))
     distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), "distinct-lines")
-    found = link(shared_buckets(distinct), SIMILARITY, verifier(docs), near(SIMILARITY, SKETCH))
+    found = link(written(shared_buckets(distinct), "shared-buckets"), SIMILARITY, verifier(docs), near(SIMILARITY, SKETCH))
     named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = written(named.groupBy("component").agg(F.min("first").alias("head")), "line-heads")
     kept = named.join(heads, "component").select("id", "head")
