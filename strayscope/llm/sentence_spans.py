@@ -1,21 +1,21 @@
 """Operator 3: substring deduplication by sliding sentence spans.
 
-Sentences end at ``.``, ``!`` or ``?`` before white space, and at line breaks.  Long
-ones are cut into pieces at places that the nearby words alone decide (no piece has
-more than 2 * ``APART`` + ``WINDOW`` - 2 words), so that a passage has the same pieces
-wherever it is pasted, also if its first and last sentence merge with their
-surroundings.  A span is a run of at least ``SENTENCES`` whole sentences and ``WORDS``
-words, or a run of pieces of at least ``PASSAGE`` words; the shortest such runs from
-each start on and back from each end are taken, which together cover every longer
-one.  All spans are hashed, word by word, to 128 bits and grouped globally; the first
-occurrence of each, by (doc_id, hash of the text, piece number), stays, and every piece that another
-occurrence covers is removed.
-
-A first scan counts the spans by half of their hash; the others run over what a
-fixed-size filter of the repeated halves lets through.  Defined results: null
-and empty texts have no sentences; a document shorter than a span has no spans;
-white space between words doesn't count (line breaks end sentences);
-rows with a null doc_id take no part and keep their text; rows that repeat
+Sentences end at ``.``, ``!`` or ``?`` before white space, and at line breaks.  Sentences of
+more than ``SHORT`` words are cut into pieces at places that the nearby words alone
+decide (no piece has more than 2 * ``APART`` + ``WINDOW`` - 2 words), so that a passage has the
+same pieces wherever it is pasted, also if its first and last sentence merge with their
+surroundings.  From every unit (sentence or piece) on, the shortest run of at least ``UNITS``
+units and ``WORDS`` words is a span, hashed word by word to 128 bits.  The first
+occurrence of each span, by (doc_id, hash of the text, unit number), stays; units that
+another occurrence covers are covered.  A sentence goes if it is covered whole; of sentences of
+more than ``LONG`` words the covered pieces go.
+
+Each task settles the repeats among the texts it holds itself: of a span that it has several
+times only the first occurrence travels on, so a span that every text holds sends
+a row per task.  What travels is sorted by hash, and all but the first of equal ones are
+covered too.  Defined results: null and empty texts have no sentences; a document shorter
+than a span has no spans; white space between words doesn't count (line breaks end
+sentences); rows with a null doc_id take no part and keep their text; rows that repeat
 doc_id and text count as one, and rows that repeat the doc_id only are told apart by
 64 bits of hash of the text; an empty table stays empty."""
 
@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strayscope.llm.common import U64, fresh, mix, quoted, row_of, run_hashes, runs, seeds, span_hashes, text_hash, texts, written
-from strayscope.llm.linking import bloom, maybe_in
 
-SENTENCES = 2
-WORDS = 8
-#: words of a run of pieces
-PASSAGE = 16
+UNITS, WORDS = 2, 8
+#: words of a sentence that is one unit; of one that goes only as a whole
+SHORT, LONG = 12, 20
 #: words between a cut and the ends of its sentence; places of which the least is a cut
-APART, WINDOW = 4, 5
+APART, WINDOW = 4, 7
+#: spans that a task settles among themselves
+TOGETHER = 1 << 20
 SEEDS = seeds(4, 7)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -76,7 +76,8 @@ def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     cuts = opens.copy()
     if len(starts) >= WINDOW:
         place = np.arange(len(starts)) - np.repeat(heads, inside)
-        free = (place >= APART) & (np.repeat(inside, inside) - place >= APART)
+        size = np.repeat(inside, inside)
+        free = (size > SHORT) & (place >= APART) & (size - place >= APART)
         mark = codes.copy()
         with np.errstate(over="ignore"):
             mark[1:] += codes[:-1] * (SEEDS[1] | U64(1))
@@ -88,79 +89,123 @@ def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts[at], at, opens[at], row_of(starts[at], offs), codes
 
 
-def shortest(first: np.ndarray, row: np.ndarray, total: int, least: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shortest runs (from, to) of ``least`` units and ``n_words`` words within a row,
-    from each unit on and back from each; ``first`` is the first word of each unit."""
-    n = len(first)
-    edges = np.append(first, total)
-    low, high = np.searchsorted(row, row), np.searchsorted(row, row, "right")
-    at = np.arange(n)
-    to = np.maximum(at + least, np.searchsorted(edges, first + n_words))
-    back = np.minimum(at + 1 - least, np.searchsorted(edges, edges[1:] - n_words, "right") - 1)
-    on, off = to <= high, back >= low
-    return np.concatenate([at[on], back[off]]), np.concatenate([to[on], at[off] + 1])
-
-
-def spans(raw: np.ndarray, offs: np.ndarray):
-    """(row, first piece, end piece, two hashes) of every span; pieces are numbered
+def spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first unit, end unit, two hashes) of every span; units are numbered
     within their row."""
-    _, first, opens, row, codes = pieces(raw, offs)
+    _, first, _, row, codes = pieces(raw, offs)
     if not len(first):
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(U64), none.view(U64)
-    whole = np.flatnonzero(opens)
-    edges = np.append(whole, len(first))
-    a, b = shortest(first[whole], row[whole], len(codes), SENTENCES, WORDS)
-    c, d = shortest(first, row, len(codes), 1, PASSAGE)
-    wide = len(first) + 1
-    both = np.unique(np.concatenate([edges[a] * wide + edges[b], c * wide + d]))
-    at, end = both // wide, both % wide
     words = np.append(first, len(codes))
+    at = np.arange(len(first))
+    end = np.maximum(at + UNITS, np.searchsorted(words, first + WORDS))
+    at = at[end <= np.searchsorted(row, row, "right")]
+    end = end[at]
     base = np.searchsorted(row, row[at])
     h1, h2 = (run_hashes(x, words[at], words[end]) for x in (codes, mix(codes ^ SEEDS[0])))
     return row[at], at - base, end - base, h1, h2
 
 
-SPANS = "doc_id long, body long, first int, end int, h1 long, h2 long"
-
-
-def span_table(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """The spans of (doc_id, text, body) rows; with ``bits`` only those that may be in it."""
+def later_ones(h1: np.ndarray, h2: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal hashes: the numbers of the first ones by ``place``, of the others, and of
+    the first one of each of the others."""
+    order = np.lexsort((*place[::-1], h2, h1))
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+    heads = order[new]
+    return heads, order[~new], heads[np.cumsum(new) - 1][~new]
+
+
+def merged(owner: np.ndarray, source: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Overlapping or touching intervals of one (owner, source) as one."""
+    order = np.lexsort((first, source, owner))
+    owner, source, first, end = owner[order], source[order], first[order], end[order]
+    other = np.ones(len(order), bool)
+    other[1:] = (owner[1:] != owner[:-1]) | (source[1:] != source[:-1])
+    group = np.cumsum(other) << 32
+    reach = np.maximum.accumulate(group + end) - group if len(order) else end  # furthest end so far in the group
+    new = other.copy()
+    new[1:] |= first[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(order) - 1)[:int(new.sum())]
+    return owner[new], source[new], first[new], reach[last]
+
+
+SPANS = "doc_id long, body long, first int, end int, h1 long, h2 long, source long, open boolean"
+
+
+def span_table(docs: DataFrame) -> DataFrame:
+    """Spans of (doc_id, text, body) rows: ``open`` ones are the first in their task; the
+    others are intervals covered by them, merged, with the doc_id of the first one."""
+
+    def settled(held: list[tuple[np.ndarray, ...]]):
+        doc, body, row, first, end, h1, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
+        heads, rest, head = later_ones(h1, h2, doc, body, first)
+        again = (doc[rest] == doc[head]) & (body[rest] == body[head]) & (first[rest] == first[head])  # the same row twice
+        rest, head = rest[~again], head[~again]
+        owner, source, a, b = merged(row[rest], doc[head], first[rest], end[rest])
+        sample = np.zeros(int(row.max()) + 1, np.int64)
+        sample[row] = np.arange(len(row))
+        owner = sample[owner]
+        n, m = len(heads), len(owner)
+        none = np.zeros(m, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([doc[heads], doc[owner]])), pa.array(np.concatenate([body[heads], body[owner]])),
+             pa.array(np.concatenate([first[heads], a]).astype(np.int32)), pa.array(np.concatenate([end[heads], b]).astype(np.int32)),
+             pa.array(np.concatenate([h1[heads], none])), pa.array(np.concatenate([h2[heads], none])),
+             pa.array(np.concatenate([doc[heads], source])), pa.array(np.arange(n + m) < n)], names=[c.split()[0] for c in SPANS.split(", ")])
 
     def run(batches):
+        held, size, rows = [], 0, 0
         for batch in batches:
+            docs_, bodies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for start, _, raw, offs in texts(batch.column(1)):
                 row, first, end, h1, h2 = spans(raw, offs)
-                if bits is not None:
-                    keep = maybe_in(bits, h1.view(np.int64))
-                    row, first, end, h1, h2 = (x[keep] for x in (row, first, end, h1, h2))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(start + row)), batch.column(2).take(pa.array(start + row)), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)),
-                     pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "body", "first", "end", "h1", "h2"])
+                if len(row):
+                    held.append((docs_[start + row], bodies[start + row], rows + start + row, first, end, h1.view(np.int64), h2.view(np.int64)))
+                    size += len(row)
+                if size >= TOGETHER:
+                    yield from settled(held)
+                    held, size = [], 0
+            rows += batch.num_rows
+        if held:
+            yield from settled(held)
 
     return docs.mapInArrow(run, SPANS)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, body, first, end, source): the occurrences (pieces first to end) after the first of repeated
-    spans (``body`` is the ``text_hash`` of the document), and the doc_id that holds
-    the first one."""
+    """(doc_id, body, first, end, source): units first to end of a document (``body`` is its
+    ``text_hash``) that spans cover which the document ``source`` has earlier."""
     docs = (docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), text_hash(text).alias("body"))
             .filter("doc_id IS NOT NULL"))
-    place = F.struct("doc_id", "body", "first")
-    often = span_table(docs).groupBy("h1").count().filter("count > 1").select("h1")
-    some = written(span_table(docs, bloom(often)), "likely-spans")
-    groups = some.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
-    groups = written(groups.filter("head <> tail").select("h1", "h2", "head"), "repeated-spans")
-    return (some.join(groups, ["h1", "h2"]).filter(place != F.col("head"))
-            .select("doc_id", "body", "first", "end", F.col("head.doc_id").alias("source")))
+    found = written(span_table(docs), "spans")
+
+    def later(batches):
+        kept = None  # the last one's hashes and the first of its kind
+        for batch in batches:
+            doc, body, first, end, h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            if not len(doc):
+                continue
+            new = np.ones(len(doc), bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            goes_on = kept is not None and kept[:2] == (h1[0], h2[0])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+            heads = [np.where(at == 0, kept[k], x[at]) if goes_on else x[at] for k, x in ((2, doc), (3, body), (4, first))]
+            kept = (h1[-1], h2[-1], heads[0][-1], heads[1][-1], heads[2][-1])
+            rest = ~((doc == heads[0]) & (body == heads[1]) & (first == heads[2]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[rest]), pa.array(body[rest]), pa.array(first[rest]), pa.array(end[rest]), pa.array(heads[0][rest])],
+                                             names=["doc_id", "body", "first", "end", "source"])
+
+    dealt = found.filter("open").select("doc_id", "body", "first", "end", "h1", "h2").repartition("h1")
+    across = dealt.sortWithinPartitions("h1", "h2", "doc_id", "body", "first").mapInArrow(later, "doc_id long, body long, first int, end int, source long")
+    return across.unionByName(found.filter("NOT open").select("doc_id", "body", "first", "end", "source"))
 
 
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the covered pieces cut from ``text`` (each up to the start of
-    the next), and columns n_sentences, n_removed (sentences cut, whole or in part),
-    source_ids (documents that hold the first occurrences); columns of these names in
-    ``docs`` are replaced."""
+    """``docs`` with the covered sentences cut from ``text`` (each up to the start of
+    the next), and columns n_sentences, n_removed (sentences cut, whole or, of more than LONG
+    words, in part), source_ids (documents that hold earlier occurrences); columns of
+    these names in ``docs`` are replaced."""
     rest = docs.drop("n_sentences", "n_removed", "source_ids")
     own, body, cuts = fresh(rest, "_key"), fresh(rest, "_body"), fresh(rest, "_spans")
     hits = (repeated_spans(docs, key, text).groupBy("doc_id", "body")
@@ -175,12 +220,17 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             cleaned, counts, removed = [], [], []
             for t, cut in zip(batch.column(at).to_pylist(), batch.column(where).to_pylist(), strict=True):
                 raw = np.frombuffer((t or "").encode(), np.uint8)
-                starts, _, opens, _, _ = pieces(raw, np.array([0, len(raw)]))
+                starts, heads, opens, _, codes = pieces(raw, np.array([0, len(raw)]))
                 gone = np.zeros(len(starts) + 1, np.int64)
                 for s in cut or []:
                     gone[min(s["first"], len(starts))] += 1
                     gone[min(s["end"], len(starts))] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
+                if gone.any():
+                    sentence = np.cumsum(opens) - 1
+                    words = np.bincount(sentence, np.diff(np.append(heads, len(codes))))
+                    whole = np.bincount(sentence, ~gone) == 0
+                    gone &= (whole | (words > LONG))[sentence]
                 counts.append(int(opens.sum()))
                 removed.append(len(np.unique(np.cumsum(opens)[gone])))
                 if gone.any():
