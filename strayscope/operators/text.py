@@ -64,18 +64,24 @@ def keyword_hits(df: DataFrame, keywords: DataFrame, text_col: str = "text") ->
     """ids of utterances whose cleaned token sequence contains a keyword
     (whole-token, contiguous match).
 
-    Candidates are anchored on keyword first words: a token only spawns the
-    n-grams of the lengths that keywords starting with it actually have, so stop
-    words and unknown words spawn nothing.  Places, not token arrays, go through
-    the join; they meet their tokens again by id."""
-    firsts = keywords.select(F.split("phrase", " ")[0].alias("tok"), "n_words").distinct()
+    One-word keywords meet the tokens.  Candidates for longer ones are anchored on
+    their first two words: a pair of tokens only spawns the n-grams of the lengths that
+    keywords starting with it actually have, so few places spawn any.  Places, not
+    token arrays, go through the join; they meet their tokens again by id."""
+    words = F.split("phrase", " ")
     toks = df.select("id", T.rake_tokens(F.col(text_col)).alias("toks"))
-    pos = toks.select("id", F.size("toks").alias("size"), F.posexplode("toks").alias("pos", "tok"))
-    cand = join_dimension(pos, firsts, "tok").filter(F.col("pos") + F.col("n_words") <= F.col("size"))
+    singles = keywords.filter("n_words = 1").select(F.col("phrase").alias("tok"))
+    one = join_dimension(toks.select("id", F.explode(F.array_distinct("toks")).alias("tok")), singles, "tok", "left_semi").select("id")
+    firsts = keywords.filter("n_words > 1").select(words[0].alias("tok"), words[1].alias("nxt"), "n_words").distinct()
+    pairs = F.arrays_zip(F.slice("toks", 1, F.size("toks") - 1).alias("a"), F.slice("toks", 2, F.size("toks")).alias("b"))
+    pos = (toks.filter(F.size("toks") > 1).select("id", F.size("toks").alias("size"), F.posexplode(pairs).alias("pos", "p"))
+           .select("id", "size", "pos", F.col("p.a").alias("tok"), F.col("p.b").alias("nxt")))
+    cand = join_dimension(pos, firsts, ["tok", "nxt"]).filter(F.col("pos") + F.col("n_words") <= F.col("size"))
     spans = cand.groupBy("id").agg(F.collect_set(F.struct("pos", "n_words")).alias("spans"))  # of one text
     grams = spans.join(toks, "id").select("id", F.explode(F.transform(
         "spans", lambda s: F.array_join(F.slice("toks", s["pos"] + 1, s["n_words"]), " "))).alias("phrase"))
-    return join_dimension(grams, keywords.select("phrase"), "phrase", "left_semi").select("id").distinct()
+    more = join_dimension(grams, keywords.filter("n_words > 1").select("phrase"), "phrase", "left_semi").select("id")
+    return one.unionByName(more).distinct()
 
 
 class RakeDetector:
