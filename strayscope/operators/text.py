@@ -95,7 +95,8 @@ class RakeDetector:
 
     def fit(self, train: DataFrame) -> "RakeDetector":
         if train.filter(F.col("intent") == self.ood_label).limit(1).count() > 0:
-            raise ValueError(f"found {self.ood_label!r} in training data; rake needs in-domain rows only")
+            from .detectors import NotApplicable
+            raise NotApplicable(f"found {self.ood_label!r} in training data; rake needs in-domain rows only")
         self.keywords = rake_keywords(train, self.text_col).checkpoint()
         return self
 

@@ -16,7 +16,8 @@ from ..sources import loaders as L
 from ..sources import readers as R
 from . import benchmark as B
 from . import oracles as O
-from .catalog import CONV_UT, register
+from . import sweep as SW
+from .catalog import CONV_UT, ORACLES, register
 
 # ------------------------------------------------------------ drawn class splits
 RATIOS, DRAWS = (0.25, 0.75), 5
@@ -202,3 +203,26 @@ def bench_foreign_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = B.benchmark(SP.TextCosineNN(), splits).withColumn("ood_type", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     return B.round_cols(out)
+
+
+# ------------------------------------------------------------ text detectors of the grid
+
+def _text_grid_sql() -> str:
+    none = "CAST(NULL AS DOUBLE) AS {}"
+    parts = []
+    for detector, query, own in (("rake", "bench_rake_conversations", ("f1", "mcc")),
+                                 ("likelihood_ratio", "bench_likelihood_ratio_conversations", ("fpr95", "fpr90", "aupr", "auroc")),
+                                 ("text_cosine_nn", "bench_cosine_nn_tf_idf", SW.METRICS), ("text_knn", "bench_knn_tf_idf", SW.METRICS)):
+        columns = ", ".join(c if c in own else none.format(c) for c in SW.TEXT_COLUMNS)
+        parts.append(f"SELECT 'conversations' AS dataset, '{detector}' AS detector, false AS is_ood_label_in_train, {columns} FROM ({ORACLES[query]})")
+    return " UNION ALL ".join(parts)
+
+
+@register("sweep_text_grid", _text_grid_sql())
+def sweep_text_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword, likelihood-ratio and tf-idf detectors over the conversations; the rows with the OOD
+    class in training are left out, as each of them refuses it."""
+    def splits_of(ood_in_train: bool) -> FX.Splits:
+        sp = L.as_splits(FX.short_text_table(spark, sf_dir))
+        return sp if ood_in_train else FX.Splits(sp.train.filter(F.col("intent") != FX.OOD_LABEL), sp.val, sp.test)
+    return SW.run_text_sweep(splits_of)

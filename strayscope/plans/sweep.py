@@ -12,9 +12,12 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import detectors as D
+from ..operators import metrics as M
+from ..operators import registry as REG
 from ..sources import fixtures as FX
 from ..sources.readers import write_run_results
 from . import benchmark as B
@@ -55,3 +58,34 @@ def run_sweep(spark: SparkSession, sf_dir: str, detectors=GRID_DETECTORS, ood_op
     if out_dir:
         write_run_results(out, out_dir)
     return out
+
+
+# fixed values: text detectors of the published grid, and the columns of their result files
+TEXT_DETECTORS = ("rake", "likelihood_ratio", "text_cosine_nn", "text_knn")
+TEXT_COLUMNS = ("fpr95", "fpr90", *METRICS)
+
+
+def run_text_sweep(splits_of, detectors=TEXT_DETECTORS, ood_options=(False, True), dataset: str = "conversations") -> DataFrame:
+    """One row per text detector and OOD-in-training option that applies: labels give f1 and mcc, the
+    likelihood ratio its step metrics, the others all six.  ``splits_of(ood_in_train)`` gives
+    the splits."""
+    out = None
+    for ood_in_train in ood_options:
+        splits = splits_of(ood_in_train)
+        for name in detectors:
+            kind = REG.entry(name)
+            try:
+                if kind.returns == "label":
+                    found = B.benchmark_labels(kind.make().fit(splits.train).predict(splits.test), splits.test)
+                elif name == "likelihood_ratio":
+                    scored = B.with_labels(kind.make().fit(splits.train).score(splits.test), splits.test).checkpoint()
+                    found = M.ranking_metrics(scored, interpolate=False).select(F.col("fpr_95").alias("fpr95"), F.col("fpr_90").alias("fpr90"), "aupr", "auroc")
+                else:
+                    found = B.benchmark(kind.make(), splits)
+            except D.NotApplicable as reason:
+                logging.getLogger(__name__).warning("skipped %s, ood_in_train=%s: %s", name, ood_in_train, reason)
+                continue
+            row = [F.col(c).cast("double").alias(c) if c in found.columns else F.lit(None).cast("double").alias(c) for c in TEXT_COLUMNS]
+            part = found.select(F.lit(dataset).alias("dataset"), F.lit(name).alias("detector"), F.lit(ood_in_train).alias("is_ood_label_in_train"), *row)
+            out = part if out is None else out.unionByName(part)
+    return B.round_cols(out)
