@@ -280,48 +280,40 @@ def text_embeddings(df: DataFrame, train: DataFrame, dim: int = 16, seed: int =
 
 # ------------------------------------------------------------ similar terms (enhanced keywords)
 
-def train_word_vectors(train: DataFrame, text_col: str = "text", dim: int = 100, window: int = 3,
-                       min_count: int = 1, epochs: int = 5, seed: int = 0, num_partitions: int = 1) -> DataFrame:
-    """Word2Vec (skip-gram, Spark ML) over the cleaned training utterances:
-    (word, vec array<double>).  Stand-in for the sub-word FastText model (no
-    character n-grams: phrase vectors are means of word vectors)."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-    toks = train.select(T.rake_tokens(F.col(text_col)).alias("toks")).filter(F.size("toks") > 0)
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
-                     numPartitions=num_partitions, inputCol="toks", outputCol="_w2v").fit(toks)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
-
-
-def similar_terms(phrases: DataFrame, word_vectors: DataFrame, topn: int = 5) -> DataFrame:
-    """(phrase, rank, term): the ``topn`` vocabulary words most cosine-similar to
-    each phrase (phrase vector = mean of its word vectors; the phrase's own
-    words excluded), exact top-k through the pair engine."""
-    from .pairs import NearestOp, pair_scan
+def mean_of_words(phrases: DataFrame, word_vectors: DataFrame) -> DataFrame:
+    """(phrase, v): mean of the vectors (word, vec) of the phrase's words."""
     words = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("p", "word"))
     pv = join_dimension(words, word_vectors, "word").select("phrase", F.posexplode("vec").alias("j", "x"))
-    pvec = (pv.groupBy("phrase", "j").agg(F.avg("x").alias("x"))
+    return (pv.groupBy("phrase", "j").agg(F.avg("x").alias("x"))
             .groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("_a"))
             .select("phrase", F.transform("_a", lambda s: s["x"]).alias("v")))
-    q = pvec.select(F.xxhash64("phrase").alias("id"), "phrase", "v")
+
+
+def similar_terms(phrase_vectors: DataFrame, word_vectors: DataFrame, topn: int = 5) -> DataFrame:
+    """(phrase, rank, term): the ``topn`` words (word, vec) most cosine-similar to each
+    phrase (phrase, v), other than the phrase itself; exact top-k through the pair engine."""
+    from .pairs import NearestOp, pair_scan
+    q = phrase_vectors.select(F.xxhash64("phrase").alias("id"), "phrase", "v")
     refs = word_vectors.select(F.xxhash64("word").alias("id"), F.col("vec").alias("v"), "word")
-    n_words_max = int(phrases.select(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1)
-    nn = pair_scan(q, refs, NearestOp(topn + n_words_max, "cosine_sim"), label_col="word")
-    nn = nn.join(q.select(F.col("id").alias("qid"), "phrase"), "qid")
-    nn = nn.filter(~F.array_contains(F.split("phrase", " "), F.col("ref_label")))
-    from pyspark.sql import Window as W
-    w = W.partitionBy("phrase").orderBy(F.col("value").desc(), F.col("ref_id"))
+    nn = pair_scan(q, refs, NearestOp(topn + 1, "cosine_sim"), label_col="word")
+    nn = nn.join(q.select(F.col("id").alias("qid"), "phrase"), "qid").filter(F.col("phrase") != F.col("ref_label"))
+    w = Window.partitionBy("phrase").orderBy(F.col("value").desc(), F.col("ref_label"))
     return (nn.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= topn)
             .select("phrase", "rank", F.col("ref_label").alias("term")))
 
 
-def rake_keywords_enhanced(train: DataFrame, text_col: str = "text", topn: int = 5,
-                           keyword_stopwords=T.KEYWORD_STOPWORDS) -> DataFrame:
-    """Enhanced keyword set: all distinct RAKE phrases plus their similar terms,
-    minus the custom stop-list (the one-word filter is not applied)."""
+def all_phrases(train: DataFrame, text_col: str = "text") -> DataFrame:
+    """Distinct RAKE phrases, unfiltered."""
     toks = train.select(T.rake_tokens(F.col(text_col)).alias("toks"))
-    phrases = toks.select(F.explode(T.rake_phrases(F.col("toks"))).alias("phrase")).distinct().checkpoint()
-    wv = train_word_vectors(train, text_col).checkpoint()
-    sim = similar_terms(phrases, wv, topn).select(F.col("term").alias("phrase"))
-    kw = phrases.unionByName(sim).distinct().filter(~F.col("phrase").isin(*keyword_stopwords))
+    return toks.select(F.explode(T.rake_phrases(F.col("toks"))).alias("phrase")).distinct()
+
+
+def rake_keywords_enhanced(train: DataFrame, terms_of, text_col: str = "text", keyword_stopwords=T.KEYWORD_STOPWORDS) -> DataFrame:
+    """Enhanced keyword set: the keywords (one-word phrases that are in no longer one left
+    out) and the similar terms of all phrases, minus the custom stop-list.
+    ``terms_of`` maps the phrases to (phrase, rank, term)."""
+    phrases = all_phrases(train, text_col).checkpoint()
+    similar = terms_of(phrases).select(F.col("term").alias("phrase"))
+    kept = rake_keywords(train, text_col, keyword_stopwords=keyword_stopwords).select("phrase")
+    kw = kept.unionByName(similar).distinct().filter(~F.col("phrase").isin(*keyword_stopwords))
     return kw.withColumn("n_words", F.size(F.split("phrase", " ")))

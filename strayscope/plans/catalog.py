@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import detectors as D
 from ..operators import likelihood as LR
 from ..operators import metrics as M
+from ..operators import subwords as SW
 from ..operators import vectors as V
 from ..sources import fixtures as FX
 from . import benchmark as B
@@ -714,7 +715,7 @@ def sweep_vector_grid(spark, sf_dir):
 @register("bench_rake_enhanced")
 def bench_rake_enhanced(spark, sf_dir):
     sp = _utt(spark, sf_dir)
-    kw = TO.rake_keywords_enhanced(sp.train).checkpoint()
+    kw = TO.rake_keywords_enhanced(sp.train, lambda phrases: SW.fitted_terms(sp.train, phrases)).checkpoint()
     pred = TO.rake_predict(sp.test, kw)
     return B.round_cols(B.benchmark_labels(pred, sp.test))
 
@@ -722,8 +723,7 @@ def bench_rake_enhanced(spark, sf_dir):
 @register("similar_terms")
 def similar_terms_q(spark, sf_dir):
     sp = _utt(spark, sf_dir)
-    wv = TO.train_word_vectors(sp.train).checkpoint()
-    return TO.similar_terms(TO.rake_keywords(sp.train).select("phrase"), wv)
+    return SW.fitted_terms(sp.train, TO.rake_keywords(sp.train).select("phrase"))
 
 
 # ------------------------------------------------------------ Spark ML heads

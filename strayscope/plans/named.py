@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as TXT
 from ..operators import sparse as SP
 from ..operators import splits as SS
 from ..operators import text as TO
@@ -226,3 +227,31 @@ def sweep_text_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         sp = L.as_splits(FX.short_text_table(spark, sf_dir))
         return sp if ood_in_train else FX.Splits(sp.train.filter(F.col("intent") != FX.OOD_LABEL), sp.val, sp.test)
     return SW.run_text_sweep(splits_of)
+
+
+# ------------------------------------------------------------ enhanced keywords from given word vectors
+GIVEN_DIM = 8
+_GIVEN_SQL = O.with_(CONV_UT, O.rake_sql()) + """,
+gw AS (SELECT DISTINCT UNNEST(toks) AS word FROM rt2 WHERE split = 'train' AND intent <> 'oos'),
+gv AS (SELECT word, list_transform(range(0, 8), lambda j:
+          sqrt(-2.0 * ln(((('0x' || substr(md5(concat_ws('/', 0, word, j, 'a')), 1, 8))::BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE))
+          * cos(2.0 * 3.141592653589793 * ((('0x' || substr(md5(concat_ws('/', 0, word, j, 'b')), 1, 8))::BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE)
+          * 0.3836) AS vec FROM gw),
+gp AS (SELECT phrase, UNNEST(string_split(phrase, ' ')) AS word FROM ph),
+gl AS (SELECT phrase, UNNEST(vec) AS x, UNNEST(generate_series(1, 8)) AS j FROM gp JOIN gv USING (word)),
+gm AS (SELECT phrase, list(m ORDER BY j) AS v FROM (SELECT phrase, j, avg(x) AS m FROM gl GROUP BY phrase, j) GROUP BY phrase),
+gs AS (SELECT phrase, word, list_cosine_similarity(v, vec) AS s FROM gm, gv WHERE phrase <> word),
+gt AS (SELECT word FROM (SELECT word, row_number() OVER (PARTITION BY phrase ORDER BY s DESC, word) AS r FROM gs) WHERE r <= 5)
+SELECT phrase, len(string_split(phrase, ' ')) AS n_words FROM (SELECT phrase FROM kw UNION SELECT word FROM gt)
+WHERE phrase NOT IN ('want', 'my', 'send', 'much', 'please', 'plz', 'need', 'know', 'name', 'tell', 'help', 'ok', 'okay', 'is', 'was', 'wa', 'I', 'am', 'were', 'are', 'will', 'should')"""
+
+
+@register("enhanced_keywords_given_vectors", _GIVEN_SQL)
+def enhanced_keywords_given_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enhanced keyword set of the conversations, similar terms by given word vectors."""
+    sp = L.as_splits(FX.short_text_table(spark, sf_dir))
+    train = sp.train.filter(F.col("intent") != FX.OOD_LABEL)
+    vocab = TO.vocab_build(train, TXT.rake_tokens(F.col("text"))).checkpoint()
+    vectors = TO.word_vector_table(vocab, dim=GIVEN_DIM).join(vocab, "idx").select("word", "vec").checkpoint()
+    kw = TO.rake_keywords_enhanced(train, lambda phrases: TO.similar_terms(TO.mean_of_words(phrases, vectors), vectors))
+    return kw.select("phrase", F.col("n_words").cast("long").alias("n_words"))
