@@ -7,9 +7,10 @@ words; learned transition weights link neighbours.  Forward-backward gives each
 word's probabilities, so that code-switched text gets its languages word by
 word; a document's language is the one with the largest sum of probabilities.
 
-The model is fitted on the driver from a bounded sample: at most
+The model is fitted in one task from a bounded sample: at most
 ``TRAIN_DOCS`` labelled documents of each language (smallest hashes), at most
-``TRAIN_WORDS`` words of each, and at most ``MAX_LABELS`` languages (more are an
+``TRAIN_WORDS`` words of each (of a long text, from a piece of 8 * ``TRAIN_WORDS``
+characters at a place that its hash picks), and at most ``MAX_LABELS`` languages (more are an
 error: none is left out unsaid); half of the training sequences join pieces of two
 documents, so that transitions are learned from switches too.  Prediction reads
 whole texts.  Defined results: a text that is null or has no letter is ``und`` with
@@ -18,6 +19,7 @@ keys each get their prediction; an empty table stays empty."""
 
 from __future__ import annotations
 
+import pickle
 from functools import reduce
 
 import numpy as np
@@ -223,20 +225,43 @@ def fit(samples: list[tuple[str, str]]) -> Model | None:
     return model
 
 
-def training_sample(docs: DataFrame, key: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """At most ``TRAIN_DOCS`` labelled texts per language, of ``MAX_LABELS`` languages
-    at most: keys first, then their texts."""
+def training_pieces(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame | None:
+    """(y, h, t) of at most ``TRAIN_DOCS`` labelled texts per language, of ``MAX_LABELS`` languages
+    at most: keys first, then their texts.  Of a text longer than 8 * ``TRAIN_WORDS`` characters, a
+    piece of that length at a place that the hash of the row picks."""
     rows = docs.select(F.xxhash64(docs[key], docs[text]).alias("h"), docs[text].alias("t"), docs[lang].cast("string").alias("y")).filter("t IS NOT NULL AND y IS NOT NULL")
     labels = [r["y"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LABELS + 1).collect()]
     if len(labels) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} languages in {lang}: the field is fitted on the driver and can't learn them all")
+        raise ValueError(f"more than {MAX_LABELS} languages in {lang}: the field is fitted in one task and can't learn them all")
     if not labels:
-        return []
+        return None
     chosen = reduce(DataFrame.unionByName, [rows.filter(F.col("y") == y).select("y", "h").distinct().orderBy("h").limit(TRAIN_DOCS) for y in labels])
     texts_ = rows.join(F.broadcast(chosen), ["y", "h"]).dropDuplicates(["y", "h"])
-    # the bounded share of each text that training can use
-    short = F.substring("t", 1, 8 * TRAIN_WORDS)
-    return [(r["t"], r["y"]) for r in texts_.select("y", "h", short.alias("t")).orderBy("y", "h").collect()]
+    size = 8 * TRAIN_WORDS
+    start = 1 + F.pmod(F.col("h"), F.greatest(F.length("t") - size, F.lit(0)) + 1)
+    return texts_.select("y", "h", F.substr("t", start.cast("int"), F.lit(size)).alias("t"))
+
+
+def training_sample(docs: DataFrame, key: str, text: str, lang: str) -> list[tuple[str, str]]:
+    """The (text, label) pairs of ``training_pieces``."""
+    found = training_pieces(docs, key, text, lang)
+    return [] if found is None else [(r["t"], r["y"]) for r in found.orderBy("y", "h").collect()]
+
+
+def fit_in_task(sample: DataFrame | None) -> Model | None:
+    """The field fitted on the (bounded) sample, in a task of its own; only the model
+    comes to the driver, in parts."""
+    if sample is None:
+        return None
+
+    def run(batches):
+        rows = sorted((r["y"], r["h"], r["t"]) for b in batches for r in b.to_pylist())
+        raw = pickle.dumps(fit([(t, y) for y, _, t in rows]))
+        for k in range(0, len(raw), 1 << 20):
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "part": pa.array([raw[k:k + (1 << 20)]], pa.binary())})
+
+    parts = sample.repartition(1).mapInArrow(run, "k long, part binary").collect()
+    return pickle.loads(b"".join(bytes(r["part"]) for r in sorted(parts, key=lambda r: r["k"]))) if parts else None
 
 
 # --------------------------------------------------------------- prediction
@@ -293,7 +318,7 @@ def held_out(key: str):
 
 
 def train_on(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    return fit(training_sample(docs, key, text, lang))
+    return fit_in_task(training_pieces(docs, key, text, lang))
 
 
 def language_report(docs: DataFrame) -> DataFrame:
