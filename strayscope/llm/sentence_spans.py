@@ -5,7 +5,7 @@ more than ``SHORT`` words are cut into pieces at places that the nearby words al
 decide (no piece has more than 2 * ``APART`` + ``WINDOW`` - 2 words), so that a passage has the
 same pieces wherever it is pasted, also if its first and last sentence merge with their
 surroundings.  From every unit (sentence or piece) on, the shortest run of at least ``UNITS``
-units and ``WORDS`` words is a span, hashed word by word to 128 bits.  The first
+units and ``WORDS`` words is a span, hashed word by word to 96 bits.  The first
 occurrence of each span, by (doc_id, hash of the text, unit number), stays; units that
 another occurrence covers are covered.  A sentence goes if it is covered whole; of sentences of
 more than ``LONG`` words the covered pieces go.
@@ -17,7 +17,7 @@ covered too.  Defined results: null and empty texts have no sentences; a documen
 than a span has no spans; white space between words doesn't count (line breaks end
 sentences); rows with a null doc_id take no part and keep their text; rows that repeat
 doc_id and text count as one, and rows that repeat the doc_id only are told apart by
-64 bits of hash of the text; an empty table stays empty."""
+32 bits of hash of the text; an empty table stays empty."""
 
 from __future__ import annotations
 
@@ -36,6 +36,7 @@ SHORT, LONG = 12, 20
 APART, WINDOW = 4, 7
 #: spans that a task settles among themselves
 TOGETHER = 1 << 20
+LOW = (1 << 32) - 1
 SEEDS = seeds(4, 7)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -130,7 +131,12 @@ def merged(owner: np.ndarray, source: np.ndarray, first: np.ndarray, end: np.nda
     return owner[new], source[new], first[new], reach[last]
 
 
-SPANS = "doc_id long, body long, first int, end int, h1 long, h2 long, source long, open boolean"
+#: ``place`` is first << 32 | end, ``mark`` the second hash << 32 | body: 16 of a row's 32 bytes that travel don't compress
+SPANS = "doc_id long, place long, h1 long, mark long, source long, open boolean"
+
+
+def body_hash(name: str):
+    return text_hash(name).bitwiseAND(F.lit((1 << 32) - 1))
 
 
 def span_table(docs: DataFrame) -> DataFrame:
@@ -147,12 +153,11 @@ def span_table(docs: DataFrame) -> DataFrame:
         sample[row] = np.arange(len(row))
         owner = sample[owner]
         n, m = len(heads), len(owner)
-        none = np.zeros(m, np.int64)
+        place = np.concatenate([first[heads] << 32 | end[heads], a << 32 | b])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([doc[heads], doc[owner]])), pa.array(np.concatenate([body[heads], body[owner]])),
-             pa.array(np.concatenate([first[heads], a]).astype(np.int32)), pa.array(np.concatenate([end[heads], b]).astype(np.int32)),
-             pa.array(np.concatenate([h1[heads], none])), pa.array(np.concatenate([h2[heads], none])),
-             pa.array(np.concatenate([doc[heads], source])), pa.array(np.arange(n + m) < n)], names=[c.split()[0] for c in SPANS.split(", ")])
+            [pa.array(np.concatenate([doc[heads], doc[owner]])), pa.array(place), pa.array(np.concatenate([h1[heads], np.zeros(m, np.int64)])),
+             pa.array(np.concatenate([h2[heads] << 32 | body[heads], body[owner]])), pa.array(np.concatenate([doc[heads], source])), pa.array(np.arange(n + m) < n)],
+            names=[c.split()[0] for c in SPANS.split(", ")])
 
     def run(batches):
         held, size, rows = [], 0, 0
@@ -161,7 +166,7 @@ def span_table(docs: DataFrame) -> DataFrame:
             for start, _, raw, offs in texts(batch.column(1)):
                 row, first, end, h1, h2 = spans(raw, offs)
                 if len(row):
-                    held.append((docs_[start + row], bodies[start + row], rows + start + row, first, end, h1.view(np.int64), h2.view(np.int64)))
+                    held.append((docs_[start + row], bodies[start + row], rows + start + row, first, end, h1.view(np.int64), (h2 >> U64(32)).astype(np.int64)))
                     size += len(row)
                 if size >= TOGETHER:
                     yield from settled(held)
@@ -175,17 +180,18 @@ def span_table(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, body, first, end, source): units first to end of a document (``body`` is its
-    ``text_hash``) that spans cover which the document ``source`` has earlier."""
-    docs = (docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), text_hash(text).alias("body"))
+    ``body_hash``) that spans cover which the document ``source`` has earlier."""
+    docs = (docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), body_hash(text).alias("body"))
             .filter("doc_id IS NOT NULL"))
     found = written(span_table(docs), "spans")
 
     def later(batches):
         kept = None  # the last one's hashes and the first of its kind
         for batch in batches:
-            doc, body, first, end, h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            doc, place, h1, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(doc):
                 continue
+            h2, body, first = mark >> 32, mark & LOW, place >> 32
             new = np.ones(len(doc), bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             goes_on = kept is not None and kept[:2] == (h1[0], h2[0])
@@ -193,12 +199,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             heads = [np.where(at == 0, kept[k], x[at]) if goes_on else x[at] for k, x in ((2, doc), (3, body), (4, first))]
             kept = (h1[-1], h2[-1], heads[0][-1], heads[1][-1], heads[2][-1])
             rest = ~((doc == heads[0]) & (body == heads[1]) & (first == heads[2]))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[rest]), pa.array(body[rest]), pa.array(first[rest]), pa.array(end[rest]), pa.array(heads[0][rest])],
-                                             names=["doc_id", "body", "first", "end", "source"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[rest]), pa.array(place[rest]), pa.array(body[rest]), pa.array(heads[0][rest])],
+                                             names=["doc_id", "place", "mark", "source"])
 
-    dealt = found.filter("open").select("doc_id", "body", "first", "end", "h1", "h2").repartition("h1")
-    across = dealt.sortWithinPartitions("h1", "h2", "doc_id", "body", "first").mapInArrow(later, "doc_id long, body long, first int, end int, source long")
-    return across.unionByName(found.filter("NOT open").select("doc_id", "body", "first", "end", "source"))
+    dealt = found.filter("open").select("doc_id", "place", "h1", "mark").repartition("h1")
+    across = (dealt.sortWithinPartitions("h1", F.shiftright("mark", 32), "doc_id", "mark", "place")
+              .mapInArrow(later, "doc_id long, place long, mark long, source long"))
+    every = across.unionByName(found.filter("NOT open").select("doc_id", "place", "mark", "source"))
+    return every.select("doc_id", F.col("mark").alias("body"), F.shiftright("place", 32).cast("int").alias("first"),
+                        F.col("place").bitwiseAND(F.lit(LOW)).cast("int").alias("end"), "source")
 
 
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,7 +220,7 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     hits = (repeated_spans(docs, key, text).groupBy("doc_id", "body")
             .agg(F.collect_set(F.struct("first", "end")).alias(cuts), F.array_sort(F.collect_set("source")).alias("source_ids"))
             .withColumnsRenamed({"doc_id": own, "body": body}))
-    joined = (rest.join(hits, (quoted(key).cast("long") == F.col(own)) & (text_hash(text) == F.col(body)), "left")
+    joined = (rest.join(hits, (quoted(key).cast("long") == F.col(own)) & (body_hash(text) == F.col(body)), "left")
               .select(*map(quoted, rest.columns), quoted(cuts), "source_ids"))
     at, where = rest.columns.index(text), len(rest.columns)
 
