@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import text as TO
 
 NOISE_TYPES = ("uniform", "unigram", "uniroot")
@@ -112,7 +113,7 @@ def likelihood_ratio_scores(train: DataFrame, rows: DataFrame, vocab: DataFrame,
     ``vocab`` is that of all words of ``train`` (id, toks).  High = out-of-domain.  Log ratios are
     added as whole multiples of 1e-12 and the score has nine digits, so texts with the same
     bigrams tie exactly."""
-    counts = bigram_counts(train, vocab, noise, p_noise, seed).checkpoint()
+    counts = written(bigram_counts(train, vocab, noise, p_noise, seed), "bigram-counts")
     contexts = counts.groupBy("prev").agg(F.sum("n_in").alias("x_in"), F.sum("n_bg").alias("x_bg"))
     smooth = F.lit(k * (vocab.count() + len(TO.SPECIALS)))
     met = TO.join_dimension(bigrams(rows), counts, ["prev", "tok"], "left")
@@ -144,8 +145,8 @@ class LikelihoodRatio:
         from .detectors import NotApplicable
         if train.filter(F.col("intent") == self.ood_label).limit(1).count() > 0:
             raise NotApplicable(f"found {self.ood_label!r} in training data; {self.name} needs in-domain rows only")
-        self.train = self._tokens(train).checkpoint()
-        self.vocab = TO.vocab_build(self.train, F.col("toks")).checkpoint()
+        self.train = written(self._tokens(train), "tokens")
+        self.vocab = written(TO.vocab_build(self.train, F.col("toks")), "vocabulary")
         return self
 
     def score(self, df: DataFrame) -> DataFrame:
