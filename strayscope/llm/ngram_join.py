@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strayscope.llm.common import LOWER, U64, bit_sketches, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, texts, window_hashes, written
-from strayscope.llm.linking import bloom, link, maybe_in, near
+from strayscope.llm.linking import bloom, connected_components, link, maybe_in, near
 
 WORDS = 5
 SIMILARITY = 80
@@ -297,8 +297,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     classes = classes.join(found, classes["rep"] == found["id"], "left").select(
         "d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"),
-                       F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))).alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")))
+    rows = written(rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), "row-components")
+    # rows of one doc_id with several texts join the components of these texts
+    torn = (rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("z"))
+            .filter("a <> z").select("doc_id"))
+    if not torn.limit(1).count():
+        return rows
+    edges = rows.join(torn, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    whole = connected_components(edges).select(F.col("id").alias("component_id"), "component")
+    return rows.join(whole, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
