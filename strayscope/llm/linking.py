@@ -129,9 +129,7 @@ def link(buckets: DataFrame, similarity: int, prepare: Callable[[DataFrame], tup
     once = "x.bucket = coalesce(array_min(array_intersect(x.least, y.least)), x.bucket)"
     rest = (known.alias("x").join(known.alias("y"), F.expr(f"x.bucket = y.bucket AND x.c < y.c AND {near} AND {once}"))
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.col("x.c").alias("lo"), F.col("y.c").alias("hi")).distinct())
-    for old in tried:
-        rest = rest.join(old, ["a", "b"], "left_anti")
-    rest = written(rest, "pairs")
+    rest = written(rest.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "pairs")
     # first one pair of each two components, then those that are still apart
     one = rest.groupBy("lo", "hi").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
     one = written(one, "pairs")
