@@ -35,6 +35,7 @@ TRAIN_WORDS = 320
 MAX_LABELS = 200
 GRAM_BITS, AFFIX_BITS, LEXICON_MIN = 15, 14, 3
 SEQUENCE, BATCH, EPOCHS, RATE = 32, 64, 3, 0.3
+AT_ONCE = 1 << 19  # bytes of text whose arrays a task holds at a time
 RESCALE = 4  # steps between two scalings to sum 1 (labels never all underflow in so few)
 SEEDS = seeds(8, 9)
 LETTER = np.zeros(256, bool)
@@ -270,7 +271,7 @@ def predict_texts(model: Model | None, column: pa.Array, certainty: bool = False
     """Language and score of each text: the mean over its words of the probability of
     that language, or, for ``certainty``, of each word's likeliest language."""
     names, scores = [], []
-    for first, end, raw, offs in texts(column):
+    for first, end, raw, offs in texts(column, AT_ONCE):
         n = end - first
         words = Words(raw, offs)
         share = np.zeros((n, len(model.labels) if model else 1))

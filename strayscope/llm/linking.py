@@ -162,10 +162,11 @@ def bloom(ids: DataFrame) -> np.ndarray:
     def fill(batches):
         bits = None
         for batch in batches:
-            bits = np.zeros(BLOOM_BITS, bool) if bits is None else bits
-            bits[_bloom_bits(batch.column(0).to_numpy(zero_copy_only=False))] = True
+            bits = np.zeros(BLOOM_BITS >> 3, np.uint8) if bits is None else bits
+            at = _bloom_bits(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
         if bits is not None:
-            for k, part in enumerate(np.split(np.packbits(bits), pieces)):
+            for k, part in enumerate(np.split(bits, pieces)):
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], names=["k", "bits"])
 

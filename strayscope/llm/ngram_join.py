@@ -46,6 +46,8 @@ LEVELS = (2, 16, 256)
 FILTER_BYTES = (1 << 24, 1 << 22, 1 << 20)
 #: text bytes for one range of token hashes, tokens sorted at once by a task
 RANGE_BYTES, BLOCK_TOKENS = 12 << 20, 1 << 21
+#: bytes of text whose arrays a task holds at a time
+AT_ONCE = 1 << 19
 #: longs of a document's odd sketch, which bounds how many tokens two sets differ in
 SKETCH = 16
 #: documents whose sets a task keeps while it compares pairs
@@ -59,7 +61,7 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 def token_sets(column: pa.Array):
     """Slices (first row, rows, owner row and hash of each distinct token, sorted)."""
-    for first, end, raw, offs in texts(column):
+    for first, end, raw, offs in texts(column, AT_ONCE):
         data = LOWER[raw]
         starts, ends = runs(~SEPARATOR[data], offs)
         words, owner = span_hashes(data, starts, ends), row_of(starts, offs)
