@@ -75,3 +75,45 @@ def test_detectors_block_path_equals_broadcast(spark, name, monkeypatch):
     got = {r["id"]: r["score"] for r in D.get_detector(name).fit(sp.train).score(sp.test).collect()}
     assert got.keys() == want.keys() and len(got) > 50
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+@pytest.mark.parametrize("kind", ["l2", "cosine_sim", "by_class", "same_label", "exclude_self"])
+def test_bounds_of_earlier_chunks_lose_nothing(kind, monkeypatch):
+    """References in many chunks: the k nearest are those of a full sort, and of the pairs
+    only few are looked at beyond the product."""
+    import pandas as pd
+
+    from strayscope.operators import pairs as PR
+    monkeypatch.setattr(PR, "REF_CHUNK", 50)
+    monkeypatch.setattr(PR, "TIED_PAIRS", 300)
+    rng = np.random.default_rng(1)
+    q, r = rng.normal(size=(30, 6)), rng.normal(size=(3000, 6))
+    r[100:140] = q[0]  # ties go to the smallest ids
+    ids = rng.permutation(3000)
+    labels = np.array([None if j % 7 == 0 and kind != "by_class" else f"c{j % 3}" for j in range(3000)], dtype=object)
+    qlabel = np.array([labels[j] for j in range(30)], dtype=object)
+    op = NearestOp(4, "cosine_sim" if kind == "cosine_sim" else "l2", **({kind: True} if kind in ("by_class", "same_label", "exclude_self") else {}))
+    seen = []
+    exact = op._exact
+    op._exact = lambda a, b, qi, ri: seen.append(len(qi)) or exact(a, b, qi, ri)
+    got = op.run(pd.DataFrame({"id": np.arange(30), "v": list(q), "qlabel": qlabel}), PR.RefBlock(ids, r, labels))
+    value = np.sqrt(((q[:, None] - r[None]) ** 2).sum(-1))
+    if kind == "cosine_sim":
+        value = -(q @ r.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(r, axis=1)
+    for i in range(30):
+        for cls in (set(labels) if kind == "by_class" else [0]):
+            mine = np.flatnonzero({"by_class": labels == cls, "same_label": labels == qlabel[i], "exclude_self": ids != i}.get(kind, labels == labels))
+            want = mine[np.lexsort((ids[mine], np.round(value[i, mine], 12)))][:4]
+            rows = got[got.qid == i]
+            if kind == "by_class":
+                rows = rows[rows.cls == cls]
+            assert rows.ref_id.tolist() == ids[want].tolist() and rows["rank"].tolist() == [1, 2, 3, 4]
+    assert sum(seen) < 30 * 3000 / 5
+
+
+def test_small_blocks_are_dealt_into_few_bunches():
+    """A row is sent once for each bunch of the other side, however small its blocks are."""
+    from strayscope.operators.pairs import DEFAULT_BLOCK_BYTES, bunches
+    assert bunches(200 << 20, 64 << 10, 8) == 8  # not 3,200
+    assert bunches(5 * 512, 512, 8) == 5
+    assert bunches(100 * DEFAULT_BLOCK_BYTES, 64 << 10, 8) == 100
