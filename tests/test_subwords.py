@@ -75,3 +75,22 @@ def test_enhanced_keywords_filter_single_words(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "word string, vec array<double>")
     near = TO.similar_terms(TO.mean_of_words(spark.createDataFrame([("a",), ("a b",)], "phrase string"), vectors), vectors, 2)
     assert {(r["phrase"], r["term"]) for r in near.filter("rank <= 2").collect()} == {("a", "b"), ("a", "c"), ("a b", "a"), ("a b", "b")}
+
+
+def test_phrase_vectors_are_evaluated_once(spark, monkeypatch):
+    """The engine counts, scans and joins the phrases: it reads their vectors written."""
+    from strayscope.operators import pairs as PR
+    from strayscope.operators import text as TO
+    df = spark.createDataFrame([("a b", [1.0, 0.1]), ("c", [0.2, 1.0])], "phrase string, v array<double>")
+    words = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.4]), ("c", [0.0, 1.0])], "word string, vec array<double>")
+    for limit in (0, 1 << 20):
+        monkeypatch.setattr(PR, "DEFAULT_BROADCAST_BYTES", limit)
+        evaluated = spark.sparkContext.accumulator(0)
+
+        def counted(batches, evaluated=evaluated):
+            for batch in batches:
+                evaluated.add(batch.num_rows)
+                yield batch
+        found = TO.similar_terms(df.mapInArrow(counted, df.schema), words, 2)
+        assert sorted((r["phrase"], r["rank"], r["term"]) for r in found.collect()) == [("a b", 1, "a"), ("a b", 2, "b"), ("c", 1, "b"), ("c", 2, "a")]
+        assert evaluated.value == 2
