@@ -7,8 +7,9 @@ slices of about ``SLICE`` bytes, so that memory doesn't follow the batch size
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -64,6 +65,19 @@ def text_hash(name: str) -> Column:
     return F.xxhash64(quoted(name).cast("string"))
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over Arrow batches, after which the worker gives freed memory back to the
+    system: Spark keeps workers for later tasks, and what their arrays took with them."""
+
+    def leave(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc only
+            trim(0)
+
+    return leave
+
+
 # ------------------------------------------------------------ Arrow texts
 
 def texts(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -191,8 +205,9 @@ def bit_sketches(rows: np.ndarray, hashes: np.ndarray, n: int, longs: int, odd:
     wide = 64 * longs
     at = rows * wide + ((hashes >> U64(24)) % U64(wide)).astype(np.int64)
     if odd:
-        at, times = np.unique(at, return_counts=True)
-        at = at[times % 2 == 1]
+        at.sort()
+        heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+        at = at[heads[np.diff(heads, append=len(at)) % 2 == 1]]
     bits = np.zeros(n * wide, bool)
     bits[at] = True
     return np.packbits(bits).view(np.int64).reshape(n, longs)

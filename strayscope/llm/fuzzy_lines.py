@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayscope.llm.common import LOWER, U64, bit_sketches, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, text_hash, texts, window_hashes, written
+from strayscope.llm.common import LOWER, U64, bit_sketches, fresh, lean, list_array, mix, quoted, row_of, seeds, span_hashes, text_hash, texts, window_hashes, written
 from strayscope.llm.linking import bloom, link, maybe_in, near
 
 SHINGLE = 8
@@ -46,18 +46,21 @@ SPACE[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
 
 def line_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Starts and ends (stripped) of the lines that aren't blank, row, line number."""
-    breaks = raw == 10
-    starts, ends = runs(~breaks, offs)
-    black = ~(SPACE[raw] | breaks)
-    solid = np.concatenate([[0], np.cumsum(black)])
-    keep = solid[ends] > solid[starts]
-    starts, ends = starts[keep], ends[keep]
-    places = np.flatnonzero(black)
-    first = places[solid[starts]] if len(starts) else starts
-    last = places[solid[ends] - 1] + 1 if len(ends) else ends
+    breaks = np.flatnonzero(raw == 10)
+    starts, ends = np.sort(np.concatenate([offs[:-1], breaks + 1])), np.sort(np.concatenate([breaks, offs[1:]]))
+    starts, ends = starts[ends > starts], ends[ends > starts]
+    first, last = starts.copy(), ends.copy()
+    edge = np.flatnonzero(SPACE[raw[starts]] | SPACE[raw[ends - 1]]) if len(starts) else starts
+    if len(edge):  # the others have nothing to strip
+        places = np.flatnonzero(~(SPACE[raw] | (raw == 10)))
+        a, b = np.searchsorted(places, starts[edge]), np.searchsorted(places, ends[edge])
+        some = a < b
+        first[edge[some]], last[edge[some]] = places[a[some]], places[b[some] - 1] + 1
+        keep = np.ones(len(starts), bool)
+        keep[edge[~some]] = False
+        starts, first, last = starts[keep], first[keep], last[keep]
     row = row_of(starts, offs)
-    seen = np.concatenate([[0], np.cumsum(breaks)])
-    return first, last, row, (seen[starts] - seen[offs[row]])
+    return first, last, row, np.searchsorted(breaks, starts) - np.searchsorted(breaks, offs[row])
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,10 +73,7 @@ def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     heads = np.cumsum(counts) - counts
     place = np.arange(len(owner)) - np.repeat(heads, counts)
     padded = np.concatenate([data, np.zeros(SHINGLE, np.uint8)])
-    codes = np.empty(len(data), U64)  # the eight bytes from each position on
-    for k in range(SHINGLE):
-        part = padded[k:k + (len(padded) - k) // 8 * 8].view("<u8")
-        codes[k::SHINGLE] = part[:len(codes[k::SHINGLE])]
+    codes = np.ndarray((len(data),), "<u8", padded, 0, (1,))  # the eight bytes from each position on
     codes = codes[place + np.repeat(starts, counts)]
     short = ends - starts < SHINGLE
     if short.any():  # the bytes behind a short line don't belong to it
@@ -89,7 +89,10 @@ def distinct_marks(owner: np.ndarray, marks: np.ndarray, n: int) -> tuple[np.nda
     """Each owner's different shingles: one sort of numbers that begin with the owner and go
     on with as many leading bits of the hash as fit, which are the hash from here on."""
     bits = U64(64 - max(1, n).bit_length())
-    key = np.unique(owner.astype(U64) << bits | marks >> (U64(64) - bits))
+    key = np.sort(owner.astype(U64) << bits | marks >> (U64(64) - bits))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
     return (key >> bits).astype(np.int64), key << (U64(64) - bits)
 
 
@@ -127,7 +130,9 @@ def scan(column: pa.Array):
         yield first, data, starts, ends, row, number, hashed
 
 
-LINES = "doc_id long, body long, line int, id long, check long, size int, bands array<int>"
+#: ``bands`` holds two 32-bit keys in each long
+LONGS = BANDS // 2
+LINES = "doc_id long, body long, line int, id long, check long, size int, bands array<long>"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -141,10 +146,10 @@ def line_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(first + row)), batch.column(2).take(pa.array(first + row)),
                      pa.array(number.astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array(sums.view(np.int64)), pa.array(np.maximum(ends - starts - SHINGLE + 1, 1).astype(np.int32)),
-                     list_array(keys.ravel().view(np.int32), np.full(len(keys), BANDS), pa.int32())],
+                     list_array(keys.ravel().view(np.int64), np.full(len(keys), LONGS), pa.int64())],
                     names=["doc_id", "body", "line", "id", "check", "size", "bands"])
 
-    return docs.mapInArrow(run, LINES)
+    return docs.mapInArrow(lean(run), LINES)
 
 
 def shared_keys(signed: DataFrame, rows: int) -> DataFrame:
@@ -179,7 +184,7 @@ def shared_keys(signed: DataFrame, rows: int) -> DataFrame:
         keys = keys[times > 1]
         return pa.table({"band": group.column("band").slice(0, 1), "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([len(keys)], pa.int64())})
 
-    sent = signed.select("bands").mapInArrow(send, "band int, part int, keys binary, again binary")
+    sent = signed.select("bands").mapInArrow(lean(send), "band int, part int, keys binary, again binary")
     return written(sent.groupBy("band", "part").applyInArrow(merge, "band int, keys binary, n long"), "shared-keys")
 
 
@@ -203,9 +208,13 @@ def shared_buckets(distinct: DataFrame) -> DataFrame:
                     for at in range(0, len(keys), FLUSH):
                         yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + FLUSH] + (band << 32))], names=["bucket"])
 
-        every = distinct.select("id", "size", F.posexplode("bands").alias("band", "part"))  # an id is in one row
-        part = F.col("part").cast("long").bitwiseAND(F.lit((1 << 32) - 1))
-        every = every.select((F.col("band") * F.lit(1 << 32) + part).alias("bucket"), "id", "size")
+        def every_key(batches):
+            for batch in batches:
+                own = _band_keys(batch.column(2))
+                for band in range(BANDS):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[:, band].astype(np.int64) + (band << 32)), batch.column(0), batch.column(1)], names=["bucket", "id", "size"])
+
+        every = distinct.select("id", "size", "bands").mapInArrow(every_key, "bucket long, id long, size int")  # an id is in one row
         return every.join(shared.select("band", "keys").mapInArrow(listed, "bucket long"), "bucket", "left_semi")
 
     keys = [[] for _ in range(BANDS)]
@@ -254,7 +263,7 @@ def verifier(docs: DataFrame):
                          list_array(bit_sketches(owner, marks, len(keep), SKETCH, odd=True).ravel(), np.full(len(keep), SKETCH), pa.int64())],
                         names=["id", "line", "size", "sketch"])
 
-        some = written(docs.mapInArrow(needed, "id long, line binary, size long, sketch array<long>").dropDuplicates(["id"]), "candidate-lines")
+        some = written(docs.mapInArrow(lean(needed), "id long, line binary, size long, sketch array<long>").dropDuplicates(["id"]), "candidate-lines")
         lines = some.select("id", "line")
 
         def run(batches):
@@ -272,7 +281,7 @@ def verifier(docs: DataFrame):
         def verify(pairs: DataFrame) -> DataFrame:
             joined = (pairs.join(lines.withColumnsRenamed({"id": "a", "line": "line_a"}), "a")
                       .join(lines.withColumnsRenamed({"id": "b", "line": "line_b"}), "b").select("a", "b", "line_a", "line_b"))
-            return joined.mapInArrow(run, "a long, b long")
+            return joined.mapInArrow(lean(run), "a long, b long")
 
         return some.select("id", "size", "sketch"), verify
 
@@ -289,12 +298,14 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     # a place is (doc_id, 31 bits of body, line): 126 bits
     within = F.shiftleft(F.col("body").bitwiseAND(F.lit((1 << 31) - 1)), 31) + F.col("line")
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 62).cast("decimal(19,0)") + within
-    distinct = (lines.select("id", "check", "size", place.cast("decimal(38,0)").alias("place"), *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)])
-                .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"),
-                                   *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]).filter("lo = hi"))
-    distinct = written(distinct.select("id", "first", "size", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), "distinct-lines")
-    found = link(written(shared_buckets(distinct), "shared-buckets"), SIMILARITY, verifier(docs), near(SIMILARITY, SKETCH))
-    named = distinct.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    distinct = (lines.select("id", "check", "size", place.cast("decimal(38,0)").alias("place"), *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(LONGS)])
+                .groupBy("id").agg(F.min("place").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("size").alias("size"), F.count(F.lit(1)).alias("times"),
+                                   *[F.min(f"b{k}").alias(f"b{k}") for k in range(LONGS)]).filter("lo = hi"))
+    distinct = written(distinct.select("id", "first", "size", "times", F.array(*[f"b{k}" for k in range(LONGS)]).alias("bands")), "distinct-lines")
+    found = link(written(shared_buckets(distinct), "shared-buckets"), SIMILARITY, verifier(docs), near(SIMILARITY, SKETCH), lone=False)
+    # a line that occurs once and has no link is its own first
+    named = (distinct.select("id", "first", "times").join(found, "id", "left").filter("times > 1 OR component IS NOT NULL")
+             .select("id", "first", F.coalesce("component", "id").alias("component")))
     heads = written(named.groupBy("component").agg(F.min("first").alias("head")), "line-heads")
     kept = named.join(heads, "component").select("id", "head")
     drop = lines.select("doc_id", "body", "line", "id").join(kept, "id").filter(place.cast("decimal(38,0)") != F.col("head"))

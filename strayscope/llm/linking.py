@@ -4,9 +4,12 @@ distributed connected components.
 ``link`` takes candidate buckets (two records can only be linked if they share a
 bucket) and a verifier of pairs.  It finds the same components as verifying every
 pair would, in two phases: first, in a few turns, each record is paired with one
-pivot of its bucket, which joins most members of a large group by a number of pairs
-linear in its size; then only pairs whose ends are still in different components
-are verified.  Pairs within a component can't change it, so none is lost."""
+pivot of its bucket and of about its size, which joins most members of a large group by
+a number of pairs linear in its size; then only pairs whose ends are still in different
+components are verified.  Pairs within a component can't change it, so none is lost.
+The second turn cuts the sizes halfway between the cuts of the first one and takes
+another pivot in each bucket: a record whose pivot lay beyond a cut, or wasn't similar
+enough, meets several members of its group there, instead of all of them later."""
 
 from __future__ import annotations
 
@@ -50,7 +53,8 @@ def _forest(batches):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the edges (a, b); ``component`` is the
     smallest node reachable.  Alternating large-star and small-star rounds, each
-    written to the shared folder; edges are first contracted within partitions."""
+    written to the shared folder, until each node has one edge, to the smallest of its
+    component; different edges are first contracted within partitions."""
 
     def stars(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -61,17 +65,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         return small.select("e.a", "e.b").filter("a <> b").distinct()
 
-    def sign(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def done(e: DataFrame) -> bool:
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()
 
-    e = written(edges.filter("a <> b").select("a", "b").mapInArrow(_forest, EDGE), "edges")
-    seen = sign(e)
-    while seen[0]:
+    e = written(edges.filter("a <> b").select("a", "b").distinct().mapInArrow(_forest, EDGE), "edges")
+    while not done(e):
         e = written(stars(e), "edges")
-        now = sign(e)
-        if now == seen:
-            break
-        seen = now
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
@@ -80,52 +81,60 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 #: bucket numbers that a record carries to tell where a pair comes up first
 LEAST = 32
-#: one turn of pivots each: the record whose id comes first after these bits are flipped
-PIVOTS = (0, 0x2545F4914F6CDD1D)
+#: one turn of pivots each: the record whose id comes first after some bits are flipped,
+#: the same in all buckets or others in each, and what is added before sizes are cut to bands
+PIVOTS = ((lambda: F.lit(0).cast("long"), 0.0), (lambda: F.xxhash64("bucket"), 0.5))
 
 
 def near(similarity: int, sketch: int, more: str = "true") -> str:
     """Condition that every linked pair of records x, y meets.  ``sketch`` longs of
     bits differ in no more places than the sets do in elements, and two linked sets
     do in (100 - similarity) of (100 + similarity) parts of both sizes at most."""
+    sizes = f"100 * least(x.size, y.size) >= {similarity} * greatest(x.size, y.size)"
     apart = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(sketch))
-    return f"{100 + similarity} * ({apart}) <= {100 - similarity} * (x.size + y.size) AND {more}"
+    return f"{sizes} AND {100 + similarity} * ({apart}) <= {100 - similarity} * (x.size + y.size) AND {more}"
 
 
 def link(buckets: DataFrame, similarity: int, prepare: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
-         near: str) -> DataFrame:
+         near: str, lone: bool = True) -> DataFrame:
     """(id, component) of every record with a link.
 
-    ``buckets``: bucket long, id long, size int, distinct rows.  ``prepare`` gets the
+    ``buckets``: bucket long, id long, size int, distinct rows, written already if none of
+    them is the only one of its bucket (``lone``).  ``prepare`` gets the
     ids that have a bucket in common with another, and gives a table of their id and
     what the condition ``near`` of records x and y reads, which no linked pair fails,
     and the function that keeps the links of given pairs (a, b)."""
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
-    shared = written(buckets.join(shared, "bucket"), "buckets")
+    shared = buckets
+    if lone:
+        shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
+        shared = written(buckets.join(shared, "bucket"), "buckets")
     details, verify = prepare(shared.select("id").distinct())
 
     # turns with one pivot in each bucket and band of sizes, another one each time
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / similarity))).cast("int").alias("band")
-    known, links, tried = shared.select("bucket", "id", band, F.col("id").alias("c")), [], []
-    for salt in PIVOTS:
-        pivots = known.groupBy("bucket", "band").agg(F.min(F.col("id").bitwiseXOR(F.lit(salt))).bitwiseXOR(F.lit(salt)).alias("b"))
-        homes = known.select(F.col("id").alias("b"), F.col("c").alias("cb")).distinct()
-        pairs = (known.join(pivots, ["bucket", "band"]).join(homes, "b").filter("c <> cb")
-                 .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct())
-        for old in tried:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
+    scale = (F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / similarity))).alias("scale")
+    known, links, tried = shared.select("bucket", "id", scale, F.col("id").alias("c")), [], []
+    for flipped, shift in PIVOTS:
+        rows = known.withColumn("band", F.floor(F.col("scale") + F.lit(shift)).cast("int"))
+        pivots = rows.groupBy("bucket", "band").agg(F.min(F.col("id").bitwiseXOR(flipped())).alias("b"))
+        pivots = pivots.select("bucket", "band", F.col("b").bitwiseXOR(flipped()).alias("b"))
+        pairs = rows.join(pivots, ["bucket", "band"]).filter("id <> b")
+        if links:
+            homes = known.select(F.col("id").alias("b"), F.col("c").alias("cb")).distinct()
+            pairs = pairs.join(homes, "b").filter("c <> cb")
+        pairs = pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        pairs = (pairs.join(details.alias("x"), F.expr("a = x.id")).join(details.alias("y"), F.expr(f"b = y.id AND {near}")).select("a", "b"))
         tried.append(written(pairs, "pairs"))
         links.append(written(verify(tried[-1]), "links"))
         found = written(connected_components(reduce(DataFrame.unionByName, links)), "components")
         # what is left: buckets whose records lie in different components
-        known = known.drop("c").join(found, "id", "left").select("bucket", "id", "band", F.coalesce("component", "id").alias("c"))
+        known = known.drop("c").join(found, "id", "left").select("bucket", "id", "scale", F.coalesce("component", "id").alias("c"))
         mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
         known = written(known.join(mixed, "bucket"), "mixed")
 
     # every pair that shares a bucket and lies in different components
     # a pair counts in the smallest bucket that both carry, or in each if they carry none together
     carried = known.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, LEAST).alias("least"))
-    known = written(known.drop("band").join(carried, "id").join(details, "id"), "mixed")
+    known = written(known.drop("scale").join(carried, "id").join(details, "id"), "mixed")
     once = "x.bucket = coalesce(array_min(array_intersect(x.least, y.least)), x.bucket)"
     rest = (known.alias("x").join(known.alias("y"), F.expr(f"x.bucket = y.bucket AND x.c < y.c AND {near} AND {once}"))
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.col("x.c").alias("lo"), F.col("y.c").alias("hi")).distinct())

@@ -226,3 +226,22 @@ def test_too_many_languages_are_an_error(spark, monkeypatch):
     assert len(crf_language.training_sample(docs.filter("doc_id < 2"), "doc_id", "text", "lang")) == 2
     with pytest.raises(ValueError, match="more than 2 languages"):
         crf_language.training_sample(docs, "doc_id", "text", "lang")
+
+
+def test_link_meets_neighbours_in_size_by_pivots(spark, monkeypatch):
+    """A group whose sizes lie on both sides of a cut is joined by pivots, not by all pairs across the cut."""
+    sizes = [264] * 150 + [265] * 40  # 1.25 ** 25 is 264.7
+    buckets = spark.createDataFrame([(1, k, n) for k, n in enumerate(sizes)], "bucket long, id long, size int")
+    details = spark.createDataFrame([(k, n, [0]) for k, n in enumerate(sizes)], "id long, size int, sketch array<long>")
+    tried, write = [], linking.written
+
+    def counted(df, kind="table"):
+        out = write(df, kind)
+        if kind == "pairs":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(linking, "written", counted)
+    found = linking.link(buckets, 80, lambda ids: (details, lambda pairs: pairs.select("a", "b")), linking.near(80, 1))
+    assert sorted((r["id"], r["component"]) for r in found.collect()) == [(k, 0) for k in range(len(sizes))]
+    assert sum(tried) <= 3 * len(sizes)
