@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strayscope.llm.common import LOWER, U64, fresh, mix, quoted, row_of, runs, seeds, span_hashes, texts
+from strayscope.llm.common import LOWER, U64, fresh, lean, mix, quoted, row_of, runs, seeds, span_hashes, texts
 
 TRAIN_DOCS = 160
 TRAIN_WORDS = 320
@@ -261,7 +261,7 @@ def fit_in_task(sample: DataFrame | None) -> Model | None:
         for k in range(0, len(raw), 1 << 20):
             yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "part": pa.array([raw[k:k + (1 << 20)]], pa.binary())})
 
-    parts = sample.repartition(1).mapInArrow(run, "k long, part binary").collect()
+    parts = sample.repartition(1).mapInArrow(lean(run), "k long, part binary").collect()
     return pickle.loads(b"".join(bytes(r["part"]) for r in sorted(parts, key=lambda r: r["k"]))) if parts else None
 
 
@@ -303,7 +303,7 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", name
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.minimum(scores, 1.0), pa.float64())],
                                              names=[*batch.schema.names, name, score])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return rest.mapInArrow(lean(run), T.StructType([*rest.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def tag_words(model: Model, text: str) -> list[tuple[str, str, float]]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayscope.llm.common import LOWER, U64, bit_sketches, fresh, list_array, mix, quoted, row_of, runs, seeds, span_hashes, texts, window_hashes, written
+from strayscope.llm.common import LOWER, U64, bit_sketches, fresh, lean, list_array, mix, quoted, row_of, runs, seeds, span_hashes, texts, window_hashes, written
 from strayscope.llm.linking import bloom, connected_components, link, maybe_in, near
 
 WORDS = 5
@@ -45,7 +45,7 @@ ORDERS = 3
 LEVELS = (2, 16, 256)
 FILTER_BYTES = (1 << 24, 1 << 22, 1 << 20)
 #: text bytes for one range of token hashes, tokens sorted at once by a task
-RANGE_BYTES, BLOCK_TOKENS = 12 << 20, 1 << 21
+RANGE_BYTES, BLOCK_TOKENS = 8 << 20, 1 << 20
 #: bytes of text whose arrays a task holds at a time
 AT_ONCE = 1 << 19
 #: longs of a document's odd sketch, which bounds how many tokens two sets differ in
@@ -161,7 +161,7 @@ def token_frequencies(docs: DataFrame) -> Frequencies:
         return pa.table({"range": pa.array([group.column("range")[0].as_py()] * len(rows), pa.int32()),
                          "level": pa.array(range(len(rows)), pa.int32()), "bits": pa.array(rows, pa.binary())})
 
-    dealt = docs.mapInArrow(deal, "range int, tokens binary")
+    dealt = docs.mapInArrow(lean(deal), "range int, tokens binary")
     found = dealt.groupBy("range").applyInArrow(count, "range int, level int, bits binary")
     out = [np.zeros((ranges, w), np.uint8) for w in wide]
     for r in found.collect():  # FILTER_BYTES in all
@@ -216,7 +216,7 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
                      list_array(tokens[kept].view(np.int64), np.bincount(rows[kept], minlength=n), pa.int64())],
                     names=["doc_id", "n", "parts", "sketch", "d1", "d2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, parts array<int>, sketch array<long>, d1 long, d2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, parts array<int>, sketch array<long>, d1 long, d2 long, prefix array<long>")
 
 
 class Document:
@@ -273,9 +273,9 @@ def verifier(docs: DataFrame, shared, details: DataFrame):
         def verify(pairs: DataFrame) -> DataFrame:
             joined = (pairs.join(some.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
                       .join(some.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b"))
-            return joined.mapInArrow(run, "a long, b long").distinct()
+            return joined.mapInArrow(lean(run), "a long, b long").distinct()
 
-        return details, verify
+        return written(details.join(ids, "id", "left_semi"), "details"), verify
 
     return prepared
 

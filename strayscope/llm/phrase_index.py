@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayscope.llm.common import LOWER, fresh, list_array, quoted, row_of, runs, span_hashes, texts, written
+from strayscope.llm.common import LOWER, fresh, lean, list_array, quoted, row_of, runs, span_hashes, texts, written
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
@@ -166,7 +166,7 @@ def build_index(docs: DataFrame, terms: np.ndarray, key: str = "doc_id", text: s
     null or repeated keys stay apart."""
     number = quoted(row) if row else F.monotonically_increasing_id()
     rows = docs.select(number.alias("row"), docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return written(rows.mapInArrow(lambda batches: index_rows(batches, terms, gap), INDEX), "phrase-index")
+    return written(rows.mapInArrow(lean(lambda batches: index_rows(batches, terms, gap)), INDEX), "phrase-index")
 
 
 HITS = "row long, key long, n_words long, spans array<struct<first:int,end:int>>, items array<string>"
@@ -226,7 +226,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     for block in item_blocks(items, item_key, item_text):
         queries = Queries(block, width)
         index = build_index(docs, queries.terms, key, text, width, row)
-        parts.append(index.mapInArrow(lambda batches, q=queries: search_rows(batches, q, width), HITS))
+        parts.append(index.mapInArrow(lean(lambda batches, q=queries: search_rows(batches, q, width)), HITS))
     if len(parts) == 1:
         return parts[0]
     all_hits = reduce(DataFrame.unionByName, parts).groupBy("row").agg(

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from strayscope.llm import crf_language, fuzzy_lines, kd_search, mph_tokens, ngram_join, phrase_index, sentence_spans, warc_zstd
+from strayscope.llm.common import lean
 from strayscope.llm.bpe_prefix import PrefixBPE
 from strayscope.llm.common import bit_sketches, texts
 
@@ -176,3 +177,30 @@ def test_sketches_never_differ_in_more_places_than_the_sets():
             for odd in (False, True):
                 a, b = bit_sketches(rows, both, 2, 8, odd)
                 assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= len(set(base.tolist()) ^ set(other.tolist()))
+
+
+def test_lean_gives_memory_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    left = []
+
+    def run(batches):
+        held = [np.ones(12_000) for _ in range(3000)]  # small enough for the heap, the last one above the others
+        left.append(held[-1])
+        yield from batches
+
+    before = resident()
+    assert list(lean(run)([1, 2])) == [1, 2]
+    assert resident() - before < 100 << 20
+
+
+def test_line_spans_by_plain_code():
+    random = np.random.default_rng(3)
+    rows = [bytes(random.choice(np.frombuffer(b"ab \t\r\n\n", np.uint8), n)) for n in random.integers(0, 40, 300)] + [b"", b"\n", b" \n "]
+    offs = np.cumsum([0, *map(len, rows)])
+    starts, ends, row, number = fuzzy_lines.line_spans(np.frombuffer(b"".join(rows), np.uint8), offs)
+    got = [(r, k, b"".join(rows)[a:b]) for r, k, a, b in zip(row.tolist(), number.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+    strip = b" \t\x0b\x0c\r"
+    assert got == [(r, k, x.strip(strip)) for r, raw in enumerate(rows) for k, x in enumerate(raw.split(b"\n")) if x.strip(strip)]
