@@ -117,3 +117,34 @@ def test_small_blocks_are_dealt_into_few_bunches():
     assert bunches(200 << 20, 64 << 10, 8) == 8  # not 3,200
     assert bunches(5 * 512, 512, 8) == 5
     assert bunches(100 * DEFAULT_BLOCK_BYTES, 64 << 10, 8) == 100
+
+
+def test_leaves_leave_no_neighbour_out(monkeypatch):
+    """Near points in a few directions: the leaves skip most of them, and the nearest stay the same."""
+    import pandas as pd
+    from strayscope.operators import pairs as PR
+    r = np.random.default_rng(4)
+    refs, asked = (np.c_[r.normal(size=(n, 2)), 0.01 * r.normal(size=(n, 4))] for n in (6000, 1500))
+    refs[:3], refs[3], refs[4:40] = 0.0, np.nan, refs[50]  # zero vectors, no number, many equal ones
+    q = pd.DataFrame({"id": np.arange(len(asked)), "v": list(asked)})
+    for metric in ("l2", "cosine_sim", "cosine_dist"):
+        found = []
+        for least in (1000, 1 << 40):
+            monkeypatch.setattr(PR, "TREE_LEAST", least)
+            block = PR.RefBlock(np.arange(len(refs))[::-1].copy(), refs, None)
+            found.append(PR.NearestOp(3, metric, exclude_self=True).run(q, block).sort_values(["qid", "rank"]).to_numpy().tolist())
+            if least == 1000:
+                assert block.trees[None].pays() and block.trees[None].tried > PR.TREE_TRIED
+        assert found[0] == found[1] and len(found[0]) == 3 * len(asked)
+
+
+def test_nearest_among_many_moves_no_vectors(spark):
+    """References over the broadcast limit are read from the shared folder: no exchange of either side."""
+    from strayscope.operators.pairs import NearestOp, pair_scan
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = pair_scan(df.filter("id < 100"), df, NearestOp(2, "l2"), broadcast_bytes=0, block_bytes=2048)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Window" not in plan and "Repartition" not in plan.replace("RepartitionByExpression", "")
+    assert {(x["qid"], x["ref_id"]) for x in found.filter("rank = 1").collect()} == {(i, i) for i in range(100)}

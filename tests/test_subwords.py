@@ -94,3 +94,19 @@ def test_phrase_vectors_are_evaluated_once(spark, monkeypatch):
         found = TO.similar_terms(df.mapInArrow(counted, df.schema), words, 2)
         assert sorted((r["phrase"], r["rank"], r["term"]) for r in found.collect()) == [("a b", 1, "a"), ("a b", 2, "b"), ("c", 1, "b"), ("c", 2, "a")]
         assert evaluated.value == 2
+
+
+def test_pairs_of_words_travel_as_runs(spark):
+    """Each task adds up its pairs: an exchange gets a few runs of numbers, not a row for each pair."""
+    tokens = spark.createDataFrame(corpus(), "id long, toks array<string>")
+    words, seed = SW.numbered(SW.distinct_words(tokens))
+    rows = SW.cooccurrence_rows(tokens, words, seed)
+    assert "block" in rows._jdf.queryExecution().analyzed().toString() and "explode" not in rows._jdf.queryExecution().analyzed().toString()
+    name = {r["idx"]: r["word"] for r in words.collect()}
+    got = {(name[r["a"]], name[b]): n for r in rows.collect() for b, n in zip(r["bs"], r["ns"])}
+    want = Counter()
+    for _, toks in corpus():
+        for k, a in enumerate(toks):
+            for b in toks[max(0, k - SW.WINDOW):k] + toks[k + 1:k + 1 + SW.WINDOW]:
+                want[a, b] += 1
+    assert got == dict(want) and sorted(name) == list(range(len(name)))
