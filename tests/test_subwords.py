@@ -110,3 +110,19 @@ def test_pairs_of_words_travel_as_runs(spark):
             for b in toks[max(0, k - SW.WINDOW):k] + toks[k + 1:k + 1 + SW.WINDOW]:
                 want[a, b] += 1
     assert got == dict(want) and sorted(name) == list(range(len(name)))
+
+
+def test_similar_terms_query_has_all_columns_and_phrases(spark, monkeypatch):
+    """As many columns as the reference's vectors, for every phrase."""
+    from strayscope.plans import catalog
+    asked = {}
+
+    def seen(train, phrases, topn=5, text_col="text", dim=SW.DIM):
+        asked.update(dim=dim, topn=topn, phrases=sorted(r["phrase"] for r in phrases.collect()))
+        return phrases
+    monkeypatch.setattr(SW, "fitted_terms", seen)
+    rows = [(1, "lonely", "a"), (2, "red car and the car", "a")]
+    train = spark.createDataFrame(rows, "id long, text string, intent string")
+    monkeypatch.setattr(catalog, "_utt", lambda spark, sf_dir: catalog.FX.Splits(train, train, train))
+    catalog.QUERIES["similar_terms"](spark, "")
+    assert asked == {"dim": 100, "topn": 5, "phrases": ["car", "lonely", "red car"]}
