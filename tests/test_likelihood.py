@@ -83,3 +83,19 @@ def test_edges(spark):
     with pytest.raises(ValueError):
         LR.LikelihoodRatio(noise="white")
     assert TO.SPECIALS[LR.TO.UNK_ID] == "[UNK]"
+
+
+def test_changed_bigrams_need_no_place_and_no_group(spark):
+    """Draws meet the few blocks of weights where they stand, and asked bigrams their counts in one exchange."""
+    rows = [(i, ["a", "b", "c", "d"][i % 3:] + ["a"]) for i in range(60)]
+    train = spark.createDataFrame(rows, "id long, toks array<string>").localCheckpoint()
+    vocab = TO.vocab_build(train, F.col("toks")).localCheckpoint()
+    asked = spark.createDataFrame([("a", "b"), ("x", "y"), ("a", "b")], "prev string, tok string")
+    for noise in LR.NOISE_TYPES:
+        counts = LR.bigram_counts(train, vocab, noise, 0.4, 3, asked)
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [") <= 1 + plan.count("Aggregate [cnt")  # a single one over bigrams
+        got = {(r["prev"], r["tok"]): r for r in counts.collect()}
+        assert (got["x", "y"]["n_in"], got["x", "y"]["n_bg"], got["x", "y"]["asked"]) == (0, 0, True)
+        assert got["a", "b"]["asked"] and got["a", "b"]["n_in"] == 20
+        assert sum(r["n_in"] for r in got.values()) == sum(r["n_bg"] for r in got.values())
